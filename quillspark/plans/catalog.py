@@ -1,4 +1,4 @@
-"""Registered queries: each name maps to a Spark callable ``(spark, sf_dir) -> DataFrame`` and,
+"""Evaluation-side queries. Each name maps to a Spark callable ``(spark, sf_dir) -> DataFrame`` and,
 where the result is SQL-expressible, to the DuckDB SQL that must give the same rows.
 
 Every query reads the driver's tables (through the fixture adapters) in full.
@@ -16,17 +16,7 @@ from ..sources import fixtures as fx
 from . import evaluate as E
 from . import oracle as O
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
+from .registry import register
 
 
 # ------------------------------------------------------------------ shared oracle CTEs

@@ -174,3 +174,53 @@ def macro_report_sql(per_group: str, group: str = "prompt_id") -> str:
 select cast({group} as varchar) as {group}, n, qwk from {per_group}
 union all
 select 'average', cast(sum(n) as bigint), case when count(qwk) = count(*) then round_even(avg(qwk), 3) end from {per_group}"""
+
+
+def ws_chars() -> str:
+    return " || ".join(f"chr({ord(c)})" for c in C.PY_WHITESPACE)
+
+
+def py_strip_sql(col: str) -> str:
+    return f"trim({col}, {ws_chars()})"
+
+
+def clean_entities(col: str) -> str:
+    pat = "@(" + "|".join(C.ENTITY_TAGS) + r")\d+"
+    return f"regexp_replace({col}, {sql_str(pat)}, '{{\\1}}', 'g')"
+
+
+def clean_urls(col: str) -> str:
+    return f"regexp_replace({col}, {sql_str(C.URL_PATTERN)}, {sql_str(C.URL_REPLACEMENT)}, 'g')"
+
+
+def clean_punct(col: str) -> str:
+    e = f"regexp_replace({col}, {sql_str(C.ELLIPSIS_PATTERN)}, '...', 'g')"
+    q = f"regexp_replace({e}, {sql_str(C.QUESTION_PATTERN)}, '?', 'g')"
+    return f"regexp_replace({q}, {sql_str(C.EXCLAIM_PATTERN)}, '!', 'g')"
+
+
+def clean_chain(col: str) -> str:
+    return clean_punct(clean_urls(clean_entities(py_strip_sql(col))))
+
+
+def fill(template: str, *pairs) -> str:
+    out = template
+    for ph, val in pairs:
+        out = f"replace({out}, {sql_str(ph)}, {val})"
+    return out
+
+
+def lit_template(t: str) -> str:
+    """A template literal with newlines written as chr(10)."""
+    parts = t.split("\n")
+    return " || chr(10) || ".join(sql_str(p) for p in parts)
+
+
+def stub_reply(col: str) -> str:
+    return f"case when {col} is not null then 'Score: ' || cast(length({col}) % 11 as varchar) end"
+
+
+def sample_rank(src: str, frac: float | None, n: int | None, seed: int) -> str:
+    k = f"round_even({frac} * count(*) over (partition by prompt_id), 0)" if frac is not None else str(n)
+    return (f"select essay_id, prompt_id from (select essay_id, prompt_id, row_number() over (partition by prompt_id "
+            f"order by md5('{seed}:' || cast(essay_id as varchar)), essay_id) as rn, {k} as k from {src}) q where rn <= k")

@@ -65,19 +65,22 @@ def read_languages(spark: SparkSession, path: str) -> DataFrame:
     return read_delimited(spark, path, LANGUAGE_SCHEMA, header=True).select("Filename", "Language")
 
 
-def read_text_files(spark: SparkSession, path: str, strip: bool = True) -> DataFrame:
-    """One row per file: ``(file_name, text)`` plus any partition columns of the layout.
+def read_text_files(spark: SparkSession, path: str, strip: bool = True, name_partition: str | None = None) -> DataFrame:
+    """One row per file: ``(file_name, text)``.
 
-    ``strip`` removes Python whitespace from both ends, as reading an essay file does.
+    ``strip`` removes Python whitespace from both ends, as reading an essay file does. With
+    ``name_partition`` the document name is taken from that partition directory
+    (``{path}/{name_partition}=<name>/part-*``, the layout Spark's writers produce) instead of the
+    file name.
     """
-    raw = spark.read.option("wholetext", "true").text(path)
-    keep = [c for c in raw.columns if c != "value"]
+    raw = spark.read.text(path, wholetext=True)
+    name = F.col(name_partition).cast("string") if name_partition else F.col("_metadata.file_name")
     text = py_strip("value") if strip else F.col("value")
-    return raw.select(F.col("_metadata.file_name").alias("file_name"), text.alias("text"), *keep)
+    return raw.select(name.alias("file_name"), text.alias("text"))
 
 
-def read_prompt_files(spark: SparkSession, path: str) -> DataFrame:
+def read_prompt_files(spark: SparkSession, path: str, name_partition: str | None = None) -> DataFrame:
     """Prompt texts ``P{i}.txt`` -> ``(prompt_id, prompt)``."""
-    files = read_text_files(spark, path)
+    files = read_text_files(spark, path, name_partition=name_partition)
     pid = F.regexp_extract("file_name", r"^P(\d+)\.txt$", 1)
     return files.select(F.nullif(pid, F.lit("")).cast("int").alias("prompt_id"), F.col("text").alias("prompt"))
