@@ -114,9 +114,9 @@ def kendall_tau_b(df: DataFrame, y1: str, y2: str, group: str = "prompt_id", dig
     tot = F.col("n").cast(DEC) * (F.col("n") - 1).cast(DEC) / 2
     dx = (tot - F.col("xtie")).cast("double")
     dy = (tot - F.col("ytie")).cast("double")
-    tau = F.when((dx > 0) & (dy > 0), F.col("S").cast("double") / F.sqrt(dx) / F.sqrt(dy))
-    tau = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), tau))
-    tau = F.when(tau.isNotNull(), tau)
+    out = out.withColumn("__tau", F.when((dx > 0) & (dy > 0), F.col("S").cast("double") / F.sqrt(dx) / F.sqrt(dy)))
+    # clamp to [-1, 1] keeping null (greatest/least would turn null into a bound)
+    tau = F.when(F.col("__tau") > 1.0, F.lit(1.0)).when(F.col("__tau") < -1.0, F.lit(-1.0)).otherwise(F.col("__tau"))
     return out.select(group, "n", F.bround(tau, digits).alias("kendall_tau"))
 
 

@@ -12,8 +12,10 @@ from pyspark.sql import types as T
 
 from ..functions.text import py_strip
 
-# Options that make CSV/TSV round-trip arbitrary text (quotes, newlines, outer spaces).
-TEXT_SAFE = {"quote": '"', "escape": '"', "multiLine": "true"}
+# Options that make CSV/TSV round-trip arbitrary text (quotes, newlines, outer spaces). On read, an
+# unquoted empty field is null and a quoted empty field ("") is the empty string: the null marker is
+# moved off the empty string to a control character that text fields do not hold.
+TEXT_SAFE = {"quote": '"', "escape": '"', "multiLine": "true", "nullValue": "\u0001"}
 TEXT_SAFE_WRITE = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 RATED_CORPUS_SCHEMA = T.StructType(
