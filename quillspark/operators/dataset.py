@@ -4,19 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import config as C
-from ..functions.text import clean_essay
+from ..functions.text import clean_text
 
 
 def apply_overrides(spark: SparkSession, df: DataFrame, overrides, key: str = "essay_id",
                     column: str = "domain1_score") -> DataFrame:
     """Point fixes: ``overrides`` is a list of ``(key, value)`` held on the driver (a short, known
     list, so broadcasting it is safe); the override wins where present."""
-    key_type = df.schema[key].dataType
-    schema = T.StructType([T.StructField(key, key_type), T.StructField("__override", T.DoubleType())])
-    o = spark.createDataFrame([(k, float(v)) for k, v in overrides], schema)
+    from ..sources.tables import local_table
+    o = local_table(spark, [(k, float(v)) for k, v in overrides], [key, "__override"])
     out = df.join(F.broadcast(o), key, "left")
     return out.withColumn(column, F.coalesce(F.col("__override"), F.col(column))).drop("__override").select(*df.columns)
 
@@ -35,13 +33,13 @@ def weighted_rescore(df: DataFrame, prompt: int = C.RESCORED_PROMPT, group: str
 
 def canonical(df: DataFrame, clean: bool = True) -> DataFrame:
     """``(essay_id, prompt_id, essay, score INT)``; the score is truncated to int."""
-    essay = clean_essay("essay") if clean else F.col("essay")
-    return df.select(
+    d = df.select(
         F.col("essay_id"),
         F.col("essay_set").cast("int").alias("prompt_id"),
-        essay.alias("essay"),
+        F.col("essay"),
         F.col("domain1_score").cast("int").alias("score"),
     )
+    return clean_text(d, "essay") if clean else d
 
 
 def organize_rated_corpus(spark: SparkSession, raw: DataFrame, overrides=C.ASAP_SCORE_OVERRIDES) -> DataFrame:

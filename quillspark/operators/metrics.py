@@ -72,13 +72,15 @@ def macro_report(per_group: DataFrame, group: str = "prompt_id", metric: str = "
 
     The average is null if any group's value is null. Group keys become strings.
     """
-    rows = per_group.select(F.col(group).cast("string").alias(group), "n", metric)
-    avg = per_group.agg(
-        F.lit("average").alias(group),
+    # A rollup over the per-group table (one row per group) yields the group rows and the total row
+    # in one pass, so the upstream pipeline is not evaluated twice as a union would do.
+    r = per_group.rollup(group).agg(
+        F.grouping_id().alias("__gid"),
         F.sum("n").alias("n"),
         F.when(F.count(metric) == F.count(F.lit(1)), F.bround(F.avg(metric), digits)).alias(metric),
     )
-    return rows.unionByName(avg)
+    key = F.when(F.col("__gid") == 1, F.lit("average")).otherwise(F.col(group).cast("string"))
+    return r.select(key.alias(group), F.col("n").cast("bigint").alias("n"), metric)
 
 
 def kendall_tau_b(df: DataFrame, y1: str, y2: str, group: str = "prompt_id", digits: int = 3) -> DataFrame:
@@ -131,11 +133,11 @@ def eval_report(df: DataFrame, spark: SparkSession, y1: str, y2: str, domain: C.
 
 def dropped_report(df: DataFrame, value: str, group: str = "prompt_id") -> DataFrame:
     """Rows, kept rows (non-null ``value``) and dropped rows, per group and overall (``all``)."""
-    per = df.groupBy(F.col(group).cast("string").alias(group)).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count(value).alias("n_kept"))
-    tot = df.agg(F.lit("all").alias(group), F.count(F.lit(1)).alias("n_rows"), F.count(value).alias("n_kept"))
-    out = per.unionByName(tot)
-    return out.withColumn("n_dropped", F.col("n_rows") - F.col("n_kept"))
+    per = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), F.count(value).alias("n_kept"))
+    r = per.rollup(group).agg(F.grouping_id().alias("__gid"), F.sum("n_rows").alias("n_rows"), F.sum("n_kept").alias("n_kept"))
+    key = F.when(F.col("__gid") == 1, F.lit("all")).otherwise(F.col(group).cast("string"))
+    return r.select(key.alias(group), F.col("n_rows").cast("bigint").alias("n_rows"), F.col("n_kept").cast("bigint").alias("n_kept"),
+                    (F.col("n_rows") - F.col("n_kept")).cast("bigint").alias("n_dropped"))
 
 
 def sample_ztest(full: DataFrame, sample: DataFrame, value: str = "score", group: str = "prompt_id",

@@ -42,12 +42,15 @@ def q_clean_urls(spark, sf):
 
 @register("clean_punct", WF(f"select doc_id, {O.clean_punct('text')} as text from dirty", "dirty"))
 def q_clean_punct(spark, sf):
-    return fx.dirty(spark, sf).select("doc_id", TX.collapse_punct("text").alias("text"))
+    d = fx.dirty(spark, sf)
+    for step in (TX.collapse_ellipses, TX.collapse_questions, TX.collapse_exclaims):
+        d = d.withColumn("text", step("text"))
+    return d.select("doc_id", "text")
 
 
 @register("clean_corpus", WF(f"select doc_id, {O.clean_chain('text')} as text from dirty", "dirty"))
 def q_clean_corpus(spark, sf):
-    return fx.dirty(spark, sf).select("doc_id", TX.clean_essay("text").alias("text"))
+    return TX.clean_text(fx.dirty(spark, sf), "text").select("doc_id", "text")
 
 
 # ------------------------------------------------------------------ dataset

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ASAP, ScoreDomain
-from .tables import read_table, score_range
+from .tables import balance, read_table, score_range
 
 
 def _case(sel: Column, arms, default=None) -> Column:
@@ -22,7 +22,7 @@ def _case(sel: Column, arms, default=None) -> Column:
 
 def essays(spark: SparkSession, sf_dir: str, domain: ScoreDomain = ASAP) -> DataFrame:
     """``(essay_id, prompt_id, essay, language, n_chars, score, proficiency_level)``."""
-    d = read_table(spark, sf_dir, "documents")
+    d = balance(read_table(spark, sf_dir, "documents"))
     e = d.select(
         F.col("doc_id").alias("essay_id"),
         (F.lit(1) + F.col("doc_id") % 8).cast("int").alias("prompt_id"),
@@ -97,7 +97,7 @@ def vanilla(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents wrapped in text that exercises every cleaning step."""
-    d = read_table(spark, sf_dir, "documents")
+    d = balance(read_table(spark, sf_dir, "documents"))
     text = F.concat(
         F.lit("  "), F.col("text"), F.lit(" @PERSON"), (F.col("doc_id") % 9).cast("string"),
         F.lit(" @DATE12 wait... .... ok?? ??? !!! !! http://www.site"), F.col("doc_id").cast("string"),
@@ -108,7 +108,7 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rated-corpus layout: essay_set, domain1_score and two raters' four trait scores."""
-    d = read_table(spark, sf_dir, "documents")
+    d = balance(read_table(spark, sf_dir, "documents"))
     doc, n = F.col("doc_id"), F.col("n_chars")
 
     def r(base, k):

@@ -4,29 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..config import ASAP, ScoreDomain
 
-SCORE_RANGE_SCHEMA = T.StructType([
-    T.StructField("prompt_id", T.IntegerType(), False),
-    T.StructField("s_min", T.IntegerType(), False),
-    T.StructField("s_max", T.IntegerType(), False),
-])
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory: ``{sf_dir}/{name}.parquet``."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def balance(df: DataFrame) -> DataFrame:
+    """Spread rows over the cluster when the scan yields fewer partitions than it has cores.
+
+    A corpus stored as a few large row groups is read by a few tasks; text work (regexes, prompt
+    building, model calls) would then use a few cores. Below the default parallelism the rows are
+    redistributed round-robin; a large input (thousands of splits) is left untouched.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def score_range(spark: SparkSession, domain: ScoreDomain = ASAP) -> DataFrame:
     """``(prompt_id, s_min, s_max)``: one row per prompt of the domain.
 
     Built on the driver from the configuration, so its size is known (one row per prompt) and it
     is always safe to broadcast.
     """
-    return spark.createDataFrame(domain.range_rows(), SCORE_RANGE_SCHEMA)
+    return local_table(spark, domain.range_rows(), ["prompt_id", "s_min", "s_max"])
+
+
+def local_table(spark: SparkSession, rows, names) -> DataFrame:
+    """A small driver-side table as an inline ``VALUES`` relation.
+
+    Unlike ``createDataFrame`` (an RDD scan, a new one per call), a local relation compares equal
+    across calls, so plans that use the table twice can reuse each other's exchanges.
+    """
+    def lit(v):
+        if isinstance(v, str):
+            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        if isinstance(v, float):
+            return f"CAST({v!r} AS DOUBLE)"
+        return str(int(v))
+
+    values = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
 
 
 def bounded_broadcast(df: DataFrame) -> DataFrame:
