@@ -106,6 +106,10 @@ class ScoreDomain:
     default: tuple | None = None
     labels: tuple | None = None
 
+    def key(self):
+        """Hashable identity of the domain."""
+        return tuple(self.range_rows()), self.labels
+
     def range_rows(self, prompt_ids=range(1, 9)):
         rows = []
         for pid in prompt_ids:

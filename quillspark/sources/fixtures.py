@@ -1,174 +1,166 @@
 """Deterministic adapters from the driver's tables to the schemas the scoring pipeline expects.
 
 Everything is derived from ``documents`` (and the configured score ranges), so the work grows with
-the corpus. The same definitions exist as DuckDB SQL in ``quillspark.plans.oracle``.
+the corpus. Column definitions are SQL expressions with the same text as the DuckDB oracle
+(``quillspark.plans.oracle``); each adapter is built once per session and data directory (a
+DataFrame is an immutable plan, so reusing it is safe and spares the driver re-analysis).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..config import ASAP, ScoreDomain
 from .tables import balance, read_table, score_range
 
+_MEMO: dict = {}
 
-def _case(sel: Column, arms, default=None) -> Column:
-    out = None
-    for value, result in arms:
-        out = F.when(sel == value, result) if out is None else out.when(sel == value, result)
-    return out.otherwise(default) if default is not None else out
+
+def _memo(spark: SparkSession, key, build):
+    k = (id(spark), spark.sparkContext.applicationId, key)
+    if k not in _MEMO:
+        _MEMO[k] = build()
+    return _MEMO[k]
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus, spread over the cluster's cores when it arrives in few splits."""
+    return _memo(spark, ("documents", sf_dir), lambda: balance(read_table(spark, sf_dir, "documents")))
+
+
+ESSAYS = [
+    "doc_id as essay_id",
+    "cast(1 + doc_id % 8 as int) as prompt_id",
+    "text as essay",
+    "lang as language",
+    "n_chars",
+]
+ESSAYS_SCORED = [
+    "essay_id", "prompt_id", "essay", "language", "n_chars",
+    "cast(s_min + floor((n_chars % 11) * (s_max - s_min) / 10.0) as int) as score",
+    "case when n_chars % 11 < 4 then 'low' when n_chars % 11 < 8 then 'medium' else 'high' end as proficiency_level",
+]
 
 
 def essays(spark: SparkSession, sf_dir: str, domain: ScoreDomain = ASAP) -> DataFrame:
     """``(essay_id, prompt_id, essay, language, n_chars, score, proficiency_level)``."""
-    d = balance(read_table(spark, sf_dir, "documents"))
-    e = d.select(
-        F.col("doc_id").alias("essay_id"),
-        (F.lit(1) + F.col("doc_id") % 8).cast("int").alias("prompt_id"),
-        F.col("text").alias("essay"),
-        F.col("lang").alias("language"),
-        F.col("n_chars"),
-    )
-    e = e.join(F.broadcast(score_range(spark, domain)), "prompt_id")
-    k = F.col("n_chars") % 11
-    score = (F.col("s_min") + F.floor(k * (F.col("s_max") - F.col("s_min")) / F.lit(10.0))).cast("int")
-    level = F.when(k < 4, "low").when(k < 8, "medium").otherwise("high")
-    return e.select(
-        "essay_id", "prompt_id", "essay", "language", "n_chars",
-        score.alias("score"), level.alias("proficiency_level"),
-    )
+    def build():
+        from pyspark.sql import functions as F
+        e = documents(spark, sf_dir).selectExpr(*ESSAYS)
+        return e.join(F.broadcast(score_range(spark, domain)), "prompt_id").selectExpr(*ESSAYS_SCORED)
+    return _memo(spark, ("essays", sf_dir, domain.key()), build)
+
+
+X_TRAIT = ("cast(case when essay_id % 23 = 0 then 0 when essay_id % 29 = 0 then 10 "
+           "else least(10, 4 + cast(floor((n_chars % 11) / 4) as int) + (essay_id * 7 + trait_idx * 5) % 3) end as string)")
+COMPLETION = """case (essay_id * 3 + trait_idx) % 17
+    when 0 then 'I cannot rate this essay.'
+    when 1 then null
+    when 2 then concat('Score: 1', x, ' / 10')
+    else case (essay_id + trait_idx) % 6
+      when 0 then concat('Overall Score: ', x, '.')
+      when 1 then concat('I give a score of ', x, '/10.')
+      when 2 then concat(x, ' out of 10')
+      when 3 then concat('I rate it as a ', x, ' overall')
+      when 4 then concat('placed at ', x, '.5 here')
+      else concat('Score: <score>', x, '</score>') end
+  end"""
 
 
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long form: one synthetic scoring completion per ``(essay, trait)``."""
-    e = essays(spark, sf_dir).drop("essay", "language")
-    e = e.withColumn("trait_idx", F.explode(F.sequence(F.lit(1), F.lit(4))))
-    eid, t = F.col("essay_id"), F.col("trait_idx")
-    x = (
-        F.when(eid % 23 == 0, F.lit(0))
-        .when(eid % 29 == 0, F.lit(10))
-        .otherwise(F.least(F.lit(10), F.lit(4) + F.floor((F.col("n_chars") % 11) / 4) + (eid * 7 + t * 5) % 3))
-        .cast("string")
-    )
-    phrasing = _case((eid + t) % 6, [
-        (0, F.concat(F.lit("Overall Score: "), x, F.lit("."))),
-        (1, F.concat(F.lit("I give a score of "), x, F.lit("/10."))),
-        (2, F.concat(x, F.lit(" out of 10"))),
-        (3, F.concat(F.lit("I rate it as a "), x, F.lit(" overall"))),
-        (4, F.concat(F.lit("placed at "), x, F.lit(".5 here"))),
-    ], F.concat(F.lit("Score: <score>"), x, F.lit("</score>")))
-    sel = (eid * 3 + t) % 17
-    completion = (
-        F.when(sel == 0, F.lit("I cannot rate this essay."))
-        .when(sel == 1, F.lit(None).cast("string"))
-        .when(sel == 2, F.concat(F.lit("Score: 1"), x, F.lit(" / 10")))
-        .otherwise(phrasing)
-    )
-    return e.select("essay_id", "prompt_id", "score", "proficiency_level", "trait_idx", completion.alias("completion"))
+    def build():
+        e = essays(spark, sf_dir).selectExpr("essay_id", "prompt_id", "score", "proficiency_level", "n_chars",
+                                             "explode(sequence(1, 4)) as trait_idx")
+        e = e.selectExpr("essay_id", "prompt_id", "score", "proficiency_level", "trait_idx", f"{X_TRAIT} as x")
+        return e.selectExpr("essay_id", "prompt_id", "score", "proficiency_level", "trait_idx", f"{COMPLETION} as completion")
+    return _memo(spark, ("completions", sf_dir), build)
+
+
+MSG_ASSISTANT = """case essay_id % 9
+    when 0 then concat('Score: ', x, '/10')
+    when 1 then concat('It earns ', x, '.5 out of 10')
+    when 2 then concat('a score of ', x, '/10')
+    when 3 then concat('Score:', chr(10), chr(10), x)
+    when 4 then concat('<score>', x, '</score>')
+    when 5 then 'no answer'
+    when 6 then 'Score: 4/0'
+    when 7 then concat('Score: ', x, '.9')
+    else concat('Score: ', x, ' and then ', x, ' out of 10') end"""
+MSG_CATEGORY = """case essay_id % 7
+    when 0 then 'Score: "High"'
+    when 1 then 'rated as medium'
+    when 2 then 'a Low score'
+    when 3 then concat('Score:', chr(10), ' low')
+    when 4 then 'it was high overall'
+    when 5 then 'unclear'
+    else 'a score of Medium' end"""
 
 
 def vanilla(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One completion per essay: numeric ``msg_assistant`` and categorical ``msg_category``."""
-    e = essays(spark, sf_dir)
-    x = (F.col("n_chars") % 11).cast("string")
-    eid = F.col("essay_id")
-    msg = _case(eid % 9, [
-        (0, F.concat(F.lit("Score: "), x, F.lit("/10"))),
-        (1, F.concat(F.lit("It earns "), x, F.lit(".5 out of 10"))),
-        (2, F.concat(F.lit("a score of "), x, F.lit("/10"))),
-        (3, F.concat(F.lit("Score:\n\n"), x)),
-        (4, F.concat(F.lit("<score>"), x, F.lit("</score>"))),
-        (5, F.lit("no answer")),
-        (6, F.lit("Score: 4/0")),
-        (7, F.concat(F.lit("Score: "), x, F.lit(".9"))),
-    ], F.concat(F.lit("Score: "), x, F.lit(" and then "), x, F.lit(" out of 10")))
-    cat = _case(eid % 7, [
-        (0, F.lit('Score: "High"')),
-        (1, F.lit("rated as medium")),
-        (2, F.lit("a Low score")),
-        (3, F.lit("Score:\n low")),
-        (4, F.lit("it was high overall")),
-        (5, F.lit("unclear")),
-    ], F.lit("a score of Medium"))
-    return e.select("essay_id", "prompt_id", "score", "proficiency_level",
-                    msg.alias("msg_assistant"), cat.alias("msg_category"))
+    def build():
+        e = essays(spark, sf_dir).selectExpr("essay_id", "prompt_id", "score", "proficiency_level",
+                                             "cast(n_chars % 11 as string) as x")
+        return e.selectExpr("essay_id", "prompt_id", "score", "proficiency_level",
+                            f"{MSG_ASSISTANT} as msg_assistant", f"{MSG_CATEGORY} as msg_category")
+    return _memo(spark, ("vanilla", sf_dir), build)
+
+
+DIRTY = ("concat('  ', text, ' @PERSON', cast(doc_id % 9 as string), ' @DATE12 wait... .... ok?? ??? !!! !! http://www.site', "
+         "cast(doc_id as string), '.com.cn/a  ')")
 
 
 def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents wrapped in text that exercises every cleaning step."""
-    d = balance(read_table(spark, sf_dir, "documents"))
-    text = F.concat(
-        F.lit("  "), F.col("text"), F.lit(" @PERSON"), (F.col("doc_id") % 9).cast("string"),
-        F.lit(" @DATE12 wait... .... ok?? ??? !!! !! http://www.site"), F.col("doc_id").cast("string"),
-        F.lit(".com.cn/a  "),
-    )
-    return d.select("doc_id", text.alias("text"))
+    return _memo(spark, ("dirty", sf_dir), lambda: documents(spark, sf_dir).selectExpr("doc_id", f"{DIRTY} as text"))
+
+
+RAW_RATINGS = [
+    "doc_id as essay_id", "cast(1 + doc_id % 8 as int) as essay_set", "text as essay",
+    "cast(n_chars % 4 as double) as domain1_score",
+    "cast((doc_id + 0) % 4 as double) as rater1_trait1", "cast((doc_id + 1) % 4 as double) as rater1_trait2",
+    "cast((doc_id + 2) % 4 as double) as rater1_trait3", "cast((n_chars + 3) % 4 as double) as rater1_trait4",
+    "cast((n_chars + 0) % 4 as double) as rater2_trait1", "cast((n_chars + 1) % 4 as double) as rater2_trait2",
+    "cast((n_chars + 2) % 4 as double) as rater2_trait3", "cast((doc_id + 3) % 4 as double) as rater2_trait4",
+]
 
 
 def raw_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rated-corpus layout: essay_set, domain1_score and two raters' four trait scores."""
-    d = balance(read_table(spark, sf_dir, "documents"))
-    doc, n = F.col("doc_id"), F.col("n_chars")
+    return _memo(spark, ("raw_ratings", sf_dir), lambda: documents(spark, sf_dir).selectExpr(*RAW_RATINGS))
 
-    def r(base, k):
-        return ((base + k) % 4).cast("double")
 
-    return d.select(
-        doc.alias("essay_id"), (F.lit(1) + doc % 8).cast("int").alias("essay_set"), F.col("text").alias("essay"),
-        (n % 4).cast("double").alias("domain1_score"),
-        r(doc, 0).alias("rater1_trait1"), r(doc, 1).alias("rater1_trait2"),
-        r(doc, 2).alias("rater1_trait3"), r(n, 3).alias("rater1_trait4"),
-        r(n, 0).alias("rater2_trait1"), r(n, 1).alias("rater2_trait2"),
-        r(n, 2).alias("rater2_trait3"), r(doc, 3).alias("rater2_trait4"),
-    )
+TEMPLATE_MTS = [
+    "prompt_id", "concat('Prompt text ', cast(prompt_id as string)) as prompt",
+    "'You judge @trait. @trait means: @description' as msg_system_template",
+    "'[Prompt] @prompt [Essay] @essay [Task] quote on @trait' as msg_user_retrieval_template",
+    "'Rate @trait with: @rubric' as msg_user_score_template",
+    "'Ideas' as trait_1", "'Order' as trait_2", "'Style' as trait_3", "'Form' as trait_4",
+    "'desc 1' as description_1", "'desc 2' as description_2", "'desc 3' as description_3", "'desc 4' as description_4",
+    "'rubric $1' as rubric_1", "'rubric 2' as rubric_2", "'rubric 3' as rubric_3", "'rubric 4' as rubric_4",
+]
 
 
 def template_mts(spark: SparkSession, domain: ScoreDomain = ASAP) -> DataFrame:
     """Multi-trait template: one row per prompt with 4 traits, descriptions and rubrics."""
-    r = score_range(spark, domain)
-    cols = [
-        F.col("prompt_id"),
-        F.concat(F.lit("Prompt text "), F.col("prompt_id").cast("string")).alias("prompt"),
-        F.lit("You judge @trait. @trait means: @description").alias("msg_system_template"),
-        F.lit("[Prompt] @prompt [Essay] @essay [Task] quote on @trait").alias("msg_user_retrieval_template"),
-        F.lit("Rate @trait with: @rubric").alias("msg_user_score_template"),
-    ]
-    for k, name in enumerate(["Ideas", "Order", "Style", "Form"], start=1):
-        cols.append(F.lit(name).alias(f"trait_{k}"))
-    for k in range(1, 5):
-        cols.append(F.lit(f"desc {k}").alias(f"description_{k}"))
-    cols.append(F.lit("rubric $1").alias("rubric_1"))
-    for k in range(2, 5):
-        cols.append(F.lit(f"rubric {k}").alias(f"rubric_{k}"))
-    return r.select(*cols)
+    return _memo(spark, ("template_mts", domain.key()), lambda: score_range(spark, domain).selectExpr(*TEMPLATE_MTS))
 
 
 def template_vanilla(spark: SparkSession, domain: ScoreDomain = ASAP) -> DataFrame:
-    r = score_range(spark, domain)
-    return r.select(
-        "prompt_id",
-        F.concat(F.lit("Prompt text "), F.col("prompt_id").cast("string")).alias("prompt"),
-        F.lit("You are a rater.").alias("msg_system"),
-        F.lit("[Prompt] @prompt [Essay] @essay Give a score.").alias("msg_user_instruction_template"),
-    )
+    return _memo(spark, ("template_vanilla", domain.key()), lambda: score_range(spark, domain).selectExpr(
+        "prompt_id", "concat('Prompt text ', cast(prompt_id as string)) as prompt", "'You are a rater.' as msg_system",
+        "'[Prompt] @prompt [Essay] @essay Give a score.' as msg_user_instruction_template"))
 
 
 def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proficiency-corpus index layout: ``(path, prompt_id 'P1'..'P8', proficiency_level)``."""
-    e = essays(spark, sf_dir, domain=ASAP)
-    return e.select(
-        F.concat(F.col("essay_id").cast("string"), F.lit(".txt")).alias("path"),
-        F.concat(F.lit("P"), F.col("prompt_id").cast("string")).alias("prompt_id"),
-        "proficiency_level",
-    )
+    return _memo(spark, ("index_rows", sf_dir), lambda: essays(spark, sf_dir).selectExpr(
+        "concat(cast(essay_id as string), '.txt') as path", "concat('P', cast(prompt_id as string)) as prompt_id",
+        "proficiency_level"))
 
 
 def language_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proficiency-corpus language table: ``(Filename, Language, Split)``."""
-    d = read_table(spark, sf_dir, "documents")
-    return d.select(
-        F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("Filename"),
-        F.col("lang").alias("Language"),
-        F.col("source").alias("Split"),
-    )
+    return _memo(spark, ("language_rows", sf_dir), lambda: read_table(spark, sf_dir, "documents").selectExpr(
+        "concat(cast(doc_id as string), '.txt') as Filename", "lang as Language", "source as Split"))
