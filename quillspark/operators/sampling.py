@@ -22,11 +22,20 @@ def hash_key(key: str = "essay_id", seed: int = C.SAMPLE_SEED):
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
-def _take_smallest(df: DataFrame, k_per_stratum: DataFrame, stratum: str, key: str, seed: int) -> DataFrame:
+def _take_smallest(df: DataFrame, k_of_size, stratum: str, key: str, seed: int) -> DataFrame:
+    """Keep the ``k_of_size(stratum size)`` rows with the smallest hash keys in every stratum.
+
+    The bucket-count table is the only aggregation over the input: stratum sizes are its sums.
+    """
     h = df.select(key, stratum).withColumn("__h", hash_key(key, seed)).withColumn("__b", F.substring("__h", 1, PREFIX))
     counts = h.groupBy(stratum, "__b").agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy(stratum).orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = counts.withColumn("__cum", F.sum("__c").over(w)).join(k_per_stratum, stratum)
+    running = Window.partitionBy(stratum).orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(stratum)
+    cum = counts.select(
+        stratum, "__b", "__c",
+        F.sum("__c").over(running).alias("__cum"),
+        k_of_size(F.sum("__c").over(whole)).alias("__k"),
+    )
     cum = cum.withColumn("__before", F.col("__cum") - F.col("__c"))
     # full buckets: every row kept; boundary bucket: keep the first (k - before) rows
     plan = cum.where(F.col("__before") < F.col("__k")).select(
@@ -42,20 +51,18 @@ def _take_smallest(df: DataFrame, k_per_stratum: DataFrame, stratum: str, key: s
 def sample_fraction(df: DataFrame, frac: float = C.SAMPLE_FRACTION, seed: int = C.SAMPLE_SEED,
                     stratum: str = "prompt_id", key: str = "essay_id") -> DataFrame:
     """``(key, stratum)`` of a stratified sample of exactly ``round_half_even(frac * n)`` rows per
-    stratum, without replacement, reproducible for a seed. Input rows must be unique by key."""
-    k = df.groupBy(stratum).agg(F.bround(F.lit(float(frac)) * F.count(F.lit(1)), 0).cast("bigint").alias("__k"))
-    return _take_smallest(df, k, stratum, key, seed)
+    stratum, without replacement, reproducible for a seed. Input rows must be unique by key.
+
+    The broadcast boundary table has at most 4,096 rows per stratum (strata are prompts)."""
+    return _take_smallest(df, lambda size: F.bround(F.lit(float(frac)) * size, 0).cast("bigint"), stratum, key, seed)
 
 
 def sample_n(df: DataFrame, n: int = C.SAMPLE_N, seed: int = C.SAMPLE_SEED,
              stratum: str = "prompt_id", key: str = "essay_id") -> DataFrame:
     """Exactly ``n`` rows per stratum; a stratum with fewer rows is an error (raised in the job)."""
-    k = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("__size")).select(
-        stratum,
-        F.when(F.col("__size") >= n, F.lit(n).cast("bigint"))
-        .otherwise(F.raise_error(F.concat(F.lit("stratum smaller than n: "), F.col(stratum).cast("string"))).cast("bigint"))
-        .alias("__k"),
-    )
+    def k(size):
+        msg = F.concat(F.lit(f"stratum smaller than n={n}: size "), size.cast("string"))
+        return F.when(size >= n, F.lit(n).cast("bigint")).otherwise(F.raise_error(msg).cast("bigint"))
     return _take_smallest(df, k, stratum, key, seed)
 
 

@@ -68,25 +68,37 @@ def score_mts_ordinal(spark: SparkSession, long_df: DataFrame, domain: C.ScoreDo
     return mapped.withColumn("proficiency_level_pred", S.bucket_level("score_map"))
 
 
-def kappa_report(spark: SparkSession, scored: DataFrame, y1: str, y2: str, domain: C.ScoreDomain) -> DataFrame:
+def kappa_report(spark: SparkSession, scored: DataFrame, y1: str, y2: str, domain: C.ScoreDomain,
+                 save_to: str | None = None) -> DataFrame:
+    """Drop rows without a prediction, kappa per prompt, macro average.
+
+    ``save_to`` first writes the scored table to that (new) path and reports from the written copy,
+    so scoring runs once for both outputs.
+    """
+    if save_to:
+        scored.write.mode("errorifexists").parquet(save_to)
+        scored = spark.read.parquet(save_to)
     kept = scored.dropna(subset=[y2])
     return M.macro_report(M.qwk(kept, spark, y1, y2, domain))
 
 
-def eval_vanilla_numeric(spark: SparkSession, df: DataFrame, domain: C.ScoreDomain = C.ASAP) -> DataFrame:
-    return kappa_report(spark, score_vanilla_numeric(spark, df, domain), "score", "score_pred", domain)
+def eval_vanilla_numeric(spark: SparkSession, df: DataFrame, domain: C.ScoreDomain = C.ASAP,
+                         save_to: str | None = None) -> DataFrame:
+    return kappa_report(spark, score_vanilla_numeric(spark, df, domain), "score", "score_pred", domain, save_to)
 
 
-def eval_mts_numeric(spark: SparkSession, long_df: DataFrame, domain: C.ScoreDomain = C.ASAP, **kw) -> DataFrame:
-    return kappa_report(spark, score_mts_numeric(spark, long_df, domain, **kw), "score", "score_pred", domain)
+def eval_mts_numeric(spark: SparkSession, long_df: DataFrame, domain: C.ScoreDomain = C.ASAP,
+                     save_to: str | None = None, **kw) -> DataFrame:
+    return kappa_report(spark, score_mts_numeric(spark, long_df, domain, **kw), "score", "score_pred", domain, save_to)
 
 
 def eval_vanilla_ordinal(spark: SparkSession, df: DataFrame, domain: C.ScoreDomain = C.TOEFL,
-                         src: str = "msg_assistant") -> DataFrame:
+                         src: str = "msg_assistant", save_to: str | None = None) -> DataFrame:
     scored = score_vanilla_ordinal(df, src)
-    return kappa_report(spark, scored, "proficiency_level", "proficiency_level_pred", domain)
+    return kappa_report(spark, scored, "proficiency_level", "proficiency_level_pred", domain, save_to)
 
 
-def eval_mts_ordinal(spark: SparkSession, long_df: DataFrame, domain: C.ScoreDomain = C.TOEFL, **kw) -> DataFrame:
+def eval_mts_ordinal(spark: SparkSession, long_df: DataFrame, domain: C.ScoreDomain = C.TOEFL,
+                     save_to: str | None = None, **kw) -> DataFrame:
     scored = score_mts_ordinal(spark, long_df, domain, **kw)
-    return kappa_report(spark, scored, "proficiency_level", "proficiency_level_pred", domain)
+    return kappa_report(spark, scored, "proficiency_level", "proficiency_level_pred", domain, save_to)

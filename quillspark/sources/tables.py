@@ -19,10 +19,12 @@ def balance(df: DataFrame) -> DataFrame:
     building, model calls) would then use a few cores. Below the default parallelism the rows are
     redistributed round-robin; a large input (thousands of splits) is left untouched.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access (Spark Connect) keep the scan as it is
+        return df
+    return df.repartition(target) if parts < target else df
 
 
 def score_range(spark: SparkSession, domain: ScoreDomain = ASAP) -> DataFrame:

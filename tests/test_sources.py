@@ -48,3 +48,13 @@ def test_dense_index_many_buckets(spark):
     got = DS.dense_index(spark, df, "path", "essay_id", rows_per_bucket=300).collect()
     ids = sorted((r["path"], r["essay_id"]) for r in got)
     assert [i for _, i in ids] == list(range(5000))
+
+
+def test_report_from_saved_scores(spark):
+    from quillspark.plans import evaluate as E
+    comp = fx.completions(spark, SF_SMALL)
+    path = scratch_path(spark, "scored")
+    a = sorted(E.eval_mts_numeric(spark, comp, save_to=path).collect())
+    b = sorted(E.eval_mts_numeric(spark, comp).collect())
+    assert a == b
+    assert {"essay_id", "score_agg", "score_map", "score_pred"} <= set(spark.read.parquet(path).columns)
