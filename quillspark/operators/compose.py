@@ -30,29 +30,31 @@ def unpivot_traits(template: DataFrame, n_traits: int = C.N_TRAITS) -> DataFrame
     return template.selectExpr(*keep, f"stack({n_traits}, {args}) as (trait_idx, trait, description, rubric)")
 
 
-def sampled_ids(df: DataFrame, frac: float | None = C.SAMPLE_FRACTION, seed: int = C.SAMPLE_SEED) -> DataFrame | None:
+def sample_corpus(df: DataFrame, frac: float | None, seed: int, unique_keys: bool = True) -> DataFrame:
+    """Stratified test sample by prompt. With unique essay ids the sampled rows are selected in
+    place (no join back); otherwise ids are sampled over distinct keys and semi-joined."""
     if frac is None:
-        return None
-    return SM.sample_fraction(df.select("essay_id", "prompt_id").dropDuplicates(["essay_id"]), frac, seed)
+        return df
+    if unique_keys:
+        return SM.sample_rows(df, frac, seed)
+    ids = SM.sample_fraction(df.select("essay_id", "prompt_id").dropDuplicates(["essay_id"]), frac, seed)
+    return SM.keep_sampled(df, ids)
 
 
 def compose_vanilla(corpus: DataFrame, template: DataFrame, frac: float | None = C.SAMPLE_FRACTION,
-                    seed: int = C.SAMPLE_SEED) -> DataFrame:
+                    seed: int = C.SAMPLE_SEED, unique_keys: bool = True) -> DataFrame:
     """Sample (optional), join the template, fill the instruction (``@prompt``, ``@essay`` stripped)."""
-    df = join_template(corpus, template)
-    ids = sampled_ids(df, frac, seed)
-    if ids is not None:
-        df = SM.keep_sampled(df, ids)
+    df = sample_corpus(join_template(corpus, template), frac, seed, unique_keys)
     return df.withColumn("msg_user_instruction", TP.instruction())
 
 
 def compose_mts(corpus: DataFrame, template: DataFrame, frac: float | None = C.SAMPLE_FRACTION,
-                seed: int = C.SAMPLE_SEED) -> DataFrame:
+                seed: int = C.SAMPLE_SEED, unique_keys: bool = True) -> DataFrame:
     """Long ``(essay_id, prompt_id, trait_idx, ...)`` with ``msg_system``, ``msg_user_retrieval``,
     ``msg_user_score`` per trait."""
     if frac is not None:
-        ids = sampled_ids(corpus.join(F.broadcast(template.select("prompt_id")), "prompt_id"), frac, seed)
-        corpus = SM.keep_sampled(corpus, ids)
+        in_domain = corpus.join(F.broadcast(template.select("prompt_id")), "prompt_id").select(*corpus.columns)
+        corpus = sample_corpus(in_domain, frac, seed, unique_keys)
     traits = unpivot_traits(template)
     df = corpus.join(F.broadcast(traits), "prompt_id", "inner")
     return df.select(

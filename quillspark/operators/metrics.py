@@ -89,8 +89,8 @@ def kendall_tau_b(df: DataFrame, y1: str, y2: str, group: str = "prompt_id", dig
     S = concordant - discordant is summed over contingency cells:
     S = sum_c n_c * (P_c - Q_c), with P_c (Q_c) the count of observations with a smaller ``a``
     and a smaller (larger) ``b``. P and Q are 2-D prefix sums over the dense grid of the group's
-    distinct a-values x distinct b-values, computed with two running-sum windows whose partitions
-    are one grid column or row (at most the label-domain size).
+    distinct a-values x distinct b-values, computed with running-sum windows whose partitions are
+    one grid column or row (at most the label-domain size); the same windows give the tie counts.
     """
     pairs = df.select(group, F.col(y1).alias("a"), F.col(y2).alias("b")).where(
         F.col("a").isNotNull() & F.col("b").isNotNull())
@@ -98,21 +98,27 @@ def kendall_tau_b(df: DataFrame, y1: str, y2: str, group: str = "prompt_id", dig
     av = cells.select(group, "a").distinct()
     bv = cells.select(group, "b").distinct()
     grid = av.join(bv, group).join(cells, [group, "a", "b"], "left").fillna(0, subset=["c"])
-    below = Window.partitionBy(group, "b").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
-    grid = grid.withColumn("colcum", F.coalesce(F.sum("c").over(below), F.lit(0)))
-    left = Window.partitionBy(group, "a").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    right = Window.partitionBy(group, "a").orderBy("b").rowsBetween(1, Window.unboundedFollowing)
-    grid = grid.withColumn("P", F.coalesce(F.sum("colcum").over(left), F.lit(0)))
-    grid = grid.withColumn("Q", F.coalesce(F.sum("colcum").over(right), F.lit(0)))
-    s = grid.groupBy(group).agg(
-        F.sum(F.col("c").cast(DEC) * (F.col("P") - F.col("Q")).cast(DEC)).alias("S"),
+    col = Window.partitionBy(group, "b")
+    grid = grid.select(
+        "*",
+        F.coalesce(F.sum("c").over(col.orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("colcum"),
+        F.sum("c").over(col).alias("coltot"),
+    )
+    row = Window.partitionBy(group, "a")
+    grid = grid.select(
+        "*",
+        F.coalesce(F.sum("colcum").over(row.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("P"),
+        F.coalesce(F.sum("colcum").over(row.orderBy("b").rowsBetween(1, Window.unboundedFollowing)), F.lit(0)).alias("Q"),
+        F.sum("c").over(row).alias("rowtot"),
+    )
+    c = F.col("c").cast(DEC)
+    # ties: sum over values t(t-1)/2 == sum over cells c * (total of its row/column - 1) / 2
+    out = grid.groupBy(group).agg(
+        F.sum(c * (F.col("P") - F.col("Q")).cast(DEC)).alias("S"),
         F.sum("c").alias("n"),
+        (F.sum(c * (F.col("rowtot") - 1).cast(DEC)) / 2).alias("xtie"),
+        (F.sum(c * (F.col("coltot") - 1).cast(DEC)) / 2).alias("ytie"),
     )
-    ta = cells.groupBy(group, "a").agg(F.sum("c").alias("t")).groupBy(group).agg(
-        F.sum(F.col("t").cast(DEC) * (F.col("t") - 1).cast(DEC) / 2).alias("xtie"))
-    tb = cells.groupBy(group, "b").agg(F.sum("c").alias("t")).groupBy(group).agg(
-        F.sum(F.col("t").cast(DEC) * (F.col("t") - 1).cast(DEC) / 2).alias("ytie"))
-    out = s.join(ta, group).join(tb, group)
     tot = F.col("n").cast(DEC) * (F.col("n") - 1).cast(DEC) / 2
     dx = (tot - F.col("xtie")).cast("double")
     dy = (tot - F.col("ytie")).cast("double")

@@ -22,12 +22,14 @@ def hash_key(key: str = "essay_id", seed: int = C.SAMPLE_SEED):
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
-def _take_smallest(df: DataFrame, k_of_size, stratum: str, key: str, seed: int) -> DataFrame:
-    """Keep the ``k_of_size(stratum size)`` rows with the smallest hash keys in every stratum.
+def _bucket_plan(df: DataFrame, k_of_size, stratum: str, key: str, seed: int) -> DataFrame:
+    """``(stratum, bucket, take)`` for the buckets that hold sampled rows.
 
-    The bucket-count table is the only aggregation over the input: stratum sizes are its sums.
+    ``take`` is null for a bucket kept whole and the number of rows to keep for the one boundary
+    bucket of a stratum. One aggregation over the key columns; stratum sizes are its sums.
+    At most 4,096 rows per stratum, so the plan is broadcast.
     """
-    h = df.select(key, stratum).withColumn("__h", hash_key(key, seed)).withColumn("__b", F.substring("__h", 1, PREFIX))
+    h = df.select(key, stratum).withColumn("__b", F.substring(hash_key(key, seed), 1, PREFIX))
     counts = h.groupBy(stratum, "__b").agg(F.count(F.lit(1)).alias("__c"))
     running = Window.partitionBy(stratum).orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(stratum)
@@ -37,33 +39,55 @@ def _take_smallest(df: DataFrame, k_of_size, stratum: str, key: str, seed: int)
         k_of_size(F.sum("__c").over(whole)).alias("__k"),
     )
     cum = cum.withColumn("__before", F.col("__cum") - F.col("__c"))
-    # full buckets: every row kept; boundary bucket: keep the first (k - before) rows
-    plan = cum.where(F.col("__before") < F.col("__k")).select(
+    return cum.where(F.col("__before") < F.col("__k")).select(
         stratum, "__b", F.when(F.col("__cum") <= F.col("__k"), F.lit(None)).otherwise(F.col("__k") - F.col("__before")).alias("__take"))
-    tagged = h.join(F.broadcast(plan), [stratum, "__b"])
+
+
+def _apply_plan(df: DataFrame, plan: DataFrame, stratum: str, key: str, seed: int) -> DataFrame:
+    """Rows of ``df`` selected by the plan: whole buckets pass through the broadcast join without a
+    shuffle; only boundary-bucket rows are ranked by ``(hash, key)``."""
+    tagged = df.withColumn("__h", hash_key(key, seed)).withColumn("__b", F.substring("__h", 1, PREFIX))
+    tagged = tagged.join(F.broadcast(plan), [stratum, "__b"])
     full = tagged.where(F.col("__take").isNull())
     edge = tagged.where(F.col("__take").isNotNull())
     rank = F.row_number().over(Window.partitionBy(stratum, "__b").orderBy("__h", key))
     edge = edge.withColumn("__r", rank).where(F.col("__r") <= F.col("__take")).drop("__r")
-    return full.unionByName(edge).select(key, stratum)
+    return full.unionByName(edge).select(*df.columns)
+
+
+def _frac_k(frac: float):
+    return lambda size: F.bround(F.lit(float(frac)) * size, 0).cast("bigint")
+
+
+def _n_k(n: int):
+    def k(size):
+        msg = F.concat(F.lit(f"stratum smaller than n={n}: size "), size.cast("string"))
+        return F.when(size >= n, F.lit(n).cast("bigint")).otherwise(F.raise_error(msg).cast("bigint"))
+    return k
 
 
 def sample_fraction(df: DataFrame, frac: float = C.SAMPLE_FRACTION, seed: int = C.SAMPLE_SEED,
                     stratum: str = "prompt_id", key: str = "essay_id") -> DataFrame:
     """``(key, stratum)`` of a stratified sample of exactly ``round_half_even(frac * n)`` rows per
-    stratum, without replacement, reproducible for a seed. Input rows must be unique by key.
-
-    The broadcast boundary table has at most 4,096 rows per stratum (strata are prompts)."""
-    return _take_smallest(df, lambda size: F.bround(F.lit(float(frac)) * size, 0).cast("bigint"), stratum, key, seed)
+    stratum, without replacement, reproducible for a seed. Input rows must be unique by key."""
+    ids = df.select(key, stratum)
+    return _apply_plan(ids, _bucket_plan(ids, _frac_k(frac), stratum, key, seed), stratum, key, seed)
 
 
 def sample_n(df: DataFrame, n: int = C.SAMPLE_N, seed: int = C.SAMPLE_SEED,
              stratum: str = "prompt_id", key: str = "essay_id") -> DataFrame:
     """Exactly ``n`` rows per stratum; a stratum with fewer rows is an error (raised in the job)."""
-    def k(size):
-        msg = F.concat(F.lit(f"stratum smaller than n={n}: size "), size.cast("string"))
-        return F.when(size >= n, F.lit(n).cast("bigint")).otherwise(F.raise_error(msg).cast("bigint"))
-    return _take_smallest(df, k, stratum, key, seed)
+    ids = df.select(key, stratum)
+    return _apply_plan(ids, _bucket_plan(ids, _n_k(n), stratum, key, seed), stratum, key, seed)
+
+
+def sample_rows(df: DataFrame, frac: float = C.SAMPLE_FRACTION, seed: int = C.SAMPLE_SEED,
+                stratum: str = "prompt_id", key: str = "essay_id") -> DataFrame:
+    """The sampled rows themselves (all columns), without joining ids back to the corpus.
+
+    Same rows as ``keep_sampled(df, sample_fraction(df))`` when keys are unique.
+    """
+    return _apply_plan(df, _bucket_plan(df, _frac_k(frac), stratum, key, seed), stratum, key, seed)
 
 
 def keep_sampled(df: DataFrame, sampled: DataFrame, key: str = "essay_id") -> DataFrame:

@@ -27,3 +27,53 @@ def test_flagship_plan(spark):
     assert "BroadcastHashJoin" in p
     scan = [line for line in p.splitlines() if "FileScan parquet" in line][0]
     assert "text" not in scan.split("ReadSchema:")[1]  # essay text is pruned at the scan
+
+
+def _prompt_only_windows_over_raw_rows(p: str):
+    """Window operators partitioned by prompt_id alone whose input is not an aggregate."""
+    lines = p.splitlines()
+    bad = []
+    for i, line in enumerate(lines):
+        s = line.strip().lstrip(":+- ").lstrip("*(0123456789) ")
+        if not s.startswith("Window ["):
+            continue
+        parts = s.split("], [")
+        if len(parts) < 2 or not parts[1].startswith("prompt_id#") or "," in parts[1].split("]")[0]:
+            continue
+        depth = len(line) - len(line.lstrip(" :+-|"))
+        for below in lines[i + 1:]:
+            if "HashAggregate" in below:
+                break
+            if "Scan" in below:
+                bad.append(s[:120])
+                break
+    return bad
+
+
+@pytest.mark.parametrize("name", sorted(set(ENTRY.queries()) - {"src_wholetext", "src_essays", "src_index_csv", "src_prompts",
+                                                               "sink_roundtrip", "infer_vanilla", "infer_two_turn"}))
+def test_no_window_by_prompt_over_rows(spark, name):
+    assert _prompt_only_windows_over_raw_rows(plan(ENTRY.queries()[name](spark, SF_SMALL))) == []
+
+
+def test_results_invariant_under_repartition(spark):
+    from quillspark.plans import evaluate as E
+    from quillspark.sources import fixtures as fx
+
+    comp = fx.completions(spark, SF_SMALL)
+    a = sorted(E.eval_mts_numeric(spark, comp).collect())
+    b = sorted(E.eval_mts_numeric(spark, comp.repartition(13, "trait_idx")).collect())
+    c = sorted(E.eval_mts_ordinal(spark, comp.repartition(3), agg_mode="std_wsum").collect())
+    d = sorted(E.eval_mts_ordinal(spark, comp.coalesce(1), agg_mode="std_wsum").collect())
+    assert a == b and c == d
+
+
+def test_window_check_detects_prompt_windows(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from quillspark.sources import fixtures as fx
+
+    raw = fx.essays(spark, SF_SMALL).withColumn("r", F.row_number().over(Window.partitionBy("prompt_id").orderBy("essay_id")))
+    assert _prompt_only_windows_over_raw_rows(plan(raw)) != []
+    sampled = ENTRY.queries()["sample_frac"](spark, SF_SMALL)
+    assert "Window" in plan(sampled) and _prompt_only_windows_over_raw_rows(plan(sampled)) == []

@@ -47,3 +47,11 @@ def test_hot_stratum(spark):
     got = {(r[0], r[1]) for r in SM.sample_fraction(df, 0.1).collect()}
     assert got == brute(rows, frac=0.1)
     assert sum(1 for _, p in got if p == 1) == 5000
+
+
+def test_sample_rows_equals_ids_semi_join(spark):
+    rows = [(i, 1 + (i * 13) % 4, f"text {i}") for i in range(12000)]
+    df = spark.createDataFrame(rows, "essay_id bigint, prompt_id int, essay string")
+    a = {tuple(r) for r in SM.sample_rows(df, 0.1).collect()}
+    b = {tuple(r) for r in SM.keep_sampled(df, SM.sample_fraction(df, 0.1)).collect()}
+    assert a == b and len(a) == 1200
