@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..sources.tables import bounded_broadcast, score_range
+from .quantiles import exact_quantiles
 
 
 def _clamp(x, lo, hi):
@@ -22,12 +23,12 @@ def _clamp(x, lo, hi):
 def score_stats(df: DataFrame, value: str = "score_agg", group: str = "prompt_id") -> DataFrame:
     """Exact quartiles (linear interpolation), IQR fences, raw min and max per group.
 
-    ``percentile`` keeps a value -> count map per group; trait means take few distinct values, so
-    the state stays small however many essays a prompt has.
+    Quartiles come from ``exact_quantiles`` (histogram + bucket refinement), so no task holds all
+    distinct values of a prompt, whatever its size.
     """
-    q = F.percentile(F.col(value), [0.25, 0.75])
-    stats = df.groupBy(group).agg(q.alias("__q"), F.min(value).alias("raw_min"), F.max(value).alias("raw_max"))
-    q1, q3 = F.col("__q")[0], F.col("__q")[1]
+    stats = exact_quantiles(df, group, value, [0.25, 0.75], names=["q1", "q3"], with_min_max=True)
+    stats = stats.withColumnRenamed("min", "raw_min").withColumnRenamed("max", "raw_max")
+    q1, q3 = F.col("q1"), F.col("q3")
     return stats.select(
         group,
         q1.alias("q1"),
@@ -71,15 +72,15 @@ def map_minmax(df: DataFrame, spark: SparkSession, domain: C.ScoreDomain = C.ASA
     """
     r = score_range(spark, domain)
     scoped = df.join(F.broadcast(r), group)
-    stats = score_stats(scoped, value, group)
     if clip:
+        stats = score_stats(scoped, value, group)
         stats = stats.select(
             group, "fence_lo", "fence_hi",
             _clamp(F.col("raw_min"), F.col("fence_lo"), F.col("fence_hi")).alias("s_lo"),
             _clamp(F.col("raw_max"), F.col("fence_lo"), F.col("fence_hi")).alias("s_hi"),
         )
     else:
-        stats = stats.select(group, F.col("raw_min").alias("s_lo"), F.col("raw_max").alias("s_hi"))
+        stats = scoped.groupBy(group).agg(F.min(value).alias("s_lo"), F.max(value).alias("s_hi"))
     d = scoped.join(bounded_broadcast(stats), group)
     x = F.col(value)
     if clip:

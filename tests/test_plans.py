@@ -23,7 +23,9 @@ def test_no_python_outside_inference(spark, name):
 def test_flagship_plan(spark):
     df = ENTRY.queries()["eval_mts_numeric"](spark, SF_SMALL)
     p = plan(df)
-    assert "Window" not in p
+    # windows only over histogram buckets or small aggregated tables, never prompt-wide over essays
+    assert _prompt_only_windows_over_raw_rows(p) == []
+    assert "percentile(" not in p  # exact quartiles come from the bucketed histogram
     assert "BroadcastHashJoin" in p
     scan = [line for line in p.splitlines() if "FileScan parquet" in line][0]
     assert "text" not in scan.split("ReadSchema:")[1]  # essay text is pruned at the scan
