@@ -30,35 +30,36 @@ def ordinal(c, labels=C.LEVEL_LABELS):
     return out
 
 
-def in_domain_pairs(df: DataFrame, spark: SparkSession, y1: str, y2: str, domain: C.ScoreDomain,
-                    group: str = "prompt_id") -> DataFrame:
-    """``(group, a, b)``: pairs whose both values are labels of the prompt's domain.
+def contingency(df: DataFrame, y1: str, y2: str, group: str = "prompt_id", labels=None) -> DataFrame:
+    """``(group, a, b, c)``: count of rows per value pair, rows with a null value left out.
 
-    Ordinal domains map labels to 0..L-1; numeric domains keep values in ``[s_min, s_max]``.
+    The one data-sized shuffle of the metrics (with map-side partial counts); kappa, tau-b and the
+    confusion counts are all computed from this table, whose size is bounded by the value domains.
+    ``labels`` maps ordinal labels to their 0-based positions first.
     """
-    if domain.labels is not None:
-        d = df.select(group, ordinal(y1, domain.labels).alias("a"), ordinal(y2, domain.labels).alias("b"))
-        return d.where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    r = bounded_broadcast(score_range(spark, domain))
-    d = df.select(group, F.col(y1).cast("bigint").alias("a"), F.col(y2).cast("bigint").alias("b")).join(r, group)
-    ok = F.col("a").between(F.col("s_min"), F.col("s_max")) & F.col("b").between(F.col("s_min"), F.col("s_max"))
-    return d.where(ok).select(group, "a", "b")
+    a = ordinal(y1, labels) if labels is not None else F.col(y1)
+    b = ordinal(y2, labels) if labels is not None else F.col(y2)
+    pairs = df.select(group, a.alias("a"), b.alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    return pairs.groupBy(group, "a", "b").agg(F.count(F.lit(1)).alias("c"))
 
 
 def confusion_counts(df: DataFrame, y1: str, y2: str, group: str = "prompt_id") -> DataFrame:
-    return df.groupBy(group, F.col(y1).alias("y1"), F.col(y2).alias("y2")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def qwk(df: DataFrame, spark: SparkSession, y1: str, y2: str, domain: C.ScoreDomain,
-        group: str = "prompt_id", digits: int = 3) -> DataFrame:
-    """``(group, n, qwk)`` per group present after the domain filter; qwk rounded half-even."""
-    p = in_domain_pairs(df, spark, y1, y2, domain, group)
-    a, b = F.col("a"), F.col("b")
-    sums = p.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(a).alias("sa"), F.sum(b).alias("sb"),
-        F.sum(a * a).alias("saa"), F.sum(b * b).alias("sbb"),
-        F.sum((a - b) * (a - b)).alias("sdd"),
+    return contingency(df, y1, y2, group).select(group, F.col("a").alias("y1"), F.col("b").alias("y2"), F.col("c").alias("n"))
+
+
+def qwk_from_cells(cells: DataFrame, spark: SparkSession, domain: C.ScoreDomain, group: str = "prompt_id",
+                   digits: int = 3) -> DataFrame:
+    """``(group, n, qwk)`` from a contingency table, over pairs whose both values are labels."""
+    if domain.labels is None:
+        r = bounded_broadcast(score_range(spark, domain))
+        cells = cells.join(r, group).where(
+            F.col("a").between(F.col("s_min"), F.col("s_max")) & F.col("b").between(F.col("s_min"), F.col("s_max")))
+    a, b, c = F.col("a").cast("bigint"), F.col("b").cast("bigint"), F.col("c")
+    sums = cells.groupBy(group).agg(
+        F.sum(c).alias("n"),
+        F.sum(c * a).alias("sa"), F.sum(c * b).alias("sb"),
+        F.sum(c * a * a).alias("saa"), F.sum(c * b * b).alias("sbb"),
+        F.sum(c * (a - b) * (a - b)).alias("sdd"),
     )
     n = F.col("n").cast(DEC)
     num = n * F.col("sdd").cast(DEC)
@@ -67,6 +68,12 @@ def qwk(df: DataFrame, spark: SparkSession, y1: str, y2: str, domain: C.ScoreDom
     return sums.select(group, "n", F.bround(kappa, digits).alias("qwk"))
 
 
+def qwk(df: DataFrame, spark: SparkSession, y1: str, y2: str, domain: C.ScoreDomain,
+        group: str = "prompt_id", digits: int = 3) -> DataFrame:
+    """``(group, n, qwk)`` per group present after the domain filter; qwk rounded half-even."""
+    return qwk_from_cells(contingency(df, y1, y2, group, domain.labels), spark, domain, group, digits)
+
+
 def macro_report(per_group: DataFrame, group: str = "prompt_id", metric: str = "qwk", digits: int = 3) -> DataFrame:
     """Per-group rows plus an ``average`` row: mean of the already rounded values, rounded again.
 
@@ -92,12 +99,15 @@ def kendall_tau_b(df: DataFrame, y1: str, y2: str, group: str = "prompt_id", dig
     distinct a-values x distinct b-values, computed with running-sum windows whose partitions are
     one grid column or row (at most the label-domain size); the same windows give the tie counts.
     """
-    pairs = df.select(group, F.col(y1).alias("a"), F.col(y2).alias("b")).where(
-        F.col("a").isNotNull() & F.col("b").isNotNull())
-    cells = pairs.groupBy(group, "a", "b").agg(F.count(F.lit(1)).alias("c"))
-    av = cells.select(group, "a").distinct()
-    bv = cells.select(group, "b").distinct()
-    grid = av.join(bv, group).join(cells, [group, "a", "b"], "left").fillna(0, subset=["c"])
+    return tau_from_cells(contingency(df, y1, y2, group), group, digits)
+
+
+def tau_from_cells(cells: DataFrame, group: str = "prompt_id", digits: int = 3) -> DataFrame:
+    """Tau-b from a contingency table ``(group, a, b, c)`` (see ``kendall_tau_b``)."""
+    # the group's distinct values (bounded by its value domain, not by rows), crossed by two explodes
+    values = cells.groupBy(group).agg(F.collect_set("a").alias("__as"), F.collect_set("b").alias("__bs"))
+    grid = values.select(group, F.explode("__as").alias("a"), "__bs").select(group, "a", F.explode("__bs").alias("b"))
+    grid = grid.join(cells, [group, "a", "b"], "left").fillna(0, subset=["c"])
     col = Window.partitionBy(group, "b")
     grid = grid.select(
         "*",
@@ -131,8 +141,9 @@ def kendall_tau_b(df: DataFrame, y1: str, y2: str, group: str = "prompt_id", dig
 def eval_report(df: DataFrame, spark: SparkSession, y1: str, y2: str, domain: C.ScoreDomain,
                 group: str = "prompt_id") -> DataFrame:
     """One row per prompt of the domain ``(prompt_id, qwk, kendall_tau)``; empty prompts get nulls."""
-    q = qwk(df, spark, y1, y2, domain, group).select(group, "qwk")
-    t = kendall_tau_b(df, y1, y2, group).select(group, "kendall_tau")
+    cells = contingency(df, y1, y2, group)
+    q = qwk_from_cells(cells, spark, domain, group).select(group, "qwk")
+    t = tau_from_cells(cells, group).select(group, "kendall_tau")
     prompts = score_range(spark, domain).select(group)
     return prompts.join(q, group, "left").join(t, group, "left")
 
