@@ -86,3 +86,25 @@ def read_prompt_files(spark: SparkSession, path: str, name_partition: str | None
     files = read_text_files(spark, path, name_partition=name_partition)
     pid = F.regexp_extract("file_name", r"^P(\d+)\.txt$", 1)
     return files.select(F.nullif(pid, F.lit("")).cast("int").alias("prompt_id"), F.col("text").alias("prompt"))
+
+
+TEMPLATE_VANILLA_SCHEMA = T.StructType([
+    T.StructField("prompt_id", T.IntegerType()),
+    T.StructField("prompt", T.StringType()),
+    T.StructField("msg_system", T.StringType()),
+    T.StructField("msg_user_instruction_template", T.StringType()),
+])
+
+TEMPLATE_MTS_SCHEMA = T.StructType(
+    [T.StructField("prompt_id", T.IntegerType()), T.StructField("prompt", T.StringType())]
+    + [T.StructField(c, T.StringType()) for c in ("msg_system_template", "msg_user_retrieval_template", "msg_user_score_template")]
+    + [T.StructField(f"{p}_{k}", T.StringType()) for p in ("trait", "description", "rubric") for k in (1, 2, 3, 4)]
+)
+
+
+def read_templates(spark: SparkSession, path: str, method: str = "mts", fmt: str = "csv") -> DataFrame:
+    """Scoring templates (one row per prompt) from CSV with header, or parquet."""
+    schema = TEMPLATE_MTS_SCHEMA if method == "mts" else TEMPLATE_VANILLA_SCHEMA
+    if fmt == "parquet":
+        return spark.read.parquet(path).select(*[f.name for f in schema.fields])
+    return read_delimited(spark, path, schema, header=True)
