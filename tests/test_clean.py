@@ -45,3 +45,18 @@ def test_punct_idempotent(spark):
     once = df.select(TX.collapse_punct("t").alias("t"))
     twice = once.select(TX.collapse_punct("t").alias("t"))
     assert once.collect() == twice.collect() == [("a... b? c!",)]
+
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+CLEAN_TOKENS = ["@PERSON1", "@CAPS22", "@MON3", "@DATE", " ", "  ", "\n", "\t", "...", ".", "....", "??", "?", "!!", "!",
+                "www.", "http://", "https://", "foo", "bar9", ".com", ".org", ".cn", ".net", "/x", "　", "a", "\\1", "$1"]
+
+
+@settings(max_examples=1, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(CLEAN_TOKENS), max_size=14).map("".join), min_size=300, max_size=300))
+def test_clean_matches_python_on_generated_text(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r["t"] for r in TX.clean_text(df, "t").orderBy("i").collect()]
+    assert got == [py_clean(t) for t in texts]

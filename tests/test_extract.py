@@ -68,3 +68,48 @@ TOKENS = ["Score: ", "score: ", "score of ", " out of ", "as a ", "at ", "<score
 def test_trait_matches_python_re(spark, texts):
     got = run(spark, texts, lambda d: TR.with_trait_score(d).select("i", "trait_score"))
     assert got == [py_trait(t) for t in texts]
+
+
+def py_fraction(msg, lo, hi):
+    """Overall-score semantics written out with Python ``re`` (brute-force reference)."""
+    if msg is None:
+        return None
+    m = re.search(C.FRACTION_PATTERN, msg)
+    if m:
+        nums = [float(x) for x in m.groups() if x is not None and re.match(r"\d+", x)]
+        if nums[1] == 0:
+            return None
+        pred = int(round(nums[0] / nums[1] * (hi - lo) + lo))
+        return pred if lo <= pred <= hi else None
+    m = re.search(C.ABSOLUTE_PATTERN, msg)
+    if m:
+        pred = int(round(float(re.search(r"\d+", m.group(0)).group(0))))
+        return pred if lo <= pred <= hi else None
+    return None
+
+
+def py_category(msg):
+    m = re.search(C.CATEGORY_PATTERN, msg) if msg is not None else None
+    return None if m is None else re.search(C.CATEGORY_WORD_PATTERN, m.group(0)).group(0).lower()
+
+
+FRACTION_TOKENS = ["Score:", "\n", " ", "7", "10", "3", "0", "12", "/", " out of ", "a score of ", ".", "5",
+                   "<score>", "</score>", "x", "2.5", "60"]
+CATEGORY_TOKENS = ["Score:", "score of", "as", "has", " ", "\n", '"', "low", "Low", "medium", "Medium", "high", "HIGH",
+                   "High", " score", "x"]
+
+
+@settings(max_examples=1, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 8), st.lists(st.sampled_from(FRACTION_TOKENS), max_size=10).map("".join)),
+                min_size=200, max_size=200))
+def test_fraction_matches_python_re(spark, cases):
+    df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(cases)], "i int, prompt_id int, msg_assistant string")
+    got = [r[0] for r in TR.with_fraction_score(df, spark).orderBy("i").select("score_pred").collect()]
+    assert got == [py_fraction(t, *C.ASAP_SCORE_RANGES[p]) for p, t in cases]
+
+
+@settings(max_examples=1, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(CATEGORY_TOKENS), max_size=8).map("".join), min_size=200, max_size=200))
+def test_category_matches_python_re(spark, texts):
+    got = run(spark, texts, lambda d: TR.with_category(d, src="completion"))
+    assert got == [py_category(t) for t in texts]
