@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .. import config as C
 from ..functions import templates as TP
 from ..sources.sinks import materialize
 
@@ -33,11 +32,14 @@ def length_stub_model() -> Callable[[np.ndarray], np.ndarray]:
 
 
 def batch_infer(df: DataFrame, prompt: str, out: str, make_predict_fn=length_stub_model,
-                batch_size: int = 8, num_partitions: int | None = None) -> DataFrame:
+                batch_size: int = 8, num_partitions: int | None = None, deterministic: bool = False) -> DataFrame:
     """Add ``out`` = model completion of ``prompt``; ``num_partitions`` rebalances rows first."""
     if num_partitions:
         df = df.repartition(num_partitions)
     udf = predict_batch_udf(make_predict_fn, return_type=T.StringType(), batch_size=batch_size)
+    if not deterministic:
+        # a sampled model answers differently on every call: Catalyst must neither duplicate nor move it
+        udf = udf.asNondeterministic()
     return df.withColumn(out, udf(F.col(prompt)))
 
 
