@@ -58,3 +58,25 @@ def test_report_from_saved_scores(spark):
     b = sorted(E.eval_mts_numeric(spark, comp).collect())
     assert a == b
     assert {"essay_id", "score_agg", "score_map", "score_pred"} <= set(spark.read.parquet(path).columns)
+
+
+def test_organize_proficiency_corpus_with_languages(spark):
+    from quillspark.plans.organize import organize_proficiency_corpus
+
+    e = fx.essays(spark, SF_SMALL)
+    files = e.select(F.concat(F.col("essay_id").cast("string"), F.lit(".txt")).alias("path"), "essay")
+    text_dir = SK.write_text_files(files, scratch_path(spark, "ess"), "path", "essay")
+    index = SK.write_delimited(fx.index_rows(spark, SF_SMALL), scratch_path(spark, "idx"))
+    langs = SK.write_delimited(fx.language_rows(spark, SF_SMALL), scratch_path(spark, "lang"), header=True)
+    d = organize_proficiency_corpus(spark, index, text_dir, languages=langs, name_partition="path", with_id=True)
+    assert set(d.columns) == {"path", "prompt_id", "proficiency_level", "essay", "language", "essay_id"}
+    rows = d.collect()
+    assert len(rows) == 200
+    assert sorted(r["essay_id"] for r in rows) == list(range(200))
+    by_path = {r["path"]: r for r in rows}
+    exp = {f"{r['essay_id']}.txt": r for r in e.collect()}
+    for p, r in by_path.items():
+        assert r["language"] == exp[p]["language"] and r["prompt_id"] == exp[p]["prompt_id"]
+        assert r["essay"] == exp[p]["essay"].strip()
+    ordered = sorted(by_path)
+    assert [by_path[p]["essay_id"] for p in ordered] == list(range(200))
