@@ -6,7 +6,6 @@ Every query reads the driver's tables (through the fixture adapters) in full.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from .. import config as C
 from ..operators import metrics as M

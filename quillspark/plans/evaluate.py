@@ -13,7 +13,6 @@ report ``(prompt_id STRING, n BIGINT, qwk DOUBLE)`` with a final ``average`` row
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .. import config as C
 from ..operators import metrics as M

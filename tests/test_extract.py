@@ -2,11 +2,8 @@
 
 import re
 
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillspark import config as C
 from quillspark.operators import traits as TR

@@ -1,6 +1,5 @@
 """Literal, sequential placeholder substitution and chat rendering."""
 
-from pyspark.sql import functions as F
 
 from quillspark.functions import templates as TP
 
