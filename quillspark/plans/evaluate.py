@@ -18,6 +18,7 @@ from .. import config as C
 from ..operators import metrics as M
 from ..operators import scaling as S
 from ..operators import traits as T
+from ..sources import sinks as SK
 
 
 def score_vanilla_numeric(spark: SparkSession, df: DataFrame, domain: C.ScoreDomain = C.ASAP,
@@ -50,10 +51,16 @@ def map_scores(spark: SparkSession, per_essay: DataFrame, domain: C.ScoreDomain,
     raise ValueError(f"unknown map_mode {map_mode!r}")
 
 
+def _written(spark: SparkSession, per_essay: DataFrame, materialize: bool) -> DataFrame:
+    """The per-essay scores are read twice (per-prompt statistics, then scaling). Writing this
+    small table (a few numbers per essay) once means the completions are scanned and parsed once."""
+    return SK.materialize(spark, per_essay, "per-essay-scores") if materialize else per_essay
+
+
 def score_mts_numeric(spark: SparkSession, long_df: DataFrame, domain: C.ScoreDomain = C.ASAP,
                       agg_mode: str = "mean", map_mode: str = "minmax", clip: bool = True,
-                      keys=("essay_id", "prompt_id", "score")) -> DataFrame:
-    per_essay = aggregate_traits(long_df, list(keys), agg_mode)
+                      keys=("essay_id", "prompt_id", "score"), materialize: bool = True) -> DataFrame:
+    per_essay = _written(spark, aggregate_traits(long_df, list(keys), agg_mode), materialize)
     mapped = map_scores(spark, per_essay, domain, map_mode, clip)
     return mapped.withColumn("score_pred", S.round_half_even_int("score_map"))
 
@@ -61,8 +68,8 @@ def score_mts_numeric(spark: SparkSession, long_df: DataFrame, domain: C.ScoreDo
 def score_mts_ordinal(spark: SparkSession, long_df: DataFrame, domain: C.ScoreDomain = C.TOEFL,
                       agg_mode: str = "mean", map_mode: str = "minmax", clip: bool = True,
                       keys=("essay_id", "prompt_id", "proficiency_level"),
-                      pattern: str = C.TRAIT_SCORE_PATTERN_ALT) -> DataFrame:
-    per_essay = aggregate_traits(long_df, list(keys), agg_mode, pattern=pattern)
+                      pattern: str = C.TRAIT_SCORE_PATTERN_ALT, materialize: bool = True) -> DataFrame:
+    per_essay = _written(spark, aggregate_traits(long_df, list(keys), agg_mode, pattern=pattern), materialize)
     mapped = map_scores(spark, per_essay, domain, map_mode, clip)
     return mapped.withColumn("proficiency_level_pred", S.bucket_level("score_map"))
 
