@@ -87,12 +87,7 @@ def dense_index(spark: SparkSession, df: DataFrame, order_by: str, out: str = "e
         bounds = sorted(set(sample[step::step]))
     else:
         bounds = []
-    if bounds:
-        arr = F.array(*[F.lit(b) for b in bounds])
-        bucket = F.size(F.filter(arr, lambda b: b <= key))
-    else:
-        bucket = F.lit(0)
-    b = df.withColumn("__bucket", bucket)
+    b = with_bucket(df, order_by, bounds, "__bucket")
     counts = b.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select(
         "__bucket",
@@ -104,6 +99,26 @@ def dense_index(spark: SparkSession, df: DataFrame, order_by: str, out: str = "e
         out, (F.col("__off") + F.col("__local")).cast("bigint")).drop("__bucket", "__local", "__off")
 
 
+def with_bucket(df: DataFrame, key: str, bounds, out: str, fan: int = 64) -> DataFrame:
+    """``out`` = number of sorted ``bounds`` <= ``key``, via a two-level index (~2 * fan comparisons
+    per row instead of one per bound).
+
+    Level 1 counts chunk heads <= key (every ``fan``-th bound); all chunks before the last such head
+    lie entirely below the key, so only that chunk is scanned at level 2. The level-1 count is bound
+    in its own projection before level 2 uses it.
+    """
+    if not bounds:
+        return df.withColumn(out, F.lit(0))
+    chunks = [bounds[i:i + fan] for i in range(0, len(bounds), fan)]
+    heads = F.array(*[F.lit(c[0]) for c in chunks])
+    table = F.array(*[F.array(*[F.lit(b) for b in ch]) for ch in chunks])
+    k = F.col(key)
+    d = df.withColumn("__lvl1", F.size(F.filter(heads, lambda b: b <= k)))
+    within = F.size(F.filter(F.element_at(table, F.greatest(F.col("__lvl1"), F.lit(1))), lambda b: b <= k))
+    d = d.withColumn(out, F.when(F.col("__lvl1") == 0, F.lit(0)).otherwise((F.col("__lvl1") - 1) * F.lit(fan) + within))
+    return d.drop("__lvl1")
+
+
 def attach_prompts(templates: DataFrame, prompts: DataFrame, key: str = "prompt_id") -> DataFrame:
     """Put the prompt text on each template row by prompt id (both sides: one row per prompt)."""
     t = templates.drop("prompt") if "prompt" in templates.columns else templates

@@ -80,3 +80,14 @@ def test_organize_proficiency_corpus_with_languages(spark):
         assert r["essay"] == exp[p]["essay"].strip()
     ordered = sorted(by_path)
     assert [by_path[p]["essay_id"] for p in ordered] == list(range(200))
+
+
+def test_two_level_bucket_index(spark):
+    import bisect
+    from quillspark.operators.dataset import with_bucket
+
+    bounds = sorted({f"k{(i * 37) % 1000:04d}" for i in range(700)})
+    keys = [f"k{i:04d}" for i in range(0, 1005, 3)] + ["a", "z"]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    got = [r["b"] for r in with_bucket(df, "k", bounds, "b", fan=16).collect()]
+    assert got == [bisect.bisect_right(bounds, k) for k in keys]
