@@ -3,9 +3,8 @@
 ``percentile`` keeps every distinct value of a group in one aggregation buffer. Here:
 
 1. a histogram ``(group, value, count)`` is built with map-side partial counts;
-2. ``percentile_approx`` over the distinct values (a bounded sketch) gives each group
-   ``n_buckets - 1`` cut points; a histogram row's bucket is ``#cuts < value``, so equal values
-   share a bucket and buckets hold similar numbers of distinct values;
+2. ``percentile_approx`` (a bounded sketch) gives each group ``n_buckets - 1`` cut points; a
+   histogram row's bucket is ``#cuts < value``, so equal values share a bucket;
 3. every distinct value gets its rank range from a running count inside its (group, bucket)
    partition; beside it, bucket totals (at most ``n_buckets`` rows per group) turn the wanted
    ranks ``lo = floor((n - 1) p)`` and ``lo + 1`` into (bucket, rank inside the bucket);
@@ -25,13 +24,17 @@ def exact_quantiles(df: DataFrame, group: str, value: str, probs, n_buckets: int
                     accuracy: int = 10000, names=None, with_min_max: bool = False) -> DataFrame:
     """``(group, n, q_0 .. q_k[, min, max])`` over the non-null ``value`` rows of each group."""
     names = names or [f"q_{i}" for i in range(len(probs))]
-    vals = df.select(group, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    # the group filter is stated here so that the histogram's plan is the same in both of its uses
+    # (the join below would otherwise infer it on one side only, and the shuffle would not be reused)
+    vals = df.select(group, F.col(value).cast("double").alias("__v")).where(
+        F.col("__v").isNotNull() & F.col(group).isNotNull())
     hist = vals.groupBy(group, "__v").agg(F.count(F.lit(1)).alias("__c"))
 
-    # per group: size and cut points over the distinct values (the unit of work below)
+    # per group: size, extremes and cut points, from the value column itself (a partial aggregation
+    # of a narrow scan), so the histogram shuffle has one consumer however the optimizer prunes meta
     cuts = [i / n_buckets for i in range(1, n_buckets)]
     sketch = F.percentile_approx("__v", cuts, accuracy) if cuts else F.array().cast("array<double>")
-    meta = hist.groupBy(group).agg(F.sum("__c").alias("__n"), sketch.alias("__cuts"),
+    meta = vals.groupBy(group).agg(F.count(F.lit(1)).alias("__n"), sketch.alias("__cuts"),
                                    F.min("__v").alias("__min"), F.max("__v").alias("__max"))
     hb = hist.join(F.broadcast(meta.select(group, "__cuts")), group).select(
         group, "__v", "__c", F.size(F.filter("__cuts", lambda c: c < F.col("__v"))).alias("__bk"))
