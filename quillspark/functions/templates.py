@@ -101,11 +101,17 @@ def render_inst_chat(messages) -> Column:
 
     The real string depends on the model's own chat template; pass another renderer where needed.
     """
-    def one(m):
-        return (
-            F.when(m["role"] == "user", F.concat(F.lit("[INST] "), m["content"], F.lit(" [/INST]")))
-            .when(m["role"] == "assistant", F.concat(m["content"], F.lit("</s>")))
-            .otherwise(F.concat(m["content"], F.lit("\n")))
-        )
-
-    return F.concat(F.lit("<s>"), F.array_join(F.transform(_as_col(messages), one), ""))
+    return F.concat(F.lit(CHAT_PREFIX), F.array_join(F.transform(_as_col(messages), lambda m: inst_piece(m["role"], m["content"])), ""))
+
+
+CHAT_PREFIX = "<s>"
+
+
+def inst_piece(role, content) -> Column:
+    """One message of the default chat format (user turns in [INST] tags, assistant turns closed)."""
+    role, content = _as_col(role), _as_col(content)
+    return (
+        F.when(role == "user", F.concat(F.lit("[INST] "), content, F.lit(" [/INST]")))
+        .when(role == "assistant", F.concat(content, F.lit("</s>")))
+        .otherwise(F.concat(content, F.lit("\n")))
+    )

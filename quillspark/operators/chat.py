@@ -18,3 +18,27 @@ def conversation_messages(turns: DataFrame, conv: str = "conv_id", turn: str = "
                                              F.col(text).alias("content")))).alias("__turns"))
     msgs = F.transform("__turns", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
     return gathered.select(conv, msgs.alias("messages"))
+
+
+def conversation_prompts(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
+                         text: str = "text", piece=None, prefix: str | None = None, chunk_turns: int = 256) -> DataFrame:
+    """``(conv, prompt)``: every conversation rendered to one prompt string, in turn order.
+
+    Each turn is rendered where it is; turns are joined into strings per chunk of ``chunk_turns``
+    (one task per chunk), and a conversation only gathers its few chunk strings. A conversation
+    with a huge number of turns is thus assembled by many tasks; only the final string, which is the
+    result itself, sits in one row.
+    """
+    from ..functions import templates as TP
+
+    piece = piece or TP.inst_piece
+    prefix = TP.CHAT_PREFIX if prefix is None else prefix
+    p = turns.select(conv, F.col(turn).alias("__t"), piece(role, text).alias("__p"),
+                     F.floor(F.col(turn) / F.lit(chunk_turns)).alias("__chunk"))
+
+    def ordered_join(order, value):
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))),
+                                        lambda x: x["v"]), "")
+
+    chunks = p.groupBy(conv, "__chunk").agg(ordered_join("__t", "__p").alias("__part"))
+    return chunks.groupBy(conv).agg(F.concat(F.lit(prefix), ordered_join("__chunk", "__part")).alias("prompt"))

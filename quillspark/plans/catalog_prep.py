@@ -311,10 +311,9 @@ def q_messages_single(spark, sf):
 @register("messages_multi", "select conv_id, '<s>' || string_agg(case role when 'user' then '[INST] ' || text || ' [/INST]' "
           "when 'assistant' then text || '</s>' else text || chr(10) end, '' order by turn) as prompt from conversations group by conv_id")
 def q_messages_multi(spark, sf):
-    from ..operators.chat import conversation_messages
+    from ..operators.chat import conversation_prompts
     from ..sources.tables import read_table
-    conv = conversation_messages(read_table(spark, sf, "conversations"))
-    return conv.select("conv_id", TP.render_inst_chat("messages").alias("prompt"))
+    return conversation_prompts(read_table(spark, sf, "conversations"))
 
 
 # ------------------------------------------------------------------ inference

@@ -29,3 +29,14 @@ def test_render_formats(spark):
     assert r[1] == "<s>[INST] <<SYS>>\nS\n<</SYS>>\n\nU [/INST] A </s></s>[INST] U2 [/INST]"
     assert r[2] == "[INST] <<SYS>>\nS\n<</SYS>>\n\nU [/INST]"
     assert r[3] == "<s>[INST] S\nU [/INST]A</s>[INST] U2 [/INST]"
+
+
+def test_conversation_prompt_chunks_equal_message_list(spark):
+    from quillspark.operators.chat import conversation_messages, conversation_prompts
+    from quillspark.sources.tables import read_table
+
+    turns = read_table(spark, "/root/testdata/sf0.01", "conversations")
+    a = {r[0]: r[1] for r in conversation_messages(turns).select("conv_id", TP.render_inst_chat("messages")).collect()}
+    b = {r[0]: r[1] for r in conversation_prompts(turns, chunk_turns=2).collect()}
+    c = {r[0]: r[1] for r in conversation_prompts(turns).collect()}
+    assert a == b == c and len(a) > 50
