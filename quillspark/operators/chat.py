@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 
 def conversation_messages(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
-                          text: str = "text") -> DataFrame:
+                          text: str = "text", chunk_turns: int = 256) -> DataFrame:
     """``(conv, turn, role, text)`` rows -> ``(conv, messages array<struct<role, content>>)`` in turn order.
 
-    One conversation becomes one model prompt, so its turns are necessarily gathered into one row;
-    the shuffle is by conversation id, and partial collection happens map-side.
+    Turns are ordered inside chunks of ``chunk_turns`` by many tasks; a conversation then only orders
+    and flattens its chunk arrays. The message list of one conversation is one row by definition.
     """
-    gathered = turns.groupBy(conv).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"),
-                                             F.col(text).alias("content")))).alias("__turns"))
+    msg = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("content"))
+    chunks = turns.select(conv, msg.alias("__m"), F.floor(F.col(turn) / F.lit(chunk_turns)).alias("__chunk"))
+    chunks = chunks.groupBy(conv, "__chunk").agg(F.array_sort(F.collect_list("__m")).alias("__ms"))
+    gathered = chunks.groupBy(conv).agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col("__chunk").alias("o"), F.col("__ms").alias("v")))),
+                              lambda x: x["v"])).alias("__turns"))
     msgs = F.transform("__turns", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
     return gathered.select(conv, msgs.alias("messages"))
 

@@ -40,3 +40,16 @@ def test_conversation_prompt_chunks_equal_message_list(spark):
     b = {r[0]: r[1] for r in conversation_prompts(turns, chunk_turns=2).collect()}
     c = {r[0]: r[1] for r in conversation_prompts(turns).collect()}
     assert a == b == c and len(a) > 50
+
+
+def test_conversation_messages_chunking_keeps_order(spark):
+    from quillspark.operators.chat import conversation_messages
+    from quillspark.sources.tables import read_table
+
+    turns = read_table(spark, "/root/testdata/sf0.01", "conversations")
+    a = {r[0]: [tuple(m) for m in r[1]] for r in conversation_messages(turns, chunk_turns=1).collect()}
+    b = {r[0]: [tuple(m) for m in r[1]] for r in conversation_messages(turns).collect()}
+    exp = {}
+    for r in sorted(turns.collect(), key=lambda r: (r["conv_id"], r["turn"])):
+        exp.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
+    assert a == b == exp
