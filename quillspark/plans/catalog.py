@@ -209,15 +209,15 @@ def q_trait_mean(spark, sf):
 @register("trait_std_wsum", O.with_fixtures("select essay_id, prompt_id, score_agg from a", "completions",
                                             ctes={**TRAIT_LONG, "w": _wide("essay_id, prompt_id"), **_wsum_ctes("w")}))
 def q_trait_std_wsum(spark, sf):
-    return E.aggregate_traits(fx.completions(spark, sf), ["essay_id", "prompt_id"], "std_wsum").select(
-        "essay_id", "prompt_id", "score_agg")
+    d = E.aggregate_traits(fx.completions(spark, sf), ["essay_id", "prompt_id"], "std_wsum", spark=spark, materialize=True)
+    return d.select("essay_id", "prompt_id", "score_agg")
 
 
 @register("iqr_fences", O.with_fixtures(
     "select prompt_id, q1, q3, lo as fence_lo, hi as fence_hi from st join fe using (prompt_id)", "completions",
     ctes={**_e2_scored_ctes()}))
 def q_iqr_fences(spark, sf):
-    per = E.aggregate_traits(fx.completions(spark, sf), ["essay_id", "prompt_id"], "mean")
+    per = E.aggregate_traits(fx.completions(spark, sf), ["essay_id", "prompt_id"], "mean", spark=spark, materialize=True)
     return S.score_stats(per).select("prompt_id", "q1", "q3", "fence_lo", "fence_hi")
 
 

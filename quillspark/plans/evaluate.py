@@ -31,10 +31,18 @@ def score_vanilla_ordinal(df: DataFrame, src: str = "msg_assistant") -> DataFram
 
 
 def aggregate_traits(long_df: DataFrame, keys, agg_mode: str = "mean", pattern: str = C.TRAIT_SCORE_PATTERN,
-                     src: str = "completion", group: str = "prompt_id") -> DataFrame:
-    """Long completions -> one row per essay with ``trait1..4`` and ``score_agg``."""
+                     src: str = "completion", group: str = "prompt_id", spark: SparkSession | None = None,
+                     materialize: bool = False) -> DataFrame:
+    """Long completions -> one row per essay with ``trait1..4`` and ``score_agg``.
+
+    With ``materialize`` the per-essay trait table (a few numbers per essay) is written once: every
+    later step (spread weights, per-prompt statistics, scaling) reads it, so the completions are
+    scanned and parsed once.
+    """
     scored = T.with_trait_score(long_df.select(*keys, "trait_idx", src), src=src, pattern=pattern)
     wide = T.wide_traits(scored, keys)
+    if materialize:
+        wide = SK.materialize(spark or long_df.sparkSession, wide, "per-essay-traits")
     if agg_mode == "mean":
         return T.trait_mean(wide)
     if agg_mode == "std_wsum":
@@ -51,16 +59,10 @@ def map_scores(spark: SparkSession, per_essay: DataFrame, domain: C.ScoreDomain,
     raise ValueError(f"unknown map_mode {map_mode!r}")
 
 
-def _written(spark: SparkSession, per_essay: DataFrame, materialize: bool) -> DataFrame:
-    """The per-essay scores are read twice (per-prompt statistics, then scaling). Writing this
-    small table (a few numbers per essay) once means the completions are scanned and parsed once."""
-    return SK.materialize(spark, per_essay, "per-essay-scores") if materialize else per_essay
-
-
 def score_mts_numeric(spark: SparkSession, long_df: DataFrame, domain: C.ScoreDomain = C.ASAP,
                       agg_mode: str = "mean", map_mode: str = "minmax", clip: bool = True,
                       keys=("essay_id", "prompt_id", "score"), materialize: bool = True) -> DataFrame:
-    per_essay = _written(spark, aggregate_traits(long_df, list(keys), agg_mode), materialize)
+    per_essay = aggregate_traits(long_df, list(keys), agg_mode, spark=spark, materialize=materialize)
     mapped = map_scores(spark, per_essay, domain, map_mode, clip)
     return mapped.withColumn("score_pred", S.round_half_even_int("score_map"))
 
@@ -69,7 +71,7 @@ def score_mts_ordinal(spark: SparkSession, long_df: DataFrame, domain: C.ScoreDo
                       agg_mode: str = "mean", map_mode: str = "minmax", clip: bool = True,
                       keys=("essay_id", "prompt_id", "proficiency_level"),
                       pattern: str = C.TRAIT_SCORE_PATTERN_ALT, materialize: bool = True) -> DataFrame:
-    per_essay = _written(spark, aggregate_traits(long_df, list(keys), agg_mode, pattern=pattern), materialize)
+    per_essay = aggregate_traits(long_df, list(keys), agg_mode, pattern=pattern, spark=spark, materialize=materialize)
     mapped = map_scores(spark, per_essay, domain, map_mode, clip)
     return mapped.withColumn("proficiency_level_pred", S.bucket_level("score_map"))
 
