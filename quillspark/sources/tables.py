@@ -33,7 +33,13 @@ def score_range(spark: SparkSession, domain: ScoreDomain = ASAP) -> DataFrame:
     Built on the driver from the configuration, so its size is known (one row per prompt) and it
     is always safe to broadcast.
     """
-    return local_table(spark, domain.range_rows(), ["prompt_id", "s_min", "s_max"])
+    key = (id(spark), spark.sparkContext.applicationId, domain.key())
+    if key not in _RANGES:
+        _RANGES[key] = local_table(spark, domain.range_rows(), ["prompt_id", "s_min", "s_max"])
+    return _RANGES[key]
+
+
+_RANGES: dict = {}
 
 
 def local_table(spark: SparkSession, rows, names) -> DataFrame:
