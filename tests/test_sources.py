@@ -91,3 +91,15 @@ def test_two_level_bucket_index(spark):
     df = spark.createDataFrame([(k,) for k in keys], "k string")
     got = [r["b"] for r in with_bucket(df, "k", bounds, "b", fan=16).collect()]
     assert got == [bisect.bisect_right(bounds, k) for k in keys]
+
+
+def test_balance_only_spreads_narrow_inputs(spark):
+    from quillspark.sources.tables import balance, read_table
+
+    cores = spark.sparkContext.defaultParallelism
+    narrow = read_table(spark, SF_SMALL, "documents")  # one row group -> one split
+    assert narrow.rdd.getNumPartitions() < cores
+    assert balance(narrow).rdd.getNumPartitions() == cores
+    wide = spark.range(0, 1000, numPartitions=cores * 3)
+    assert balance(wide).rdd.getNumPartitions() == cores * 3
+    assert sorted(balance(narrow).select("doc_id").collect()) == sorted(narrow.select("doc_id").collect())
