@@ -1,3 +1,10 @@
-"""quillspark: zero-shot text scoring at corpus scale on Spark DataFrames."""
+"""quillspark: zero-shot text scoring and corpus preparation on Spark DataFrames."""
 
-__version__ = "0.1.0"
+import sys
+
+from pyspark import cloudpickle
+
+__version__ = "0.2.0"
+
+# Functions that run in Python workers travel inside their tasks, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
