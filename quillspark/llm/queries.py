@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, license_scan, quality_rules, simhash
+from . import byte_bpe, chat_format, license_scan, line_dedup, quality_rules, simhash
 from .common import documents
 
 
@@ -17,6 +17,7 @@ QUERIES = {
     "op2_license_scans": license_scan.op2,
     "op5_byte_bpe": op5,
     "op7_simhash_near_dedup": simhash.op7,
+    "op8_line_dedup": line_dedup.op8,
     "op10_chat_formatting": chat_format.op10,
 }
 ORACLE = {"op10_chat_formatting": chat_format.SQL}
