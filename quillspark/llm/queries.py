@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, license_scan, line_dedup, quality_rules, simhash
+from . import byte_bpe, chat_format, license_scan, line_dedup, quality_rules, simhash, weak_labels
 from .common import documents
 
 
@@ -15,6 +15,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
     "op2_license_scans": license_scan.op2,
+    "op3_quality_classifier": weak_labels.op3,
     "op5_byte_bpe": op5,
     "op7_simhash_near_dedup": simhash.op7,
     "op8_line_dedup": line_dedup.op8,

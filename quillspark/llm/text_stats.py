@@ -40,15 +40,15 @@ def repeat_words(words: list[bytes]) -> int:
     return covered
 
 
-def count(text: bytes) -> tuple[int, ...]:
-    """The counts of COUNTS, in order."""
+def count(text: bytes, repeats: bool = True) -> tuple[int, ...]:
+    """The counts of COUNTS, in order; without ``repeats``, the dearest one, n_repeat_words, is 0."""
     n, words = len(text), text.split()
     without = lambda chars: n - len(text.translate(None, chars))
     lines = [line for line in text.split(b"\n") if line and not line.isspace()]
     distinct = set(words)
     bare = {w for w in distinct if w.translate(None, BARE) == w}
     return (
-        len(words), len(text.translate(None, NOT_CHARS)), without(SYMBOLS), len(lines), len(lines) - len(set(lines)), repeat_words(words),
+        len(words), len(text.translate(None, NOT_CHARS)), without(SYMBOLS), len(lines), len(lines) - len(set(lines)), repeat_words(words) if repeats else 0,
         len(distinct), without(UPPERCASE), without(DIGITS), without(MARKS), sum(map(bytes.__eq__, words, words[1:])),
         sum(map(bare.__contains__, words)) if bare else 0,
     )
