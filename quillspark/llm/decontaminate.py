@@ -145,9 +145,9 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without any benchmark window, with all their columns."""
     found, _ = search(docs.select("doc_id", "text"), benchmark)
-    bad = broadcast_rows(saved(found.select(F.col("did").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct(), "contaminated"))
+    bad = broadcast_rows(saved(found.select(F.col("did").alias("_dc_id"), F.col("text_hash").alias("_dc_hash")).distinct(), "contaminated"))
     did, text_hash = F.coalesce(docs.doc_id.cast("long"), F.lit(NO_ID)), F.xxhash64(docs.text)
-    return docs.join(bad, (did == F.col("bad_id")) & (text_hash == F.col("bad_hash")), "left_anti")
+    return docs.join(bad, (did == bad["_dc_id"]) & (text_hash == bad["_dc_hash"]), "left_anti")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -262,11 +262,12 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with the text of every row cut down to the lines that stay; all rows and columns are kept."""
-    gone = removed_lines(docs.select("doc_id", "text"), similarity).where("size(removed) > 0").select(F.col("doc_id").alias("gone_id"), "text_hash", "removed")
-    joined = docs.join(gone, docs.doc_id.cast("long").eqNullSafe(gone.gone_id) & (F.xxhash64(docs.text) == gone.text_hash), "left")
-    left = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("removed", i))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return joined.withColumn("text", text).select(*docs.columns)
+    found = removed_lines(docs.select("doc_id", "text"), similarity).where("size(removed) > 0")
+    gone = found.select(F.col("doc_id").alias("_ld_id"), F.col("text_hash").alias("_ld_hash"), F.col("removed").alias("_ld_removed"))
+    joined = docs.join(gone, docs.doc_id.cast("long").eqNullSafe(gone._ld_id) & (F.xxhash64(docs.text) == gone._ld_hash), "left")
+    left = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_ld_removed", i))
+    text = F.when(F.col("_ld_removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    return joined.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
