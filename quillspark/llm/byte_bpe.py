@@ -35,6 +35,12 @@ def byte_chars() -> list[str]:
     return [chr(b if b in visible else next(hidden)) for b in range(256)]
 
 
+def token_names(ranks: dict[bytes, int]) -> dict[str, int]:
+    """Each token's id by its printable name."""
+    chars = byte_chars()
+    return {"".join(chars[b] for b in t): r for t, r in ranks.items()}
+
+
 def tokenizer(ranks: dict[bytes, int]):
     """A ``tokenizers.Tokenizer`` that encodes one piece as the ranks say.
 
@@ -42,15 +48,15 @@ def tokenizer(ranks: dict[bytes, int]):
     """
     from tokenizers import Tokenizer, models, pre_tokenizers
 
-    chars = byte_chars()
-    name = {t: "".join(chars[b] for b in t) for t in ranks}
+    vocab = token_names(ranks)
+    name = dict(zip(ranks, vocab))
     merges = [
         (name[t[:i]], name[t[i:]])
         for t in sorted(ranks, key=ranks.__getitem__)
         for i in range(1, len(t))
         if t[:i] in ranks and t[i:] in ranks
     ]
-    out = Tokenizer(models.BPE(vocab={name[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
+    out = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True))
     out.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     return out
 
@@ -108,9 +114,9 @@ def encoder(path: str):
 def token_table(path: str) -> list[bytes]:
     """The bytes of each id, through the reversed byte table."""
     back = {c: b for b, c in enumerate(byte_chars())}
-    vocab = tokenizer(load_ranks(path)).get_vocab()
-    table = [b""] * (max(vocab.values()) + 1)
-    for name, i in vocab.items():
+    names = token_names(load_ranks(path))
+    table = [b""] * (max(names.values()) + 1)
+    for name, i in names.items():
         table[i] = bytes(back[c] for c in name)
     return table
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +44,16 @@ def broadcast_rows(df: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: Bytes of a batch that a function gets at once; one row may be larger.
+PART = 4 << 20
+
+
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows of about PART bytes, so that memory doesn't grow with the batch."""
+    step = max(1, int(batch.num_rows * min(1.0, PART / max(batch.nbytes, 1))))
+    return (batch.slice(i, step) for i in range(0, batch.num_rows, step))
+
+
 def by_batch(schema: str, make: Callable[[], Callable[[pa.RecordBatch], list]]) -> Callable:
     """A ``mapInArrow`` function: ``make()`` runs once per task and gives the function from a batch to result columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -52,7 +63,7 @@ def by_batch(schema: str, make: Callable[[], Callable[[pa.RecordBatch], list]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in chain.from_iterable(map(parts, batches)):
             columns = work(batch)
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
 
