@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, decontaminate, license_scan, line_dedup, ngram_lm, quality_rules, simhash, weak_labels
+from . import byte_bpe, chat_format, decontaminate, license_scan, line_dedup, ngram_lm, phrase_dedup, quality_rules, simhash, weak_labels
 from .common import documents
 
 
@@ -18,9 +18,10 @@ QUERIES = {
     "op3_quality_classifier": weak_labels.op3,
     "op4_benchmark_decontamination": decontaminate.op4,
     "op5_byte_bpe": op5,
+    "op6_substring_dedup": phrase_dedup.op6,
     "op7_simhash_near_dedup": simhash.op7,
     "op8_line_dedup": line_dedup.op8,
     "op9_lm_scoring": ngram_lm.op9,
     "op10_chat_formatting": chat_format.op10,
 }
-ORACLE = {"op4_benchmark_decontamination": decontaminate.SQL, "op10_chat_formatting": chat_format.SQL}
+ORACLE = {"op4_benchmark_decontamination": decontaminate.SQL, "op6_substring_dedup": phrase_dedup.SQL, "op10_chat_formatting": chat_format.SQL}
