@@ -108,15 +108,11 @@ class ScoreDomain:
 
     def key(self):
         """Hashable identity of the domain."""
-        return tuple(self.range_rows()), self.labels
-
-    def range_rows(self, prompt_ids=range(1, 9)):
-        rows = []
-        for pid in prompt_ids:
-            lo_hi = self.ranges.get(pid, self.default)
-            if lo_hi is not None:
-                rows.append((int(pid), int(lo_hi[0]), int(lo_hi[1])))
-        return rows
+        return tuple(self.range_rows()), self.default, self.labels
+
+    def range_rows(self):
+        """``(prompt_id, s_min, s_max)`` of the listed prompts."""
+        return [(int(pid), int(lo), int(hi)) for pid, (lo, hi) in self.ranges.items()]
 
 
 ASAP = ScoreDomain(ranges=dict(ASAP_SCORE_RANGES))

@@ -10,6 +10,8 @@ collapse a projection that would evaluate a regex twice).
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,8 +23,13 @@ def _match(c, pattern: str) -> Column:
     return F.regexp_extract(_col(c), UNICODE + pattern, 0)
 
 
+#: Decimal digits of all scripts, and the ASCII digit of each: Python reads both as numbers.
+DIGITS = [c for c in map(chr, range(128, 0x20000)) if unicodedata.category(c) == "Nd"]
+ASCII_DIGITS = "".join(str(unicodedata.digit(c)) for c in DIGITS)
+
+
 def _to_double(s: Column) -> Column:
-    return F.nullif(s, F.lit("")).try_cast("double")
+    return F.nullif(F.translate(s, "".join(DIGITS), ASCII_DIGITS), F.lit("")).try_cast("double")
 
 
 def first_number(c, pattern: str = C.TRAIT_SCORE_PATTERN) -> Column:

@@ -14,6 +14,14 @@ from .. import config as C
 
 UNICODE = "(?U)"
 
+#: The characters of Python's ``\\s``, spelled out: Java's class lacks U+001C..U+001F.
+SPACE_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in C.PY_WHITESPACE) + "]"
+
+
+def python_spaces(pattern: str) -> str:
+    return pattern.replace(r"\s", SPACE_CLASS)
+
+
 # The host-name run cannot be followed by its own characters ('.' is outside the class), so giving
 # characters back can never produce a match: a possessive run matches the same spans and spares
 # Java's backtracking at every letter of every word.
@@ -56,15 +64,15 @@ def mask_urls(c) -> Column:
 
 
 def collapse_ellipses(c) -> Column:
-    return _guarded(c, ["..."], lambda x: F.regexp_replace(x, UNICODE + C.ELLIPSIS_PATTERN, "..."))
+    return _guarded(c, ["..."], lambda x: F.regexp_replace(x, python_spaces(C.ELLIPSIS_PATTERN), "..."))
 
 
 def collapse_questions(c) -> Column:
-    return _guarded(c, ["??"], lambda x: F.regexp_replace(x, UNICODE + C.QUESTION_PATTERN, "?"))
+    return _guarded(c, ["??"], lambda x: F.regexp_replace(x, python_spaces(C.QUESTION_PATTERN), "?"))
 
 
 def collapse_exclaims(c) -> Column:
-    return _guarded(c, ["!!"], lambda x: F.regexp_replace(x, UNICODE + C.EXCLAIM_PATTERN, "!"))
+    return _guarded(c, ["!!"], lambda x: F.regexp_replace(x, python_spaces(C.EXCLAIM_PATTERN), "!"))
 
 
 def collapse_punct(c) -> Column:
@@ -74,18 +82,6 @@ def collapse_punct(c) -> Column:
 CLEAN_STEPS = (py_strip, mask_entities, mask_urls, collapse_ellipses, collapse_questions, collapse_exclaims)
 
 
-def clean_essay(c) -> Column:
-    """The whole chain, strip first, as one expression (for a single use on small data).
-
-    ``clean_text`` is the operator form: it binds each step in its own projection so that the
-    guarded steps do not re-evaluate their input.
-    """
-    x = _col(c)
-    for step in CLEAN_STEPS:
-        x = step(x)
-    return x
-
-
 def clean_text(df, src: str, out: str | None = None):
     """DataFrame operator: ``out`` (default: ``src``) = cleaned ``src``."""
     out = out or src

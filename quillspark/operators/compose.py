@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import templates as TP
+from ..sources.tables import broadcast_if_small
 from . import sampling as SM
 from .traits import pivot_traits
 
 
 def join_template(corpus: DataFrame, template: DataFrame, key: str = "prompt_id") -> DataFrame:
     """Corpus x template on prompt id. The template has one row per prompt (a bounded table)."""
-    return corpus.join(F.broadcast(template), key, "inner")
+    return corpus.join(broadcast_if_small(template), key, "inner")
 
 
 def unpivot_traits(template: DataFrame, n_traits: int = C.N_TRAITS) -> DataFrame:
@@ -30,33 +31,27 @@ def unpivot_traits(template: DataFrame, n_traits: int = C.N_TRAITS) -> DataFrame
     return template.selectExpr(*keep, f"stack({n_traits}, {args}) as (trait_idx, trait, description, rubric)")
 
 
-def sample_corpus(df: DataFrame, frac: float | None, seed: int, unique_keys: bool = True) -> DataFrame:
-    """Stratified test sample by prompt. With unique essay ids the sampled rows are selected in
-    place (no join back); otherwise ids are sampled over distinct keys and semi-joined."""
-    if frac is None:
-        return df
-    if unique_keys:
-        return SM.sample_rows(df, frac, seed)
-    ids = SM.sample_fraction(df.select("essay_id", "prompt_id").dropDuplicates(["essay_id"]), frac, seed)
-    return SM.keep_sampled(df, ids)
+def sample_corpus(df: DataFrame, frac: float | None, seed: int, unique_keys: bool = False) -> DataFrame:
+    """Stratified test sample by prompt over distinct essay ids; every row of a sampled id is kept, in one scan."""
+    return df if frac is None else SM.sample_rows(df, frac, seed, unique_keys=unique_keys)
 
 
 def compose_vanilla(corpus: DataFrame, template: DataFrame, frac: float | None = C.SAMPLE_FRACTION,
-                    seed: int = C.SAMPLE_SEED, unique_keys: bool = True) -> DataFrame:
+                    seed: int = C.SAMPLE_SEED, unique_keys: bool = False) -> DataFrame:
     """Sample (optional), join the template, fill the instruction (``@prompt``, ``@essay`` stripped)."""
     df = sample_corpus(join_template(corpus, template), frac, seed, unique_keys)
     return df.withColumn("msg_user_instruction", TP.instruction())
 
 
 def compose_mts(corpus: DataFrame, template: DataFrame, frac: float | None = C.SAMPLE_FRACTION,
-                seed: int = C.SAMPLE_SEED, unique_keys: bool = True) -> DataFrame:
+                seed: int = C.SAMPLE_SEED, unique_keys: bool = False) -> DataFrame:
     """Long ``(essay_id, prompt_id, trait_idx, ...)`` with ``msg_system``, ``msg_user_retrieval``,
     ``msg_user_score`` per trait."""
     if frac is not None:
-        in_domain = corpus.join(F.broadcast(template.select("prompt_id")), "prompt_id").select(*corpus.columns)
+        in_domain = corpus.join(broadcast_if_small(template.select("prompt_id")), "prompt_id", "left_semi")
         corpus = sample_corpus(in_domain, frac, seed, unique_keys)
     traits = unpivot_traits(template)
-    df = corpus.join(F.broadcast(traits), "prompt_id", "inner")
+    df = corpus.join(broadcast_if_small(traits), "prompt_id", "inner")
     return df.select(
         *corpus.columns,
         "trait_idx",
@@ -67,6 +62,18 @@ def compose_mts(corpus: DataFrame, template: DataFrame, frac: float | None = C.S
     )
 
 
+def from_wide(wide: DataFrame, columns, n_traits: int = C.N_TRAITS, names=None) -> DataFrame:
+    """``{column}_{k}`` for k = 1..n_traits -> rows ``(..., trait_idx, column)``: the inverse of ``to_wide``.
+
+    One ``stack`` over one scan. ``names`` renames the columns in the long table.
+    """
+    names = names or columns
+    gone = {f"{c}_{k}" for c in columns for k in range(1, n_traits + 1)}
+    keep = [f"`{c}`" for c in wide.columns if c not in gone]
+    args = ", ".join(", ".join([str(k), *(f"`{c}_{k}`" for c in columns)]) for k in range(1, n_traits + 1))
+    return wide.selectExpr(*keep, f"stack({n_traits}, {args}) as (trait_idx, {', '.join(names)})")
+
+
 def to_wide(long_df: DataFrame, keys, columns, n_traits: int = C.N_TRAITS) -> DataFrame:
     """Long per-trait columns -> ``{column}_{k}`` (for the written test set only)."""
     return pivot_traits(long_df, keys, columns, n_traits=n_traits)
@@ -75,5 +82,5 @@ def to_wide(long_df: DataFrame, keys, columns, n_traits: int = C.N_TRAITS) -> Da
 def ztest_report(spark: SparkSession, corpus: DataFrame, frac: float = C.SAMPLE_FRACTION, seed: int = C.SAMPLE_SEED):
     """Per prompt, compare the sampled essays' mean score with the corpus (separate report)."""
     from .metrics import sample_ztest
-    ids = SM.sample_fraction(corpus.select("essay_id", "prompt_id").dropDuplicates(["essay_id"]), frac, seed)
+    ids = SM.sample_fraction(corpus, frac, seed)
     return sample_ztest(corpus, SM.keep_sampled(corpus, ids))

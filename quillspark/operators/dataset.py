@@ -32,12 +32,13 @@ def weighted_rescore(df: DataFrame, prompt: int = C.RESCORED_PROMPT, group: str
 
 
 def canonical(df: DataFrame, clean: bool = True) -> DataFrame:
-    """``(essay_id, prompt_id, essay, score INT)``; the score is truncated to int."""
+    """``(essay_id, prompt_id, essay, score INT)``; the score is truncated to int, a missing one is an error."""
+    missing = F.raise_error(F.concat(F.lit("no score for essay "), F.coalesce(F.col("essay_id").cast("string"), F.lit("null"))))
     d = df.select(
         F.col("essay_id"),
         F.col("essay_set").cast("int").alias("prompt_id"),
         F.col("essay"),
-        F.col("domain1_score").cast("int").alias("score"),
+        F.coalesce(F.col("domain1_score").cast("int"), missing.cast("int")).alias("score"),
     )
     return clean_text(d, "essay") if clean else d
 
@@ -63,69 +64,42 @@ def join_on(left: DataFrame, right: DataFrame, left_key: str, right_key: str, ho
 
 
 def distinct_by(df: DataFrame, key: str = "essay_id", keep=("prompt_id",)) -> DataFrame:
-    """One row per key over the key columns only (the text is pruned before the shuffle)."""
-    return df.select(key, *keep).dropDuplicates([key])
+    """One row per key over the key columns only (the text is pruned before the shuffle): of several rows the one
+    whose ``keep`` columns are least, whatever the input order."""
+    first = df.groupBy(key).agg(F.min(F.struct(*keep)).alias("__first"))
+    return first.select(key, *[F.col(f"__first.{c}").alias(c) for c in keep])
 
 
 def dense_index(spark: SparkSession, df: DataFrame, order_by: str, out: str = "essay_id",
-                rows_per_bucket: int = 200_000) -> DataFrame:
-    """Exact 0-based row number by ``order_by`` without a single-partition window.
+                partitions: int | None = None) -> DataFrame:
+    """Exact 0-based row number by ``order_by`` (nulls first) without a single-partition window.
 
-    1. Bucket boundaries come from a bounded sample of the key (at most ~4k values reach the driver).
-    2. Row counts per bucket (a tiny table) give each bucket's offset.
-    3. Rows are numbered inside their bucket (a window per bucket) and shifted by the offset.
-    Ties in ``order_by`` are numbered in an arbitrary order.
+    Rows are dealt out by range and sorted in their partition, written once, and numbered by partition offset plus
+    place. Equal or null keys are told apart by their input place, so a hot key spreads over partitions as well; their
+    order among themselves is arbitrary. Number a narrow table (keys only) and join texts to it afterwards.
     """
-    n = df.count()
-    n_buckets = max(1, min(4096, -(-n // rows_per_bucket)))
-    key = F.col(order_by)
-    if n_buckets > 1:
-        frac = min(1.0, 40.0 * n_buckets / max(n, 1))
-        sample = [r[0] for r in df.select(order_by).sample(False, frac, seed=7).where(key.isNotNull()).collect()]
-        sample.sort()
-        step = max(1, len(sample) // n_buckets)
-        bounds = sorted(set(sample[step::step]))
-    else:
-        bounds = []
-    b = with_bucket(df, order_by, bounds, "__bucket")
-    counts = b.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.select(
-        "__bucket",
-        (F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))).alias("__off"),
-    ).fillna(0, subset=["__off"])
-    local = F.row_number().over(Window.partitionBy("__bucket").orderBy(key)) - 1
-    numbered = b.withColumn("__local", local)
-    return numbered.join(F.broadcast(offsets), "__bucket").withColumn(
-        out, (F.col("__off") + F.col("__local")).cast("bigint")).drop("__bucket", "__local", "__off")
-
-
-def with_bucket(df: DataFrame, key: str, bounds, out: str, fan: int = 64) -> DataFrame:
-    """``out`` = number of sorted ``bounds`` <= ``key``, via a two-level index (~2 * fan comparisons
-    per row instead of one per bound).
-
-    Level 1 counts chunk heads <= key (every ``fan``-th bound); all chunks before the last such head
-    lie entirely below the key, so only that chunk is scanned at level 2. The level-1 count is bound
-    in its own projection before level 2 uses it.
-    """
-    if not bounds:
-        return df.withColumn(out, F.lit(0))
-    chunks = [bounds[i:i + fan] for i in range(0, len(bounds), fan)]
-    heads = F.array(*[F.lit(c[0]) for c in chunks])
-    table = F.array(*[F.array(*[F.lit(b) for b in ch]) for ch in chunks])
-    k = F.col(key)
-    d = df.withColumn("__lvl1", F.size(F.filter(heads, lambda b: b <= k)))
-    within = F.size(F.filter(F.element_at(table, F.greatest(F.col("__lvl1"), F.lit(1))), lambda b: b <= k))
-    d = d.withColumn(out, F.when(F.col("__lvl1") == 0, F.lit(0)).otherwise((F.col("__lvl1") - 1) * F.lit(fan) + within))
-    return d.drop("__lvl1")
+    from ..sources.sinks import materialize
+
+    keys = (F.col(order_by), F.col("__place"))
+    placed = df.withColumn("__place", F.monotonically_increasing_id())
+    dealt = placed.repartitionByRange(partitions, *keys) if partitions else placed.repartitionByRange(*keys)
+    rows = dealt.sortWithinPartitions(*keys).withColumn("__row", F.monotonically_increasing_id())
+    rows = materialize(spark, rows.withColumn("__part", F.shiftright("__row", 33)).drop("__place"), "dense-index")
+    # one row per partition: a table as small as the number of tasks that wrote it
+    counts = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__row").alias("__first"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("__part", (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__shift"))
+    return rows.join(F.broadcast(offsets), "__part").withColumn(out, F.col("__row") + F.col("__shift")).drop("__part", "__row", "__shift")
 
 
 def attach_prompts(templates: DataFrame, prompts: DataFrame, key: str = "prompt_id") -> DataFrame:
     """Put the prompt text on each template row by prompt id (both sides: one row per prompt)."""
     t = templates.drop("prompt") if "prompt" in templates.columns else templates
-    return t.join(F.broadcast(prompts.select(key, "prompt")), key, "left")
+    from ..sources.tables import broadcast_if_small
+    return t.join(broadcast_if_small(prompts.select(key, "prompt")), key, "left")
 
 
 def with_score_range(spark: SparkSession, df: DataFrame, domain: C.ScoreDomain = C.ASAP) -> DataFrame:
-    """Attach ``s_min, s_max`` by prompt (broadcast of the per-prompt range table)."""
-    from ..sources.tables import score_range
-    return df.join(F.broadcast(score_range(spark, domain)), "prompt_id")
+    """Attach ``s_min, s_max`` by prompt; rows of prompts without a range keep nulls."""
+    from ..sources.tables import with_range
+    return with_range(df, spark, domain)

@@ -9,10 +9,11 @@ twice or a retried stage could recompute them differently.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,28 +44,82 @@ def batch_infer(df: DataFrame, prompt: str, out: str, make_predict_fn=length_stu
     return df.withColumn(out, udf(F.col(prompt)))
 
 
+def chat_single() -> Column:
+    """Message-list form of the single-turn prompt."""
+    return TP.render_inst_chat(TP.messages_single())
+
+
+def chat_retrieval() -> Column:
+    return TP.render_inst_chat(TP.messages_single("msg_system", "msg_user_retrieval"))
+
+
+def chat_two_turn() -> Column:
+    """Message-list form (user, assistant, user) of the scoring prompt."""
+    return TP.render_inst_chat(TP.messages_two_turn())
+
+
+@dataclass(frozen=True)
+class Renderer:
+    """How messages become prompts: single turn, first turn and scoring turn, as functions to a Column."""
+
+    single: Callable[[], Column]
+    retrieval: Callable[[], Column]
+    two_turn: Callable[[], Column]
+
+
+INST = Renderer(TP.render_single, TP.render_retrieval, TP.render_two_turn)
+CHAT = Renderer(chat_single, chat_retrieval, chat_two_turn)
+
+
+def _written(spark: SparkSession, df: DataFrame, out: str | None, name: str) -> DataFrame:
+    if out is None:
+        return materialize(spark, df, name)
+    df.write.mode("errorifexists").parquet(out)
+    return spark.read.parquet(out)
+
+
 def infer_vanilla(spark: SparkSession, df: DataFrame, make_predict_fn=length_stub_model, batch_size: int = 8,
-                  keep_output: bool = True, num_partitions: int | None = None) -> DataFrame:
-    """Render the single-turn prompt and complete it (``prompt`` is replaced by the rendered one)."""
-    d = df.withColumn("prompt", TP.render_single("msg_system", "msg_user_instruction"))
+                  keep_output: bool = True, num_partitions: int | None = None, renderer: Renderer = INST,
+                  out: str | None = None) -> DataFrame:
+    """Render the single-turn prompt and complete it: ``prompt`` (the rendered one) and ``msg_assistant`` beside the
+    columns that the model call doesn't need again. Written once, to ``out`` if given."""
+    sources = {"essay", "prompt", "msg_system", "msg_user_instruction", "msg_user_instruction_template"}
+    kept = [c for c in df.columns if c not in sources]
+    d = df.select(*kept, renderer.single().alias("prompt"))
     d = batch_infer(d, "prompt", "msg_assistant", make_predict_fn, batch_size, num_partitions)
-    return materialize(spark, d, "completions-vanilla") if keep_output else d
+    return _written(spark, d, out, "completions-vanilla") if keep_output else d
 
 
 def infer_two_turn(spark: SparkSession, long_df: DataFrame, make_predict_fn=length_stub_model, batch_size: int = 8,
-                   keep_output: bool = True, num_partitions: int | None = None) -> DataFrame:
+                   keep_output: bool = True, num_partitions: int | None = None, renderer: Renderer = INST,
+                   out: str | None = None) -> DataFrame:
     """Per ``(essay, trait)``: retrieval prompt -> reply -> two-turn scoring prompt -> reply.
 
-    The first replies are written out before the second turn reads them.
+    Both calls run in one pass: the first call is not repeatable, so Catalyst evaluates it once per row, and a retried
+    task makes both replies anew before anything is committed. Only keys and replies are written, once, to ``out`` if
+    given; prompts can be rendered again from the test set.
     """
-    d = long_df.withColumn("prompt_retrieval", TP.render_retrieval("msg_system", "msg_user_retrieval"))
-    d = batch_infer(d, "prompt_retrieval", "msg_assistant_retrieval", make_predict_fn, batch_size, num_partitions)
-    if keep_output:
-        d = materialize(spark, d, "completions-retrieval")
-    d = d.withColumn("prompt_score", TP.render_two_turn("msg_system", "msg_user_retrieval", "msg_assistant_retrieval",
-                                                        "msg_user_score"))
-    d = batch_infer(d, "prompt_score", "msg_assistant_score", make_predict_fn, batch_size)
-    return materialize(spark, d, "completions-score") if keep_output else d
+    messages = ["msg_system", "msg_user_retrieval", "msg_user_score"]
+    gone = {"essay", "trait", "prompt", *messages}
+    kept = [c for c in long_df.columns if c not in gone]
+    d = long_df.select(*kept, *messages, renderer.retrieval().alias("__retrieval"))
+    d = batch_infer(d, "__retrieval", "msg_assistant_retrieval", make_predict_fn, batch_size, num_partitions)
+    d = d.select(*kept, "msg_assistant_retrieval", renderer.two_turn().alias("__score"))
+    d = batch_infer(d, "__score", "msg_assistant_score", make_predict_fn, batch_size).drop("__score")
+    return _written(spark, d, out, "completions-score") if keep_output else d
+
+
+def infer_wide(spark: SparkSession, wide: DataFrame, make_predict_fn=length_stub_model, batch_size: int = 8,
+               renderer: Renderer = INST, n_traits: int = 4, num_partitions: int | None = None) -> DataFrame:
+    """Two-turn inference on a wide test set (``msg_system_{k}``, ``msg_user_retrieval_{k}``, ``msg_user_score_{k}``);
+    the result is wide too, with ``msg_assistant_retrieval_{k}`` and ``msg_assistant_score_{k}``."""
+    from .compose import from_wide, to_wide
+
+    messages = ["msg_system", "msg_user_retrieval", "msg_user_score"]
+    long = from_wide(wide, messages, n_traits)
+    done = infer_two_turn(spark, long, make_predict_fn, batch_size, True, num_partitions, renderer)
+    replies = ["msg_assistant_retrieval", "msg_assistant_score"]
+    return to_wide(done, [c for c in done.columns if c not in {"trait_idx", *replies}], replies, n_traits)
 
 
 def union_groups(frames) -> DataFrame:

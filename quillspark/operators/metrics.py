@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..sources.tables import bounded_broadcast, score_range
+from ..sources.tables import score_range, with_range
 
 DEC = "decimal(38,0)"
+#: Most distinct values of a side that tau-b's grid takes: labels or integer scores, not real numbers.
+MOST_LABELS = 1_000
 
 
 def ordinal(c, labels=C.LEVEL_LABELS):
@@ -31,7 +33,7 @@ def ordinal(c, labels=C.LEVEL_LABELS):
 
 
 def contingency(df: DataFrame, y1: str, y2: str, group: str = "prompt_id", labels=None) -> DataFrame:
-    """``(group, a, b, c)``: count of rows per value pair, rows with a null value left out.
+    """``(group, a, b, c)``: count of rows per value pair, rows with a null group or value left out.
 
     The one data-sized shuffle of the metrics (with map-side partial counts); kappa, tau-b and the
     confusion counts are all computed from this table, whose size is bounded by the value domains.
@@ -39,7 +41,8 @@ def contingency(df: DataFrame, y1: str, y2: str, group: str = "prompt_id", label
     """
     a = ordinal(y1, labels) if labels is not None else F.col(y1)
     b = ordinal(y2, labels) if labels is not None else F.col(y2)
-    pairs = df.select(group, a.alias("a"), b.alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    pairs = df.select(group, a.alias("a"), b.alias("b")).where(
+        F.col(group).isNotNull() & F.col("a").isNotNull() & F.col("b").isNotNull())
     return pairs.groupBy(group, "a", "b").agg(F.count(F.lit(1)).alias("c"))
 
 
@@ -51,8 +54,7 @@ def qwk_from_cells(cells: DataFrame, spark: SparkSession, domain: C.ScoreDomain,
                    digits: int = 3) -> DataFrame:
     """``(group, n, qwk)`` from a contingency table, over pairs whose both values are labels."""
     if domain.labels is None:
-        r = bounded_broadcast(score_range(spark, domain))
-        cells = cells.join(r, group).where(
+        cells = with_range(cells, spark, domain, group).where(
             F.col("a").between(F.col("s_min"), F.col("s_max")) & F.col("b").between(F.col("s_min"), F.col("s_max")))
     a, b, c = F.col("a").cast("bigint"), F.col("b").cast("bigint"), F.col("c")
     sums = cells.groupBy(group).agg(
@@ -106,6 +108,8 @@ def tau_from_cells(cells: DataFrame, group: str = "prompt_id", digits: int = 3)
     """Tau-b from a contingency table ``(group, a, b, c)`` (see ``kendall_tau_b``)."""
     # the group's distinct values (bounded by its value domain, not by rows), crossed by two explodes
     values = cells.groupBy(group).agg(F.collect_set("a").alias("__as"), F.collect_set("b").alias("__bs"))
+    many = F.raise_error(F.lit(f"tau-b is for label domains of at most {MOST_LABELS} values"))
+    values = values.withColumn("__as", F.when(F.greatest(F.size("__as"), F.size("__bs")) <= MOST_LABELS, F.col("__as")).otherwise(many.cast("array<int>")))
     grid = values.select(group, F.explode("__as").alias("a"), "__bs").select(group, "a", F.explode("__bs").alias("b"))
     grid = grid.join(cells, [group, "a", "b"], "left").fillna(0, subset=["c"])
     col = Window.partitionBy(group, "b")
@@ -140,17 +144,34 @@ def tau_from_cells(cells: DataFrame, group: str = "prompt_id", digits: int = 3)
 
 def eval_report(df: DataFrame, spark: SparkSession, y1: str, y2: str, domain: C.ScoreDomain,
                 group: str = "prompt_id") -> DataFrame:
-    """One row per prompt of the domain ``(prompt_id, qwk, kendall_tau)``; empty prompts get nulls."""
-    cells = contingency(df, y1, y2, group)
+    """``(prompt_id, qwk, kendall_tau)``: one row per listed prompt (empty ones get nulls), or per prompt present if the
+    domain lists none."""
+    return report_from_cells(contingency(df, y1, y2, group), spark, domain, group)
+
+
+def cells_of(counted: DataFrame, y1: str, y2: str, group: str = "prompt_id", labels=None, count: str = "c") -> DataFrame:
+    """``(group, a, b, c)`` from a table whose rows stand for ``count`` rows each (see ``contingency``)."""
+    a = ordinal(y1, labels) if labels is not None else F.col(y1)
+    b = ordinal(y2, labels) if labels is not None else F.col(y2)
+    pairs = counted.select(group, a.alias("a"), b.alias("b"), F.col(count).alias("c")).where(
+        F.col(group).isNotNull() & F.col("a").isNotNull() & F.col("b").isNotNull())
+    return pairs.groupBy(group, "a", "b").agg(F.sum("c").alias("c"))
+
+
+def report_from_cells(cells: DataFrame, spark: SparkSession, domain: C.ScoreDomain, group: str = "prompt_id") -> DataFrame:
+    """``eval_report`` from a contingency table."""
     q = qwk_from_cells(cells, spark, domain, group).select(group, "qwk")
     t = tau_from_cells(cells, group).select(group, "kendall_tau")
-    prompts = score_range(spark, domain).select(group)
+    prompts = score_range(spark, domain).select(group) if domain.ranges else cells.select(group).distinct()
     return prompts.join(q, group, "left").join(t, group, "left")
 
 
-def dropped_report(df: DataFrame, value: str, group: str = "prompt_id") -> DataFrame:
-    """Rows, kept rows (non-null ``value``) and dropped rows, per group and overall (``all``)."""
-    per = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), F.count(value).alias("n_kept"))
+def dropped_report(df: DataFrame, value: str, group: str = "prompt_id", count: str | None = None) -> DataFrame:
+    """Rows, kept rows (non-null ``value``) and dropped rows, per group and overall (``all``); rows of no group are left out.
+    ``count``: how many rows each row of ``df`` stands for."""
+    times = F.col(count) if count else F.lit(1).cast("bigint")
+    per = df.where(F.col(group).isNotNull()).groupBy(group).agg(
+        F.sum(times).alias("n_rows"), F.coalesce(F.sum(F.when(F.col(value).isNotNull(), times)), F.lit(0)).alias("n_kept"))
     r = per.rollup(group).agg(F.grouping_id().alias("__gid"), F.sum("n_rows").alias("n_rows"), F.sum("n_kept").alias("n_kept"))
     key = F.when(F.col("__gid") == 1, F.lit("all")).otherwise(F.col(group).cast("string"))
     return r.select(key.alias(group), F.col("n_rows").cast("bigint").alias("n_rows"), F.col("n_kept").cast("bigint").alias("n_kept"),

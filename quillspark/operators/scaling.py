@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..sources.tables import bounded_broadcast, score_range
+from ..sources.tables import with_range
 from .quantiles import exact_quantiles
 
 
@@ -20,13 +20,13 @@ def _clamp(x, lo, hi):
     return F.when(x < lo, lo).when(x > hi, hi).otherwise(x)
 
 
-def score_stats(df: DataFrame, value: str = "score_agg", group: str = "prompt_id") -> DataFrame:
+def score_stats(df: DataFrame, value: str = "score_agg", group: str = "prompt_id", count: str | None = None) -> DataFrame:
     """Exact quartiles (linear interpolation), IQR fences, raw min and max per group.
 
     Quartiles come from ``exact_quantiles`` (histogram + bucket refinement), so no task holds all
     distinct values of a prompt, whatever its size.
     """
-    stats = exact_quantiles(df, group, value, [0.25, 0.75], names=["q1", "q3"], with_min_max=True)
+    stats = exact_quantiles(df, group, value, [0.25, 0.75], names=["q1", "q3"], with_min_max=True, count=count)
     stats = stats.withColumnRenamed("min", "raw_min").withColumnRenamed("max", "raw_max")
     q1, q3 = F.col("q1"), F.col("q3")
     return stats.select(
@@ -58,30 +58,29 @@ def round_half_even_int(x):
 def map_standard(df: DataFrame, spark: SparkSession, domain: C.ScoreDomain = C.ASAP, value: str = "score_agg",
                  out: str = "score_map") -> DataFrame:
     """``x / 10 * (s_max - s_min) + s_min`` on the trait domain 0..10."""
-    r = bounded_broadcast(score_range(spark, domain))
     width = C.TRAIT_DOMAIN[1] - C.TRAIT_DOMAIN[0]
     mapped = (F.col(value) - F.lit(float(C.TRAIT_DOMAIN[0]))) / F.lit(float(width)) * (F.col("s_max") - F.col("s_min")) + F.col("s_min")
-    return df.join(r, "prompt_id").withColumn(out, mapped).drop("s_min", "s_max")
+    return with_range(df, spark, domain).withColumn(out, mapped).drop("s_min", "s_max")
 
 
 def map_minmax(df: DataFrame, spark: SparkSession, domain: C.ScoreDomain = C.ASAP, value: str = "score_agg",
-               out: str = "score_map", clip: bool = True, group: str = "prompt_id") -> DataFrame:
+               out: str = "score_map", clip: bool = True, group: str = "prompt_id", count: str | None = None) -> DataFrame:
     """Optional IQR clipping, then per-group min-max scaling to ``[s_min, s_max]``.
 
-    A group whose (clipped) scores are all equal gets null (0/0), as does a null score.
+    A group whose (clipped) scores are all equal gets null (0/0), as does a null score and a row whose
+    prompt has no range. No row is lost. ``count``: how many rows each row stands for.
     """
-    r = score_range(spark, domain)
-    scoped = df.join(F.broadcast(r), group)
+    scoped = with_range(df, spark, domain, group)
     if clip:
-        stats = score_stats(scoped, value, group)
+        stats = score_stats(scoped, value, group, count)
         stats = stats.select(
             group, "fence_lo", "fence_hi",
             _clamp(F.col("raw_min"), F.col("fence_lo"), F.col("fence_hi")).alias("s_lo"),
             _clamp(F.col("raw_max"), F.col("fence_lo"), F.col("fence_hi")).alias("s_hi"),
         )
     else:
-        stats = scoped.groupBy(group).agg(F.min(value).alias("s_lo"), F.max(value).alias("s_hi"))
-    d = scoped.join(bounded_broadcast(stats), group)
+        stats = scoped.where(F.col(group).isNotNull()).groupBy(group).agg(F.min(value).alias("s_lo"), F.max(value).alias("s_hi"))
+    d = scoped.join(stats, group, "left")  # one row per prompt; the planner broadcasts it if it is small
     x = F.col(value)
     if clip:
         x = _clamp(x, F.col("fence_lo"), F.col("fence_hi"))

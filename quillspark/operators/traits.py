@@ -6,12 +6,12 @@ long table is the per-essay aggregation (on ``essay_id``), after the essay text
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import extract as X
-from ..sources.tables import bounded_broadcast, score_range
+from ..sources.tables import with_range
 
 
 def with_trait_score(df: DataFrame, src: str = "completion", out: str = "trait_score",
@@ -29,12 +29,11 @@ def with_fraction_score(df: DataFrame, spark, src: str = "msg_assistant", out: s
     If a fraction matches, its value is final even when out of range; a zero denominator gives
     null. Otherwise the integer part of an absolute score is used. Result: nullable INT.
     """
-    r = bounded_broadcast(score_range(spark, domain))
     parts, absv, frac = f"__{out}_parts", f"__{out}_abs", f"__{out}_frac"
-    d = df.join(r, "prompt_id").withColumn(parts, X.fraction_parts(src))
+    d = with_range(df, spark, domain).withColumn(parts, X.fraction_parts(src))
     d = d.withColumn(absv, X.absolute_integer(src))
-    num = F.try_element_at(F.col(parts), F.lit(1)).try_cast("double")
-    den = F.try_element_at(F.col(parts), F.lit(2)).try_cast("double")
+    num = X._to_double(F.try_element_at(F.col(parts), F.lit(1)))
+    den = X._to_double(F.try_element_at(F.col(parts), F.lit(2)))
     scaled = F.try_add(F.try_multiply(F.try_divide(num, den), F.col("s_max") - F.col("s_min")), F.col("s_min"))
     d = d.withColumn(frac, F.bround(scaled, 0))
     lo, hi = F.col("s_min"), F.col("s_max")
@@ -47,8 +46,8 @@ def with_category(df: DataFrame, src: str = "msg_assistant", out: str = "profici
 
 
 def coverage(df: DataFrame, value: str, group: str = "prompt_id") -> DataFrame:
-    """Per group: rows, rows with a value, rows without."""
-    return df.groupBy(group).agg(
+    """Per group: rows, rows with a value, rows without. Rows of no group (null) are left out."""
+    return df.where(F.col(group).isNotNull()).groupBy(group).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count(value).alias("n_parsed"),
         (F.count(F.lit(1)) - F.count(value)).alias("n_missing"),
@@ -83,13 +82,25 @@ def trait_mean(wide: DataFrame, out: str = "score_agg", n_traits: int = C.N_TRAI
     return wide.withColumn(out, total / F.lit(float(n_traits)))
 
 
-def trait_std_weights(wide: DataFrame, group: str = "prompt_id", n_traits: int = C.N_TRAITS) -> DataFrame:
+def _std(x: str, count: str | None) -> Column:
+    """Sample standard deviation of ``x``; with ``count``, of rows that stand for several."""
+    if count is None:
+        return F.stddev_samp(x)
+    # scores have few decimals: sums of whole micro-units are exact, whatever the merge order
+    unit = F.round(F.col(x) * 1_000_000).cast("decimal(18,0)")
+    n = F.sum(F.when(F.col(x).isNotNull(), F.col(count))).cast("decimal(38,0)")
+    s, ss = F.sum(F.col(count) * unit).cast("decimal(38,0)"), F.sum(F.col(count) * unit * unit).cast("decimal(38,0)")
+    spread = (n * ss - s * s).cast("double") / (n.cast("double") * (n.cast("double") - 1))
+    return F.when(n > 1, F.sqrt(spread) / 1_000_000)
+
+
+def trait_std_weights(wide: DataFrame, group: str = "prompt_id", n_traits: int = C.N_TRAITS, count: str | None = None) -> DataFrame:
     """Per group ``w_k = std_k / sum_j std_j`` (sample std, nulls skipped), rounded to 12 places.
 
     Rounding removes last-digit noise from the order in which partial aggregates merge, so later
     bucket edges and half-even ties do not flip between runs.
     """
-    stds = wide.groupBy(group).agg(*[F.stddev_samp(f"trait{k}").alias(f"std{k}") for k in range(1, n_traits + 1)])
+    stds = wide.groupBy(group).agg(*[_std(f"trait{k}", count).alias(f"std{k}") for k in range(1, n_traits + 1)])
     total = F.col("std1")
     for k in range(2, n_traits + 1):
         total = total + F.col(f"std{k}")
@@ -100,11 +111,11 @@ def trait_std_weights(wide: DataFrame, group: str = "prompt_id", n_traits: int =
 
 
 def trait_std_wsum(wide: DataFrame, group: str = "prompt_id", out: str = "score_agg",
-                   n_traits: int = C.N_TRAITS) -> DataFrame:
+                   n_traits: int = C.N_TRAITS, count: str | None = None) -> DataFrame:
     """Spread-weighted sum of the traits (weights per group from ``trait_std_weights``)."""
-    w = bounded_broadcast(trait_std_weights(wide, group, n_traits))
+    w = trait_std_weights(wide, group, n_traits, count)  # one row per group; the planner broadcasts it if it is small
     total = F.col("w1") * F.col("trait1")
     for k in range(2, n_traits + 1):
         total = total + F.col(f"w{k}") * F.col(f"trait{k}")
-    d = wide.join(w, group)
+    d = wide.join(w, group, "left")
     return d.withColumn(out, total).drop(*[f"w{k}" for k in range(1, n_traits + 1)])

@@ -7,6 +7,8 @@ Every query reads the driver's tables (through the fixture adapters) in full.
 from __future__ import annotations
 
 
+from pyspark.sql import functions as F
+
 from .. import config as C
 from ..operators import metrics as M
 from ..operators import scaling as S
@@ -259,15 +261,15 @@ def q_bucket_level(spark, sf):
     "select prompt_id, score as y1, score_pred as y2, count(*) as n from p where score_pred is not null group by all",
     "completions", ctes=_e2_scored_ctes()))
 def q_confusion_matrix(spark, sf):
-    scored = E.score_mts_numeric(spark, fx.completions(spark, sf)).dropna(subset=["score_pred"])
-    return M.confusion_counts(scored, "score", "score_pred")
+    cells = M.cells_of(E.mts_numeric_cells(spark, fx.completions(spark, sf)), "score", "score_pred")
+    return cells.select("prompt_id", F.col("a").alias("y1"), F.col("b").alias("y2"), F.col("c").alias("n"))
 
 
 @register("qwk_numeric", O.with_fixtures("select * from per", "completions", ctes={
     **_e2_scored_ctes(), "pairs": _numeric_pairs("p", "score", "score_pred"), "per": O.qwk_from_pairs("pairs")}))
 def q_qwk_numeric(spark, sf):
-    scored = E.score_mts_numeric(spark, fx.completions(spark, sf)).dropna(subset=["score_pred"])
-    return M.qwk(scored, spark, "score", "score_pred", C.ASAP)
+    cells = M.cells_of(E.mts_numeric_cells(spark, fx.completions(spark, sf)), "score", "score_pred")
+    return M.qwk_from_cells(cells, spark, C.ASAP)
 
 
 @register("qwk_ordinal", O.with_fixtures("select * from per", "vanilla", ctes={
@@ -294,8 +296,7 @@ KENDALL_BRUTE = {
 @register("kendall_tau", O.with_fixtures("select prompt_id, n, kendall_tau from kt", "completions",
                                          ctes={**_e2_scored_ctes(), **KENDALL_BRUTE}))
 def q_kendall_tau(spark, sf):
-    scored = E.score_mts_numeric(spark, fx.completions(spark, sf)).dropna(subset=["score_pred"])
-    return M.kendall_tau_b(scored, "score", "score_pred")
+    return M.tau_from_cells(M.cells_of(E.mts_numeric_cells(spark, fx.completions(spark, sf)), "score", "score_pred"))
 
 
 @register("eval_report", O.with_fixtures(
@@ -303,8 +304,8 @@ def q_kendall_tau(spark, sf):
     "completions", ctes={**_e2_scored_ctes(), "pairs": _numeric_pairs("p", "score", "score_pred"),
                          "per": O.qwk_from_pairs("pairs"), **KENDALL_BRUTE}))
 def q_eval_report(spark, sf):
-    scored = E.score_mts_numeric(spark, fx.completions(spark, sf)).dropna(subset=["score_pred"])
-    return M.eval_report(scored, spark, "score", "score_pred", C.ASAP)
+    cells = M.cells_of(E.mts_numeric_cells(spark, fx.completions(spark, sf)), "score", "score_pred")
+    return M.report_from_cells(cells, spark, C.ASAP)
 
 
 @register("dropped_report", O.with_fixtures(
@@ -313,4 +314,4 @@ def q_eval_report(spark, sf):
     "union all select 'all', count(*), count(score_pred), count(*) - count(score_pred) from p",
     "completions", ctes=_e2_scored_ctes()))
 def q_dropped_report(spark, sf):
-    return M.dropped_report(E.score_mts_numeric(spark, fx.completions(spark, sf)), "score_pred")
+    return M.dropped_report(E.mts_numeric_cells(spark, fx.completions(spark, sf)), "score_pred", count="c")

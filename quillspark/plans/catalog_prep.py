@@ -97,7 +97,7 @@ def q_parse_prompt_id(spark, sf):
 @register("dense_row_id", WF("select path, cast(row_number() over (order by path) - 1 as bigint) as essay_id from index_rows",
                              "index_rows"))
 def q_dense_row_id(spark, sf):
-    return DS.dense_index(spark, fx.index_rows(spark, sf).select("path"), "path", "essay_id", rows_per_bucket=100)
+    return DS.dense_index(spark, fx.index_rows(spark, sf).select("path"), "path", "essay_id")
 
 
 PROMPTS_SQL = ("select cast(1 + item_id % 8 as int) as prompt_id, " + O.py_strip_sql("arg_min(text, item_id)")
@@ -367,7 +367,7 @@ def q_union_groups(spark, sf):
 @register("src_essays", WF("select * from raw_ratings", "raw_ratings"))
 def q_src_essays(spark, sf):
     path = SK.write_delimited(fx.raw_ratings(spark, sf), scratch_path(spark, "rated-tsv"), sep="\t", header=True)
-    return FL.read_rated_corpus(spark, path)
+    return FL.read_rated_corpus(spark, path, multi_line=True)
 
 
 @register("src_index_csv", WF("select * from index_rows", "index_rows"))

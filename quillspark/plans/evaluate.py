@@ -13,6 +13,7 @@ report ``(prompt_id STRING, n BIGINT, qwk DOUBLE)`` with a final ``average`` row
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import config as C
 from ..operators import metrics as M
@@ -59,6 +60,42 @@ def map_scores(spark: SparkSession, per_essay: DataFrame, domain: C.ScoreDomain,
     raise ValueError(f"unknown map_mode {map_mode!r}")
 
 
+def mts_cells(spark: SparkSession, long_df: DataFrame, y1: str, domain: C.ScoreDomain, agg_mode: str = "mean",
+              map_mode: str = "minmax", clip: bool = True, pattern: str = C.TRAIT_SCORE_PATTERN) -> DataFrame:
+    """``(prompt_id, y1, score_map, c)``: how many essays have each human score and mapped score.
+
+    All reports are functions of these cells. Behind the one shuffle by essay the essays are counted by the values that
+    scaling reads (prompt, human score, aggregate or traits); spread weights, quartiles, extremes and the map itself
+    then work on the cells, which are written once.
+    """
+    keys = ["essay_id", "prompt_id", y1]
+    scored = T.with_trait_score(long_df.select(*keys, "trait_idx", "completion"), pattern=pattern)
+    wide = T.wide_traits(scored, keys)
+    if agg_mode == "mean":
+        cells = T.trait_mean(wide).groupBy("prompt_id", y1, "score_agg").agg(F.count(F.lit(1)).alias("c"))
+    elif agg_mode == "std_wsum":
+        cells = wide.groupBy("prompt_id", y1, *[f"trait{k}" for k in range(1, C.N_TRAITS + 1)]).agg(F.count(F.lit(1)).alias("c"))
+    else:
+        raise ValueError(f"unknown agg_mode {agg_mode!r}")
+    cells = SK.materialize(spark, cells, "cells")
+    if agg_mode == "std_wsum":
+        cells = T.trait_std_wsum(cells, count="c")
+    if map_mode == "minmax":
+        return S.map_minmax(cells, spark, domain, clip=clip, count="c")
+    return map_scores(spark, cells, domain, map_mode)
+
+
+def mts_numeric_cells(spark: SparkSession, long_df: DataFrame, domain: C.ScoreDomain = C.ASAP, **kw) -> DataFrame:
+    cells = mts_cells(spark, long_df, "score", domain, **kw)
+    return cells.select("prompt_id", "score", S.round_half_even_int("score_map").alias("score_pred"), "c")
+
+
+def mts_ordinal_cells(spark: SparkSession, long_df: DataFrame, domain: C.ScoreDomain = C.TOEFL,
+                      pattern: str = C.TRAIT_SCORE_PATTERN_ALT, **kw) -> DataFrame:
+    cells = mts_cells(spark, long_df, "proficiency_level", domain, pattern=pattern, **kw)
+    return cells.select("prompt_id", "proficiency_level", S.bucket_level("score_map").alias("proficiency_level_pred"), "c")
+
+
 def score_mts_numeric(spark: SparkSession, long_df: DataFrame, domain: C.ScoreDomain = C.ASAP,
                       agg_mode: str = "mean", map_mode: str = "minmax", clip: bool = True,
                       keys=("essay_id", "prompt_id", "score"), materialize: bool = True) -> DataFrame:
@@ -97,7 +134,11 @@ def eval_vanilla_numeric(spark: SparkSession, df: DataFrame, domain: C.ScoreDoma
 
 def eval_mts_numeric(spark: SparkSession, long_df: DataFrame, domain: C.ScoreDomain = C.ASAP,
                      save_to: str | None = None, **kw) -> DataFrame:
-    return kappa_report(spark, score_mts_numeric(spark, long_df, domain, **kw), "score", "score_pred", domain, save_to)
+    """With ``save_to`` the scored essays are written there; without, the report needs no essay-sized table."""
+    if save_to:
+        return kappa_report(spark, score_mts_numeric(spark, long_df, domain, **kw), "score", "score_pred", domain, save_to)
+    cells = M.cells_of(mts_numeric_cells(spark, long_df, domain, **kw), "score", "score_pred", labels=domain.labels)
+    return M.macro_report(M.qwk_from_cells(cells, spark, domain))
 
 
 def eval_vanilla_ordinal(spark: SparkSession, df: DataFrame, domain: C.ScoreDomain = C.TOEFL,
@@ -108,5 +149,9 @@ def eval_vanilla_ordinal(spark: SparkSession, df: DataFrame, domain: C.ScoreDoma
 
 def eval_mts_ordinal(spark: SparkSession, long_df: DataFrame, domain: C.ScoreDomain = C.TOEFL,
                      save_to: str | None = None, **kw) -> DataFrame:
-    scored = score_mts_ordinal(spark, long_df, domain, **kw)
-    return kappa_report(spark, scored, "proficiency_level", "proficiency_level_pred", domain, save_to)
+    if save_to:
+        scored = score_mts_ordinal(spark, long_df, domain, **kw)
+        return kappa_report(spark, scored, "proficiency_level", "proficiency_level_pred", domain, save_to)
+    counted = mts_ordinal_cells(spark, long_df, domain, **kw)
+    cells = M.cells_of(counted, "proficiency_level", "proficiency_level_pred", labels=domain.labels)
+    return M.macro_report(M.qwk_from_cells(cells, spark, domain))

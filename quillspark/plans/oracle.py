@@ -92,7 +92,21 @@ select concat(cast(essay_id as string), '.txt') as path, concat('P', cast(prompt
 from essays""",
 }
 
+FIXTURES["essays_any"] = """
+select doc_id as essay_id, cast(nullif(1 + doc_id % 13, 13) as int) as prompt_id, n_chars, cast(n_chars % 5 as int) as score,
+  case when n_chars % 11 < 4 then 'low' when n_chars % 11 < 8 then 'medium' else 'high' end as proficiency_level
+from documents"""
+FIXTURES["completions_any"] = FIXTURES["completions"].replace("from essays e", "from essays_any e")
+FIXTURES["vanilla_any"] = FIXTURES["vanilla"].replace("from essays e", "from essays_any e")
+FIXTURES["long_completions"] = """
+select e.essay_id, e.prompt_id, concat(e.essay, ' I give a score of ', cast(e.n_chars % 11 as string), '/10. ', e.essay) as completion,
+  concat(e.essay, ' ', v.msg_assistant, ' ', e.essay) as msg_assistant
+from essays e join vanilla v using (essay_id)"""
+
 DEPENDS = {
+    "completions_any": ["essays_any"],
+    "vanilla_any": ["essays_any"],
+    "long_completions": ["essays", "vanilla"],
     "essays": ["score_range"],
     "completions": ["essays"],
     "vanilla": ["essays"],

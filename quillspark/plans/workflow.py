@@ -43,12 +43,9 @@ def infer_step(spark: SparkSession, test_set: DataFrame, out: str, method: str =
                make_predict_fn=INF.length_stub_model, batch_size: int = 8, num_partitions: int | None = None) -> DataFrame:
     """Completions for every test row, written to ``out``."""
     if method == "mts":
-        done = INF.infer_two_turn(spark, test_set, make_predict_fn, batch_size, num_partitions=num_partitions)
-        done = done.withColumnRenamed("msg_assistant_score", "completion")
-    else:
-        done = INF.infer_vanilla(spark, test_set, make_predict_fn, batch_size, num_partitions=num_partitions)
-    done.write.mode("errorifexists").parquet(out)
-    return spark.read.parquet(out)
+        done = INF.infer_two_turn(spark, test_set, make_predict_fn, batch_size, num_partitions=num_partitions, out=out)
+        return done.withColumnRenamed("msg_assistant_score", "completion")
+    return INF.infer_vanilla(spark, test_set, make_predict_fn, batch_size, num_partitions=num_partitions, out=out)
 
 
 def evaluate_step(spark: SparkSession, completions: DataFrame, scored_out: str, method: str = "mts",

@@ -34,8 +34,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment and must be a shared file system. Only when it is
-    unset (tests, a laptop) is a fresh local folder created and registered.
+    On a cluster this is set by the deployment and must be a shared file system; without it this is an error. Only on a
+    local master (tests, a laptop) is a fresh local folder made and registered.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -43,6 +43,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     root = sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="quill-ckpt-")
     sc.setCheckpointDir(root)
     return sc.getCheckpointDir() or root

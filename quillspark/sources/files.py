@@ -1,11 +1,17 @@
-"""File sources: delimited text with declared schemas, and one-document-per-file text.
+"""File sources: delimited text with declared columns, and one-document-per-file text.
 
-No schema inference: every reader declares its ``StructType``. Whole-text files are read in bulk
-by ``spark.read.text(wholetext=True)`` and keyed by file name, never opened per row.
+No schema inference. A file with a header is read by column name: its columns may stand in any order, and columns that
+are not asked for are left out; a missing column is an error, and so is a value that doesn't fit its declared type.
+Whole-text files are read in bulk by ``spark.read.text(wholetext=True)`` and keyed by file name, never opened per row.
+
+Delimited files are split by lines, so that a large file is read by many tasks; ``multi_line`` allows line breaks inside
+quoted fields, at the price of one task per file.
 """
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +21,7 @@ from ..functions.text import py_strip
 # Options that make CSV/TSV round-trip arbitrary text (quotes, newlines, outer spaces). On read, an
 # unquoted empty field is null and a quoted empty field ("") is the empty string: the null marker is
 # moved off the empty string to a control character that text fields do not hold.
-TEXT_SAFE = {"quote": '"', "escape": '"', "multiLine": "true", "nullValue": "\u0001"}
+TEXT_SAFE = {"quote": '"', "escape": '"', "nullValue": "\u0001"}
 TEXT_SAFE_WRITE = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 RATED_CORPUS_SCHEMA = T.StructType(
@@ -37,34 +43,65 @@ INDEX_SCHEMA = T.StructType([
 LANGUAGE_SCHEMA = T.StructType([
     T.StructField("Filename", T.StringType()),
     T.StructField("Language", T.StringType()),
-    T.StructField("Split", T.StringType()),
 ])
 
 
-def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", header: bool = False) -> DataFrame:
-    return (
-        spark.read.schema(schema)
-        .options(**TEXT_SAFE)
-        .option("sep", sep)
-        .option("header", str(header).lower())
-        .option("mode", "FAILFAST")
-        .csv(path)
-    )
+def _typed(name: str, kind: T.DataType):
+    raw = F.col(f"`{name}`")
+    if isinstance(kind, T.StringType):
+        return raw
+    blank = raw.isNull() | (F.trim(raw) == "")
+    number = F.trim(raw).try_cast("double") if isinstance(kind, T.IntegralType) else None  # "3.0" is the integer 3
+    value = (F.when(number == F.floor(number), number).cast(kind) if number is not None else F.trim(raw).try_cast(kind))
+    if isinstance(kind, T.LongType):
+        value = F.coalesce(F.trim(raw).try_cast(kind), value)
+    bad = F.raise_error(F.concat(F.lit(f"column {name}: not a {kind.simpleString()}: "), raw)).cast(kind)
+    return F.when(blank, F.lit(None).cast(kind)).otherwise(F.coalesce(value, bad)).alias(name)
+
+
+def read_header(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
+    """Column names of a delimited file (of a folder: of one of its files)."""
+    first = spark.read.text(path).first()
+    if first is None:
+        raise ValueError(f"{path} is empty: it has no header")
+    return next(csv.reader([first[0]], delimiter=sep))
+
 
+def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", header: bool = False,
+                   multi_line: bool = False) -> DataFrame:
+    """Columns of ``schema``: by name if the file has a header, else by position.
 
-def read_rated_corpus(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """Rated corpus (tab-separated with header) with its declared schema."""
-    return read_delimited(spark, path, RATED_CORPUS_SCHEMA, sep=sep, header=True)
+    Every file of a folder must have the same header (Spark compares each with the first).
+    """
+    reader = spark.read.options(**TEXT_SAFE).option("sep", sep).option("multiLine", str(multi_line).lower()).option("mode", "FAILFAST")
+    if not header:
+        return reader.schema(schema).csv(path)
+    names = read_header(spark, path, sep)
+    if missing := [f.name for f in schema.fields if f.name not in names]:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; it has {', '.join(names)}")
+    text = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    raw = reader.option("header", "true").option("enforceSchema", "false").schema(text).csv(path)
+    return raw.select(*[_typed(f.name, f.dataType) for f in schema.fields])
+
+
+def read_rated_corpus(spark: SparkSession, path: str, sep: str = "\t", multi_line: bool = False) -> DataFrame:
+    """Rated corpus (tab-separated with header): the declared columns, whatever others there are."""
+    return read_delimited(spark, path, RATED_CORPUS_SCHEMA, sep=sep, header=True, multi_line=multi_line)
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
+def read_index(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Headerless index: ``path, prompt_id ('P3'), proficiency_level``."""
-    return read_delimited(spark, path, INDEX_SCHEMA, header=False)
+    return read_delimited(spark, path, INDEX_SCHEMA, header=False, multi_line=multi_line)
 
 
 def read_languages(spark: SparkSession, path: str) -> DataFrame:
-    """Language table with header; only the two used columns survive (pruned at the scan)."""
-    return read_delimited(spark, path, LANGUAGE_SCHEMA, header=True).select("Filename", "Language")
+    """Language table with header: ``Filename, Language``, whatever other columns there are."""
+    return read_delimited(spark, path, LANGUAGE_SCHEMA, header=True)
+
+
+def _decoded(c):
+    """A percent-encoded path part as text (a plus sign stands for itself)."""
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
 
 
 def read_text_files(spark: SparkSession, path: str, strip: bool = True, name_partition: str | None = None) -> DataFrame:
@@ -73,10 +110,14 @@ def read_text_files(spark: SparkSession, path: str, strip: bool = True, name_par
     ``strip`` removes Python whitespace from both ends, as reading an essay file does. With
     ``name_partition`` the document name is taken from that partition directory
     (``{path}/{name_partition}=<name>/part-*``, the layout Spark's writers produce) instead of the
-    file name.
+    file name. A file of no bytes gives no row (Spark's file sources skip it). Names are taken from the path as they are written: ``007`` stays ``007``, spaces come back.
     """
     raw = spark.read.text(path, wholetext=True)
-    name = F.col(name_partition).cast("string") if name_partition else F.col("_metadata.file_name")
+    if name_partition:
+        folder = F.regexp_extract(F.col("_metadata.file_path"), f"/{name_partition}=([^/]*)/[^/]*$", 1)
+        name = _decoded(_decoded(folder))  # encoded once as a partition value, once as a path
+    else:
+        name = _decoded(F.col("_metadata.file_name"))
     text = py_strip("value") if strip else F.col("value")
     return raw.select(name.alias("file_name"), text.alias("text"))
 
@@ -102,9 +143,9 @@ TEMPLATE_MTS_SCHEMA = T.StructType(
 )
 
 
-def read_templates(spark: SparkSession, path: str, method: str = "mts", fmt: str = "csv") -> DataFrame:
+def read_templates(spark: SparkSession, path: str, method: str = "mts", fmt: str = "csv", multi_line: bool = True) -> DataFrame:
     """Scoring templates (one row per prompt) from CSV with header, or parquet."""
     schema = TEMPLATE_MTS_SCHEMA if method == "mts" else TEMPLATE_VANILLA_SCHEMA
     if fmt == "parquet":
         return spark.read.parquet(path).select(*[f.name for f in schema.fields])
-    return read_delimited(spark, path, schema, header=True)
+    return read_delimited(spark, path, schema, header=True, multi_line=multi_line)

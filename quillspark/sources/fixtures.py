@@ -11,21 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import ASAP, ScoreDomain
-from .tables import balance, read_table, score_range
-
-_MEMO: dict = {}
-
+from .tables import read_table, score_range
 
 def _memo(spark: SparkSession, key, build):
-    k = (id(spark), spark.sparkContext.applicationId, key)
-    if k not in _MEMO:
-        _MEMO[k] = build()
-    return _MEMO[k]
+    """One frame per session and key, kept on the session itself, so that it goes with the session."""
+    frames = spark.__dict__.setdefault("_quill_frames", {})
+    if key not in frames:
+        frames[key] = build()
+    return frames[key]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus, spread over the cluster's cores when it arrives in few splits."""
-    return _memo(spark, ("documents", sf_dir), lambda: balance(read_table(spark, sf_dir, "documents")))
+    """The corpus."""
+    return _memo(spark, ("documents", sf_dir), lambda: read_table(spark, sf_dir, "documents"))
 
 
 ESSAYS = [
@@ -107,6 +105,38 @@ def vanilla(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _memo(spark, ("vanilla", sf_dir), build)
 
 
+ESSAYS_ANY = [
+    "doc_id as essay_id", "cast(nullif(1 + doc_id % 13, 13) as int) as prompt_id", "n_chars", "cast(n_chars % 5 as int) as score",
+    "case when n_chars % 11 < 4 then 'low' when n_chars % 11 < 8 then 'medium' else 'high' end as proficiency_level",
+]
+
+
+def completions_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``completions``, for prompts 1..12 and rows without a prompt."""
+    def build():
+        e = documents(spark, sf_dir).selectExpr(*ESSAYS_ANY).selectExpr("*", "explode(sequence(1, 4)) as trait_idx")
+        e = e.selectExpr("essay_id", "prompt_id", "score", "proficiency_level", "trait_idx", f"{X_TRAIT} as x")
+        return e.selectExpr("essay_id", "prompt_id", "score", "proficiency_level", "trait_idx", f"{COMPLETION} as completion")
+    return _memo(spark, ("completions_any", sf_dir), build)
+
+
+def vanilla_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``vanilla``, for prompts 1..12 and rows without a prompt."""
+    def build():
+        e = documents(spark, sf_dir).selectExpr(*ESSAYS_ANY).selectExpr("*", "cast(n_chars % 11 as string) as x")
+        return e.selectExpr("essay_id", "prompt_id", "score", "proficiency_level", f"{MSG_ASSISTANT} as msg_assistant")
+    return _memo(spark, ("vanilla_any", sf_dir), build)
+
+
+def long_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completions inside long text: each document's text before and after a scoring phrase."""
+    def build():
+        e = essays(spark, sf_dir).selectExpr("*", "cast(n_chars % 11 as string) as x")
+        return e.selectExpr("essay_id", "prompt_id", "concat(essay, ' I give a score of ', x, '/10. ', essay) as completion",
+                            f"concat(essay, ' ', {MSG_ASSISTANT}, ' ', essay) as msg_assistant")
+    return _memo(spark, ("long_completions", sf_dir), build)
+
+
 DIRTY = ("concat('  ', text, ' @PERSON', cast(doc_id % 9 as string), ' @DATE12 wait... .... ok?? ??? !!! !! http://www.site', "
          "cast(doc_id as string), '.com.cn/a  ')")
 

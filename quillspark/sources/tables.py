@@ -12,34 +12,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def balance(df: DataFrame) -> DataFrame:
-    """Spread rows over the cluster when the scan yields fewer partitions than it has cores.
-
-    A corpus stored as a few large row groups is read by a few tasks; text work (regexes, prompt
-    building, model calls) would then use a few cores. Below the default parallelism the rows are
-    redistributed round-robin; a large input (thousands of splits) is left untouched.
-    """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # sessions without RDD access (Spark Connect) keep the scan as it is
-        return df
-    return df.repartition(target) if parts < target else df
-
-
 def score_range(spark: SparkSession, domain: ScoreDomain = ASAP) -> DataFrame:
-    """``(prompt_id, s_min, s_max)``: one row per prompt of the domain.
+    """``(prompt_id, s_min, s_max)``: one row per listed prompt of the domain (possibly none)."""
+    rows = domain.range_rows()
+    if not rows:
+        return spark.createDataFrame([], "prompt_id int, s_min int, s_max int")
+    return local_table(spark, rows, ["prompt_id", "s_min", "s_max"])
 
-    Built on the driver from the configuration, so its size is known (one row per prompt) and it
-    is always safe to broadcast.
-    """
-    key = (id(spark), spark.sparkContext.applicationId, domain.key())
-    if key not in _RANGES:
-        _RANGES[key] = local_table(spark, domain.range_rows(), ["prompt_id", "s_min", "s_max"])
-    return _RANGES[key]
 
+def with_range(df: DataFrame, spark: SparkSession, domain: ScoreDomain = ASAP, key: str = "prompt_id") -> DataFrame:
+    """``df`` plus ``s_min, s_max``: the listed range of the row's prompt, else the domain's default.
 
-_RANGES: dict = {}
+    No row is lost: a null prompt, and an unlisted prompt of a domain without default, get nulls. The joined table is
+    built from the configuration (one row per listed prompt), so broadcasting it is safe.
+    """
+    lo, hi = domain.default or (None, None)
+    default = [F.when(F.col(key).isNotNull(), F.lit(x)).cast("int") for x in (lo, hi)]
+    if not domain.ranges:
+        return df.withColumn("s_min", default[0]).withColumn("s_max", default[1])
+    r = score_range(spark, domain).withColumnRenamed("prompt_id", "__range_key")
+    joined = df.join(F.broadcast(r), F.col(key) == F.col("__range_key"), "left").drop("__range_key")
+    return joined.withColumn("s_min", F.coalesce("s_min", default[0])).withColumn("s_max", F.coalesce("s_max", default[1]))
 
 
 def local_table(spark: SparkSession, rows, names) -> DataFrame:
@@ -59,11 +52,13 @@ def local_table(spark: SparkSession, rows, names) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
 
 
-def bounded_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast a side whose row count is bounded by configuration (prompts, traits, labels).
+#: Rows up to which a table may be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most`` rows; a larger one is joined by shuffling.
 
-    Callers use it only for tables keyed by prompt and/or trait after the corpus was restricted to
-    the prompts of a ``ScoreDomain`` (an inner join with ``score_range``), so the table has at most
-    ``len(domain) * N_TRAITS`` rows whatever the corpus size. Per-essay tables are never broadcast.
+    Counts the table, so use it on tables that are cheap to read (templates, written aggregates).
     """
-    return F.broadcast(df)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

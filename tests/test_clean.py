@@ -26,7 +26,7 @@ GOLDEN = [
 
 def test_clean_golden(spark):
     df = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(GOLDEN)], "i int, t string")
-    got = [r[0] for r in df.orderBy("i").select(TX.clean_essay("t")).collect()]
+    got = [r[0] for r in TX.clean_text(df, "t").orderBy("i").select("t").collect()]
     assert got == [e for _, e in GOLDEN]
     assert [py_clean(s) for s, _ in GOLDEN] == got
 
@@ -34,7 +34,7 @@ def test_clean_golden(spark):
 def test_clean_matches_python_on_corpus(spark):
     from quillspark.sources import fixtures as fx
 
-    d = fx.dirty(spark, "/root/testdata/sf0.001").select("doc_id", "text", TX.clean_essay("text").alias("c")).collect()
+    d = TX.clean_text(fx.dirty(spark, "/root/testdata/sf0.001"), "text", "c").collect()
     assert len(d) == 200
     for r in d:
         assert r["c"] == py_clean(r["text"]), r["doc_id"]

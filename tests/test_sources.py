@@ -1,5 +1,6 @@
 """File sources and sinks round-trip the driver's tables exactly."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -13,7 +14,7 @@ from quillspark.sources import sinks as SK
 def test_tsv_roundtrip_keeps_text(spark):
     src = fx.raw_ratings(spark, SF_SMALL)
     path = SK.write_delimited(src, scratch_path(spark, "t-tsv"), sep="\t", header=True)
-    back = FL.read_rated_corpus(spark, path)
+    back = FL.read_rated_corpus(spark, path, multi_line=True)
     assert back.schema == FL.RATED_CORPUS_SCHEMA
     assert src.exceptAll(back).count() == 0 and back.exceptAll(src).count() == 0
 
@@ -22,7 +23,7 @@ def test_text_with_quotes_newlines_and_spaces(spark):
     rows = [("a.txt", "P1", ' "quoted", comma\nnew line  '), ("b.txt", "P2", "")]
     df = spark.createDataFrame(rows, "path string, prompt_id string, proficiency_level string")
     path = SK.write_delimited(df, scratch_path(spark, "t-csv"))
-    assert sorted(FL.read_index(spark, path).collect()) == sorted(df.collect())
+    assert sorted(FL.read_index(spark, path, multi_line=True).collect()) == sorted(df.collect())
 
 
 def test_wholetext_files_keyed_by_name(spark):
@@ -43,13 +44,98 @@ def test_overrides_and_rescore(spark):
                                    + 2 * r7["rater2_trait1"] + r7["rater2_trait2"] + r7["rater2_trait3"] + r7["rater2_trait4"])
 
 
-def test_dense_index_many_buckets(spark):
+def test_dense_index_over_many_partitions(spark):
     df = spark.range(0, 5000).select(F.format_string("k%06d", (F.col("id") * 7919) % 5000).alias("path")).repartition(5)
-    got = DS.dense_index(spark, df, "path", "essay_id", rows_per_bucket=300).collect()
+    got = DS.dense_index(spark, df, "path", "essay_id", partitions=17).collect()
     ids = sorted((r["path"], r["essay_id"]) for r in got)
     assert [i for _, i in ids] == list(range(5000))
 
 
+def test_dense_index_with_equal_and_null_keys(spark):
+    rows = [("hot",)] * 3000 + [(None,)] * 1000 + [(f"k{i}",) for i in range(500)]
+    df = spark.createDataFrame(rows, "path string").repartition(4)
+    out = DS.dense_index(spark, df, "path", "essay_id", partitions=16)
+    got = sorted(((r["path"] is not None, r["path"] or ""), r["essay_id"]) for r in out.collect())
+    assert [i for _, i in got] == list(range(4500))
+    assert DS.dense_index(spark, df.limit(0), "path").collect() == []
+
+
+def test_columns_by_name(spark):
+    rows = spark.createDataFrame([("P3", "a.txt", "FR", "high")], "Prompt string, Filename string, Language string, `Score Level` string")
+    path = SK.write_delimited(rows, scratch_path(spark, "lang"), header=True)
+    assert [tuple(r) for r in FL.read_languages(spark, path).collect()] == [("a.txt", "FR")]
+    bad = SK.write_delimited(rows.drop("Language"), scratch_path(spark, "lang"), header=True)
+    with pytest.raises(ValueError, match="Language"):
+        FL.read_languages(spark, bad)
+
+
+def test_value_that_does_not_fit_is_an_error(spark):
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("x", T.DoubleType())])
+    rows = spark.createDataFrame([("7", "1.5"), (" 8.0 ", None), (None, "2")], "n string, x string")
+    path = SK.write_delimited(rows.select("x", "n"), scratch_path(spark, "typed"), header=True)
+    assert sorted(map(tuple, FL.read_delimited(spark, path, schema, header=True).collect()), key=str) == [(7, 1.5), (8, None), (None, 2.0)]
+    path = SK.write_delimited(rows.select(F.lit("x").alias("n"), "x"), scratch_path(spark, "typed"), header=True)
+    with pytest.raises(Exception, match="column n"):
+        FL.read_delimited(spark, path, schema, header=True).collect()
+
+
+def test_lines_are_split_unless_asked(spark):
+    rows = spark.createDataFrame([(f"{i}.txt", "P1", "low") for i in range(20_000)], "path string, prompt_id string, proficiency_level string").coalesce(1)
+    path = SK.write_delimited(rows, scratch_path(spark, "big"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        assert FL.read_index(spark, path).rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def _folder(spark, files):
+    import os
+    import tempfile
+
+    folder = tempfile.mkdtemp(prefix="quill-flat-")
+    for name, text in files.items():
+        with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
+            f.write(text)
+    return folder
+
+
+def test_flat_folder_names(spark):
+    files = {"a b.txt": " one ", "007": "two", "c+d é.txt": "three\n", "e%20f.txt": "four"}
+    got = {r["file_name"]: r["text"] for r in FL.read_text_files(spark, _folder(spark, files)).collect()}
+    assert got == {k: v.strip() for k, v in files.items()}
+
+
+def test_partition_folder_names_are_not_inferred(spark):
+    docs = spark.createDataFrame([("007", "x"), ("a b:c.txt", "y"), ("1e3", "z")], "name string, essay string")
+    path = SK.write_text_files(docs, scratch_path(spark, "named"), "name", "essay")
+    got = {r["file_name"]: r["text"] for r in FL.read_text_files(spark, path, name_partition="name").collect()}
+    assert got == {"007": "x", "a b:c.txt": "y", "1e3": "z"}
+
+
+def test_missing_essay_file_is_an_error_and_ids_come_before_languages(spark):
+    from quillspark.plans.organize import organize_proficiency_corpus
+
+    index = spark.createDataFrame([(n, "P1", "low") for n in ("a b.txt", "b.txt", "c.txt")], "path string, prompt_id string, proficiency_level string")
+    index_path = SK.write_delimited(index, scratch_path(spark, "idx"))
+    langs = spark.createDataFrame([("c.txt", "DE"), ("a b.txt", "FR")], "Filename string, Language string")
+    lang_path = SK.write_delimited(langs, scratch_path(spark, "lang"), header=True)
+    whole = _folder(spark, {"a b.txt": "A", "b.txt": "B", "c.txt": "C"})
+    rows = organize_proficiency_corpus(spark, index_path, whole, lang_path, with_id=True).collect()
+    assert {(r["path"], r["essay_id"], r["essay"]) for r in rows} == {("a b.txt", 0, "A"), ("c.txt", 2, "C")}
+    with pytest.raises(Exception, match="no essay file, or an empty one, for b.txt"):
+        organize_proficiency_corpus(spark, index_path, _folder(spark, {"a b.txt": "A", "c.txt": "C"})).collect()
+
+
+def test_missing_score_is_an_error(spark):
+    raw = fx.raw_ratings(spark, SF_SMALL).withColumn("domain1_score", F.lit(None).cast("double"))
+    with pytest.raises(Exception, match="no score for essay"):
+        DS.canonical(raw).collect()
+
+
 def test_report_from_saved_scores(spark):
     from quillspark.plans import evaluate as E
     comp = fx.completions(spark, SF_SMALL)
@@ -80,26 +166,3 @@ def test_organize_proficiency_corpus_with_languages(spark):
         assert r["essay"] == exp[p]["essay"].strip()
     ordered = sorted(by_path)
     assert [by_path[p]["essay_id"] for p in ordered] == list(range(200))
-
-
-def test_two_level_bucket_index(spark):
-    import bisect
-    from quillspark.operators.dataset import with_bucket
-
-    bounds = sorted({f"k{(i * 37) % 1000:04d}" for i in range(700)})
-    keys = [f"k{i:04d}" for i in range(0, 1005, 3)] + ["a", "z"]
-    df = spark.createDataFrame([(k,) for k in keys], "k string")
-    got = [r["b"] for r in with_bucket(df, "k", bounds, "b", fan=16).collect()]
-    assert got == [bisect.bisect_right(bounds, k) for k in keys]
-
-
-def test_balance_only_spreads_narrow_inputs(spark):
-    from quillspark.sources.tables import balance, read_table
-
-    cores = spark.sparkContext.defaultParallelism
-    narrow = read_table(spark, SF_SMALL, "documents")  # one row group -> one split
-    assert narrow.rdd.getNumPartitions() < cores
-    assert balance(narrow).rdd.getNumPartitions() == cores
-    wide = spark.range(0, 1000, numPartitions=cores * 3)
-    assert balance(wide).rdd.getNumPartitions() == cores * 3
-    assert sorted(balance(narrow).select("doc_id").collect()) == sorted(narrow.select("doc_id").collect())
