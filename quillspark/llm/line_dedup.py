@@ -26,11 +26,12 @@ from .components import components
 from .key_filter import KeyFilter, may_hold
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bands of ROWS signature values: a pair at the threshold shares a bucket with probability 0.997.
-BANDS, ROWS = 8, 3
+#: Bands of ROWS signature values: a pair at the threshold shares a bucket with probability 0.992, one at 0.85 with 0.9995;
+#: unrelated lines, of similarity 0.05, with 3e-7.
+BANDS, ROWS = 16, 6
 BLOCK = 500
-#: Characters that are hashed at once.
-CHUNK = 1 << 20
+#: Bytes of lines that are hashed at once: arrays that fit a core's cache.
+CHUNK = 1 << 17
 
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
@@ -44,54 +45,67 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def signatures(lines: list[str], size: int = SHINGLE, values: int = BANDS * ROWS) -> np.ndarray:
-    """One-permutation MinHash: each shingle hash falls in one of ``values`` bins, whose least hash counts. An empty bin
-    takes the value of a bin that depends on its own number and the try only (densification)."""
+def shingle_hashes(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all shingles of the lines, one line after the other, and how many each line has; a line shorter
+    than a shingle has one, itself."""
     count = len(lines)
+    lengths = np.fromiter(map(len, lines), np.int64, count)
+    if (lengths < size).any():  # room for the whole line's hash
+        lines = [x if len(x) >= size else x.ljust(size, "\U0010ffff") for x in lines]
+        lengths = np.maximum(lengths, size)
     chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    lengths = np.array([len(x) for x in lines], np.int64)
-    starts = np.cumsum(lengths) - lengths
-    short = lengths < size
-    padded = np.concatenate([chars, np.zeros(size, np.uint64)])
-    rolled = np.zeros(len(chars), np.uint64)
-    for j in range(size):
-        rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + padded[j : j + len(chars)] + np.uint64(1)
-    owner = np.repeat(np.arange(count), lengths)
-    inside = np.arange(len(chars)) - starts[owner] <= lengths[owner] - size
-    rolled, owner = mixed(rolled[inside]), owner[inside]
-    if short.any():  # the whole line is one shingle
-        import xxhash
-
-        at = np.nonzero(short)[0]
-        whole = np.array([xxhash.xxh64_intdigest(lines[i].encode("utf-8", "surrogatepass")) for i in at], np.uint64)
-        rolled, owner = np.concatenate([rolled, whole]), np.concatenate([owner, at])
+    n = max(len(chars) - size + 1, 0)
+    rolled = chars[:n].copy()
+    for j in range(1, size):
+        rolled *= np.uint64(0x9E3779B97F4A7C15)
+        rolled += chars[j : j + n]
+    ends, inside = np.cumsum(lengths), np.ones(len(chars), bool)
+    for j in range(size - 1):  # the last places of a line begin no shingle
+        inside[ends - 1 - j] = False
+    return mixed(rolled[inside[:n]]), lengths - size + 1
+
+
+def signatures(lines: list[str], size: int = SHINGLE, values: int = BANDS * ROWS) -> np.ndarray:
+    """One-permutation MinHash: each shingle hash falls in one of ``values`` bins by its high bits, and the least hash of
+    a bin counts. An empty bin takes the value of a bin that depends on its own number and the try only (densification).
+    """
+    count = len(lines)
+    hashes, each = shingle_hashes(lines, size)
+    bins = ((hashes >> np.uint64(32)) * np.uint64(values) >> np.uint64(32)).view(np.int64)
+    bins += np.repeat(np.arange(count) * values, each)
     none = np.uint64(0xFFFFFFFFFFFFFFFF)
     table = np.full(count * values, none)
-    bins = ((rolled >> np.uint64(32)) * np.uint64(values) >> np.uint64(32)).astype(np.int64)
-    np.minimum.at(table, owner * values + bins, mixed(rolled))
-    table = table.reshape(count, values)
-    empty, out, tries = table == none, table.copy(), 0
-    while empty.any():
+    np.minimum.at(table, bins, hashes)
+    out = table.copy()
+    empty, tries = np.nonzero(table == none)[0], 0
+    while len(empty):
         tries += 1
-        rows, columns = np.nonzero(empty)
-        donor = (mixed((columns * 65_537 + tries).astype(np.uint64)) % np.uint64(values)).astype(np.int64)
-        found = table[rows, donor]
-        out[rows, columns] = found
-        empty[rows, columns] = found == none
-    return out
+        donor = (mixed((empty % values * 65_537 + tries).astype(np.uint64)) % np.uint64(values)).astype(np.int64)
+        found = table[empty // values * values + donor]
+        out[empty] = found
+        empty = empty[found == none]
+    return out.reshape(count, values)
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
-    """A row of BANDS keys (int64) for each line."""
+    """A row of BANDS keys (32 bits each) for each line."""
     sign = signatures(lines).reshape(len(lines), BANDS, ROWS)
     keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(lines), BANDS)).copy()
     for r in range(ROWS):
         keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + sign[:, :, r])
-    return keys.view(np.int64)
+    return (keys >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def shingles(line: str, size: int = SHINGLE) -> set[str]:
-    return {line[i : i + size] for i in range(len(line) - size + 1)} or {line}
+def bucket_numbers(keys: np.ndarray) -> np.ndarray:
+    """The bucket of each key of whole rows of keys: band and key in one integer."""
+    return np.tile(np.arange(BANDS) << 32, len(keys) // BANDS) | keys.view(np.uint32).astype(np.int64)
+
+
+def shingle_sets(lines: list[str], size: int = SHINGLE) -> list[np.ndarray]:
+    """The set of shingles of each line, as sorted distinct 64-bit hashes."""
+    hashes, each = shingle_hashes(lines, size)
+    ends = np.cumsum(each)
+    return [np.unique(hashes[i:j]) for i, j in zip(ends - each, ends)]
 
 
 def has_word(line: bytes) -> bool:
@@ -146,18 +160,18 @@ def text_chunks(lines: list[bytes]):
 
 
 def keyed_lines(docs: DataFrame) -> DataFrame:
-    """``h1, h2, keys array<long>`` of the lines that hold a word, each once per batch of texts."""
+    """``h1, h2, keys array<int>`` of the lines that hold a word, each once per batch of texts."""
     def make():
         def work(batch: pa.RecordBatch) -> list:
             distinct = list({x for text in batch.column("text").to_pylist() for x in text.split(b"\n") if has_word(x)})
             keys = [band_keys([x.decode("utf-8", "surrogatepass") for x in run]) for run in text_chunks(distinct)]
-            flat = np.concatenate(keys).reshape(-1) if keys else np.zeros(0, np.int64)
+            flat = np.concatenate(keys).reshape(-1) if keys else np.zeros(0, np.int32)
             hashes = [line_hash(x) for x in distinct]
             return [[h[0] for h in hashes], [h[1] for h in hashes], pa.ListArray.from_arrays(pa.array(np.arange(len(distinct) + 1) * BANDS, pa.int32()), pa.array(flat))]
 
         return work
 
-    return map_batches(_rows(docs).select("text"), "h1 long, h2 long, keys array<long>", make)
+    return map_batches(_rows(docs).select("text"), "h1 long, h2 long, keys array<int>", make)
 
 
 def wanted_lines(docs: DataFrame, wanted: KeyFilter) -> DataFrame:
@@ -178,24 +192,25 @@ def wanted_lines(docs: DataFrame, wanted: KeyFilter) -> DataFrame:
     return map_batches(_rows(docs).select("text"), "h1 long, h2 long, line string", make)
 
 
-def block_links(hashes: list[int], lines: list[str], left: list[bool] | None, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    """Whether two sets have at least this Jaccard similarity."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def block_links(names: list[int], sets: list[np.ndarray], left: list[bool] | None, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
     """Links that join the components of a block, or of two blocks: every pair that the links so far leave apart is
     compared. ``left`` marks the lines of the first of two blocks; pairs within a block are another task's."""
-    sets = [shingles(x) for x in lines]
     groups: list[list[int]] = []
     found = []
-    for i, mine in enumerate(sets):
+    for i in range(len(names)):
         joined = []
         for g in groups:
             for j in g:
-                if left is not None and left[i] == left[j]:
-                    continue
-                a, b = len(mine), len(sets[j])
-                if min(a, b) < similarity * max(a, b):
-                    continue
-                both = len(mine & sets[j])
-                if both >= similarity * (a + b - both):
-                    found.append((hashes[i], hashes[j]))
+                if (left is None or left[i] != left[j]) and similar(sets[i], sets[j], similarity):
+                    found.append((names[i], names[j]))
                     joined.append(g)
                     break
         merged = [i]
@@ -209,15 +224,15 @@ def block_links(hashes: list[int], lines: list[str], left: list[bool] | None, si
 def line_links(docs: DataFrame, block: int = BLOCK, similarity: float = SIMILARITY) -> DataFrame:
     """``a, b``: ids of lines (``h1``) that are similar, enough of them to join each component."""
     distinct = saved(keyed_lines(docs).groupBy("h1", "h2").agg(F.first("keys").alias("keys")).select("h1", "keys"), "line-keys")
-    keyed = distinct.select("h1", F.explode("keys").alias("key"))
-    counts = saved(keyed.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "line-buckets")
+    buckets = distinct.select(F.posexplode("keys").alias("band", "key")).select(F.expr("shiftleft(cast(band AS bigint), 32) | (cast(key AS bigint) & 4294967295L)").alias("key"))
+    counts = saved(buckets.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "line-buckets")
     held, bits = KeyFilter(counts, "key").tester()
 
     def shared():
         bitmap = np.frombuffer(held.value, np.uint64)
 
         def work(batch: pa.RecordBatch) -> list:
-            keys = batch.column("keys").flatten().to_numpy()
+            keys = bucket_numbers(batch.column("keys").flatten().to_numpy())
             pick = may_hold(bitmap, bits, keys)
             return [np.repeat(batch.column("h1").to_numpy(), BANDS)[pick], keys[pick]]
 
@@ -235,11 +250,12 @@ def line_links(docs: DataFrame, block: int = BLOCK, similarity: float = SIMILARI
 
     def verify():
         def work(batch: pa.RecordBatch) -> list:
-            found = []
-            for members in batch.column("members"):
-                rows = members.as_py()
-                left = [r["left"] for r in rows]
-                found += block_links([r["h1"] for r in rows], [r["line"] for r in rows], None if all(left) else left, similarity)
+            found, members = [], batch.column("members")
+            names, lines, left = (members.flatten().field(k).to_pylist() for k in range(3))
+            end = 0
+            for n in members.value_lengths().to_pylist():
+                i, end = end, end + n
+                found += block_links(names[i:end], shingle_sets(lines[i:end]), None if all(left[i:end]) else left[i:end], similarity)
             return [[a for a, _ in found], [b for _, b in found]]
 
         return work
@@ -248,21 +264,35 @@ def line_links(docs: DataFrame, block: int = BLOCK, similarity: float = SIMILARI
 
 
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, text_hash, n_lines, removed array<int>`` of every text with a line: the numbers of lines to take out."""
+    """``doc_id, text_hash, removed array<int>`` of every text that loses lines: their numbers.
+
+    Most lines are like no other: only lines that come up twice, or are in a component, are named and joined.
+    """
     joined = components(line_links(docs, similarity=similarity))
     lines = saved(lines_of(docs), "lines")
     place = F.struct("doc_id", "text_hash", "line_no")
-    firsts = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"))
-    named = firsts.join(joined, firsts.h1 == joined.node, "left").select("h1", "h2", "first", F.coalesce("component", "h1").alias("component"), F.when(F.col("component").isNull(), F.col("h2")).alias("alone"))
+    firsts = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
+    named = firsts.join(joined, firsts.h1 == joined.node, "left").where("copies > 1 OR component IS NOT NULL")
+    named = saved(named.select("h1", "h2", "first", F.coalesce("component", "h1").alias("component"), F.when(F.col("component").isNull(), F.col("h2")).alias("alone")), "named-lines")
     least = named.groupBy("component", "alone").agg(F.min("first").alias("kept"))
     kept = named.join(least, (named.component == least.component) & named.alone.eqNullSafe(least.alone)).select("h1", "h2", "kept")
-    judged = lines.join(kept, ["h1", "h2"]).withColumn("out", ~place.eqNullSafe(F.col("kept")))
-    return judged.groupBy("doc_id", "text_hash").agg(F.countDistinct("line_no").alias("n_lines"), F.array_sort(F.collect_set(F.when(F.col("out"), F.col("line_no")))).alias("removed"))
+    held, bits = KeyFilter(named.select("h1").distinct(), "h1").tester()
+
+    def maybe():
+        bitmap = np.frombuffer(held.value, np.uint64)
+
+        def work(batch: pa.RecordBatch) -> list:
+            return batch.filter(pa.array(may_hold(bitmap, bits, batch.column("h1").to_numpy()))).columns
+
+        return work
+
+    judged = map_batches(lines, f"{ROW}, line_no int, h1 long, h2 long", maybe).join(kept, ["h1", "h2"]).where(~place.eqNullSafe(F.col("kept")))
+    return judged.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with the text of every row cut down to the lines that stay; all rows and columns are kept."""
-    found = removed_lines(docs.select("doc_id", "text"), similarity).where("size(removed) > 0")
+    found = removed_lines(docs.select("doc_id", "text"), similarity)
     gone = found.select(F.col("doc_id").alias("_ld_id"), F.col("text_hash").alias("_ld_hash"), F.col("removed").alias("_ld_removed"))
     joined = docs.join(gone, docs.doc_id.cast("long").eqNullSafe(gone._ld_id) & (F.xxhash64(docs.text) == gone._ld_hash), "left")
     left = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_ld_removed", i))
@@ -274,7 +304,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, n_lines, n_removed`` of every document and the line numbers that were taken out."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = removed_lines(docs)
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"))
+    with_word = F.filter(F.split("text", "\n", -1), lambda x: F.regexp_like(x, F.lit(r"[^ \t\n\x0B\f\r]")))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.size(with_word), F.lit(0)).cast("long").alias("n_lines"))
+    rows = rows.withColumn("n_lines", F.greatest("n_lines", F.lit(0).cast("long")))
     joined = rows.join(found.withColumnRenamed("doc_id", "found_id"), rows.doc_id.eqNullSafe(F.col("found_id")) & (rows.text_hash == found.text_hash), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return joined.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), F.array_join(removed.cast("array<string>"), ",").alias("removed"))
+    return joined.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), F.array_join(removed.cast("array<string>"), ",").alias("removed"))
