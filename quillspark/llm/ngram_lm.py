@@ -1,24 +1,23 @@
 """Language-model scoring with a sharded Elias-Fano n-gram trie (operator 9).
 
-The model is a bigram trie. Every pair (context word, next word) of every text is sent to the shard of its context; the
-shard counts the training pairs, lays them out as a compact trie and scores all its pairs against it, so neither the
-trie nor the corpus ever goes through the driver or to every task. A shard's levels are monotone sequences in Elias-Fano
-code, in a memory-mapped file: hashes of contexts, hashes of next words, where each context's children begin, and the
-children, each as (context, next) numbers, so that a successor search looks among its own context's children only. The
-smoothed probabilities lie beside the children, quantised to 256 values per shard.
+The model is a bigram trie over reversed pairs: a word and below it the words before it. Every pair (word, word before)
+of every text is sent to the shard of its word; the shard counts the training pairs, lays them out as a compact trie and
+scores all its pairs against it, so neither the trie nor the corpus ever goes through the driver or to every task. A
+shard's levels are monotone sequences in Elias-Fano code, in a memory-mapped file: hashes of words, hashes of words
+before, where each word's children begin, and the children, each as (word, word before) numbers, so that a successor
+search looks among its own word's children only. The smoothed weights lie beside the children, quantised to 256 values.
 
-Contexts that hold much of the corpus (and the start of texts) are split over several shards by the next word.
+Smoothing is a Dirichlet prior: p(w|u) = (c(u,w) + M p(w)) / (c(u) + M) with p(w) = (c(w) + 1/2) / (N + (V + 1) / 2). Its
+logarithm falls into a part that the shard of w knows and a part of c(u) alone, which the shard of u adds when it meets
+u as a word: one pass over one shuffle gives whole probabilities.
 
-Probabilities are absolutely discounted with back-off: (c(u,w) - D) / c(u) for pairs of the training texts, else the
-share D T(u) / c(u) that this frees times the unigram probability (c(w) + 1/2) / (N + (V + 1) / 2); T(u) is the number of
-different words after u. In a split context T(u) is estimated from the shard's own part, which a hash has drawn. A
-context that training texts don't have leaves the unigram alone.
+Words that are much of the corpus (and the end of texts) are split over several shards by the word before.
 
 Words are named by 64-bit hashes. Texts whose crc32(doc_id as text) mod 5 is 1 are held out; the rest is learnt from.
 
 Defined results: a null text counts as empty (its end is its one token); a null doc_id counts as empty text for the
 crc32, so it is learnt from. Rows that repeat are learnt from and scored one by one. Without training texts all counts
-are 0 and probabilities uniform over the one unknown word. Other columns are ignored. An empty table gives an empty table.
+are 0. Other columns are ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -39,10 +38,11 @@ from .common import LOWER_TABLE, documents, parts, saved, text_bytes
 from .elias_fano import EliasFano
 
 FOLDS, HELD_OUT = 5, 1
-DISCOUNT, CODES = 0.75, 256
-#: Pairs that one shard holds on average; a task's memory is some hundred bytes for each.
+#: M of the prior, and values that a shard's weights are quantised to.
+PRIOR, CODES = 300.0, 256
+#: Training pairs that one shard holds on average; a task's memory is about a hundred bytes for each.
 SHARD = 3_000_000
-#: Pairs that a task gathers before it sends them on, and words that it counts before.
+#: Pairs that a task gathers before it sends them on.
 GATHER = 3_000_000
 #: Names of the end and the start of a text; no word hashes to a byte of white space.
 END, START = b"\n", b" "
@@ -89,13 +89,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Plan:
-    """Sizes of the training text and where pairs go: to ``shards`` shards by context, split contexts to their own."""
+    """Sizes of the training text and where pairs go: to ``shards`` shards by word, split words to their own."""
 
     tokens: int  # N
     words: int  # V
     texts: int  # training texts
     shards: int
-    split: dict  # context -> (count, first shard, number of shards)
+    split: dict  # word -> (count, first shard, number of shards)
 
     @property
     def log_unit(self) -> float:
@@ -104,13 +104,11 @@ class Plan:
 
 
 def plan_shards(counts: DataFrame, shard: int = SHARD) -> Plan:
-    """Contexts with more than half a shard's pairs are split; there are at most 2 N / ``shard`` of them."""
+    """Words with more than half a shard's pairs are split; there are at most 2 N / ``shard`` of them."""
     tokens, words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     shards = tokens // shard + 1
     large = {r.word: r.n for r in counts.where(F.col("n") * 2 > shard).collect()}
     texts = (counts.where(F.col("word") == word_hash(END)).agg(F.sum("n")).first()[0]) or 0
-    large.pop(word_hash(END), None)
-    large[word_hash(START)] = texts
     split, at = {}, shards
     for word in sorted(large):
         n = 2 * large[word] // shard + 1
@@ -124,11 +122,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shard_of(plan: Plan, context: np.ndarray, after: np.ndarray) -> np.ndarray:
-    out = (_mix(context) % np.uint64(plan.shards)).astype(np.int64)
-    for word, (_, first, n) in plan.split.items():
-        if len(rows := np.nonzero(context == word)[0]):
-            out[rows] = first + (_mix(after[rows]) % np.uint64(n)).astype(np.int64)
+def shard_of(plan: Plan, word: np.ndarray, before: np.ndarray) -> np.ndarray:
+    out = (_mix(word) % np.uint64(plan.shards)).astype(np.int64)
+    for hot, (_, first, n) in plan.split.items():
+        if len(rows := np.nonzero(word == hot)[0]):
+            out[rows] = first + (_mix(before[rows]) % np.uint64(n)).astype(np.int64)
     return out
 
 
@@ -137,23 +135,24 @@ def _smallest(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32)
 
 
-def _packed(context, after, text, rid, doc_id, held) -> bytes:
-    """The pairs of one shard, sorted by context, and the texts that they are from, as compressed arrays."""
+def _packed(word, before, text, rid, doc_id, held) -> bytes:
+    """The pairs of one shard, sorted by word, and the texts that they are from, as compressed arrays."""
     import zstandard
 
-    order = np.argsort(context, kind="stable")
-    contexts, runs = np.unique(context[order], return_counts=True)
-    nexts, next_at = np.unique(after[order], return_inverse=True)
+    order = np.lexsort((text, word))
+    words, runs = np.unique(word[order], return_counts=True)
+    befores, before_at = np.unique(before[order], return_inverse=True)
     texts, text_at = np.unique(text[order], return_inverse=True)
     known = [d is not None for d in (doc_id[i] for i in texts)]
     return zstandard.compress(pickle.dumps((
-        contexts, _smallest(runs), nexts, _smallest(next_at), _smallest(text_at), np.diff(rid[texts], prepend=0),
+        words, _smallest(runs), befores, _smallest(before_at), _smallest(text_at), np.diff(rid[texts], prepend=0),
         np.diff(np.array([doc_id[i] or 0 for i in texts], np.int64), prepend=0), np.array(known, bool), held[texts],
     ), protocol=5), 3)
 
 
 def pairs(docs: DataFrame, plan: Plan) -> DataFrame:
-    """``shard, pairs binary``: all pairs of all texts, gathered by task and shard."""
+    """``shard, block, pairs binary``: all pairs of all texts, gathered by block (the texts that a task sends at once, named
+    by the first one's ``rid``) and shard."""
     def run(batches):
         hashes, start, end = WordHashes(), word_hash(START), word_hash(END)
         words, ends, rid, doc_id, held = [], [], [], [], []
@@ -164,17 +163,17 @@ def pairs(docs: DataFrame, plan: Plan) -> DataFrame:
             flat = np.concatenate(words) if words else np.zeros(0, np.int64)
             last = np.cumsum(lengths) - 1
             first = last - lengths + 1
-            after = np.full(len(text), end)
-            after[np.delete(np.arange(len(text)), last)] = flat
-            context = np.full(len(text), start)
-            context[np.delete(np.arange(len(text)), first)] = flat
-            shard = shard_of(plan, context, after)
+            word = np.full(len(text), end)
+            word[np.delete(np.arange(len(text)), last)] = flat
+            before = np.full(len(text), start)
+            before[np.delete(np.arange(len(text)), first)] = flat
+            shard = shard_of(plan, word, before)
             order = np.argsort(shard, kind="stable")
             shards, begin = np.unique(shard[order], return_index=True)
             rids, helds = np.array(rid, np.int64), np.array(held, bool)
             for s, i, j in zip(shards.tolist(), begin.tolist(), [*begin[1:].tolist(), len(order)]):
                 rows = order[i:j]
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([_packed(context[rows], after[rows], text[rows], rids, doc_id, helds)], pa.binary())], ["shard", "pairs"])
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([rid[0]], pa.int64()), pa.array([_packed(word[rows], before[rows], text[rows], rids, doc_id, helds)], pa.binary())], ["shard", "block", "pairs"])
             for x in (words, ends, rid, doc_id, held):
                 x.clear()
 
@@ -195,33 +194,32 @@ def pairs(docs: DataFrame, plan: Plan) -> DataFrame:
         if ends:
             yield from send()
 
-    return _rows(docs).mapInArrow(run, "shard long, pairs binary")
+    return _rows(docs).mapInArrow(run, "shard long, block long, pairs binary")
 
 
 class Trie:
-    """The levels of one shard. ``find`` gives the log10 probability of pairs, nan for pairs it doesn't hold."""
+    """The levels of one shard. ``find`` gives the log10 weight of pairs, nan for pairs it doesn't hold."""
 
-    def __init__(self, contexts: EliasFano, nexts: EliasFano, begins: EliasFano, children: EliasFano, codes: np.ndarray, book: np.ndarray) -> None:
-        self.contexts, self.nexts, self.begins, self.children, self.codes, self.book = contexts, nexts, begins, children, codes, book
+    def __init__(self, words: EliasFano, befores: EliasFano, begins: EliasFano, children: EliasFano, codes: np.ndarray, book: np.ndarray) -> None:
+        self.words, self.befores, self.begins, self.children, self.codes, self.book = words, befores, begins, children, codes, book
 
     @classmethod
-    def build(cls, context: np.ndarray, after: np.ndarray, count: np.ndarray, total: np.ndarray) -> Trie:
-        """From distinct pairs sorted by (context, next), their counts and their contexts' counts (hashes as uint64)."""
-        contexts, at = np.unique(context, return_inverse=True)
-        nexts, to = np.unique(after, return_inverse=True)
-        begins = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(contexts)))]).astype(np.uint64)
-        logs = np.log10((count - DISCOUNT) / total)
-        edges = np.linspace(logs.min(), logs.max(), CODES + 1)[1:-1] if len(logs) else np.zeros(0)
-        codes = np.searchsorted(edges, logs).astype(np.uint8)
-        book = np.bincount(codes, logs, CODES) / np.maximum(np.bincount(codes, minlength=CODES), 1)
-        width = max(len(nexts), 1)
+    def build(cls, word: np.ndarray, before: np.ndarray, weight: np.ndarray) -> Trie:
+        """From distinct pairs sorted by (word, word before) and their log10 weights (hashes as uint64)."""
+        words, at = np.unique(word, return_inverse=True)
+        befores, to = np.unique(before, return_inverse=True)
+        begins = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(words)))]).astype(np.uint64)
+        edges = np.linspace(weight.min(), weight.max(), CODES + 1)[1:-1] if len(weight) else np.zeros(0)
+        codes = np.searchsorted(edges, weight).astype(np.uint8)
+        book = np.bincount(codes, weight, CODES) / np.maximum(np.bincount(codes, minlength=CODES), 1)
+        width = max(len(befores), 1)
         children = at.astype(np.uint64) * np.uint64(width) + to.astype(np.uint64)
-        return cls(EliasFano.build(contexts, 1 << 64), EliasFano.build(nexts, 1 << 64), EliasFano.build(begins, len(at) + 1),
-                   EliasFano.build(children, max(len(contexts), 1) * width), codes, book)
+        return cls(EliasFano.build(words, 1 << 64), EliasFano.build(befores, 1 << 64), EliasFano.build(begins, len(at) + 1),
+                   EliasFano.build(children, max(len(words), 1) * width), codes, book)
 
     def mapped(self) -> Trie:
         """The same trie over a memory-mapped file, which goes when the trie goes."""
-        arrays = [*(p for level in (self.contexts, self.nexts, self.begins, self.children) for p in level.parts()), self.codes, self.book]
+        arrays = [*(p for level in (self.words, self.befores, self.begins, self.children) for p in level.parts()), self.codes, self.book]
         with tempfile.TemporaryFile() as f:
             places = []
             for a in arrays:
@@ -233,108 +231,108 @@ class Trie:
         got = [np.frombuffer(data, a.dtype, a.size, at) for a, at in zip(arrays, places)]
         return Trie(*(EliasFano.from_parts(got[i : i + 4]) for i in (0, 4, 8, 12)), *got[16:])
 
-    def context_numbers(self, contexts: np.ndarray) -> np.ndarray:
-        return self.contexts.find(contexts)
-
-    def followers(self, numbers: np.ndarray) -> np.ndarray:
-        """Different next words of each context."""
+    def children_of(self, numbers: np.ndarray) -> np.ndarray:
+        """How many different words stand before each word."""
         return (self.begins.access(numbers + 1) - self.begins.access(numbers)).astype(np.int64)
 
-    def find(self, numbers: np.ndarray, nexts: np.ndarray) -> np.ndarray:
-        to = self.nexts.find(nexts)
-        out = np.full(len(numbers), np.nan)
-        rows = np.nonzero((numbers >= 0) & (to >= 0))[0]
-        at = self.children.find(numbers[rows].astype(np.uint64) * np.uint64(max(self.nexts.length, 1)) + to[rows].astype(np.uint64))
-        out[rows[at >= 0]] = self.book[self.codes[at[at >= 0]]]
+    def find(self, words: np.ndarray, befores: np.ndarray, block: int = 1 << 18) -> np.ndarray:
+        out = np.full(len(words), np.nan)
+        width = np.uint64(max(self.befores.length, 1))
+        for i in range(0, len(words), block):
+            number, to = self.words.find(words[i : i + block]), self.befores.find(befores[i : i + block])
+            rows = np.nonzero((number >= 0) & (to >= 0))[0]
+            at = self.children.find(number[rows].astype(np.uint64) * width + to[rows].astype(np.uint64))
+            out[i + rows[at >= 0]] = self.book[self.codes[at[at >= 0]]]
         return out
 
 
 def _unsigned(x: np.ndarray) -> np.ndarray:
-    return (x.view(np.uint64) ^ np.uint64(1 << 63))
+    return x.view(np.uint64) ^ np.uint64(1 << 63)
 
 
-SCORED = "rid long, doc_id long, held_out boolean, n long, n_known long, base double, score double, word long"
+def _joined(tables: list[np.ndarray], places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All distinct hashes of the chunks' tables, sorted, and every row's place among them."""
+    known = np.unique(np.concatenate(tables))
+    return known, np.concatenate([np.searchsorted(known, t).astype(np.int32)[p] for t, p in zip(tables, places)])
 
 
-def score_shard(chunks: list[bytes], plan: Plan) -> list[np.ndarray | list]:
-    """Columns of SCORED: a row for each text with its sums, and a row (``word``, n) for each next word of a text that
-    is left to the unigrams."""
+def score_shard(chunks: list[bytes], plan: Plan) -> list[bytes]:
+    """For each chunk the sums of its texts over its pairs: packed ``rid, doc_id, known, held_out, n, n_known, base, score``."""
     import zstandard
 
     got = [pickle.loads(zstandard.decompress(c)) for c in chunks]
-    context = np.concatenate([np.repeat(g[0], g[1]) for g in got])
-    after = np.concatenate([g[2][g[3]] for g in got])
-    sizes = [len(g[5]) for g in got]
-    text = np.concatenate([g[4].astype(np.int64) + at for g, at in zip(got, np.cumsum([0, *sizes[:-1]]))])
+    words, at = _joined([_unsigned(g[0]) for g in got], [np.repeat(np.arange(len(g[0])), g[1]) for g in got])
+    befores, to = _joined([_unsigned(g[2]) for g in got], [g[3] for g in got])
+    offsets = np.cumsum([0, *(len(g[5]) for g in got)])
+    text = np.concatenate([g[4].astype(np.int32) + int(o) for g, o in zip(got, offsets)])
     rid, doc_id = np.concatenate([np.cumsum(g[5]) for g in got]), np.concatenate([np.cumsum(g[6]) for g in got])
     known_id, held = np.concatenate([g[7] for g in got]), np.concatenate([g[8] for g in got])
+    del got, chunks
     learnt = ~held[text]
 
-    contexts, at = np.unique(_unsigned(context), return_inverse=True)
-    nexts, to = np.unique(_unsigned(after), return_inverse=True)
-    code, pair = np.unique(at * len(nexts) + to, return_inverse=True)
-    pair_at, pair_to = code // len(nexts), code % len(nexts)
+    total = np.bincount(at[learnt], minlength=len(words))
+    for hot, (n, _, _) in plan.split.items():
+        if (i := np.searchsorted(words, w := np.uint64(hot + (1 << 63)))) < len(words) and words[i] == w:
+            total[i] = n
+    prior = PRIOR * (total + 0.5) / 10**plan.log_unit
+    code, pair = np.unique(at.astype(np.int64) * len(befores) + to, return_inverse=True)
+    pair = pair.astype(np.int32)
+    pair_word, pair_before = code // len(befores), code % len(befores)
     count = np.bincount(pair[learnt], minlength=len(code))
-    total = np.bincount(at[learnt], minlength=len(contexts))
-    parts_of = np.ones(len(contexts), np.int64)
-    for word, (n, _, shards) in plan.split.items():
-        if (i := np.searchsorted(contexts, w := np.uint64(word + (1 << 63)))) < len(contexts) and contexts[i] == w:
-            total[i], parts_of[i] = n, shards
-
     seen = count > 0
-    trie = Trie.build(contexts[pair_at[seen]], nexts[pair_to[seen]], count[seen], total[pair_at[seen]]).mapped()
-    number = trie.context_numbers(contexts)
-    held_back = np.zeros(len(contexts))  # log10 of what a context leaves to words it hasn't met
-    rows = number >= 0
-    freed = DISCOUNT * trie.followers(number[rows]) * parts_of[rows] / np.maximum(total[rows], 1)
-    held_back[rows] = np.log10(np.minimum(freed, 1.0))
-    split_only = ~rows & (total > 0)  # a split context whose followers here are all held out
-    held_back[split_only] = np.log10(np.minimum(DISCOUNT / total[split_only], 1.0))
-    log_p = trie.find(number[pair_at], nexts[pair_to])
+    trie = Trie.build(words[pair_word[seen]], befores[pair_before[seen]], np.log10(count[seen] + prior[pair_word[seen]])).mapped()
+    log_p = trie.find(words[pair_word], befores[pair_before])
     missed = np.isnan(log_p)
-    log_p[missed] = held_back[pair_at[missed]]
-
-    start = np.uint64(word_hash(START) + (1 << 63))
-    is_word = contexts != start
-    n_texts = len(rid)
-    n = np.bincount(text, minlength=n_texts)
-    n_known = np.bincount(text, (is_word & (total > 0))[at], n_texts).astype(np.int64)
-    base = np.bincount(text, np.where(is_word, np.log10(total + 0.5), 0.0)[at], n_texts)
-    score = np.bincount(text, log_p[pair], n_texts)
-
-    left = np.nonzero(missed[pair])[0]
-    cell, times = np.unique(text[left] * len(nexts) + to[left], return_counts=True)
-    owner, word = cell // len(nexts), (nexts[cell % len(nexts)] ^ np.uint64(1 << 63)).view(np.int64)
-    none, k = [None] * len(cell), len(rid)
-    return [
-        np.concatenate([rid, rid[owner]]),
-        pa.array(np.concatenate([doc_id, np.zeros(len(cell), np.int64)]), pa.int64(), mask=np.concatenate([~known_id, np.ones(len(cell), bool)])),
-        pa.array(np.concatenate([held, np.zeros(len(cell), bool)]), mask=np.concatenate([np.zeros(k, bool), np.ones(len(cell), bool)])),
-        np.concatenate([n, times]), *[pa.array(np.concatenate([x, np.zeros(len(cell), x.dtype)]), mask=np.concatenate([np.zeros(k, bool), np.ones(len(cell), bool)])) for x in (n_known, base, score)],
-        pa.array(np.concatenate([np.zeros(k, np.int64), word]), pa.int64(), mask=np.concatenate([np.ones(k, bool), np.zeros(len(cell), bool)])),
+    log_p[missed] = np.log10(prior[pair_word[missed]])
+
+    # as the word before the next one; the end of a text is before none
+    is_end = words == np.uint64(word_hash(END) + (1 << 63))
+    later = np.where(is_end, 0.0, np.log10(total + PRIOR))
+    size = len(rid)
+    sums = [
+        np.bincount(text, minlength=size), np.bincount(text, (total > 0)[at], size).astype(np.int64),
+        np.bincount(text, np.log10(total + 0.5)[at], size), np.bincount(text, log_p[pair], size) - np.bincount(text, later[at], size),
     ]
+    return [
+        zstandard.compress(pickle.dumps([np.diff(rid[i:j], prepend=0), *(x[i:j] for x in (doc_id, known_id, held, *sums))], protocol=5), 1)
+        for i, j in zip(offsets, offsets[1:])
+    ]
+
+
+SCORED = "doc_id long, held_out boolean, n long, n_known long, base double, score double"
+
+
+def add_up(packed: list[bytes]) -> list:
+    """Columns of SCORED: one row for each text of a block, summed over the shards that scored its pairs."""
+    import zstandard
+
+    got = [pickle.loads(zstandard.decompress(p)) for p in packed]
+    rid, first, at = np.unique(np.concatenate([np.cumsum(g[0]) for g in got]), return_index=True, return_inverse=True)
+    doc_id, known, held, n, n_known, base, score = (np.concatenate([g[k] for g in got]) for k in range(1, 8))
+    whole = lambda x: np.bincount(at, x, len(rid)).astype(np.int64)
+    return [pa.array(doc_id[first], pa.int64(), mask=~known[first]), held[first], whole(n), whole(n_known), np.bincount(at, base, len(rid)), np.bincount(at, score, len(rid))]
 
 
 def scores(docs: DataFrame, shard: int = SHARD) -> DataFrame:
-    """The contract's row for every row of ``docs``."""
-    counts = saved(word_counts(docs), "word-counts")
-    plan = plan_shards(counts, shard)
+    """The contract's row for every row of ``docs``.
+
+    A shard gives back one packed row for each block, and a block adds up its own texts, so rows don't multiply with the
+    number of shards."""
+    plan = plan_shards(saved(word_counts(docs), "word-counts"), shard)
     names = [f.split()[0] for f in SCORED.split(", ")]
 
     def one(table: pa.Table) -> pa.Table:
-        columns = score_shard(table.column("pairs").to_pylist(), plan)
-        return pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
-
-    by_shard = saved(pairs(docs, plan).groupBy("shard").applyInArrow(one, SCORED), "shard-scores")
-    left = by_shard.where("word IS NOT NULL").select("rid", "word", "n").join(counts.select("word", F.col("n").alias("c")), "word", "left")
-    unigram = left.select("rid", (F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 0.5) - F.lit(plan.log_unit))).alias("part"))
-    sums = by_shard.where("word IS NULL").select("rid", "doc_id", "held_out", "n", "n_known", "base", F.col("score").alias("part"))
-    rows = sums.unionByName(unigram, allowMissingColumns=True).groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("part").alias("score"))
-    end = math.log10(plan.texts + 0.5)
+        return pa.table({"block": table.column("block"), "sums": pa.array(score_shard(table.column("pairs").to_pylist(), plan), pa.binary())})
+
+    def whole(table: pa.Table) -> pa.Table:
+        return pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in add_up(table.column("sums").to_pylist())], names)
+
+    by_shard = pairs(docs, plan).groupBy("shard").applyInArrow(one, "block long, sums binary")
+    rows = by_shard.groupBy("block").applyInArrow(whole, SCORED)
+    start = math.log10(plan.texts + PRIOR)
     return rows.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + int(plan.texts > 0)).alias("n_known"), F.lit(plan.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + end - F.col("n_tokens") * plan.log_unit).alias("base_score"), "score",
+        "doc_id", "held_out", F.col("n").alias("n_tokens"), "n_known", F.lit(plan.tokens).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n") * plan.log_unit).alias("base_score"), (F.col("score") - start).alias("score"),
     )
 
 
