@@ -63,26 +63,31 @@ def rolled(codes: np.ndarray, size: int) -> np.ndarray:
     return mixed(out)
 
 
-def passages(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(anchor hash, first window, number of windows)`` of each passage of a text, given its words' codes."""
+#: Low bits of a phrase's hash that make room for its place while the least is looked for.
+PLACE_BITS = 20
+
+
+def passages(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(anchor hash, first window, number of windows)`` of each passage of a text, given its words' codes, and the
+    hashes of its phrases."""
     n = len(codes) - WINDOW + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    phrases = rolled(codes, PHRASE)
-    span = WINDOW - PHRASE + 1
-    place, least = np.arange(n), phrases[:n].copy()
-    for j in range(1, span):
-        other = phrases[j : j + n]
-        less = other < least
-        least[less] = other[less]
-        place[less] = np.nonzero(less)[0] + j
-    first = np.nonzero(np.diff(place, prepend=-1))[0]
-    return least[first], first, np.diff(first, append=n)
-
-
-def passage_hash(codes: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """A hash of the words of each passage, from the running sum of its phrases' hashes at either end and its length."""
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     phrases = rolled(codes, PHRASE)
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    least = (phrases & ~low) | (np.arange(len(phrases), dtype=np.uint64) & low)
+    width, span = 1, WINDOW - PHRASE + 1
+    while 2 * width <= span:  # least of twice as many phrases
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    least = np.minimum(least[:n], least[span - width : span - width + n])
+    first = np.nonzero(np.concatenate([[True], least[1:] != least[:-1]]))[0]
+    place = first + ((least[first] & low).astype(np.int64) - first) % (1 << PLACE_BITS)
+    return phrases[place], first, np.diff(first, append=n), phrases
+
+
+def passage_hash(phrases: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A hash of the words of each passage, from the hashes of phrases that cover them and its length."""
     out = mixed(count.astype(np.uint64))
     for j in (0, 7, 12):  # phrases 0, 7, 12 of the first and of the last window cover every word of a passage
         out = mixed(out ^ phrases[first + j]) + mixed(phrases[first + count - 1 + j])
@@ -123,12 +128,12 @@ def found_passages(docs: DataFrame, wanted: KeyFilter) -> DataFrame:
             owner, out = [], [[], [], [], []]
             for i, text in enumerate(batch.column("text").to_pylist()):
                 codes = _codes(known, text.split())
-                anchor, first, count = passages(codes)
+                anchor, first, count, phrases = passages(codes)
                 pick = may_hold(bitmap, bits, anchor)
                 if pick.any():
                     anchor, first, count = anchor[pick], first[pick], count[pick]
                     owner.append(np.full(len(first), i))
-                    for column, x in zip(out, (anchor.view(np.int64), passage_hash(codes, first, count).view(np.int64), first, count)):
+                    for column, x in zip(out, (anchor.view(np.int64), passage_hash(phrases, first, count).view(np.int64), first, count)):
                         column.append(x)
             owner = np.concatenate([np.zeros(0, np.int64), *owner])
             anchor, passage, first, count = (np.concatenate([np.zeros(0, np.int64), *c]) for c in out)
@@ -140,7 +145,8 @@ def found_passages(docs: DataFrame, wanted: KeyFilter) -> DataFrame:
 
 
 def passage_texts(docs: DataFrame, wanted: KeyFilter) -> DataFrame:
-    """``anchor, passage, did, text_hash, first, words`` of the passages that the filter may hold (by ``passage``)."""
+    """``anchor, passage, did, text_hash, first, words`` of the passages that the filter may hold, by the XOR of
+    ``passage`` and ``text_hash``: a passage is taken from the text that has it first."""
     held, bits = wanted.tester()
 
     def make():
@@ -151,11 +157,11 @@ def passage_texts(docs: DataFrame, wanted: KeyFilter) -> DataFrame:
             for did, text_hash, text in zip(*(batch.column(c).to_pylist() for c in ("did", "text_hash", "text"))):
                 words = text.split()
                 codes = _codes(known, words)
-                anchor, first, count = passages(codes)
+                anchor, first, count, phrases = passages(codes)
                 if not len(first):
                     continue
-                passage = passage_hash(codes, first, count)
-                for k in np.nonzero(may_hold(bitmap, bits, passage))[0].tolist():
+                passage = passage_hash(phrases, first, count)
+                for k in np.nonzero(may_hold(bitmap, bits, passage.view(np.int64) ^ text_hash))[0].tolist():
                     a, n = int(first[k]), int(count[k])
                     row = (int(anchor[k].astype(np.int64)), int(passage[k].astype(np.int64)), did, text_hash, a, b" ".join(words[a : a + n + WINDOW - 1]))
                     for column, x in zip(out, row):
@@ -211,7 +217,7 @@ def repeats(docs: DataFrame, shard: int = SHARD, spread: int = SPREAD) -> DataFr
     several = distinct.groupBy("anchor").count().where("count > 1")
     mixed_ = saved(distinct.join(several, "anchor").select("anchor", "passage", "at.*", "count"), "mixed-passages")
     shards = mixed_.count() // shard + 1
-    texts = passage_texts(docs, KeyFilter(mixed_.select("passage"), "passage"))
+    texts = passage_texts(docs, KeyFilter(mixed_.select(F.col("passage").bitwiseXOR(F.col("text_hash")).alias("key")), "key"))
     pieces = texts.join(mixed_, ["anchor", "passage", "did", "text_hash", "first"]).dropDuplicates(["anchor", "did", "text_hash", "first"])
 
     pieces = saved(pieces.select("anchor", *PIECE, "count"), "pieces")
