@@ -26,10 +26,12 @@ from .components import components
 from .key_filter import KeyFilter, may_hold
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bands of ROWS signature values: a pair at the threshold shares a bucket with probability 0.992, one at 0.85 with 0.9995;
-#: unrelated lines, of similarity 0.05, with 3e-7.
-BANDS, ROWS = 16, 6
+#: Bands of ROWS signature values: a pair at the threshold shares a bucket with probability 0.99994; unrelated lines, of
+#: similarity 0.1, with 3e-5.
+BANDS, ROWS = 32, 6
 BLOCK = 500
+#: Bucket keys that a task gathers before it sends them on, and that one shard of the bucket counts holds on average.
+GATHER, SHARD = 2_000_000, 2_000_000
 #: Bytes of lines that are hashed at once: arrays that fit a core's cache.
 CHUNK = 1 << 17
 
@@ -101,11 +103,55 @@ def bucket_numbers(keys: np.ndarray) -> np.ndarray:
     return np.tile(np.arange(BANDS) << 32, len(keys) // BANDS) | keys.view(np.uint32).astype(np.int64)
 
 
+def bucket_counts(distinct: DataFrame, shard: int = SHARD) -> DataFrame:
+    """``key, count`` of the buckets that several lines share. Keys go to shards as sorted arrays, equal ones of a task as
+    one, and are counted there."""
+    shards = np.uint64(distinct.count() * BANDS // shard + 1)
+
+    def deal(batches):
+        def send():
+            keys, counts = np.unique(bucket_numbers(np.concatenate(gathered)), return_counts=True)
+            to = (mixed(keys.view(np.uint64)) % shards).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            keys, counts = keys[order], counts[order]
+            there, begin = np.unique(to[order], return_index=True)
+            ends = [*begin[1:].tolist(), len(order)]
+            packed = [(np.diff(keys[i:j], prepend=0).tobytes(), counts[i:j].astype(np.uint32).tobytes()) for i, j in zip(begin.tolist(), ends)]
+            return pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), *(pa.array([p[k] for p in packed], pa.binary()) for k in range(2))], ["shard", "keys", "counts"])
+
+        gathered, size = [], 0
+        for batch in batches:
+            gathered.append(batch.column("keys").flatten().to_numpy())
+            size += len(gathered[-1])
+            if size >= GATHER:
+                yield send()
+                gathered, size = [], 0
+        if size:
+            yield send()
+
+    def count(table: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.cumsum(np.frombuffer(x, np.int64)) for x in table.column("keys").to_pylist()])
+        each = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]).astype(np.int64)
+        order = np.argsort(keys, kind="stable")
+        known, begin = np.unique(keys[order], return_index=True)
+        counts = np.add.reduceat(each[order], begin)
+        return pa.table({"key": known[counts > 1], "count": counts[counts > 1]})
+
+    dealt = distinct.select("keys").mapInArrow(deal, "shard long, keys binary, counts binary")
+    return dealt.groupBy("shard").applyInArrow(count, "key long, count long")
+
+
 def shingle_sets(lines: list[str], size: int = SHINGLE) -> list[np.ndarray]:
     """The set of shingles of each line, as sorted distinct 64-bit hashes."""
     hashes, each = shingle_hashes(lines, size)
-    ends = np.cumsum(each)
-    return [np.unique(hashes[i:j]) for i, j in zip(ends - each, ends)]
+    ends, out = np.cumsum(each), []
+    for i, j in zip((ends - each).tolist(), ends.tolist()):
+        one = hashes[i:j]
+        one.sort()
+        first = np.ones(j - i, bool)
+        np.not_equal(one[1:], one[:-1], out=first[1:])
+        out.append(one[first])
+    return out
 
 
 def has_word(line: bytes) -> bool:
@@ -146,8 +192,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return map_batches(_rows(docs), f"{ROW}, line_no int, h1 long, h2 long", make)
 
 
-def text_chunks(lines: list[bytes]):
-    """Lines in runs of about CHUNK bytes."""
+def text_chunks(lines: list):
+    """Lines in runs of about CHUNK bytes or characters."""
     run, size = [], 0
     for line in lines:
         run.append(line)
@@ -196,7 +242,9 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     """Whether two sets have at least this Jaccard similarity."""
     if min(len(a), len(b)) < similarity * max(len(a), len(b)):
         return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    merged = np.concatenate((a, b))
+    merged.sort()
+    both = np.count_nonzero(merged[1:] == merged[:-1])
     return both >= similarity * (len(a) + len(b) - both)
 
 
@@ -224,8 +272,7 @@ def block_links(names: list[int], sets: list[np.ndarray], left: list[bool] | Non
 def line_links(docs: DataFrame, block: int = BLOCK, similarity: float = SIMILARITY) -> DataFrame:
     """``a, b``: ids of lines (``h1``) that are similar, enough of them to join each component."""
     distinct = saved(keyed_lines(docs).groupBy("h1", "h2").agg(F.first("keys").alias("keys")).select("h1", "keys"), "line-keys")
-    buckets = distinct.select(F.posexplode("keys").alias("band", "key")).select(F.expr("shiftleft(cast(band AS bigint), 32) | (cast(key AS bigint) & 4294967295L)").alias("key"))
-    counts = saved(buckets.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "line-buckets")
+    counts = saved(bucket_counts(distinct).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "line-buckets")
     held, bits = KeyFilter(counts, "key").tester()
 
     def shared():
@@ -252,10 +299,11 @@ def line_links(docs: DataFrame, block: int = BLOCK, similarity: float = SIMILARI
         def work(batch: pa.RecordBatch) -> list:
             found, members = [], batch.column("members")
             names, lines, left = (members.flatten().field(k).to_pylist() for k in range(3))
+            sets = [x for run in text_chunks(lines) for x in shingle_sets(run)]
             end = 0
             for n in members.value_lengths().to_pylist():
                 i, end = end, end + n
-                found += block_links(names[i:end], shingle_sets(lines[i:end]), None if all(left[i:end]) else left[i:end], similarity)
+                found += block_links(names[i:end], sets[i:end], None if all(left[i:end]) else left[i:end], similarity)
             return [[a for a, _ in found], [b for _, b in found]]
 
         return work

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -229,6 +230,30 @@ def test_minhash_estimates_similarity_and_finds_near_lines():
     assert abs(np.mean(errors)) < 0.04 and found <= 1
 
 
+@pytest.mark.parametrize("union", [5, 10, 20, 40, 100])
+def test_lines_at_the_threshold_share_a_bucket(union):
+    rnd = random.Random(union)
+    n, a, b = 1000, [], []
+    while len(a) < n:  # a text without its last and without its first characters
+        text, differ = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz ", k=union + 4)), union // 5
+        i = rnd.randrange(differ + 1)
+        x, y = text[: len(text) - differ + i], text[i:]
+        if len(shingles(text)) == union and len(shingles(x) & shingles(y)) * 5 == 4 * union:
+            a.append(x)
+            b.append(y)
+    lost = n - (L.band_keys(a) == L.band_keys(b)).any(1).sum()
+    assert lost <= 3
+
+
+def test_bucket_counts_equal_plain_counts(spark, monkeypatch):
+    rnd = random.Random(4)
+    keys = [[rnd.randrange(-60, 60) for _ in range(L.BANDS)] for _ in range(50)]
+    monkeypatch.setattr(L, "GATHER", 100)
+    got = L.bucket_counts(spark.createDataFrame([(k,) for k in keys], "keys array<int>"), 300).collect()
+    plain = Counter((band << 32) | (k & 0xFFFFFFFF) for row in keys for band, k in enumerate(row))
+    assert sorted(map(tuple, got)) == sorted((k, n) for k, n in plain.items() if n > 1)
+
+
 # ---- phrases ----
 
 
