@@ -11,7 +11,9 @@ Smoothing is a Dirichlet prior: p(w|u) = (c(u,w) + M p(w)) / (c(u) + M) with p(w
 logarithm falls into a part that the shard of w knows and a part of c(u) alone, which the shard of u adds when it meets
 u as a word: one pass over one shuffle gives whole probabilities.
 
-Words that are much of the corpus (and the end of texts) are split over several shards by the word before.
+Pairs travel as counts per text. Words that are much of the corpus (and the end of texts) are split over several shards
+by the word before; a pair that comes up in very many texts is split over shards of its own by text. Held-out texts count
+for the split, and split words' and pairs' training counts are known to their shards from a pass before.
 
 Words are named by 64-bit hashes. Texts whose crc32(doc_id as text) mod 5 is 1 are held out; the rest is learnt from.
 
@@ -67,24 +69,29 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """``word, n``: how often the training texts have each token, the end of texts included."""
+    """``word, n, total``: how often the training texts and all texts have each token, the end of texts included."""
     def run(batches):
-        seen, size = Counter(), 0
+        learnt, other = Counter(), Counter()
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            words = list(learnt.keys() | other.keys())
+            n = [learnt[w] for w in words]
+            columns = [[word_hash(w) for w in words], n, [k + other[w] for k, w in zip(n, words)]]
+            learnt.clear()
+            other.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["word", "n", "total"])
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                words = text.translate(LOWER_TABLE).split()
-                seen.update(words)
+            for text, held in zip(batch.column("text").to_pylist(), batch.column("held_out").to_pylist()):
+                seen = other if held else learnt
+                seen.update(text.translate(LOWER_TABLE).split())
                 seen[END] += 1
-                if len(seen) > GATHER // 3:
+                if len(learnt) + len(other) > GATHER // 3:
                     yield out()
-                    seen.clear()
         yield out()
 
-    return _rows(docs).where("NOT held_out").select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = _rows(docs).select("text", "held_out").mapInArrow(run, "word long, n long, total long")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
 @dataclass(frozen=True)
@@ -96,6 +103,7 @@ class Plan:
     texts: int  # training texts
     shards: int
     split: dict  # word -> (count, first shard, number of shards)
+    hot: dict  # word -> {word before -> (count, first shard, number of shards)}
 
     @property
     def log_unit(self) -> float:
@@ -103,18 +111,48 @@ class Plan:
         return math.log10(self.tokens + 0.5 * (self.words + 1))
 
 
-def plan_shards(counts: DataFrame, shard: int = SHARD) -> Plan:
-    """Words with more than half a shard's pairs are split; there are at most 2 N / ``shard`` of them."""
-    tokens, words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    shards = tokens // shard + 1
-    large = {r.word: r.n for r in counts.where(F.col("n") * 2 > shard).collect()}
+def hot_pairs(docs: DataFrame, words: list[int], shard: int = SHARD) -> DataFrame:
+    """``word, before, n, texts`` of the pairs of these words (and the start of texts) that over half a shard's texts hold:
+    training count, and texts, the held-out ones included."""
+    known = np.array(sorted({*words, word_hash(START)}), np.int64)
+
+    def run(batches):
+        for word, before, text, _, _, held in blocks(batches):
+            at, to = np.searchsorted(known, word) % len(known), np.searchsorted(known, before) % len(known)
+            rows = np.nonzero((known[at] == word) & (known[to] == before))[0]
+            pair, text = at[rows] * len(known) + to[rows], text[rows]
+            codes, which = np.unique(pair, return_inverse=True)
+            n = np.bincount(which[~held[text]], minlength=len(codes))
+            order = np.lexsort((text, which))
+            which, text = which[order], text[order]
+            first = np.ones(len(which), bool)
+            first[1:] = (which[1:] != which[:-1]) | (text[1:] != text[:-1])
+            texts = np.bincount(which[first], minlength=len(codes))
+            columns = [known[codes // len(known)], known[codes % len(known)], n, texts]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["word", "before", "n", "texts"])
+
+    found = _rows(docs).mapInArrow(run, "word long, before long, n long, texts long")
+    return found.groupBy("word", "before").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).where(F.col("texts") * 2 > shard)
+
+
+def plan_shards(docs: DataFrame, counts: DataFrame, shard: int = SHARD) -> Plan:
+    """Words with more than half a shard's pairs are split, and of these the pairs that are in more texts than half a
+    shard's pairs; there are at most 2 / ``shard`` of all tokens of each."""
+    tokens, words, total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    shards = total // shard + 1
+    large = {r.word: (r.n, r.total) for r in counts.where(F.col("total") * 2 > shard).collect()}
     texts = (counts.where(F.col("word") == word_hash(END)).agg(F.sum("n")).first()[0]) or 0
-    split, at = {}, shards
+    split, hot, at = {}, {}, shards
     for word in sorted(large):
-        n = 2 * large[word] // shard + 1
-        split[word] = (large[word], at, n)
+        n = 2 * large[word][1] // shard + 1
+        split[word] = (large[word][0], at, n)
         at += n
-    return Plan(tokens, words, texts, shards, split)
+    if split:
+        for r in sorted(hot_pairs(docs, list(split), shard).collect()):
+            n = 2 * r.texts // shard + 1
+            hot.setdefault(r.word, {})[r.before] = (r.n, at, n)
+            at += n
+    return Plan(tokens, words, texts, shards, split, hot)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -122,11 +160,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shard_of(plan: Plan, word: np.ndarray, before: np.ndarray) -> np.ndarray:
+def shard_of(plan: Plan, word: np.ndarray, before: np.ndarray, rid: np.ndarray) -> np.ndarray:
     out = (_mix(word) % np.uint64(plan.shards)).astype(np.int64)
     for hot, (_, first, n) in plan.split.items():
         if len(rows := np.nonzero(word == hot)[0]):
             out[rows] = first + (_mix(before[rows]) % np.uint64(n)).astype(np.int64)
+            for b, (_, start, k) in plan.hot.get(hot, {}).items():
+                some = rows[before[rows] == b]
+                out[some] = start + (_mix(rid[some]) % np.uint64(k)).astype(np.int64)
     return out
 
 
@@ -136,63 +177,74 @@ def _smallest(x: np.ndarray) -> np.ndarray:
 
 
 def _packed(word, before, text, rid, doc_id, held) -> bytes:
-    """The pairs of one shard, sorted by word, and the texts that they are from, as compressed arrays."""
+    """The pairs of one shard, sorted by word, how often each text has them, and the texts, as compressed arrays."""
     import zstandard
 
-    order = np.lexsort((text, word))
-    words, runs = np.unique(word[order], return_counts=True)
-    befores, before_at = np.unique(before[order], return_inverse=True)
-    texts, text_at = np.unique(text[order], return_inverse=True)
+    order = np.lexsort((before, text, word))
+    word, before, text = word[order], before[order], text[order]
+    first = np.ones(len(order), bool)
+    first[1:] = (word[1:] != word[:-1]) | (text[1:] != text[:-1]) | (before[1:] != before[:-1])
+    each = np.diff(np.append(np.nonzero(first)[0], len(order)))
+    words, runs = np.unique(word[first], return_counts=True)
+    befores, before_at = np.unique(before[first], return_inverse=True)
+    texts, text_at = np.unique(text[first], return_inverse=True)
     known = [d is not None for d in (doc_id[i] for i in texts)]
     return zstandard.compress(pickle.dumps((
         words, _smallest(runs), befores, _smallest(before_at), _smallest(text_at), np.diff(rid[texts], prepend=0),
-        np.diff(np.array([doc_id[i] or 0 for i in texts], np.int64), prepend=0), np.array(known, bool), held[texts],
+        np.diff(np.array([doc_id[i] or 0 for i in texts], np.int64), prepend=0), np.array(known, bool), held[texts], _smallest(each),
     ), protocol=5), 3)
 
 
+def blocks(batches):
+    """Of the texts of ``batches``, gathered to GATHER pairs: every pair's word, word before and text (its place), and the
+    texts' ``rid, doc_id, held_out``."""
+    hashes, start, end = WordHashes(), word_hash(START), word_hash(END)
+    words, ends, rid, doc_id, held = [], [], [], [], []
+
+    def block():
+        lengths = np.array(ends, np.int64) + 1  # a pair for each word and the end
+        text = np.repeat(np.arange(len(ends)), lengths)
+        flat = np.concatenate(words) if words else np.zeros(0, np.int64)
+        last = np.cumsum(lengths) - 1
+        first = last - lengths + 1
+        word = np.full(len(text), end)
+        word[np.delete(np.arange(len(text)), last)] = flat
+        before = np.full(len(text), start)
+        before[np.delete(np.arange(len(text)), first)] = flat
+        out = word, before, text, np.array(rid, np.int64), list(doc_id), np.array(held, bool)
+        for x in (words, ends, rid, doc_id, held):
+            x.clear()
+        return out
+
+    size = 0
+    for batch in batches:
+        for part in parts(batch):
+            for r, d, h, t in zip(*(part.column(c).to_pylist() for c in ("rid", "doc_id", "held_out", "text"))):
+                w = t.translate(LOWER_TABLE).split()
+                words.append(np.fromiter(map(hashes.__getitem__, w), np.int64, len(w)))
+                for column, x in zip((ends, rid, doc_id, held), (len(w), r, d, h)):
+                    column.append(x)
+                size += len(w) + 1
+                if size >= GATHER:
+                    yield block()
+                    size = 0
+            if len(hashes) > 500_000:
+                hashes.clear()
+    if ends:
+        yield block()
+
+
 def pairs(docs: DataFrame, plan: Plan) -> DataFrame:
     """``shard, block, pairs binary``: all pairs of all texts, gathered by block (the texts that a task sends at once, named
     by the first one's ``rid``) and shard."""
     def run(batches):
-        hashes, start, end = WordHashes(), word_hash(START), word_hash(END)
-        words, ends, rid, doc_id, held = [], [], [], [], []
-
-        def send():
-            lengths = np.array(ends, np.int64) + 1  # a pair for each word and the end
-            text = np.repeat(np.arange(len(ends)), lengths)
-            flat = np.concatenate(words) if words else np.zeros(0, np.int64)
-            last = np.cumsum(lengths) - 1
-            first = last - lengths + 1
-            word = np.full(len(text), end)
-            word[np.delete(np.arange(len(text)), last)] = flat
-            before = np.full(len(text), start)
-            before[np.delete(np.arange(len(text)), first)] = flat
-            shard = shard_of(plan, word, before)
+        for word, before, text, rid, doc_id, held in blocks(batches):
+            shard = shard_of(plan, word, before, rid[text])
             order = np.argsort(shard, kind="stable")
             shards, begin = np.unique(shard[order], return_index=True)
-            rids, helds = np.array(rid, np.int64), np.array(held, bool)
             for s, i, j in zip(shards.tolist(), begin.tolist(), [*begin[1:].tolist(), len(order)]):
                 rows = order[i:j]
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([rid[0]], pa.int64()), pa.array([_packed(word[rows], before[rows], text[rows], rids, doc_id, helds)], pa.binary())], ["shard", "block", "pairs"])
-            for x in (words, ends, rid, doc_id, held):
-                x.clear()
-
-        size = 0
-        for batch in batches:
-            for part in parts(batch):
-                for r, d, h, t in zip(*(part.column(c).to_pylist() for c in ("rid", "doc_id", "held_out", "text"))):
-                    w = t.translate(LOWER_TABLE).split()
-                    words.append(np.fromiter(map(hashes.__getitem__, w), np.int64, len(w)))
-                    for column, x in zip((ends, rid, doc_id, held), (len(w), r, d, h)):
-                        column.append(x)
-                    size += len(w) + 1
-                    if size >= GATHER:
-                        yield from send()
-                        size = 0
-                if len(hashes) > 500_000:
-                    hashes.clear()
-        if ends:
-            yield from send()
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([int(rid[0])], pa.int64()), pa.array([_packed(word[rows], before[rows], text[rows], rid, doc_id, held)], pa.binary())], ["shard", "block", "pairs"])
 
     return _rows(docs).mapInArrow(run, "shard long, block long, pairs binary")
 
@@ -266,11 +318,11 @@ def score_shard(chunks: list[bytes], plan: Plan) -> list[bytes]:
     offsets = np.cumsum([0, *(len(g[5]) for g in got)])
     text = np.concatenate([g[4].astype(np.int32) + int(o) for g, o in zip(got, offsets)])
     rid, doc_id = np.concatenate([np.cumsum(g[5]) for g in got]), np.concatenate([np.cumsum(g[6]) for g in got])
-    known_id, held = np.concatenate([g[7] for g in got]), np.concatenate([g[8] for g in got])
+    known_id, held, each = (np.concatenate([g[k] for g in got]) for k in (7, 8, 9))
     del got, chunks
     learnt = ~held[text]
 
-    total = np.bincount(at[learnt], minlength=len(words))
+    total = np.bincount(at[learnt], each[learnt], len(words)).astype(np.int64)
     for hot, (n, _, _) in plan.split.items():
         if (i := np.searchsorted(words, w := np.uint64(hot + (1 << 63)))) < len(words) and words[i] == w:
             total[i] = n
@@ -278,7 +330,13 @@ def score_shard(chunks: list[bytes], plan: Plan) -> list[bytes]:
     code, pair = np.unique(at.astype(np.int64) * len(befores) + to, return_inverse=True)
     pair = pair.astype(np.int32)
     pair_word, pair_before = code // len(befores), code % len(befores)
-    count = np.bincount(pair[learnt], minlength=len(code))
+    count = np.bincount(pair[learnt], each[learnt], len(code)).astype(np.int64)
+    for hot, by_before in plan.hot.items():
+        if (i := np.searchsorted(words, w := np.uint64(hot + (1 << 63)))) < len(words) and words[i] == w:
+            for b, (n, _, _) in by_before.items():
+                if (j := np.searchsorted(befores, v := np.uint64(b + (1 << 63)))) < len(befores) and befores[j] == v:
+                    if (k := np.searchsorted(code, c := int(i) * len(befores) + int(j))) < len(code) and code[k] == c:
+                        count[k] = n
     seen = count > 0
     trie = Trie.build(words[pair_word[seen]], befores[pair_before[seen]], np.log10(count[seen] + prior[pair_word[seen]])).mapped()
     log_p = trie.find(words[pair_word], befores[pair_before])
@@ -290,8 +348,8 @@ def score_shard(chunks: list[bytes], plan: Plan) -> list[bytes]:
     later = np.where(is_end, 0.0, np.log10(total + PRIOR))
     size = len(rid)
     sums = [
-        np.bincount(text, minlength=size), np.bincount(text, (total > 0)[at], size).astype(np.int64),
-        np.bincount(text, np.log10(total + 0.5)[at], size), np.bincount(text, log_p[pair], size) - np.bincount(text, later[at], size),
+        np.bincount(text, each, size).astype(np.int64), np.bincount(text, (total > 0)[at] * each, size).astype(np.int64),
+        np.bincount(text, np.log10(total + 0.5)[at] * each, size), np.bincount(text, (log_p[pair] - later[at]) * each, size),
     ]
     return [
         zstandard.compress(pickle.dumps([np.diff(rid[i:j], prepend=0), *(x[i:j] for x in (doc_id, known_id, held, *sums))], protocol=5), 1)
@@ -318,7 +376,7 @@ def scores(docs: DataFrame, shard: int = SHARD) -> DataFrame:
 
     A shard gives back one packed row for each block, and a block adds up its own texts, so rows don't multiply with the
     number of shards."""
-    plan = plan_shards(saved(word_counts(docs), "word-counts"), shard)
+    plan = plan_shards(docs, saved(word_counts(docs), "word-counts"), shard)
     names = [f.split()[0] for f in SCORED.split(", ")]
 
     def one(table: pa.Table) -> pa.Table:

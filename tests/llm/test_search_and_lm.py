@@ -149,6 +149,23 @@ def test_scores_equal_plain_model(spark, shard):
     assert np.allclose([r[6] for r in got], [r[6] for r in want], rtol=0.02)  # weights are quantised to 256 values
 
 
+def test_hot_pairs_are_split_by_text(spark):
+    import pickle
+
+    import zstandard
+
+    rows = [(i, f"of the {'x ' * (i % 50)}w{i % 7}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plan, size = M.plan_shards(df, M.word_counts(df), 400), Counter()
+    for r in M.pairs(df, plan).collect():
+        size[r.shard] += int(pickle.loads(zstandard.decompress(r.pairs))[1].sum())
+    assert max(size.values()) <= 800  # 900 texts hold the pair, 'x x' comes up 20,000 times
+    got, want = sorted(tuple(r) for r in M.scores(df, 400).collect()), sorted(plain_model(rows))
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert np.allclose([r[5] for r in got], [r[5] for r in want], rtol=1e-9)
+    assert np.allclose([r[6] for r in got], [r[6] for r in want], rtol=0.02)
+
+
 def test_empty_and_untrained(spark, nothing):
     assert M.scores(nothing).collect() == []
     held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1][:3]
