@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, decontaminate, license_scan, line_dedup, ngram_lm, phrase_dedup, quality_rules, simhash, weak_labels
+from . import byte_bpe, chat_format, decontaminate, license_scan, line_dedup, ngram_lm, phrase_dedup, quality_rules, ranked_search, simhash, turn_repair, url_filter, weak_labels
 from .common import documents
 
 
@@ -23,5 +23,15 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8,
     "op9_lm_scoring": ngram_lm.op9,
     "op10_chat_formatting": chat_format.op10,
+    "op11_url_filters": url_filter.op11,
+    "op12_ranked_search": ranked_search.op12,
+    "op13_turn_repair": turn_repair.op13,
+}
+ORACLE = {
+    "op4_benchmark_decontamination": decontaminate.SQL,
+    "op6_substring_dedup": phrase_dedup.SQL,
+    "op10_chat_formatting": chat_format.SQL,
+    "op11_url_filters": url_filter.SQL,
+    "op12_ranked_search": ranked_search.SQL,
+    "op13_turn_repair": turn_repair.SQL,
 }
-ORACLE = {"op4_benchmark_decontamination": decontaminate.SQL, "op6_substring_dedup": phrase_dedup.SQL, "op10_chat_formatting": chat_format.SQL}
