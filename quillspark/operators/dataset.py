@@ -63,10 +63,11 @@ def join_on(left: DataFrame, right: DataFrame, left_key: str, right_key: str, ho
     return left.join(right, left[left_key] == right[right_key], how).drop(right[right_key])
 
 
-def distinct_by(df: DataFrame, key: str = "essay_id", keep=("prompt_id",)) -> DataFrame:
-    """One row per key over the key columns only (the text is pruned before the shuffle): of several rows the one
-    whose ``keep`` columns are least, whatever the input order."""
-    first = df.groupBy(key).agg(F.min(F.struct(*keep)).alias("__first"))
+def distinct_by(df: DataFrame, key: str = "essay_id", keep=("prompt_id",), order: str | None = None) -> DataFrame:
+    """One row per key over the key columns only (the text is pruned before the shuffle): of several rows the first by
+    ``order`` (a column as ``sources.files.file_order`` gives), or else the one whose ``keep`` columns are least."""
+    kept = F.struct(*keep)
+    first = df.groupBy(key).agg((F.min_by(kept, order) if order else F.min(kept)).alias("__first"))
     return first.select(key, *[F.col(f"__first.{c}").alias(c) for c in keep])
 
 

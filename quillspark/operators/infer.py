@@ -33,15 +33,37 @@ def length_stub_model() -> Callable[[np.ndarray], np.ndarray]:
 
 
 def batch_infer(df: DataFrame, prompt: str, out: str, make_predict_fn=length_stub_model,
-                batch_size: int = 8, num_partitions: int | None = None, deterministic: bool = False) -> DataFrame:
-    """Add ``out`` = model completion of ``prompt``; ``num_partitions`` rebalances rows first."""
+                batch_size: int = 8, num_partitions: int | None = None, deterministic: bool = False,
+                seed: Column | None = None, by_length: bool = False) -> DataFrame:
+    """Add ``out`` = model completion of ``prompt``; ``num_partitions`` rebalances rows first.
+
+    With ``seed`` (a column that follows from the row's key, see ``row_seed``) the model function gets the seeds as a second
+    array, so that a sampling model can answer alike however the rows are dealt out. ``by_length`` puts prompts of like
+    length into a batch, by sorting each partition.
+    """
     if num_partitions:
         df = df.repartition(num_partitions)
+    if by_length:
+        df = df.sortWithinPartitions(F.length(prompt))
     udf = predict_batch_udf(make_predict_fn, return_type=T.StringType(), batch_size=batch_size)
     if not deterministic:
         # a sampled model answers differently on every call: Catalyst must neither duplicate nor move it
         udf = udf.asNondeterministic()
-    return df.withColumn(out, udf(F.col(prompt)))
+    return df.withColumn(out, udf(F.col(prompt)) if seed is None else udf(F.col(prompt), seed))
+
+
+def row_seed(*keys: str) -> Column:
+    """A number from 0 to 2^32 - 1 that follows from the key columns alone (null counts as an empty text)."""
+    text = F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def sampling_stub_model() -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A stand-in for a sampling model that follows its seeds: replies ``'Score: ' + str(seed % 11)``."""
+    def predict(prompts: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+        return np.array([None if p is None else f"Score: {int(s) % 11}" for p, s in zip(prompts, seeds)], dtype=object)
+
+    return predict
 
 
 def chat_single() -> Column:
@@ -80,29 +102,47 @@ def _written(spark: SparkSession, df: DataFrame, out: str | None, name: str) ->
 
 def infer_vanilla(spark: SparkSession, df: DataFrame, make_predict_fn=length_stub_model, batch_size: int = 8,
                   keep_output: bool = True, num_partitions: int | None = None, renderer: Renderer = INST,
-                  out: str | None = None) -> DataFrame:
+                  out: str | None = None, store: str | None = None, **stored) -> DataFrame:
     """Render the single-turn prompt and complete it: ``prompt`` (the rendered one) and ``msg_assistant`` beside the
-    columns that the model call doesn't need again. Written once, to ``out`` if given."""
+    columns that the model call doesn't need again. Written once, to ``out`` if given.
+
+    With ``store`` (a folder) the replies are kept by prompt: a broken run asks only for the rest, equal prompts are asked
+    once (``completion_store.complete``, which takes the other arguments).
+    """
     sources = {"essay", "prompt", "msg_system", "msg_user_instruction", "msg_user_instruction_template"}
     kept = [c for c in df.columns if c not in sources]
     d = df.select(*kept, renderer.single().alias("prompt"))
+    if store:
+        from .completion_store import complete
+
+        d = complete(spark, d, "prompt", "msg_assistant", store, make_predict_fn, batch_size, num_partitions=num_partitions, **stored)
+        return _written(spark, d, out, "completions-vanilla") if out else d
     d = batch_infer(d, "prompt", "msg_assistant", make_predict_fn, batch_size, num_partitions)
     return _written(spark, d, out, "completions-vanilla") if keep_output else d
 
 
 def infer_two_turn(spark: SparkSession, long_df: DataFrame, make_predict_fn=length_stub_model, batch_size: int = 8,
                    keep_output: bool = True, num_partitions: int | None = None, renderer: Renderer = INST,
-                   out: str | None = None) -> DataFrame:
+                   out: str | None = None, store: str | None = None, **stored) -> DataFrame:
     """Per ``(essay, trait)``: retrieval prompt -> reply -> two-turn scoring prompt -> reply.
 
     Both calls run in one pass: the first call is not repeatable, so Catalyst evaluates it once per row, and a retried
     task makes both replies anew before anything is committed. Only keys and replies are written, once, to ``out`` if
-    given; prompts can be rendered again from the test set.
+    given; prompts can be rendered again from the test set. With ``store`` the replies of each turn are kept by prompt in a
+    folder of their own (see ``infer_vanilla``).
     """
     messages = ["msg_system", "msg_user_retrieval", "msg_user_score"]
     gone = {"essay", "trait", "prompt", *messages}
     kept = [c for c in long_df.columns if c not in gone]
     d = long_df.select(*kept, *messages, renderer.retrieval().alias("__retrieval"))
+    if store:
+        from .completion_store import complete
+
+        ask = dict(make_predict_fn=make_predict_fn, batch_size=batch_size, num_partitions=num_partitions, **stored)
+        d = complete(spark, d, "__retrieval", "msg_assistant_retrieval", f"{store.rstrip('/')}/turn-1", **ask)
+        d = d.select(*kept, "msg_assistant_retrieval", renderer.two_turn().alias("__score"))
+        d = complete(spark, d, "__score", "msg_assistant_score", f"{store.rstrip('/')}/turn-2", **ask).drop("__score")
+        return _written(spark, d, out, "completions-score") if out else d
     d = batch_infer(d, "__retrieval", "msg_assistant_retrieval", make_predict_fn, batch_size, num_partitions)
     d = d.select(*kept, "msg_assistant_retrieval", renderer.two_turn().alias("__score"))
     d = batch_infer(d, "__score", "msg_assistant_score", make_predict_fn, batch_size).drop("__score")

@@ -6,8 +6,9 @@ for contiguous integer labels the index distance equals the value distance, so
     kappa = 1 - n * sum((a-b)^2) / (n * sum(a^2) + n * sum(b^2) - 2 * sum(a) * sum(b))
 
 Products use DECIMAL(38,0): BIGINT would overflow near 1e8 rows per prompt on a 0..60 scale.
-Tau-b uses the contingency table (one row per distinct (a, b) pair) and 2-D prefix sums over it,
-so its cost depends on the label domain, not on the number of essays.
+Tau-b uses the contingency table (one row per distinct (a, b) pair) and 2-D prefix sums over a grid: of its values where
+they are few (labels, scores), of blocks of values where they are many (real numbers). Pairs of cells within a block are
+counted block by block, so no task sees more than a block.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from .. import config as C
 from ..sources.tables import score_range, with_range
 
 DEC = "decimal(38,0)"
-#: Most distinct values of a side that tau-b's grid takes: labels or integer scores, not real numbers.
-MOST_LABELS = 1_000
+#: Distinct values of a side up to which tau-b's grid holds the values themselves; beyond, blocks of values.
+GRID_VALUES = 1_000
+#: Contingency cells of one block of values, and most blocks of a side (beyond that many cells, blocks grow).
+BLOCK_CELLS, MOST_BLOCKS = 100_000, 2_000
 
 
 def ordinal(c, labels=C.LEVEL_LABELS):
@@ -97,42 +100,25 @@ def kendall_tau_b(df: DataFrame, y1: str, y2: str, group: str = "prompt_id", dig
 
     S = concordant - discordant is summed over contingency cells:
     S = sum_c n_c * (P_c - Q_c), with P_c (Q_c) the count of observations with a smaller ``a``
-    and a smaller (larger) ``b``. P and Q are 2-D prefix sums over the dense grid of the group's
-    distinct a-values x distinct b-values, computed with running-sum windows whose partitions are
-    one grid column or row (at most the label-domain size); the same windows give the tie counts.
+    and a smaller (larger) ``b``. Values may be labels, scores or real numbers of any count; the result is exact.
     """
     return tau_from_cells(contingency(df, y1, y2, group), group, digits)
 
 
-def tau_from_cells(cells: DataFrame, group: str = "prompt_id", digits: int = 3) -> DataFrame:
-    """Tau-b from a contingency table ``(group, a, b, c)`` (see ``kendall_tau_b``)."""
-    # the group's distinct values (bounded by its value domain, not by rows), crossed by two explodes
-    values = cells.groupBy(group).agg(F.collect_set("a").alias("__as"), F.collect_set("b").alias("__bs"))
-    many = F.raise_error(F.lit(f"tau-b is for label domains of at most {MOST_LABELS} values"))
-    values = values.withColumn("__as", F.when(F.greatest(F.size("__as"), F.size("__bs")) <= MOST_LABELS, F.col("__as")).otherwise(many.cast("array<int>")))
-    grid = values.select(group, F.explode("__as").alias("a"), "__bs").select(group, "a", F.explode("__bs").alias("b"))
-    grid = grid.join(cells, [group, "a", "b"], "left").fillna(0, subset=["c"])
-    col = Window.partitionBy(group, "b")
-    grid = grid.select(
-        "*",
-        F.coalesce(F.sum("c").over(col.orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("colcum"),
-        F.sum("c").over(col).alias("coltot"),
-    )
-    row = Window.partitionBy(group, "a")
-    grid = grid.select(
-        "*",
-        F.coalesce(F.sum("colcum").over(row.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("P"),
-        F.coalesce(F.sum("colcum").over(row.orderBy("b").rowsBetween(1, Window.unboundedFollowing)), F.lit(0)).alias("Q"),
-        F.sum("c").over(row).alias("rowtot"),
-    )
-    c = F.col("c").cast(DEC)
-    # ties: sum over values t(t-1)/2 == sum over cells c * (total of its row/column - 1) / 2
-    out = grid.groupBy(group).agg(
-        F.sum(c * (F.col("P") - F.col("Q")).cast(DEC)).alias("S"),
-        F.sum("c").alias("n"),
-        (F.sum(c * (F.col("rowtot") - 1).cast(DEC)) / 2).alias("xtie"),
-        (F.sum(c * (F.col("coltot") - 1).cast(DEC)) / 2).alias("ytie"),
-    )
+def tau_from_cells(cells: DataFrame, group: str = "prompt_id", digits: int = 3, grid_values: int = GRID_VALUES,
+                   block_cells: int = BLOCK_CELLS) -> DataFrame:
+    """Tau-b from a contingency table ``(group, a, b, c)``, written once: it is read several times."""
+    from ..sources.sinks import materialize
+
+    cells = materialize(cells.sparkSession, cells.where(F.col(group).isNotNull() & (F.col("c") > 0)), "contingency")
+    sizes = cells.groupBy(group).agg(F.count_distinct("a").alias("na"), F.count_distinct("b").alias("nb"), F.count("*").alias("n"))
+    most = sizes.agg(F.max(F.greatest("na", "nb")), F.max("n")).first()
+    if (most[0] or 0) <= grid_values:
+        score = grid_score(cells, group)
+    else:
+        score = blocked_score(cells, group, min(MOST_BLOCKS, max(2, -(-most[1] // block_cells))))
+    counted = cells.groupBy(group).agg(F.sum("c").alias("n")).join(tied_pairs(cells, "a", group, "xtie"), group).join(tied_pairs(cells, "b", group, "ytie"), group)
+    out = counted.join(score, group)
     tot = F.col("n").cast(DEC) * (F.col("n") - 1).cast(DEC) / 2
     dx = (tot - F.col("xtie")).cast("double")
     dy = (tot - F.col("ytie")).cast("double")
@@ -142,6 +128,96 @@ def tau_from_cells(cells: DataFrame, group: str = "prompt_id", digits: int = 3)
     return out.select(group, "n", F.bround(tau, digits).alias("kendall_tau"))
 
 
+def tied_pairs(cells: DataFrame, side: str, group: str, out: str) -> DataFrame:
+    """``(group, out)``: pairs of observations that share their value of one side."""
+    t = F.col("t").cast(DEC)
+    return cells.groupBy(group, side).agg(F.sum("c").alias("t")).groupBy(group).agg((F.sum(t * (t - 1)) / 2).alias(out))
+
+
+def grid_score(cells: DataFrame, group: str) -> DataFrame:
+    """``(group, S)`` by 2-D prefix sums over the dense grid of the group's distinct a-values x distinct b-values, with
+    running-sum windows whose partitions are one grid column or row."""
+    # the group's distinct values (bounded by its value domain or its blocks, not by rows), crossed by two explodes
+    values = cells.groupBy(group).agg(F.collect_set("a").alias("__as"), F.collect_set("b").alias("__bs"))
+    grid = values.select(group, F.explode("__as").alias("a"), "__bs").select(group, "a", F.explode("__bs").alias("b"))
+    grid = grid.join(cells, [group, "a", "b"], "left").fillna(0, subset=["c"])
+    col = Window.partitionBy(group, "b").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.withColumn("colcum", F.coalesce(F.sum("c").over(col), F.lit(0)))
+    row = Window.partitionBy(group, "a").orderBy("b")
+    grid = grid.select(
+        "*",
+        F.coalesce(F.sum("colcum").over(row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("P"),
+        F.coalesce(F.sum("colcum").over(row.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)).alias("Q"),
+    )
+    return grid.groupBy(group).agg(F.sum(F.col("c").cast(DEC) * (F.col("P") - F.col("Q")).cast(DEC)).alias("S"))
+
+
+def blocked_score(cells: DataFrame, group: str, blocks: int) -> DataFrame:
+    """``(group, S)`` for many values: pairs of different a-blocks and b-blocks by the grid of blocks, the others inside.
+
+    Cut points are approximate quantiles of each side, counted in cells; a cut point is a block of its own, so a value with
+    very many cells never shares one (it ties with itself and needs no count). Pairs of the same a-block plus pairs of the
+    same b-block, less those that share both, are counted block by block. Approximate cuts change block sizes, never results.
+    """
+    from ..sources.sinks import materialize
+
+    shares = [i / blocks for i in range(1, blocks)]
+    cuts = cells.groupBy(group).agg(*[F.array_sort(F.array_distinct(F.percentile_approx(side, shares, 10_000))).alias(f"cuts_{side}") for side in "ab"])
+    d = cells.join(cuts, group)  # one row per group; the planner broadcasts it if it is small
+    for side in "ab":
+        below = F.size(F.filter(f"cuts_{side}", lambda c: c < F.col(side)))  # noqa: B023
+        d = d.withColumn(f"block_{side}", 2 * below + F.array_contains(f"cuts_{side}", F.col(side)).cast("int"))
+    d = materialize(cells.sparkSession, d.drop("cuts_a", "cuts_b"), "blocked-cells")
+    grid = d.groupBy(group, F.col("block_a").alias("a"), F.col("block_b").alias("b")).agg(F.sum("c").alias("c"))
+    parts = [grid_score(grid, group)]
+    mixed_a, mixed_b = F.col("block_a") % 2 == 0, F.col("block_b") % 2 == 0  # odd blocks hold one value: ties only
+    parts.append(_inside(d.where(mixed_a), group, ["block_a"], 1))
+    parts.append(_inside(d.where(mixed_b), group, ["block_b"], 1))
+    parts.append(_inside(d.where(mixed_a & mixed_b), group, ["block_a", "block_b"], -1))
+    out = parts[0].select(group, F.col("S").cast(DEC).alias("S"))
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy(group).agg(F.sum("S").alias("S"))
+
+
+def _inside(d: DataFrame, group: str, by: list, sign: int) -> DataFrame:
+    """``(group, S)`` of the pairs of cells inside each block, ``sign`` times."""
+    schema = d.select(group).schema.fields[0]
+
+    def count(key, table):
+        import pyarrow as pa
+
+        s = pair_score(*(table.column(c).to_numpy() for c in ("a", "b", "c")))
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], table.column("g").type), pa.array([str(sign * s)])], names=["g", "S"])
+
+    rows = d.select(F.col(group).alias("g"), *by, "a", "b", "c").groupBy("g", *by).applyInArrow(count, f"g {schema.dataType.simpleString()}, S string")
+    return rows.select(F.col("g").alias(group), F.col("S").cast(DEC).alias("S"))
+
+
+def pair_score(a, b, c) -> int:
+    """Concordant less discordant pairs of weighted points: by bits of the rank of b, from the highest on, two points are
+    told apart at one bit, and there the points of bit 0 with smaller and greater a are counted for each point of bit 1."""
+    import numpy as np
+
+    ra, rb = (np.unique(v, return_inverse=True)[1].astype(np.int64) for v in (a, b))
+    order = np.argsort(ra, kind="stable")
+    ra, rb, c = ra[order], rb[order], np.asarray(c)[order].astype(np.int64)
+    wide = int(c.sum()) ** 2 >= 1 << 62
+    width, total = int(ra.max()) + 1 if len(ra) else 1, 0
+    for bit in range(int(rb.max()).bit_length() if len(rb) else 0):
+        prefix = rb >> (bit + 1)
+        at = np.argsort(prefix, kind="stable")  # by prefix, then by a
+        key, one, w = prefix[at] * width + ra[at], (rb[at] >> bit) & 1, c[at]
+        before = np.concatenate([[0], np.cumsum(w * (1 - one))])
+        high = np.flatnonzero(one)
+        first, last = (np.searchsorted(key, (key[high] // width + e) * width) for e in (0, 1))
+        less = before[np.searchsorted(key, key[high], "left")] - before[first]
+        more = before[last] - before[np.searchsorted(key, key[high], "right")]
+        gain = less - more
+        total += sum(int(x) * int(y) for x, y in zip(w[high], gain)) if wide else int((w[high] * gain).sum())
+    return total
+
+
 def eval_report(df: DataFrame, spark: SparkSession, y1: str, y2: str, domain: C.ScoreDomain,
                 group: str = "prompt_id") -> DataFrame:
     """``(prompt_id, qwk, kendall_tau)``: one row per listed prompt (empty ones get nulls), or per prompt present if the
@@ -167,13 +243,12 @@ def report_from_cells(cells: DataFrame, spark: SparkSession, domain: C.ScoreDoma
 
 
 def dropped_report(df: DataFrame, value: str, group: str = "prompt_id", count: str | None = None) -> DataFrame:
-    """Rows, kept rows (non-null ``value``) and dropped rows, per group and overall (``all``); rows of no group are left out.
-    ``count``: how many rows each row of ``df`` stands for."""
+    """Rows, kept rows (non-null ``value``) and dropped rows, per group, of rows without a group (``none``, if there are
+    any) and overall (``all``: every row of ``df``). ``count``: how many rows each row of ``df`` stands for."""
     times = F.col(count) if count else F.lit(1).cast("bigint")
-    per = df.where(F.col(group).isNotNull()).groupBy(group).agg(
-        F.sum(times).alias("n_rows"), F.coalesce(F.sum(F.when(F.col(value).isNotNull(), times)), F.lit(0)).alias("n_kept"))
+    per = df.groupBy(group).agg(F.sum(times).alias("n_rows"), F.coalesce(F.sum(F.when(F.col(value).isNotNull(), times)), F.lit(0)).alias("n_kept"))
     r = per.rollup(group).agg(F.grouping_id().alias("__gid"), F.sum("n_rows").alias("n_rows"), F.sum("n_kept").alias("n_kept"))
-    key = F.when(F.col("__gid") == 1, F.lit("all")).otherwise(F.col(group).cast("string"))
+    key = F.when(F.col("__gid") == 1, F.lit("all")).otherwise(F.coalesce(F.col(group).cast("string"), F.lit("none")))
     return r.select(key.alias(group), F.col("n_rows").cast("bigint").alias("n_rows"), F.col("n_kept").cast("bigint").alias("n_kept"),
                     (F.col("n_rows") - F.col("n_kept")).cast("bigint").alias("n_dropped"))
 

@@ -6,12 +6,13 @@ long table is the per-essay aggregation (on ``essay_id``), after the essay text
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import extract as X
 from ..sources.tables import with_range
+from .moments import stddev_samp
 
 
 def with_trait_score(df: DataFrame, src: str = "completion", out: str = "trait_score",
@@ -82,25 +83,13 @@ def trait_mean(wide: DataFrame, out: str = "score_agg", n_traits: int = C.N_TRAI
     return wide.withColumn(out, total / F.lit(float(n_traits)))
 
 
-def _std(x: str, count: str | None) -> Column:
-    """Sample standard deviation of ``x``; with ``count``, of rows that stand for several."""
-    if count is None:
-        return F.stddev_samp(x)
-    # scores have few decimals: sums of whole micro-units are exact, whatever the merge order
-    unit = F.round(F.col(x) * 1_000_000).cast("decimal(18,0)")
-    n = F.sum(F.when(F.col(x).isNotNull(), F.col(count))).cast("decimal(38,0)")
-    s, ss = F.sum(F.col(count) * unit).cast("decimal(38,0)"), F.sum(F.col(count) * unit * unit).cast("decimal(38,0)")
-    spread = (n * ss - s * s).cast("double") / (n.cast("double") * (n.cast("double") - 1))
-    return F.when(n > 1, F.sqrt(spread) / 1_000_000)
-
-
 def trait_std_weights(wide: DataFrame, group: str = "prompt_id", n_traits: int = C.N_TRAITS, count: str | None = None) -> DataFrame:
     """Per group ``w_k = std_k / sum_j std_j`` (sample std, nulls skipped), rounded to 12 places.
 
-    Rounding removes last-digit noise from the order in which partial aggregates merge, so later
-    bucket edges and half-even ties do not flip between runs.
+    The deviations come from exact sums (``moments``), whether rows are essays or counted cells, so bucket edges and
+    half-even ties do not flip between runs or paths.
     """
-    stds = wide.groupBy(group).agg(*[_std(f"trait{k}", count).alias(f"std{k}") for k in range(1, n_traits + 1)])
+    stds = wide.groupBy(group).agg(*[stddev_samp(f"trait{k}", count).alias(f"std{k}") for k in range(1, n_traits + 1)])
     total = F.col("std1")
     for k in range(2, n_traits + 1):
         total = total + F.col(f"std{k}")

@@ -43,14 +43,14 @@ def q_eval_mts_ordinal_any_prompt(spark, sf):
 
 
 @register("dropped_report_domain", WF(
-    "select coalesce(cast(prompt_id as varchar), 'all') as prompt_id, count(*) as n_rows, count(score_pred) as n_kept, "
-    "count(*) - count(score_pred) as n_dropped from p where prompt_id is not null group by grouping sets ((prompt_id), ())",
+    "select case when grouping(prompt_id) = 1 then 'all' else coalesce(cast(prompt_id as varchar), 'none') end as prompt_id, count(*) as n_rows, "
+    "count(score_pred) as n_kept, count(*) - count(score_pred) as n_dropped from p group by grouping sets ((prompt_id), ())",
     "score_range", "vanilla_any", ctes={
         "v1": K._vanilla_scored_ctes()["v1"].replace("from vanilla v join", "from vanilla_any v left join"),
         "v2": K._vanilla_scored_ctes()["v2"],
         "p": K._vanilla_scored_ctes()["p"].replace("select essay_id, prompt_id", "select essay_id, prompt_id")}))
 def q_dropped_report_domain(spark, sf):
-    """Prompts 9..12 have no score range: their rows are counted as dropped."""
+    """Prompts 9..12 have no score range, and some rows no prompt: all are counted as dropped."""
     return M.dropped_report(E.score_vanilla_numeric(spark, fx.vanilla_any(spark, sf)), "score_pred")
 
 

@@ -16,20 +16,24 @@ from ..sources import files as FL
 
 
 def organize_rated_corpus(spark: SparkSession, path: str, sep: str = "\t", overrides=C.ASAP_SCORE_OVERRIDES,
-                          multi_line: bool = False) -> DataFrame:
-    return DS.organize_rated_corpus(spark, FL.read_rated_corpus(spark, path, sep=sep, multi_line=multi_line), overrides)
+                          multi_line: bool = False, encoding: str = "UTF-8") -> DataFrame:
+    return DS.organize_rated_corpus(spark, FL.read_rated_corpus(spark, path, sep=sep, multi_line=multi_line, encoding=encoding), overrides)
 
 
 def organize_proficiency_corpus(spark: SparkSession, index_path: str, text_dir: str, languages: str | None = None,
-                                name_partition: str | None = None, with_id: bool = False) -> DataFrame:
+                                name_partition: str | None = None, with_id: bool = False,
+                                id_order: str = "path") -> DataFrame:
     """Index rows joined to their essay files by file name (a bulk equi-join, no per-row reads).
 
-    An index row whose file is missing or has no bytes is an error. ``with_id`` adds a dense 0-based ``essay_id`` ordered by path over all
-    index rows, before any row can be lost to the language join, and without their texts.
+    An index row whose file is missing is an error; a file of no bytes is an empty essay (in the partition layout it is
+    missing, see ``read_text_files``). ``with_id`` adds a dense 0-based ``essay_id`` over all index rows, before any row can
+    be lost to the language join, and without their texts; ``id_order``: by ``path``, or as the rows stand in the ``file``.
     """
-    index = FL.read_index(spark, index_path)
+    if id_order not in ("path", "file"):
+        raise ValueError(f"unknown id_order {id_order!r}")
+    index = FL.read_index(spark, index_path, order="__file_order" if with_id and id_order == "file" else None)
     if with_id:
-        index = DS.dense_index(spark, index, "path", "essay_id")
+        index = DS.dense_index(spark, index, "path" if id_order == "path" else "__file_order", "essay_id").drop("__file_order")
     texts = FL.read_text_files(spark, text_dir, name_partition=name_partition)
     d = DS.join_on(index, texts, "path", "file_name", how="left")
     missing = F.raise_error(F.concat(F.lit("no essay file, or an empty one, for "), F.coalesce("path", F.lit("null"))))

@@ -19,5 +19,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all():
     """Import every catalog module (each registers its queries) and return the registry."""
-    from . import catalog, catalog_cases, catalog_prep  # noqa: F401
+    from . import catalog, catalog_cases, catalog_prep, catalog_runs  # noqa: F401
     return QUERIES, ORACLE

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "quillspark") -> SparkSession:
@@ -51,6 +51,63 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unique path under the checkpoint folder for one written table."""
+    """A new, unique path under the checkpoint folder for one written table; the innermost open scope owns it."""
     root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+    if scopes := spark.__dict__.get("_quill_scopes"):
+        scopes[-1].paths.append(path)
+    return path
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop(spark, path)
+    return fs.exists(p)
+
+
+class ScratchScope:
+    """Owns the scratch tables made while it is the innermost open scope, and removes them when it closes.
+
+    ``keep(df)`` holds back the tables that ``df`` reads: they go when ``release()`` is called, once the result is no longer
+    needed. Tables made outside of any scope stay, as results may read them. Not for several threads of one session.
+
+        with ScratchScope(spark) as scope:
+            report = scope.keep(eval_mts_numeric(spark, completions))
+        report.show()
+        scope.release()
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths, self._results = spark, [], []
+
+    def __enter__(self) -> "ScratchScope":
+        self.spark.__dict__.setdefault("_quill_scopes", []).append(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.spark.__dict__["_quill_scopes"].remove(self)
+        needed = set() if error and error[0] else {p for df in self._results for p in self._read_by(df)}
+        self._remove([p for p in self.paths if p not in needed])
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self._results.append(df)
+        return df
+
+    def release(self) -> None:
+        """Removes what was held back for results."""
+        self._results = []
+        self._remove(list(self.paths))
+
+    def _read_by(self, df: DataFrame) -> list[str]:
+        files = [f.replace(":///", ":/", 1) for f in df.inputFiles()]
+        return [p for p in self.paths if any(f.startswith(p.replace(":///", ":/", 1) + "/") for f in files)]
+
+    def _remove(self, paths: list[str]) -> None:
+        for path in paths:
+            fs, p = _hadoop(self.spark, path)
+            fs.delete(p, True)
+            self.paths.remove(path)

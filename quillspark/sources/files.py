@@ -5,14 +5,15 @@ are not asked for are left out; a missing column is an error, and so is a value
 Whole-text files are read in bulk by ``spark.read.text(wholetext=True)`` and keyed by file name, never opened per row.
 
 Delimited files are split by lines, so that a large file is read by many tasks; ``multi_line`` allows line breaks inside
-quoted fields, at the price of one task per file.
+quoted fields, at the price of one task per file. ``encoding`` names another character set than UTF-8; one whose line
+break isn't the byte 0x0A (UTF-16, UTF-32) needs ``multi_line``.
 """
 
 from __future__ import annotations
 
 import csv
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,39 +60,55 @@ def _typed(name: str, kind: T.DataType):
     return F.when(blank, F.lit(None).cast(kind)).otherwise(F.coalesce(value, bad)).alias(name)
 
 
-def read_header(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
+def read_header(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> list[str]:
     """Column names of a delimited file (of a folder: of one of its files)."""
-    first = spark.read.text(path).first()
+    if encoding.upper() == "UTF-8":
+        first = spark.read.text(path).first()
+    else:  # the CSV reader decodes; one field a line, no quotes
+        plain = {"encoding": encoding, "sep": "\u0001", "quote": "", "multiLine": "true"}
+        first = spark.read.schema("line string").options(**plain).csv(path).first()
     if first is None:
         raise ValueError(f"{path} is empty: it has no header")
-    return next(csv.reader([first[0]], delimiter=sep))
+    return next(csv.reader([first[0].lstrip("\ufeff")], delimiter=sep))
+
+
+def file_order() -> Column:
+    """Where a row stands in the files it is read from: file path, start of its split, place in the task.
+
+    Sorts rows of one read as the lines stand in the files (several files by path). For a frame that comes straight from a
+    file source; a task reads its splits, and the lines of each, in order.
+    """
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
 
 
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", header: bool = False,
-                   multi_line: bool = False) -> DataFrame:
+                   multi_line: bool = False, encoding: str = "UTF-8", order: str | None = None) -> DataFrame:
     """Columns of ``schema``: by name if the file has a header, else by position.
 
-    Every file of a folder must have the same header (Spark compares each with the first).
+    Every file of a folder must have the same header (Spark compares each with the first). ``order`` names a column for
+    the row's place in the files (see :func:`file_order`).
     """
     reader = spark.read.options(**TEXT_SAFE).option("sep", sep).option("multiLine", str(multi_line).lower()).option("mode", "FAILFAST")
+    reader = reader.option("encoding", encoding)
+    place = [file_order().alias(order)] if order else []
     if not header:
-        return reader.schema(schema).csv(path)
-    names = read_header(spark, path, sep)
+        return reader.schema(schema).csv(path).select("*", *place)
+    names = read_header(spark, path, sep, encoding)
     if missing := [f.name for f in schema.fields if f.name not in names]:
         raise ValueError(f"{path} has no column {', '.join(missing)}; it has {', '.join(names)}")
     text = T.StructType([T.StructField(n, T.StringType()) for n in names])
     raw = reader.option("header", "true").option("enforceSchema", "false").schema(text).csv(path)
-    return raw.select(*[_typed(f.name, f.dataType) for f in schema.fields])
+    return raw.select(*[_typed(f.name, f.dataType) for f in schema.fields], *place)
 
 
-def read_rated_corpus(spark: SparkSession, path: str, sep: str = "\t", multi_line: bool = False) -> DataFrame:
+def read_rated_corpus(spark: SparkSession, path: str, sep: str = "\t", multi_line: bool = False, encoding: str = "UTF-8") -> DataFrame:
     """Rated corpus (tab-separated with header): the declared columns, whatever others there are."""
-    return read_delimited(spark, path, RATED_CORPUS_SCHEMA, sep=sep, header=True, multi_line=multi_line)
+    return read_delimited(spark, path, RATED_CORPUS_SCHEMA, sep=sep, header=True, multi_line=multi_line, encoding=encoding)
 
 
-def read_index(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_index(spark: SparkSession, path: str, multi_line: bool = False, order: str | None = None) -> DataFrame:
     """Headerless index: ``path, prompt_id ('P3'), proficiency_level``."""
-    return read_delimited(spark, path, INDEX_SCHEMA, header=False, multi_line=multi_line)
+    return read_delimited(spark, path, INDEX_SCHEMA, header=False, multi_line=multi_line, order=order)
 
 
 def read_languages(spark: SparkSession, path: str) -> DataFrame:
@@ -104,22 +121,39 @@ def _decoded(c):
     return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
 
 
-def read_text_files(spark: SparkSession, path: str, strip: bool = True, name_partition: str | None = None) -> DataFrame:
+def list_names(files: DataFrame) -> DataFrame:
+    """``file_name`` of every file behind a frame of a file source, files of no bytes included (its rows leave them out).
+
+    The driver has listed the folder to plan the read; this takes that list, one name a file, from its file index.
+    """
+    spark = files.sparkSession
+    rows = [(p.rsplit("/", 1)[-1],) for p in files.inputFiles()]
+    return spark.createDataFrame(rows, "name string").select(_decoded(F.col("name")).alias("file_name")).distinct()
+
+
+def read_text_files(spark: SparkSession, path: str, strip: bool = True, name_partition: str | None = None, encoding: str = "UTF-8") -> DataFrame:
     """One row per file: ``(file_name, text)``.
 
     ``strip`` removes Python whitespace from both ends, as reading an essay file does. With
     ``name_partition`` the document name is taken from that partition directory
     (``{path}/{name_partition}=<name>/part-*``, the layout Spark's writers produce) instead of the
-    file name. A file of no bytes gives no row (Spark's file sources skip it). Names are taken from the path as they are written: ``007`` stays ``007``, spaces come back.
+    file name. A file of no bytes is an empty text; Spark's file sources skip it, so it comes from the folder's listing (in
+    the partition layout, whose writers end each text by a line break, it gives no row). Names are taken from the path as
+    they are written: ``007`` stays ``007``, spaces come back. Small files are packed into tasks by
+    ``spark.sql.files.maxPartitionBytes`` and ``openCostInBytes``. Bytes that are no text of ``encoding`` are an error, but
+    for UTF-8, where they come as replacement characters when a text is used.
     """
-    raw = spark.read.text(path, wholetext=True)
+    if encoding.upper() == "UTF-8":
+        raw, value = spark.read.text(path, wholetext=True), F.col("value")
+    else:
+        raw, value = spark.read.format("binaryFile").load(path), F.decode("content", encoding)
+    text = (py_strip(value) if strip else value).alias("text")
     if name_partition:
         folder = F.regexp_extract(F.col("_metadata.file_path"), f"/{name_partition}=([^/]*)/[^/]*$", 1)
         name = _decoded(_decoded(folder))  # encoded once as a partition value, once as a path
-    else:
-        name = _decoded(F.col("_metadata.file_name"))
-    text = py_strip("value") if strip else F.col("value")
-    return raw.select(name.alias("file_name"), text.alias("text"))
+        return raw.select(name.alias("file_name"), text)
+    texts = raw.select(_decoded(F.col("_metadata.file_name")).alias("file_name"), text)
+    return list_names(raw).join(texts, "file_name", "left").select("file_name", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def read_prompt_files(spark: SparkSession, path: str, name_partition: str | None = None) -> DataFrame:
@@ -144,8 +178,12 @@ TEMPLATE_MTS_SCHEMA = T.StructType(
 
 
 def read_templates(spark: SparkSession, path: str, method: str = "mts", fmt: str = "csv", multi_line: bool = True) -> DataFrame:
-    """Scoring templates (one row per prompt) from CSV with header, or parquet."""
+    """Scoring templates (one row per prompt) from CSV with header, parquet or a spreadsheet (``xlsx``)."""
     schema = TEMPLATE_MTS_SCHEMA if method == "mts" else TEMPLATE_VANILLA_SCHEMA
     if fmt == "parquet":
         return spark.read.parquet(path).select(*[f.name for f in schema.fields])
+    if fmt == "xlsx":
+        from .spreadsheets import read_xlsx
+
+        return read_xlsx(spark, path, schema)
     return read_delimited(spark, path, schema, header=True, multi_line=multi_line)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .files import TEXT_SAFE_WRITE
@@ -16,8 +17,10 @@ def write_parquet(df: DataFrame, path: str, partition_by=None, mode: str = "erro
     return path
 
 
-def write_delimited(df: DataFrame, path: str, sep: str = ",", header: bool = False, mode: str = "errorifexists") -> str:
-    (df.write.mode(mode).options(**TEXT_SAFE_WRITE).option("sep", sep).option("header", str(header).lower()).csv(path))
+def write_delimited(df: DataFrame, path: str, sep: str = ",", header: bool = False, mode: str = "errorifexists",
+                    encoding: str = "UTF-8") -> str:
+    writer = df.write.mode(mode).options(**TEXT_SAFE_WRITE).option("sep", sep).option("header", str(header).lower())
+    writer.option("encoding", encoding).csv(path)
     return path
 
 
@@ -27,12 +30,45 @@ def write_text_files(df: DataFrame, path: str, key: str, text: str, mode: str =
     return path
 
 
-def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def task_filesystem(path: str):
+    """``(file system, path)`` for writing files inside tasks: a folder that all executors share."""
+    from pyarrow import fs
+
+    uri = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+    return fs.FileSystem.from_uri(uri)
+
+
+def write_flat_text_files(df: DataFrame, path: str, name: str, text: str) -> str:
+    """One file per row, called as its ``name`` says, in one flat folder; an empty or null text is a file of no bytes.
+
+    Spark's writers name their files themselves, so the tasks write these. A task that runs again writes the same files
+    again. Names must be distinct and hold no slash.
+    """
+    def write(batches):
+        import pyarrow as pa
+
+        target, root = task_filesystem(path)
+        target.create_dir(root, recursive=True)
+        for batch in batches:
+            for file_name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with target.open_output_stream(f"{root}/{file_name}") as f:
+                    f.write(content or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["files"])
+
+    df.select(F.col(name).cast("string"), F.col(text).cast("binary")).mapInArrow(write, "files long").agg(F.sum("files")).first()
+    return path
+
+
+def materialize(spark: SparkSession, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to a new table in the shared checkpoint folder and read it back.
 
     Used after model inference: sampled model output is not repeatable, so it must not be
     recomputed by a retried stage or a second reader. The written table also cuts the lineage.
     """
     path = scratch_path(spark, name)
+    if partition_by:
+        # a folder without rows has no schema to infer
+        df.write.partitionBy(partition_by).parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
     df.write.parquet(path)
     return spark.read.parquet(path)
