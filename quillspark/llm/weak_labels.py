@@ -2,7 +2,7 @@
 
 Heuristic labellers vote good, bad or nothing on each document. All documents' votes are counted by pattern (a bounded
 table, three to the number of labellers), and expectation-maximisation on those counts estimates how often each labeller
-is right on good and on bad documents. The posteriors of a bounded sample then train a linear scorer over hashed words
+votes what on good documents and on each latent kind of fault. The posteriors of a bounded sample then train a linear scorer over hashed words
 and hashed buckets of text statistics, and the scorer judges every document.
 
 The scorer is fitted on at most ``SAMPLE`` documents (smallest hash of id and text); the accuracies on all.
@@ -106,53 +106,131 @@ def votes_of(patterns: np.ndarray) -> np.ndarray:
     return patterns[:, None] // 3 ** np.arange(k - 1, -1, -1) % 3
 
 
-#: A labeller votes bad on at most this share of good documents; faults differ, so one true alarm must weigh more than
-#: the silence of all other labellers.
-MOST_WRONG = 0.005
-#: At most this share of bad documents raises no alarm at all; at least LEAST_GOOD of all documents are good.
-MISSED, LEAST_GOOD = 0.1, 0.5
+#: Pseudo-votes (bad, good, none) that each share starts from, on good documents and on documents with a fault.
+PRIOR_GOOD, PRIOR_BAD = np.array([0.05, 1.0, 1.0]), np.array([0.5, 0.5, 0.5])
+#: Most kinds of fault that are told apart.
+MOST_FAULTS = 6
+#: Share of bad votes on good documents of a labeller whose share needs no estimate of its own: where the votes can't tell a
+#: fault from a false alarm, alarms are believed until the votes as a whole speak against them.
+USUAL_ERROR = 1e-3
 
 
 @dataclass(frozen=True)
 class LabelModel:
-    """Share of good documents; for each labeller how often it votes bad and good on documents of either class, out of
-    its votes if it knows both, out of all documents if it only knows bad. One labeller's silence is no evidence; that
-    no labeller at all finds a fault is."""
+    """Share of good documents and, for each labeller, how often it votes bad, good and nothing on good documents; the same
+    for each kind of fault. Kinds of fault are latent classes: within one, labellers vote independently. A labeller that
+    knows only a fault says something by its silence; one that knows good as well abstains, and shares are of its votes."""
 
     good: float
-    on_good: np.ndarray  # a row for each labeller: share of bad votes, of good votes
-    on_bad: np.ndarray
+    on_good: np.ndarray  # a row for each labeller: shares of bad, good, no vote
+    kinds: np.ndarray  # share of documents with each kind of fault
+    on_kind: np.ndarray  # by kind, labeller, vote
+    abstains: np.ndarray  # of each labeller: is silence no evidence
+
+    @property
+    def on_bad(self) -> np.ndarray:
+        """Shares of votes on documents with any fault."""
+        return np.tensordot(self.kinds / self.kinds.sum(), self.on_kind, 1)
+
+    def joint(self, votes: np.ndarray) -> np.ndarray:
+        """Logarithms of share times likelihood, by row of votes, for good and each kind of fault."""
+        rates = np.log(np.concatenate([self.on_good[None], self.on_kind]))
+        rates[:, self.abstains, NONE] = 0.0
+        each = rates[:, np.arange(votes.shape[1]), votes].sum(2)
+        return (np.log(np.concatenate([[self.good], self.kinds]))[:, None] + each).T
+
+    def responsibilities(self, votes: np.ndarray) -> np.ndarray:
+        j = self.joint(votes)
+        j = np.exp(j - j.max(1, keepdims=True))
+        return j / j.sum(1, keepdims=True)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        odds = np.full(len(votes), np.log(self.good) - np.log1p(-self.good))
-        odds -= (votes != BAD).all(1) * np.log(MISSED)
-        for v in (BAD, GOOD):
-            odds += ((votes == v) * (np.log(self.on_good[:, v]) - np.log(self.on_bad[:, v]))).sum(1)
-        return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
-
-
-def fit_labels(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelModel:
-    """Expectation-maximisation over vote patterns weighted by their counts, begun with documents called bad where any
-    labeller does. The shares start from a few pseudo-votes, so none is ever 0 or 1."""
-    both = (votes == GOOD).any(0)
-
-    def shares(p: np.ndarray) -> LabelModel:
-        def rate(w: np.ndarray, bad: float, good: float) -> np.ndarray:
-            of = np.where(both, ((votes != NONE) * w[:, None]).sum(0), w.sum()) + bad + good
-            return np.stack([(((votes == v) * w[:, None]).sum(0) + extra) / of for v, extra in ((BAD, bad), (GOOD, good))], 1)
-
-        on_good = rate(p * counts, 0.01, 4.0)
-        on_good[:, BAD] = np.minimum(on_good[:, BAD], MOST_WRONG)
-        return LabelModel(max(LEAST_GOOD, float(((p * counts).sum() + 8) / (counts.sum() + 10))), on_good, rate((1 - p) * counts, 1.0, 3.0))
-
-    model = shares(np.where((votes == BAD).any(1), 0.05, 0.95))
+        return self.responsibilities(votes)[:, 0] if len(votes) else np.zeros(0)
+
+    def fit_of(self, votes: np.ndarray, counts: np.ndarray) -> float:
+        """Logarithm of the likelihood of all votes."""
+        j = self.joint(votes)
+        top = j.max(1)
+        return float((counts * (top + np.log(np.exp(j - top[:, None]).sum(1)))).sum())
+
+
+def _estimate(votes: np.ndarray, counts: np.ndarray, share: np.ndarray, wrong: np.ndarray) -> LabelModel:
+    """Shares of classes and votes from the share of each pattern in each class (the M step); the labellers ``wrong`` have
+    their share of bad votes on good documents estimated."""
+    weight = share * counts[:, None]
+    abstains = (votes == GOOD).any(0)
+    by_vote = np.stack([np.einsum("pc,pk->ck", weight, votes == v) for v in (BAD, GOOD, NONE)], 2)
+    by_vote[:, abstains, NONE] = 0.0
+    by_vote += np.concatenate([PRIOR_GOOD[None], np.tile(PRIOR_BAD, (share.shape[1] - 1, 1))])[:, None, :]
+    rates = by_vote / by_vote.sum(2, keepdims=True)
+    rates[0, ~wrong] *= ((1 - USUAL_ERROR) / (1 - rates[0, ~wrong, BAD]))[:, None]
+    rates[0, ~wrong, BAD] = USUAL_ERROR
+    of = weight.sum(0) + np.concatenate([[8.0], np.full(share.shape[1] - 1, 2.0 / (share.shape[1] - 1))])
+    of /= of.sum()
+    return LabelModel(float(of[0]), rates[0], of[1:], rates[1:], abstains)
+
+
+def _first_guess(votes: np.ndarray, counts: np.ndarray, kinds: int) -> np.ndarray:
+    """Patterns with an alarm go to the nearest of ``kinds`` frequent sets of alarms, others are called good."""
+    alarms = votes == BAD
+    some = alarms.any(1)
+    sets, at = np.unique(alarms[some], axis=0, return_inverse=True)
+    often = np.bincount(at.ravel(), counts[some], minlength=len(sets))
+    seeds = [int(often.argmax())]
+    while len(seeds) < min(kinds, len(sets)):
+        away = (sets[:, None, :] != sets[seeds][None]).mean(2).min(1)
+        seeds.append(int((often * away).argmax()))
+    share = np.full((len(votes), kinds + 1), 0.05 / kinds)
+    share[~some, 0] = 0.95
+    share[some, 0] = 0.05
+    nearest = (sets[at.ravel()][:, None, :] != sets[seeds][None]).mean(2).argmin(1)
+    share[np.flatnonzero(some), 1 + nearest] = 0.95
+    return share / share.sum(1, keepdims=True)
+
+
+def _expect(votes: np.ndarray, counts: np.ndarray, share: np.ndarray, wrong: np.ndarray, rounds: int) -> tuple[float, LabelModel]:
+    """EM from the given shares of classes: the Bayesian information criterion of the model found, and the model."""
+    model = _estimate(votes, counts, share, wrong)
     for _ in range(rounds):
-        new = shares(model.posterior(votes))
-        change = abs(new.good - model.good) + np.abs(new.on_good - model.on_good).max() + np.abs(new.on_bad - model.on_bad).max()
+        new = _estimate(votes, counts, model.responsibilities(votes), wrong)
+        change = abs(new.good - model.good) + np.abs(new.on_good - model.on_good).max() + np.abs(new.on_kind - model.on_kind).max()
         model = new
-        if change < 1e-7:
+        if change < 1e-6:
             break
-    return model
+    free = votes.shape[1] * (1 + 2 * len(model.kinds)) + wrong.sum() + len(model.kinds)
+    return -2 * model.fit_of(votes, counts) + free * math.log(counts.sum()), model
+
+
+def fit_labels(votes: np.ndarray, counts: np.ndarray, rounds: int = 300, most_kinds: int = MOST_FAULTS) -> LabelModel:
+    """Expectation-maximisation over vote patterns weighted by their counts: shares of bad, good and no votes of each
+    labeller in each class, from a few pseudo-votes each.
+
+    It starts with one kind of fault and all labellers rarely wrong. As long as the Bayesian information criterion falls, the
+    better of two steps is taken: one more kind (faults that exclude each other fit one kind badly), or one more labeller
+    whose errors on good documents are estimated. So a labeller that often cries where all others see nothing is found to
+    be wrong, while alarms that the kinds of fault explain are believed.
+    """
+    nobody = np.zeros(votes.shape[1], bool)
+    if not counts.sum() or not (votes == BAD).any():
+        return _estimate(votes, counts, np.tile([0.95, 0.05], (len(votes), 1)), nobody)
+    patterns, at = np.unique(votes, axis=0, return_inverse=True)
+    n = np.bincount(at.ravel(), counts, minlength=len(patterns))
+    kinds, wrong = 1, nobody
+    cost, model = _expect(patterns, n, _first_guess(patterns, n, kinds), wrong, rounds)
+    while True:
+        steps = []
+        for j in np.flatnonzero(~wrong & (patterns == BAD).any(0)):
+            also = wrong | (np.arange(len(wrong)) == j)
+            calm = model.responsibilities(patterns)
+            alone = (patterns[:, j] == BAD) & ((patterns == BAD).sum(1) == 1)
+            calm[alone] = np.concatenate([[0.5], np.full(len(model.kinds), 0.5 / len(model.kinds))])
+            steps.append((*_expect(patterns, n, calm, also, rounds), kinds, also))
+        if kinds < most_kinds:
+            steps.append((*_expect(patterns, n, _first_guess(patterns, n, kinds + 1), wrong, rounds), kinds + 1, wrong))
+        best = min(steps, key=lambda s: s[0], default=None)
+        if best is None or best[0] >= cost:
+            return model
+        cost, model, kinds, wrong = best
 
 
 @dataclass(frozen=True)

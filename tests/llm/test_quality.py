@@ -96,6 +96,43 @@ def test_label_model_recovers_accuracies():
     assert ((model.posterior(votes) > 0.5) == good).mean() > 0.97
 
 
+@pytest.mark.parametrize("wrong", [0.05, 0.1, 0.2])
+def test_a_labeller_that_is_often_wrong(wrong):
+    """One labeller cries on 5, 10, 20 % of the good documents: its error is found, and they aren't rejected."""
+    rng = np.random.default_rng(2)
+    n, k = 20_000, len(W.LABELLERS)
+    good = rng.random(n) < 0.85
+    votes = np.full((n, k), W.NONE)
+    for j in range(k):
+        votes[~good & (rng.random(n) < 0.35), j] = W.BAD
+        votes[good & (rng.random(n) < (wrong if j == 3 else 0.0005)), j] = W.BAD
+    model = W.fit_labels(votes, np.ones(n))
+    kept = model.posterior(votes) > 0.5
+    assert abs(model.on_good[3, W.BAD] - wrong) < 0.01 and abs(model.good - 0.85) < 0.03
+    assert (good & ~kept).sum() < 0.01 * good.sum() and (~good & kept).sum() < 0.05 * (~good).sum()
+
+
+def test_faults_that_exclude_each_other():
+    """Three kinds of fault, each seen by two labellers of its own, one of them not always: alarms are believed."""
+    rng = np.random.default_rng(3)
+    n, k = 20_000, len(W.LABELLERS)
+    kind = rng.choice(4, n, p=[0.85, 0.05, 0.05, 0.05])
+    votes = np.full((n, k), W.NONE)
+    for f in (1, 2, 3):
+        votes[kind == f, 2 * f] = W.BAD
+        votes[(kind == f) & (rng.random(n) < 0.5), 2 * f + 1] = W.BAD
+    votes[(kind == 0) & (rng.random(n) < 0.001), 0] = W.BAD
+    model = W.fit_labels(votes, np.ones(n))
+    assert len(model.kinds) == 3 and ((model.posterior(votes) > 0.5) == (kind == 0)).mean() > 0.998
+
+
+def test_silence_of_a_labeller_that_abstains_is_no_evidence():
+    votes = np.array([[W.BAD, W.NONE], [W.NONE, W.GOOD], [W.NONE, W.NONE]])
+    model = W.fit_labels(votes, np.array([50.0, 500.0, 5.0]))
+    p = model.posterior(votes)
+    assert p[0] < 0.5 < 0.9 < p[2] and W.fit_labels(votes[:0], np.zeros(0)).posterior(votes[:0]).tolist() == []
+
+
 def test_patterns_round_trip():
     votes = np.random.default_rng(3).integers(0, 3, (50, len(W.LABELLERS)))
     codes = np.array([int("".join(map(str, v)), 3) for v in votes])
