@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, map_batches, saved, text_bytes
@@ -31,7 +31,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
 BLOCK = 500
 #: Bucket keys that a task gathers before it sends them on, and that one shard of the bucket counts holds on average.
-GATHER, SHARD = 2_000_000, 2_000_000
+GATHER, SHARD = 500_000, 500_000
+#: Groups of at most so many lines are compared together with the other small groups of their least line.
+SMALL = 32
 #: Bytes of lines that are hashed at once: arrays that fit a core's cache.
 CHUNK = 1 << 17
 
@@ -173,25 +175,6 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), text_bytes().alias("text"))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, line_no, h1, h2`` of every line that holds a word."""
-    def make():
-        def work(batch: pa.RecordBatch) -> list:
-            owner, number, hashes = [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                for n, line in enumerate(text.split(b"\n")):
-                    if has_word(line):
-                        owner.append(i)
-                        number.append(n)
-                        hashes.append(line_hash(line))
-            rows = pa.array(owner, pa.int64())
-            return [batch.column("doc_id").take(rows), batch.column("text_hash").take(rows), number, [h[0] for h in hashes], [h[1] for h in hashes]]
-
-        return work
-
-    return map_batches(_rows(docs), f"{ROW}, line_no int, h1 long, h2 long", make)
-
-
 def text_chunks(lines: list):
     """Lines in runs of about CHUNK bytes or characters."""
     run, size = [], 0
@@ -205,19 +188,32 @@ def text_chunks(lines: list):
         yield run
 
 
-def keyed_lines(docs: DataFrame) -> DataFrame:
-    """``h1, h2, keys array<int>`` of the lines that hold a word, each once per batch of texts."""
+def lines_of(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, line_no, h1, h2, keys`` of every line that holds a word, from one scan of the texts. Of equal
+    lines of a part of a batch one has its bucket keys, the others null."""
     def make():
         def work(batch: pa.RecordBatch) -> list:
-            distinct = list({x for text in batch.column("text").to_pylist() for x in text.split(b"\n") if has_word(x)})
+            owner, number, which, seen = [], [], [], {}
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                for n, line in enumerate(text.split(b"\n")):
+                    if has_word(line):
+                        owner.append(i)
+                        number.append(n)
+                        which.append(seen.setdefault(line, len(seen)))
+            distinct = list(seen)
+            hashes = np.array([line_hash(x) for x in distinct], np.int64).reshape(-1, 2)
             keys = [band_keys([x.decode("utf-8", "surrogatepass") for x in run]) for run in text_chunks(distinct)]
             flat = np.concatenate(keys).reshape(-1) if keys else np.zeros(0, np.int32)
-            hashes = [line_hash(x) for x in distinct]
-            return [[h[0] for h in hashes], [h[1] for h in hashes], pa.ListArray.from_arrays(pa.array(np.arange(len(distinct) + 1) * BANDS, pa.int32()), pa.array(flat))]
+            at, rows = np.array(which, np.int64), pa.array(owner, pa.int64())
+            first = np.zeros(len(at), bool)
+            first[np.unique(at, return_index=True)[1]] = True  # lines are numbered as they come, and so are their keys
+            ends = np.concatenate([[0], np.cumsum(first) * BANDS]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array(~first)) if len(at) else pa.array([], pa.list_(pa.int32()))
+            return [batch.column("doc_id").take(rows), batch.column("text_hash").take(rows), number, hashes[at, 0], hashes[at, 1], lists]
 
         return work
 
-    return map_batches(_rows(docs).select("text"), "h1 long, h2 long, keys array<int>", make)
+    return map_batches(_rows(docs), f"{ROW}, line_no int, h1 long, h2 long, keys array<int>", make)
 
 
 def wanted_lines(docs: DataFrame, wanted: KeyFilter) -> DataFrame:
@@ -269,9 +265,40 @@ def block_links(names: list[int], sets: list[np.ndarray], left: list[bool] | Non
     return found
 
 
-def line_links(docs: DataFrame, block: int = BLOCK, similarity: float = SIMILARITY) -> DataFrame:
-    """``a, b``: ids of lines (``h1``) that are similar, enough of them to join each component."""
-    distinct = saved(keyed_lines(docs).groupBy("h1", "h2").agg(F.first("keys").alias("keys")).select("h1", "keys"), "line-keys")
+PLACE = ("doc_id", "text_hash", "line_no")
+
+
+def maybe(rows: DataFrame, wanted: KeyFilter, keep: bool = True) -> DataFrame:
+    """The rows whose ``h1`` the filter may hold, or (``keep`` false) the others."""
+    held, bits = wanted.tester()
+
+    def run(batches):
+        bitmap = np.frombuffer(held.value, np.uint64)
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(bitmap, bits, batch.column("h1").to_numpy()) == keep))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def repeated_lines(lines: DataFrame) -> DataFrame:
+    """``h1, h2, first`` of the lines that come up twice or more and their first place."""
+    counted = lines.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("copies"))
+    return saved(counted.where("copies > 1").drop("copies"), "repeated-lines")
+
+
+def distinct_keys(lines: DataFrame, several: KeyFilter) -> DataFrame:
+    """``h1, keys`` of every distinct line. Most lines come up once and stay where they are; only the others are grouped."""
+    with_keys = lines.where("keys IS NOT NULL").select("h1", "h2", "keys")
+    again = maybe(with_keys, several).groupBy("h1", "h2").agg(F.first("keys").alias("keys"))
+    return maybe(with_keys, several, keep=False).select("h1", "keys").unionByName(again.select("h1", "keys"))
+
+
+def line_links(docs: DataFrame, block: int = BLOCK, similarity: float = SIMILARITY, distinct: DataFrame | None = None) -> DataFrame:
+    """``a, b``: ids of lines (``h1``) that are similar, enough of them to join each component. ``distinct``: the lines' keys,
+    if they are known."""
+    if distinct is None:
+        lines = saved(lines_of(docs), "lines")
+        distinct = distinct_keys(lines, KeyFilter(repeated_lines(lines).select("h1").distinct(), "h1"))
     counts = saved(bucket_counts(distinct).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "line-buckets")
     held, bits = KeyFilter(counts, "key").tester()
 
@@ -287,11 +314,18 @@ def line_links(docs: DataFrame, block: int = BLOCK, similarity: float = SIMILARI
 
     several = map_batches(distinct, "h1 long, key long", shared).join(counts, "key")
     dealt = several.withColumn("own", F.pmod(F.xxhash64("h1"), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    pairs = dealt.groupBy("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).agg(F.sort_array(F.collect_list(F.struct("own", "h1"))).alias("members"))
-    # most groups come up in several bands: each set of lines is compared once
-    groups = pairs.where("size(members) > 1").select(F.transform("members", lambda m: m["h1"]).alias("ids"), F.transform("members", lambda m: (m["own"] == F.col("lo")) | (F.col("lo") == F.col("hi"))).alias("left"))
-    groups = saved(groups.groupBy(F.xxhash64("ids", "left").alias("g1"), F.hash("ids", "left").alias("g2")).agg(F.first("ids").alias("ids"), F.first("left").alias("left")), "line-groups")
-    members = groups.select("g1", "g2", F.explode(F.arrays_zip("ids", "left")).alias("m")).select("g1", "g2", F.col("m.ids").alias("h1"), F.col("m.left").alias("left"))
+    pairs = dealt.groupBy("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).agg(
+        F.sort_array(F.collect_list(F.struct("own", "h1"))).alias("members"), F.max("blocks").alias("blocks"))
+    groups = pairs.where("size(members) > 1").select(
+        F.transform("members", lambda m: m["h1"]).alias("ids"), F.transform("members", lambda m: (m["own"] == F.col("lo")) | (F.col("lo") == F.col("hi"))).alias("left"),
+        ((F.col("blocks") == 1) & (F.size("members") <= SMALL)).alias("small"))
+    groups = saved(groups, "line-groups")
+    # near copies share many bands: the small groups of a line, at most one for each band, are one comparison
+    small = groups.where("small").select(F.col("ids")[0].alias("g1"), F.lit(0).alias("g2"), F.explode("ids").alias("h1"), F.lit(True).alias("left")).distinct()
+    # the same large set of lines in several bands is compared once
+    large = groups.where("NOT small").groupBy(F.xxhash64("ids", "left").alias("g1"), F.hash("ids", "left").alias("g2")).agg(F.first("ids").alias("ids"), F.first("left").alias("left"))
+    large = large.select("g1", F.when(F.col("g2") == 0, 1).otherwise(F.col("g2")).alias("g2"), F.explode(F.arrays_zip("ids", "left")).alias("m"))
+    members = saved(small.unionByName(large.select("g1", "g2", F.col("m.ids").alias("h1"), F.col("m.left").alias("left"))), "line-members")
     texts = wanted_lines(docs, KeyFilter(members.select("h1").distinct(), "h1")).groupBy("h1", "h2").agg(F.first("line").alias("line")).select("h1", "line")
     together = members.join(texts, "h1").groupBy("g1", "g2").agg(F.collect_list(F.struct("h1", "line", "left")).alias("members")).select("members")
 
@@ -316,38 +350,50 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Most lines are like no other: only lines that come up twice, or are in a component, are named and joined.
     """
-    joined = components(line_links(docs, similarity=similarity))
     lines = saved(lines_of(docs), "lines")
-    place = F.struct("doc_id", "text_hash", "line_no")
-    firsts = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
-    named = firsts.join(joined, firsts.h1 == joined.node, "left").where("copies > 1 OR component IS NOT NULL")
-    named = saved(named.select("h1", "h2", "first", F.coalesce("component", "h1").alias("component"), F.when(F.col("component").isNull(), F.col("h2")).alias("alone")), "named-lines")
+    repeated = repeated_lines(lines)
+    distinct = distinct_keys(lines, KeyFilter(repeated.select("h1").distinct(), "h1"))
+    joined = saved(components(line_links(docs, similarity=similarity, distinct=distinct)), "line-components")
+    places = lines.select(*PLACE, "h1", "h2")
+    alone = repeated.join(joined, repeated.h1 == joined.node, "left_anti").select("h1", "h2", F.col("h1").alias("component"), F.col("h2").alias("alone"), "first")
+    # lines of a component: their first places, from the few that the filter lets through
+    firsts = maybe(places, KeyFilter(joined.select("node"), "node")).groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("first"))
+    firsts = firsts.join(joined, F.col("h1") == F.col("node"))
+    named = saved(alone.unionByName(firsts.select("h1", "h2", "component", F.lit(None).cast("long").alias("alone"), "first")), "named-lines")
     least = named.groupBy("component", "alone").agg(F.min("first").alias("kept"))
     kept = named.join(least, (named.component == least.component) & named.alone.eqNullSafe(least.alone)).select("h1", "h2", "kept")
-    held, bits = KeyFilter(named.select("h1").distinct(), "h1").tester()
-
-    def maybe():
-        bitmap = np.frombuffer(held.value, np.uint64)
-
-        def work(batch: pa.RecordBatch) -> list:
-            return batch.filter(pa.array(may_hold(bitmap, bits, batch.column("h1").to_numpy()))).columns
+    found = maybe(places, KeyFilter(named.select("h1").distinct(), "h1")).join(kept, ["h1", "h2"])
+    judged = found.where(~F.struct(*PLACE).eqNullSafe(F.col("kept")))
+    return judged.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
-        return work
 
-    judged = map_batches(lines, f"{ROW}, line_no int, h1 long, h2 long", maybe).join(kept, ["h1", "h2"]).where(~place.eqNullSafe(F.col("kept")))
-    return judged.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+def lines_left(text: Column, removed: Column) -> Column:
+    """The text without the lines of the given numbers, in time linear in both."""
+    lines = F.split(text, "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
+    both = F.transform(F.array(F.struct(lines.alias("l"), kept.alias("k"))), lambda s: F.transform(s["k"], lambda i: F.get(s["l"], i)))
+    return F.array_join(F.element_at(both, 1), "\n")
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with the text of every row cut down to the lines that stay; all rows and columns are kept."""
     found = removed_lines(docs.select("doc_id", "text"), similarity)
-    gone = found.select(F.col("doc_id").alias("_ld_id"), F.col("text_hash").alias("_ld_hash"), F.col("removed").alias("_ld_removed"))
-    joined = docs.join(gone, docs.doc_id.cast("long").eqNullSafe(gone._ld_id) & (F.xxhash64(docs.text) == gone._ld_hash), "left")
-    left = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_ld_removed", i))
-    text = F.when(F.col("_ld_removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    gone = found.select(F.struct("doc_id", "text_hash", "removed").alias(unused_name("gone", docs)))
+    name = gone.columns[0]
+    own = gone[name]
+    joined = docs.join(gone, docs.doc_id.cast("long").eqNullSafe(own["doc_id"]) & (F.xxhash64(docs.text) == own["text_hash"]), "left")
+    text = F.when(F.col(name).isNull(), F.col("text")).otherwise(lines_left(F.col("text"), F.col(name)["removed"]))
     return joined.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def unused_name(name: str, df: DataFrame) -> str:
+    """``name``, lengthened until ``df`` has no column of it (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, n_lines, n_removed`` of every document and the line numbers that were taken out."""
     docs = documents(spark, sf_dir).select("doc_id", "text")

@@ -317,7 +317,7 @@ class WordWeights(dict):
         self.weights = weights
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         w = self[word] = self.weights[slot(word)]
         return w

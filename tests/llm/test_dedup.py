@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quillspark.llm import line_dedup as L
 from quillspark.llm import phrase_dedup as P
@@ -202,6 +203,50 @@ def test_lines_of_messy_and_empty_tables(messy, nothing):
     assert L.dedup_lines(nothing).collect() == []
 
 
+def test_own_columns_of_the_query(spark, monkeypatch):
+    """``op8``'s rows against the texts that brute force leaves."""
+    rows = line_rows()
+    monkeypatch.setattr(L, "documents", lambda spark, sf_dir: spark.createDataFrame(rows, "doc_id long, text string"))
+    want = []
+    for (i, t), (_, left) in zip(rows, plain_removed(rows)):
+        lines, keep, gone = (t or "").split("\n") if t is not None else [], (left or "").split("\n") if left is not None else [], []
+        for n, x in enumerate(lines):  # removed lines are the ones that the remaining text skips
+            if keep and x == keep[0] and len(lines) - n >= len(keep) and not _skipped(lines, n, keep):
+                keep = keep[1:]
+            else:
+                gone.append(n)
+        want.append((i, sum(bool(x.strip()) for x in lines), len(gone)))
+    got = L.op8(spark, "")
+    assert got.columns == ["doc_id", "n_lines", "n_removed", "removed"]
+    assert rows_of(got.select("doc_id", "n_lines", "n_removed")) == sorted(want, key=repr)
+    assert all(len(r.removed.split(",")) == r.n_removed for r in got.collect() if r.n_removed)
+
+
+def _skipped(lines, n, keep):
+    """Whether the remaining lines can't be a subsequence of what follows line ``n``."""
+    it = iter(lines[n + 1 :])
+    return not all(any(x == k for x in it) for k in keep[1:])
+
+
+def test_many_lines_of_one_text(spark):
+    """100,000 lines of one text, half of them repeated: removed in linear time, names that clash are kept."""
+    text = "\n".join(hashlib.md5(str(i // 2).encode()).hexdigest() for i in range(100_000))
+    df = spark.createDataFrame([(1, text, 5), (2, text, 6), (2, text, 6)], "doc_id long, text string, gone int")
+    out = df.select("doc_id", L.lines_left(F.col("text"), F.array_distinct(F.sequence(F.lit(1), F.lit(99_999), F.lit(2)))).alias("left"))
+    for r in out.collect():
+        assert r["left"].split("\n") == text.split("\n")[::2]
+    got = {(r["doc_id"], r["gone"]): r["text"] for r in L.dedup_lines(df).collect()}
+    assert got[(2, 6)] == "" and got[(1, 5)].split("\n") == text.split("\n")[::2]
+
+
+def test_repeated_rows_make_no_large_bucket(spark):
+    df = spark.createDataFrame([(1, "the very same line of text")] * 3000 + [(2, "the very same line of texts")], "doc_id long, text string").repartition(4)
+    lines = L.lines_of(df)
+    keys = L.distinct_keys(lines, L.KeyFilter(L.repeated_lines(lines).select("h1").distinct(), "h1"))
+    assert keys.count() == 2
+    assert {(r["doc_id"], r["text"]) for r in L.dedup_lines(df).collect()} == {(1, "the very same line of text"), (2, "")}
+
+
 def test_hashed_sets_have_the_exact_similarity():
     rnd = random.Random(5)
     for _ in range(500):
