@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ BANDS, ROWS = 32, 6
 BLOCK = 500
 #: Bucket keys that a task gathers before it sends them on, and that one shard of the bucket counts holds on average.
 GATHER, SHARD = 500_000, 500_000
+#: Bytes of lines whose shingle sets are compared at a time (one group may be larger).
+VERIFY = 1 << 19
 #: Groups of at most so many lines are compared together with the other small groups of their least line.
 SMALL = 32
 #: Bytes of lines that are hashed at once: arrays that fit a core's cache.
@@ -290,7 +293,7 @@ def distinct_keys(lines: DataFrame, several: KeyFilter) -> DataFrame:
     """``h1, keys`` of every distinct line. Most lines come up once and stay where they are; only the others are grouped."""
     with_keys = lines.where("keys IS NOT NULL").select("h1", "h2", "keys")
     again = maybe(with_keys, several).groupBy("h1", "h2").agg(F.first("keys").alias("keys"))
-    return maybe(with_keys, several, keep=False).select("h1", "keys").unionByName(again.select("h1", "keys"))
+    return saved(maybe(with_keys, several, keep=False).select("h1", "keys").unionByName(again.select("h1", "keys")), "line-keys")
 
 
 def line_links(docs: DataFrame, block: int = BLOCK, similarity: float = SIMILARITY, distinct: DataFrame | None = None) -> DataFrame:
@@ -332,12 +335,20 @@ def line_links(docs: DataFrame, block: int = BLOCK, similarity: float = SIMILARI
     def verify():
         def work(batch: pa.RecordBatch) -> list:
             found, members = [], batch.column("members")
-            names, lines, left = (members.flatten().field(k).to_pylist() for k in range(3))
-            sets = [x for run in text_chunks(lines) for x in shingle_sets(run)]
-            end = 0
-            for n in members.value_lengths().to_pylist():
-                i, end = end, end + n
-                found += block_links(names[i:end], sets[i:end], None if all(left[i:end]) else left[i:end], similarity)
+            sizes = members.value_lengths().to_pylist()
+            names, lines, left = (members.flatten().field(k) for k in range(3))
+            begin = end = done = 0
+            for i, n in enumerate(sizes):
+                end += n
+                # some groups at a time, so that the sets of a whole batch never lie in memory
+                if pc.sum(pc.binary_length(lines.slice(begin, end - begin))).as_py() < VERIFY and i + 1 < len(sizes):
+                    continue
+                part = [x.slice(begin, end - begin).to_pylist() for x in (names, lines, left)]
+                sets, at = [x for run in text_chunks(part[1]) for x in shingle_sets(run)], 0
+                for size in sizes[done : i + 1]:
+                    k, at = at, at + size
+                    found += block_links(part[0][k:at], sets[k:at], None if all(part[2][k:at]) else part[2][k:at], similarity)
+                begin, done = end, i + 1
             return [[a for a, _ in found], [b for _, b in found]]
 
         return work
