@@ -1,13 +1,15 @@
 """Licence scans by template matching (operator 2).
 
 Licence texts are templates with markup: ``<<beginOptional>> ... <<endOptional>>`` may be left out, and
-``<<var;min=a;max=b>>`` stands for a to b words of any kind. All templates are compiled into one automaton over word
+``<<var;min=a;max=b>>`` stands for a to b words of any kind, ``<<var;match=x|y>>`` for one of the wordings listed
+(``license_texts``: whole licence texts and notices, and names). All templates are compiled into one automaton over word
 tokens; a place is accepted where every mandatory word follows exactly. Transitions between sets of states are worked
 out when first met and remembered, so each start costs one table step per word until no state is left.
 
 Defined results: a null text has no words, no labels and score 0; repeated rows give repeated results; other columns are
-ignored; an empty table gives an empty table. Overlapping places count one by one. ``score`` is the share of a text's
-words that lie inside accepted places.
+ignored; an empty table gives an empty table. Overlapping places count one by one, but of the method's own templates that
+begin at one word only the longest counts (ties: all), so that "cc by nc sa" isn't also "cc by nc". ``score`` is the share
+of a text's words that lie inside accepted places; ``text_labels`` are the labels of whole texts and notices alone.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ALNUM_TABLE, documents, map_batches, text_bytes
+from .license_texts import names, texts
 
 
 @dataclass(frozen=True)
@@ -27,31 +30,17 @@ class Template:
     label: str
     text: str
     base: bool = False  # a phrase of the contract, counted place by place
+    whole: bool = False  # a whole licence text or notice, not just a name
 
 
 TEMPLATES = (
-    Template("gpl", "gnu general public license", True),
-    Template("apache", "apache license", True),
-    Template("cc-by", "cc by", True),
-    Template("mit", "mit license", True),
-    Template("gpl-2.0", "gnu general public license <<beginOptional>>as published by the free software foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 2"),
-    Template("gpl-3.0", "gnu general public license <<beginOptional>>as published by the free software foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 3"),
-    Template("lgpl", "gnu lesser general public license"),
-    Template("agpl", "gnu affero general public license"),
-    Template("apache-2.0", "apache license <<beginOptional>>version<<endOptional>> 2 0"),
-    Template("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at <<var;min=0;max=8>> unless required by applicable law"),
-    Template("cc-by-sa", "cc by sa <<var;min=0;max=1>> <<beginOptional>>0<<endOptional>>"),
-    Template("cc-by-nc", "cc by nc <<var;min=0;max=1>> <<beginOptional>>0<<endOptional>>"),
-    Template("cc-by-nd", "cc by nd <<var;min=0;max=1>> <<beginOptional>>0<<endOptional>>"),
-    Template("cc0", "cc0 <<beginOptional>>1 0<<endOptional>> universal"),
-    Template("cc-by", "creative commons attribution <<beginOptional>>noncommercial<<endOptional>> <<beginOptional>>sharealike<<endOptional>> <<var;min=0;max=2>> <<beginOptional>>international<<endOptional>> license"),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of <<var;min=2;max=4>> <<beginOptional>>and associated documentation files the software<<endOptional>> to deal in the software without restriction"),
-    Template("isc", "permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted <<beginOptional>>provided that the following conditions are met<<endOptional>>"),
-    Template("bsd", "bsd <<var;min=0;max=2>> license"),
-    Template("mpl-2.0", "mozilla public license <<beginOptional>>v<<endOptional>> <<beginOptional>>version<<endOptional>> 2 0"),
-    Template("spdx", "spdx license identifier <<var;min=1;max=1>>"),
-)
+    Template("gpl", "gnu general public license", base=True),
+    Template("apache", "apache license", base=True),
+    Template("cc-by", "cc by", base=True),
+    Template("mit", "mit license", base=True),
+    *(Template(label, text) for label, text in names()),
+    *(Template(label, text, whole=True) for label, text in texts()),
+)
 
 MARK = re.compile(r"<<(.*?)>>")
 #: Sets of states that are remembered before the table starts anew.
@@ -91,6 +80,9 @@ class Automaton:
                 self.skip[opened.pop()].append(at := self._joined(at))
             else:
                 options = dict(x.split("=") for x in part.split(";")[1:] if "=" in x)
+                if "match" in options:
+                    at = self._one_of(at, options["match"].split("|"))
+                    continue
                 least, most = int(options["min"]), int(options["max"])
                 ends = [at] if least == 0 else []
                 for n in range(1, most + 1):
@@ -103,7 +95,19 @@ class Automaton:
         self.done[at] = k
         return first
 
+    def _one_of(self, at: int, wordings: list[str]) -> int:
+        end = self._state()
+        for wording in wordings:
+            begin = self._state()
+            self.skip[at].append(begin)
+            for word in wording.encode().translate(ALNUM_TABLE).split():
+                begin = self._arc(begin, word)
+            self.skip[begin].append(end)
+        return end
+
     def _arc(self, at: int, word: bytes | None) -> int:
+        if word in self.on[at]:  # another way out of the same state, such as an optional region's
+            self.skip[at].append(at := self._state())
         self.on[at][word] = to = self._state()
         return to
 
@@ -122,11 +126,14 @@ class Automaton:
 
     def _forget(self) -> None:
         self.ids = {self.begin: 0}
-        self.sets, self.accepts, self.table = [self.begin], [()], [{}]
+        self.sets, self.accepts, self.table, self.named = [self.begin], [()], [{}], [self._words(self.begin)]
+
+    def _words(self, states: frozenset[int]) -> frozenset[bytes | None]:
+        return frozenset(w for s in states for w in self.on[s])
 
     def _step(self, now: int, word: bytes) -> int:
         """The set after ``word``, -1 if none; remembered by the word if some state names it, else under None."""
-        named = any(word in self.on[s] for s in self.sets[now])
+        named = word in self.named[now]
         key = word if named else None
         if key in self.table[now]:
             return self.table[now][key]
@@ -137,6 +144,7 @@ class Automaton:
             self.sets.append(to)
             self.accepts.append(tuple(sorted(self.done[s] for s in to if s in self.done)))
             self.table.append({})
+            self.named.append(self._words(to))
         self.table[now][key] = n
         return n
 
@@ -154,13 +162,14 @@ class Automaton:
                     break
                 for k in self.accepts[now]:
                     longest[k] = end + 1
-            out += [(k, start, end) for k, end in longest.items()]
+            most = max((end for k, end in longest.items() if not self.templates[k].base), default=0)
+            out += [(k, start, end) for k, end in longest.items() if end == most or self.templates[k].base]
         return out
 
 
 def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """``doc_id, n_words, matches array<struct<label, base, start, end>>`` of every text."""
-    schema = "doc_id long, n_words long, matches array<struct<label:string,base:boolean,start:int,end:int>>"
+    """``doc_id, n_words, matches array<struct<label, base, whole, start, end>>`` of every text."""
+    schema = "doc_id long, n_words long, matches array<struct<label:string,base:boolean,whole:boolean,start:int,end:int>>"
 
     def make():
         machine = Automaton(templates)
@@ -170,7 +179,8 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 words = text.translate(ALNUM_TABLE).split()
                 counts.append(len(words))
-                found.append([{"label": templates[k].label, "base": templates[k].base, "start": a, "end": b} for k, a, b in machine.places(words)])
+                kinds = ((templates[k], a, b) for k, a, b in machine.places(words))
+                found.append([{"label": t.label, "base": t.base, "whole": t.whole, "start": a, "end": b} for t, a, b in kinds])
             return [batch.column("doc_id"), counts, found]
 
         return work
@@ -198,6 +208,7 @@ def report(scanned: DataFrame) -> DataFrame:
         F.array_max(starts).cast("long").alias("last_word"),
         labels(base).alias("base_labels"),
         labels(F.col("matches")).alias("labels"),
+        labels(F.filter("matches", lambda m: m["whole"])).alias("text_labels"),
         F.when(F.col("n_words") > 0, inside / F.col("n_words")).otherwise(F.lit(0.0)).alias("score"),
     )
 

@@ -78,3 +78,56 @@ def test_refuses_templates_without_a_first_word_and_empty_tables(spark, nothing)
     with pytest.raises(ValueError):
         L.Automaton((L.Template("t", "<<beginOptional>>a<<endOptional>>"),))
     assert L.report(L.scan(nothing)).collect() == []
+
+
+def wording(label, whole=True):
+    """A text that fits the template of ``label``: optional regions left out, free words ``someone``, first of the wordings."""
+    text = next(t.text for t in L.TEMPLATES if t.label == label and t.whole == whole and not t.base)
+    while "<<beginOptional>>" in text:
+        text = re.sub(r"<<beginOptional>>(?:(?!<<beginOptional>>).)*?<<endOptional>>", " ", text, flags=re.S)
+    return re.sub(r"<<var;match=([^|>]*)[^>]*>>", r"\1", re.sub(r"<<var;min=[^>]*>>", "someone", text))
+
+
+WHOLE = [t.label for t in L.TEMPLATES if t.whole]
+
+
+@pytest.mark.parametrize("label", WHOLE)
+def test_one_changed_word_loses_the_label(label):
+    machine = L.Automaton()
+    found = lambda w: {machine.templates[k].label for k, _, _ in machine.places(w) if machine.templates[k].whole}
+    w = [x.encode() for x in words(wording(label))]
+    assert len(w) > 30 and found(w) == {label} and found([b"before", *w, b"after"]) == {label}
+    for i, word in enumerate(w):
+        if word != b"someone":
+            assert label not in found([*w[:i], b"monday", *w[i + 1 :]]), (i, word)
+            assert label not in found([*w[:i], *w[i + 1 :]]), (i, word)
+
+
+def test_whole_texts_and_variants(spark):
+    mit = wording("mit")
+    rows = [
+        "Copyright 2020\n" + mit.replace("BE LIABLE", "or anyone else be liable") + "\nend",
+        mit.split("including without limitation")[0] + "but only on mondays",
+        "creative commons attribution noncommercial license",
+        "Creative Commons Attribution-ShareAlike 4.0 International License",
+        "CC BY-NC-SA 4.0, not CC BY-ND",
+        "Creative Commons Attribution 3.0 Unported License",
+        wording("apache-2.0"),
+        "This program is " + wording("gpl-3.0-or-later"),
+        wording("bsd-3-clause").replace("Neither the name", "<p>3. Neither the name"),
+        wording("bsd-3-clause").replace("Neither the name", "3. Neither the name"),
+        "bsd is no license",
+    ]
+    got = L.report(L.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == [
+        "mit", "", "cc-by-nc", "cc-by-sa", "cc-by,cc-by-nc-sa,cc-by-nd", "cc-by", "apache,apache-2.0",
+        "gpl,gpl-3.0,gpl-3.0-or-later", "", "bsd-3-clause", "",
+    ]
+    assert [r.text_labels for r in got] == ["mit", "", "", "", "", "", "apache-2.0", "gpl-3.0-or-later", "", "bsd-3-clause", ""]
+
+
+@pytest.mark.parametrize(("text", "fits"), [("a b c e", True), ("a d e", True), ("a e", False), ("a b e", False), ("a b c d e", False), ("a b c", False)])
+def test_listed_wordings(text, fits):
+    machine = L.Automaton((L.Template("t", "a <<var;match=b c|d>> e"),))
+    w = text.encode().split()
+    assert any((a, b) == (0, len(w)) for _, a, b in machine.places(w)) == fits
