@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.sources.tables import read_table
+from quillspark.sources.tables import local_table, read_table
 
 
 @dataclass(frozen=True)
@@ -141,7 +141,8 @@ def digest(chats: DataFrame, template: ChatTemplate = LLAMA_STYLE) -> DataFrame:
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return digest(format_chats(table.unionByName(spark.createDataFrame(HOSTILE, table.schema))))
+    hostile = local_table(spark, HOSTILE, table.columns)
+    return digest(format_chats(table.unionByName(hostile.select(*[F.col(f.name).cast(f.dataType) for f in table.schema]))))
 
 
 def _escaped(text: str) -> str:
