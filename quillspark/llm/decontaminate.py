@@ -62,16 +62,21 @@ def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return saved(postings.join(broadcast_rows(terms), "term").select(*DOC, "pos", "term"), "postings")
 
 
-def rarest_terms(index: DataFrame, queries: Queries, window: int = WINDOW) -> DataFrame:
-    """``qid, begin, rank, off, term``: the terms of each window by how often the documents use them. Windows with a
-    term that no document uses can't occur and are left out."""
+def window_terms(index: DataFrame, queries: Queries, window: int = WINDOW) -> DataFrame:
+    """``qid, begin, length, rank, off, term, count, known``: the terms of each window by how often the documents use
+    them (never: first), and how many of them the documents use at all."""
     counts = index.groupBy("term").count()
     size = F.least(F.col("size"), F.lit(window))
-    known = queries.tokens.join(counts, "term", "left").withColumn("length", size)
-    inside = known.withColumn("begin", F.explode(F.sequence(F.greatest(F.lit(0), F.col("off") - F.col("length") + 1), F.least(F.col("off"), F.col("size") - F.col("length")))))
+    all_terms = queries.tokens.join(counts, "term", "left").withColumn("length", size)
+    inside = all_terms.withColumn("begin", F.explode(F.sequence(F.greatest(F.lit(0), F.col("off") - F.col("length") + 1), F.least(F.col("off"), F.col("size") - F.col("length")))))
     w = Window.partitionBy("qid", "begin")
-    ranked = inside.withColumn("rank", F.row_number().over(w.orderBy("count", "off"))).withColumn("found", F.count("count").over(w))
-    return ranked.where("found = length").select("qid", "begin", "rank", "off", "term")
+    ranked = inside.withColumn("rank", F.row_number().over(w.orderBy("count", "off"))).withColumn("known", F.count("count").over(w))
+    return ranked.select("qid", "begin", "length", "rank", "off", "term", "count", "known")
+
+
+def rarest_terms(index: DataFrame, queries: Queries, window: int = WINDOW) -> DataFrame:
+    """``qid, begin, rank, off, term`` of the windows whose terms all come up in the documents; others can't occur."""
+    return window_terms(index, queries, window).where("known = length").select("qid", "begin", "rank", "off", "term")
 
 
 def candidates(index: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -100,19 +105,30 @@ def occurrences(index: DataFrame, queries: Queries, window: int = WINDOW) -> Dat
     return runs.where(F.col("n") >= F.least(F.col("size"), F.lit(window))).select(*DOC, "qid", "lo", (F.col("lo") + F.col("n")).alias("hi"))
 
 
-def near_matches(index: DataFrame, queries: Queries, slop: int, terms: int = 3, window: int = WINDOW) -> DataFrame:
-    """Proximity: ``did, text_hash, qid`` where the ``terms`` rarest terms of a window stand within ``slop`` words of their
-    places relative to the rarest one."""
-    ranked = saved(rarest_terms(index, queries, window).where(F.col("rank") <= terms), "near-terms")
-    wanted = ranked.groupBy("qid", "begin").agg(F.max("rank").alias("wanted"))
-    lists = index.join(broadcast_rows(ranked), "term").select(*DOC, "qid", "begin", "rank", (F.col("pos") - F.col("off")).alias("delta"))
-    step = F.floor(F.col("delta") / (slop + 1))
-    base = lists.where("rank = 1").select(*DOC, "qid", "begin", "delta", F.explode(F.array(step - 1, step, step + 1)).alias("step"))
-    other = lists.where("rank > 1").select(*DOC, "qid", "begin", "rank", F.col("delta").alias("there"), step.alias("step"))
-    close = base.join(other, [*DOC, "qid", "begin", "step"]).where(F.abs(F.col("delta") - F.col("there")) <= slop)
-    full = close.groupBy(*DOC, "qid", "begin", "delta").agg(F.countDistinct("rank").alias("got")).join(wanted, ["qid", "begin"]).where("got = wanted - 1")
-    alone = lists.where("rank = 1").join(wanted.where("wanted = 1"), ["qid", "begin"])
-    return full.select(*DOC, "qid").unionByName(alone.select(*DOC, "qid")).distinct()
+def near_matches(index: DataFrame, queries: Queries, slop: int = 2, missing: int = 1, window: int = WINDOW) -> DataFrame:
+    """Proximity: ``did, text_hash, qid`` where a window's terms, all but ``missing`` of them, stand within ``slop`` words of
+    their places relative to one of its ``missing + 1`` rarest terms. An item shorter than a window may miss none.
+
+    Of the ``missing + 2`` rarest terms two must stand close together (one, if there are no two). Only around such places
+    are the lists of the window's other terms looked up, by the steps of ``slop + 1`` words next to the wanted one.
+    """
+    ranked = window_terms(index, queries, window).withColumn("allowed", F.expr(f"cast(length * {missing} div {window} AS INT)"))
+    ranked = saved(ranked.where("length - known <= allowed"), "near-terms")
+    rare = ranked.where("count IS NOT NULL AND rank <= allowed + 2").select("qid", "begin", "rank", "off", "term", "length", "allowed")
+    spot = [*DOC, "qid", "begin", "delta", "length", "allowed"]
+    lists = index.join(broadcast_rows(rare), "term").withColumn("delta", F.col("pos") - F.col("off")).withColumn("bit", F.expr("shiftleft(1L, rank)"))
+    around = Window.partitionBy(*DOC, "qid", "begin").orderBy("delta").rangeBetween(-slop, slop)
+    close = lists.withColumn("seen", F.bit_count(F.bit_or("bit").over(around)))
+    anchors = saved(close.where("rank <= allowed + 1 AND seen >= least(length, allowed + 2) - allowed").select(*spot).distinct(), "near-places")
+
+    step = F.floor(F.col("pos") / (slop + 1))
+    expected = anchors.join(broadcast_rows(ranked.select("qid", "begin", "off", "term")), ["qid", "begin"]).withColumn("pos", F.col("delta") + F.col("off"))
+    expected = expected.select(*spot, "off", "term", F.col("pos").alias("wanted"), F.explode(F.array(step - 1, step, step + 1)).alias("step"))
+    within = anchors.select(*DOC).distinct()
+    hinted = broadcast_rows(within)
+    postings = (index.join(hinted, [*DOC], "left_semi") if hinted is not within else index).withColumn("step", step)
+    there = expected.join(postings, [*DOC, "term", "step"]).where(F.abs(F.col("pos") - F.col("wanted")) <= slop)
+    return there.groupBy(*spot).agg(F.countDistinct("off").alias("got")).where("got >= length - allowed").select(*DOC, "qid").distinct()
 
 
 def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Queries]:

@@ -91,7 +91,56 @@ def test_proximity(spark):
     index = D.build_index(docs, q.tokens.select("term").distinct())
     ids = lambda df: {r.did for r in df.select("did").collect()}
     assert ids(D.occurrences(index, q)) == {3}
-    assert {1, 3} <= ids(D.near_matches(index, q, 2, terms=10)) and 2 not in ids(D.near_matches(index, q, 2, terms=10))
+    assert ids(D.near_matches(index, q, missing=0)) == {1, 3}
+
+
+def plain_near(rows, items, slop, missing):
+    """(document, item) with a near window, straight from the definition."""
+    count = Counter(w for _, t in rows for w in words(t))
+    out = set()
+    for doc, text in rows:
+        at = {}
+        for pos, w in enumerate(words(text)):
+            at.setdefault(w, []).append(pos)
+        for item, t in items:
+            q = words(t)
+            n = min(10, len(q))
+            allowed = n * missing // 10
+            for b in range(len(q) - n + 1 if n else 0):
+                offs = sorted(range(b, b + n), key=lambda k: (count[q[k]], k))
+                places = {pos - k for k in offs[: allowed + 1] for pos in at.get(q[k], [])}
+                if any(sum(any(abs(pos - k - d) <= slop for pos in at.get(q[k], [])) for k in offs) >= n - allowed for d in places):
+                    out.add((doc, item))
+                    break
+    return out
+
+
+@pytest.mark.parametrize(("slop", "missing"), [(2, 1), (0, 1), (1, 2), (3, 0)])
+def test_proximity_equals_brute_force(spark, slop, missing):
+    rnd = random.Random(slop)
+    vocabulary = [f"v{i}" for i in range(60)] + ["the", "of"] * 8
+    items = [(k, " ".join(rnd.choices(vocabulary, k=rnd.randrange(10, 25)))) for k in range(12)] + [(20, "short item"), (21, "the " * 12), (22, "")]
+    rows = [(100, "the " * 2000), (101, ""), (102, "short x item")]
+    for i in range(60):
+        q = words(items[i % 12][1])
+        for _ in range(rnd.randrange(4)):  # a word replaced by one that no item has, put in, or left out
+            k = rnd.randrange(len(q))
+            q[k : k + 1] = rnd.choice([["unseen"], ["other", q[k]], []])
+        rows.append((i, " ".join(rnd.choices(vocabulary, k=6) + q + rnd.choices(vocabulary, k=6))))
+    q = D.read_items(spark.createDataFrame(items, "item_id long, text string"))
+    index = D.build_index(spark.createDataFrame(rows, "doc_id long, text string"), q.tokens.select("term").distinct())
+    near = D.near_matches(index, q, slop, missing).join(q.items, "qid").collect()
+    assert {(r.did, int(r.item_id)) for r in near} == plain_near(rows, items, slop, missing)
+
+
+def test_proximity_with_a_replaced_word_and_a_text_of_one_word(spark):
+    item = "red green blue one two three four five six seven"
+    rows = [(k, item.replace(w, "nowhere")) for k, w in enumerate(item.split())] + [(50, "same " * 20_000), (51, item.replace("red", "x").replace("two", "y"))]
+    items = [(1, item), (2, "same " * 30), (3, item.replace("blue", "neverused"))]
+    q = D.read_items(spark.createDataFrame(items, "item_id long, text string"))
+    index = D.build_index(spark.createDataFrame(rows, "doc_id long, text string"), q.tokens.select("term").distinct())
+    near = {(r.did, r.item_id) for r in D.near_matches(index, q).join(q.items, "qid").collect()}
+    assert near == {(k, "1") for k in range(10)} | {(2, "3"), (50, "2")}
 
 
 def test_plan_is_native(spark, messy):
