@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,10 @@ WINDOW, PHRASE = 20, 8
 SHARD, SPREAD = 4_000, 1_000
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
+#: A passage with more than one of so many equal shares of all passages is looked up without a shuffle of its copies.
+PARTS = 2_000
 PLACE, PIECE = "did long, text_hash long", ("did", "text_hash", "first", "words")
+PASSAGE = f"anchor long, passage long, {PLACE}, first int, n int"
 
 
 class WordCodes(dict):
@@ -67,9 +71,10 @@ def rolled(codes: np.ndarray, size: int) -> np.ndarray:
 PLACE_BITS = 20
 
 
-def passages(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(anchor hash, first window, number of windows)`` of each passage of a text, given its words' codes, and the
-    hashes of its phrases."""
+def passages(codes: np.ndarray, lengths: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(anchor hash, first window, number of windows)`` of each passage, given the codes of a text's words, and the
+    hashes of its phrases. ``lengths``: the codes are those of several texts of so many words, one after the other."""
+    lengths = np.array([len(codes)]) if lengths is None else lengths
     n = len(codes) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -81,9 +86,15 @@ def passages(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     least = np.minimum(least[:n], least[span - width : span - width + n])
-    first = np.nonzero(np.concatenate([[True], least[1:] != least[:-1]]))[0]
-    place = first + ((least[first] & low).astype(np.int64) - first) % (1 << PLACE_BITS)
-    return phrases[place], first, np.diff(first, append=n), phrases
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    inside = np.nonzero(owner[:n] == owner[WINDOW - 1 :])[0]  # a window lies in one text
+    if not len(inside):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), phrases
+    least, owner = least[inside], owner[inside]
+    begin = np.nonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])]))[0]
+    first = inside[begin]
+    place = first + ((least[begin] & low).astype(np.int64) - first) % (1 << PLACE_BITS)
+    return phrases[place], first, np.diff(begin, append=len(inside)), phrases
 
 
 def passage_hash(phrases: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -99,78 +110,60 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(did, F.xxhash64("text").alias("text_hash"), text_bytes().alias("text"))
 
 
-def _codes(known: WordCodes, words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-def anchors(docs: DataFrame) -> DataFrame:
-    """``anchor`` of every passage."""
+def all_passages(docs: DataFrame) -> DataFrame:
+    """``anchor, passage, did, text_hash, first, n`` of every passage."""
     def make():
         known = WordCodes()
 
         def work(batch: pa.RecordBatch) -> list:
-            found = [passages(_codes(known, t.split()))[0] for t in batch.column("text").to_pylist()]
-            return [np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)]
+            words = [t.split() for t in batch.column("text").to_pylist()]
+            lengths = np.fromiter(map(len, words), np.int64, len(words))
+            codes = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.uint64, int(lengths.sum()))
+            anchor, first, count, phrases = passages(codes, lengths)
+            passage = passage_hash(phrases, first, count) if len(first) else anchor
+            ends = np.cumsum(lengths)
+            owner = np.searchsorted(ends, first, "right")
+            places = [batch.column(c).to_numpy()[owner] for c in ("did", "text_hash")]
+            return [anchor.view(np.int64), passage.view(np.int64), *places, (first - (ends - lengths)[owner]).astype(np.int32), count.astype(np.int32)]
 
         return work
 
-    return map_batches(_rows(docs).select("text"), "anchor long", make)
+    return map_batches(_rows(docs), PASSAGE, make)
 
 
-def found_passages(docs: DataFrame, wanted: KeyFilter) -> DataFrame:
-    """``anchor, passage, did, text_hash, first, n`` of the passages whose anchor the filter may hold."""
+def maybe_recurring(found: DataFrame, wanted: KeyFilter) -> DataFrame:
+    """The passages whose anchor the filter may hold."""
     held, bits = wanted.tester()
 
-    def make():
-        known, bitmap = WordCodes(), np.frombuffer(held.value, np.uint64)
-
-        def work(batch: pa.RecordBatch) -> list:
-            owner, out = [], [[], [], [], []]
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                codes = _codes(known, text.split())
-                anchor, first, count, phrases = passages(codes)
-                pick = may_hold(bitmap, bits, anchor)
-                if pick.any():
-                    anchor, first, count = anchor[pick], first[pick], count[pick]
-                    owner.append(np.full(len(first), i))
-                    for column, x in zip(out, (anchor.view(np.int64), passage_hash(phrases, first, count).view(np.int64), first, count)):
-                        column.append(x)
-            owner = np.concatenate([np.zeros(0, np.int64), *owner])
-            anchor, passage, first, count = (np.concatenate([np.zeros(0, np.int64), *c]) for c in out)
-            return [anchor, passage, *(batch.column(c).to_numpy()[owner] for c in ("did", "text_hash")), first.astype(np.int32), count.astype(np.int32)]
-
-        return work
+    def run(batches):
+        bitmap = np.frombuffer(held.value, np.uint64)
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(bitmap, bits, batch.column("anchor").to_numpy())))
 
-    return map_batches(_rows(docs), f"anchor long, passage long, {PLACE}, first int, n int", make)
+    return found.mapInArrow(run, PASSAGE)
 
 
-def passage_texts(docs: DataFrame, wanted: KeyFilter) -> DataFrame:
-    """``anchor, passage, did, text_hash, first, words`` of the passages that the filter may hold, by the XOR of
-    ``passage`` and ``text_hash``: a passage is taken from the text that has it first."""
-    held, bits = wanted.tester()
+def passage_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``anchor, did, text_hash, first, words, count`` of the passages ``chosen`` (``anchor, did, text_hash, first, n, count``),
+    cut from their texts. Rows of equal id and text are one text."""
+    wanted = chosen.groupBy("did", "text_hash").agg(F.collect_list(F.struct("anchor", "first", "n", "count")).alias("found"))
+    texts = _rows(docs).groupBy("did", "text_hash").agg(F.first("text").alias("text"))
 
     def make():
-        known, bitmap = WordCodes(), np.frombuffer(held.value, np.uint64)
-
         def work(batch: pa.RecordBatch) -> list:
-            out = [[] for _ in range(6)]
-            for did, text_hash, text in zip(*(batch.column(c).to_pylist() for c in ("did", "text_hash", "text"))):
+            found = batch.column("found")
+            each = found.value_lengths().to_numpy()
+            anchor, first, n, count = found.flatten().flatten()
+            spans, out = iter(zip(first.to_pylist(), n.to_pylist())), []
+            for text, k in zip(batch.column("text").to_pylist(), each.tolist()):
                 words = text.split()
-                codes = _codes(known, words)
-                anchor, first, count, phrases = passages(codes)
-                if not len(first):
-                    continue
-                passage = passage_hash(phrases, first, count)
-                for k in np.nonzero(may_hold(bitmap, bits, passage.view(np.int64) ^ text_hash))[0].tolist():
-                    a, n = int(first[k]), int(count[k])
-                    row = (int(anchor[k].astype(np.int64)), int(passage[k].astype(np.int64)), did, text_hash, a, b" ".join(words[a : a + n + WINDOW - 1]))
-                    for column, x in zip(out, row):
-                        column.append(x)
-            return out
+                out += [b" ".join(words[a : a + m + WINDOW - 1]) for a, m in islice(spans, k)]
+            owner = np.repeat(np.arange(len(each)), each)
+            return [anchor, *(batch.column(c).to_numpy()[owner] for c in ("did", "text_hash")), first, out, count]
 
         return work
 
-    return map_batches(_rows(docs), f"anchor long, passage long, {PLACE}, first int, words binary", make)
+    return map_batches(texts.join(wanted, ["did", "text_hash"]), f"anchor long, {PLACE}, first int, words binary, count long", make)
 
 
 def repeated_windows(pieces: list[tuple[tuple, list[bytes]]]) -> list[tuple[tuple, int]]:
@@ -206,21 +199,26 @@ def repeated_windows(pieces: list[tuple[tuple, list[bytes]]]) -> list[tuple[tupl
     return [((did, text_hash, first), offset) for ((did, text_hash, first), _), places in zip(pieces, found) for offset, k in places if earliest[k] != (did, text_hash, first + offset)]
 
 
-def repeats(docs: DataFrame, shard: int = SHARD, spread: int = SPREAD) -> DataFrame:
+def repeats(docs: DataFrame, shard: int = SHARD, spread: int = SPREAD, parts: int = PARTS) -> DataFrame:
     """``did, text_hash, first, n``: runs of windows that also stand earlier."""
-    recurring = saved(anchors(docs).groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
+    found = saved(all_passages(docs), "all-passages")
+    recurring = saved(found.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     place = F.struct("did", "text_hash", "first")
-    passage = saved(found_passages(docs, KeyFilter(recurring, "anchor")).join(recurring, "anchor", "left_semi"), "passages")
-    distinct = saved(passage.groupBy("anchor", "passage").agg(F.min(place).alias("at")), "distinct-passages")
-    whole = passage.join(distinct, ["anchor", "passage"]).where(place != F.col("at")).select("did", "text_hash", "first", "n")
+    passage = saved(maybe_recurring(found, KeyFilter(recurring, "anchor")), "passages")
+    distinct = passage.groupBy("anchor", "passage").agg(F.min(place).alias("at"), F.min("n").alias("n"), F.count("*").alias("copies"))
+    distinct = saved(distinct, "distinct-passages")
+
+    # at most ``parts`` passages have more than one of ``parts`` equal shares of all rows: their copies need no shuffle
+    share = passage.count() // parts + 1
+    keys, copies = ["anchor", "passage"], distinct.where("copies > 1").select("anchor", "passage", "at", "copies")
+    many = F.broadcast(copies.where(F.col("copies") > share).select(*keys, "at"))
+    few = passage.join(many, keys, "left_anti").join(copies.where(F.col("copies") <= share).drop("copies"), keys)
+    whole = few.unionByName(passage.join(many, keys)).where(place != F.col("at")).select("did", "text_hash", "first", "n")
 
     several = distinct.groupBy("anchor").count().where("count > 1")
-    mixed_ = saved(distinct.join(several, "anchor").select("anchor", "passage", "at.*", "count"), "mixed-passages")
+    mixed_ = saved(distinct.join(several, "anchor").select("anchor", "at.*", "n", "count"), "mixed-passages")
     shards = mixed_.count() // shard + 1
-    texts = passage_texts(docs, KeyFilter(mixed_.select(F.col("passage").bitwiseXOR(F.col("text_hash")).alias("key")), "key"))
-    pieces = texts.join(mixed_, ["anchor", "passage", "did", "text_hash", "first"]).dropDuplicates(["anchor", "did", "text_hash", "first"])
-
-    pieces = saved(pieces.select("anchor", *PIECE, "count"), "pieces")
+    pieces = saved(passage_texts(docs, mixed_), "pieces")
 
     def windows():
         def work(batch: pa.RecordBatch) -> list:
@@ -259,9 +257,9 @@ def kept_words(words: list[bytes], firsts: list[int], counts: list[int]) -> list
     return [w for w, k in zip(words, keep.tolist()) if k]
 
 
-def dedup(docs: DataFrame, shard: int = SHARD, spread: int = SPREAD) -> DataFrame:
+def dedup(docs: DataFrame, shard: int = SHARD, spread: int = SPREAD, parts: int = PARTS) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, kept`` of every row; ``kept`` is the text that stays, joined by spaces."""
-    runs = repeats(docs, shard, spread).groupBy("did", "text_hash").agg(F.collect_list("first").alias("firsts"), F.collect_list("n").alias("counts"))
+    runs = repeats(docs, shard, spread, parts).groupBy("did", "text_hash").agg(F.collect_list("first").alias("firsts"), F.collect_list("n").alias("counts"))
     joined = _rows(docs).withColumn("doc_id", F.when(F.col("did") != NO_ID, F.col("did"))).join(runs, ["did", "text_hash"], "left")
 
     def make():

@@ -337,6 +337,28 @@ def test_phrases_equal_brute_force(spark, shard, spread):
     assert rows_of(got) == sorted((want[r] for r in rows), key=repr)
 
 
+def test_copies_of_few_and_of_many_places(spark):
+    rows = phrase_rows()
+    want = plain_phrases(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 8):  # no passage, or the commonest passages, are looked up without a shuffle
+        assert rows_of(P.dedup(df, parts=parts).drop("kept")) == sorted((want[r] for r in rows), key=repr)
+
+
+def test_passages_of_several_texts_equal_those_of_each():
+    rng = np.random.default_rng(9)
+    texts = [rng.integers(0, 30, n).astype(np.uint64) for n in (0, 5, 19, 20, 21, 0, 300, 7, 20, 64)]
+    lengths = np.array([len(t) for t in texts])
+    anchor, first, n, phrases = P.passages(np.concatenate(texts), lengths)
+    names, want, at = P.passage_hash(phrases, first, n), [], 0
+    for t in texts:
+        a, f, k, p = P.passages(t)
+        want += zip(a.tolist(), (f + at).tolist(), k.tolist(), P.passage_hash(p, f, k).tolist() if len(f) else [])
+        at += len(t)
+    assert list(zip(anchor.tolist(), first.tolist(), n.tolist(), names.tolist())) == want
+    assert len(P.passages(np.concatenate(texts[:3] + texts[7:8]), np.array([0, 5, 19, 7]))[0]) == 0
+
+
 def test_phrases_of_empty_table(nothing):
     assert P.dedup(nothing).collect() == []
 
