@@ -5,7 +5,9 @@ shingles give a one-permutation MinHash signature; bands of it are bucket keys.
 by the exact Jaccard similarity of their shingle sets, and a distributed union-find makes components of the links. Of
 each component one line stays, the first by (doc_id, line number); the others are taken out of their texts.
 
-Buckets are dealt out in blocks, each pair of blocks to a task of its own, which gives a spanning forest of the links.
+Large buckets are dealt out in blocks. Each block is compared together with the bucket's first block, which joins most
+of a group of near copies by rows in proportion to the bucket. What this leaves apart is compared in a second step, block
+by block: the lines outside a bucket's largest component with all others. Both give a spanning forest of the links.
 In a block, a line is compared with the lines of other components only, so a large group of copies costs little.
 
 Defined results: a null text has no lines and stays null. Lines without a word always stay. Lines shorter than a shingle
@@ -22,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, saved, text_bytes
+from .common import broadcast_rows, documents, map_batches, saved, text_bytes
 from .components import components
 from .key_filter import KeyFilter, may_hold
 
@@ -296,39 +298,33 @@ def distinct_keys(lines: DataFrame, several: KeyFilter) -> DataFrame:
     return saved(maybe(with_keys, several, keep=False).select("h1", "keys").unionByName(again.select("h1", "keys")), "line-keys")
 
 
-def line_links(docs: DataFrame, block: int = BLOCK, similarity: float = SIMILARITY, distinct: DataFrame | None = None) -> DataFrame:
-    """``a, b``: ids of lines (``h1``) that are similar, enough of them to join each component. ``distinct``: the lines' keys,
-    if they are known."""
-    if distinct is None:
-        lines = saved(lines_of(docs), "lines")
-        distinct = distinct_keys(lines, KeyFilter(repeated_lines(lines).select("h1").distinct(), "h1"))
-    counts = saved(bucket_counts(distinct).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "line-buckets")
-    held, bits = KeyFilter(counts, "key").tester()
-
-    def shared():
-        bitmap = np.frombuffer(held.value, np.uint64)
-
-        def work(batch: pa.RecordBatch) -> list:
-            keys = bucket_numbers(batch.column("keys").flatten().to_numpy())
-            pick = may_hold(bitmap, bits, keys)
-            return [np.repeat(batch.column("h1").to_numpy(), BANDS)[pick], keys[pick]]
-
-        return work
-
-    several = map_batches(distinct, "h1 long, key long", shared).join(counts, "key")
-    dealt = several.withColumn("own", F.pmod(F.xxhash64("h1"), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    pairs = dealt.groupBy("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).agg(
-        F.sort_array(F.collect_list(F.struct("own", "h1"))).alias("members"), F.max("blocks").alias("blocks"))
-    groups = pairs.where("size(members) > 1").select(
-        F.transform("members", lambda m: m["h1"]).alias("ids"), F.transform("members", lambda m: (m["own"] == F.col("lo")) | (F.col("lo") == F.col("hi"))).alias("left"),
-        ((F.col("blocks") == 1) & (F.size("members") <= SMALL)).alias("small"))
-    groups = saved(groups, "line-groups")
-    # near copies share many bands: the small groups of a line, at most one for each band, are one comparison
-    small = groups.where("small").select(F.col("ids")[0].alias("g1"), F.lit(0).alias("g2"), F.explode("ids").alias("h1"), F.lit(True).alias("left")).distinct()
-    # the same large set of lines in several bands is compared once
-    large = groups.where("NOT small").groupBy(F.xxhash64("ids", "left").alias("g1"), F.hash("ids", "left").alias("g2")).agg(F.first("ids").alias("ids"), F.first("left").alias("left"))
-    large = large.select("g1", F.when(F.col("g2") == 0, 1).otherwise(F.col("g2")).alias("g2"), F.explode(F.arrays_zip("ids", "left")).alias("m"))
-    members = saved(small.unionByName(large.select("g1", "g2", F.col("m.ids").alias("h1"), F.col("m.left").alias("left"))), "line-members")
+def group_members(groups: DataFrame) -> DataFrame:
+    """``g1, g2, h1, left``: the members of groups ``ids, left``; equal groups, of several bands, become one."""
+    once = groups.groupBy(F.xxhash64("ids", "left").alias("g1"), F.hash("ids", "left").alias("g2")).agg(F.first("ids").alias("ids"), F.first("left").alias("left"))
+    once = once.select("g1", F.when(F.col("g2") == 0, 1).otherwise(F.col("g2")).alias("g2"), F.explode(F.arrays_zip("ids", "left")).alias("m"))
+    return once.select("g1", "g2", F.col("m.ids").alias("h1"), F.col("m.left").alias("left"))
+
+
+def left_apart(buckets: DataFrame, known: DataFrame, block: int) -> DataFrame:
+    """``ids, left``: pairs of blocks of each bucket (``key, h1``) in which every line outside the bucket's largest component
+    of ``known`` meets all other lines of the bucket. A bucket of one component has none."""
+    of = saved(buckets.join(known, buckets.h1 == known.node, "left").select("key", "h1", F.coalesce("component", "h1").alias("c")), "bucket-components")
+    sizes = of.groupBy("key", "c").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n")).where("n > n_main")
+    blocks = [F.ceil(n / block).cast("int") for n in (F.col("n") - F.col("n_main"), F.col("n_main"))]
+    most = saved(most.select("key", "main", blocks[0].alias("rest"), blocks[1].alias("mains")), "largest-components")
+    is_rest = F.col("c") != F.col("main")
+    own = F.when(is_rest, F.pmod(F.xxhash64("h1"), "rest")).otherwise(F.col("rest") + F.pmod(F.xxhash64("h1"), "mains")).cast("int")
+    others = F.when(is_rest, F.expr("sequence(0, rest + mains - 1)")).otherwise(F.expr("sequence(0, rest - 1)"))
+    dealt = of.join(broadcast_rows(most), "key").select("key", "h1", own.alias("own"), F.explode(others).alias("other"))
+    pairs = dealt.groupBy("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).agg(F.sort_array(F.collect_list(F.struct("own", "h1"))).alias("members"))
+    pairs = pairs.where((F.size("members") > 1) & ((F.col("lo") == F.col("hi")) | (F.col("members")[0]["own"] != F.element_at("members", -1)["own"])))
+    return pairs.select(F.transform("members", lambda m: m["h1"]).alias("ids"), F.transform("members", lambda m: (m["own"] == F.col("lo")) | (F.col("lo") == F.col("hi"))).alias("left"))
+
+
+def compared(docs: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: links of the lines of each group (``g1, g2, h1, left``) by the exact similarity of their shingle sets."""
+    members = saved(members, "line-members")
     texts = wanted_lines(docs, KeyFilter(members.select("h1").distinct(), "h1")).groupBy("h1", "h2").agg(F.first("line").alias("line")).select("h1", "line")
     together = members.join(texts, "h1").groupBy("g1", "g2").agg(F.collect_list(F.struct("h1", "line", "left")).alias("members")).select("members")
 
@@ -356,6 +352,44 @@ def line_links(docs: DataFrame, block: int = BLOCK, similarity: float = SIMILARI
     return map_batches(together, "a long, b long", verify)
 
 
+def line_links(docs: DataFrame, block: int = BLOCK, similarity: float = SIMILARITY, distinct: DataFrame | None = None) -> DataFrame:
+    """``a, b``: ids of lines (``h1``) that are similar, enough of them to join each component. ``distinct``: the lines' keys,
+    if they are known."""
+    if distinct is None:
+        lines = saved(lines_of(docs), "lines")
+        distinct = distinct_keys(lines, KeyFilter(repeated_lines(lines).select("h1").distinct(), "h1"))
+    counts = saved(bucket_counts(distinct).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "line-buckets")
+    held, bits = KeyFilter(counts, "key").tester()
+
+    def shared():
+        bitmap = np.frombuffer(held.value, np.uint64)
+
+        def work(batch: pa.RecordBatch) -> list:
+            keys = bucket_numbers(batch.column("keys").flatten().to_numpy())
+            pick = may_hold(bitmap, bits, keys)
+            return [np.repeat(batch.column("h1").to_numpy(), BANDS)[pick], keys[pick]]
+
+        return work
+
+    several = map_batches(distinct, "h1 long, key long", shared).join(counts, "key")
+    # each block with the first one: no more than two rows for each line of a bucket
+    own = F.pmod(F.xxhash64("h1"), "blocks").cast("int")
+    part = F.when(own == 0, F.sequence(F.lit(1), F.greatest(F.col("blocks") - 1, F.lit(1)))).otherwise(F.array(own))
+    dealt = several.withColumn("part", F.explode(part)).groupBy("key", "part").agg(F.sort_array(F.collect_list("h1")).alias("ids"), F.max("blocks").alias("blocks"))
+    groups = dealt.where("size(ids) > 1").select("key", "ids", ((F.col("blocks") == 1) & (F.size("ids") <= SMALL)).alias("small"), (F.col("blocks") > 2).alias("parted"))
+    groups = saved(groups, "line-groups")
+    # near copies share many bands: the small groups of a line, at most one for each band, are one comparison
+    small = groups.where("small").select(F.col("ids")[0].alias("g1"), F.lit(0).alias("g2"), F.explode("ids").alias("h1"), F.lit(True).alias("left")).distinct()
+    large = groups.where("NOT small").select("ids", F.transform("ids", lambda x: F.lit(True)).alias("left"))
+    found = saved(compared(docs, small.unionByName(group_members(large)), similarity), "line-links")
+    parted = saved(groups.where("parted").select("key", F.explode("ids").alias("h1")).distinct(), "parted-buckets")
+    if parted.isEmpty():
+        return found
+    known = saved(components(found), "known-links")
+    apart = left_apart(parted, known, block)
+    return known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(compared(docs, group_members(apart), similarity))
+
+
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, text_hash, removed array<int>`` of every text that loses lines: their numbers.
 

@@ -34,7 +34,8 @@ class Union:
 # ---- helpers ----
 
 
-def test_components_equal_union_find(spark):
+@pytest.mark.parametrize("local", [500_000, 40])
+def test_components_equal_union_find(spark, local):
     rnd = random.Random(0)
     edges = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (None, 1), (2000, 2001), (2000, 2001)]
     edges += [(3000, 3001 + i) for i in range(200)]
@@ -42,7 +43,7 @@ def test_components_equal_union_find(spark):
     for a, b in edges:
         if a is not None and a != b:
             u.join(a, b)
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), local=local).collect()}
     assert got == {x: u.find(x) for x in u.up}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
@@ -198,6 +199,31 @@ def test_lines_in_small_blocks(spark):
     assert sets[0] == sets[1]
 
 
+def test_large_buckets_of_few_and_of_many_components(spark):
+    """Blocks of three lines: variants of one line, and unlike lines that one bucket holds."""
+    rnd = random.Random(12)
+    base = "this is a rather long footer line that very many documents share, number"
+    lines = [f"{base} {i:03d}" for i in range(60)] + ["".join(rnd.choices("abcdefgh ", k=40)) for _ in range(20)]
+    names = {i: L.shingle_sets([x])[0] for i, x in enumerate(lines)}
+    known = spark.createDataFrame([(i, 0) for i in range(60)], "node long, component long")
+    buckets = spark.createDataFrame([(1, i) for i in range(60)] + [(2, i) for i in range(50, 80)], "key long, h1 long")
+    met = set()
+    for r in L.left_apart(buckets, known, 3).collect():
+        met |= {frozenset((x, y)) for x, p in zip(r.ids, r.left) for y, q in zip(r.ids, r.left) if x != y and (all(r.left) or p != q)}
+    assert met >= {frozenset((x, y)) for x in range(60, 80) for y in range(50, 80) if x != y} and min(map(min, met)) >= 50
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    u = Union()
+    for x in names:
+        u.find(x)
+        for y in range(x):
+            if L.similar(names[x], names[y]):
+                u.join(x, y)
+    sizes = sorted(Counter(map(u.find, names)).values())
+    for block in (3, 500):
+        got = components(L.line_links(df, block)).groupBy("component").count().collect()
+        assert sorted(r["count"] for r in got) == [n for n in sizes if n > 1]
+
+
 def test_lines_of_messy_and_empty_tables(messy, nothing):
     assert rows_of(L.dedup_lines(messy).select("doc_id", "text")) == sorted(plain_removed(messy_rows()), key=repr)
     assert L.dedup_lines(nothing).collect() == []
