@@ -48,10 +48,11 @@ _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit touches every output bit."""
     x = x ^ (x >> np.uint64(33))
-    x = x * _MIX[0]
-    x = x ^ (x >> np.uint64(33))
-    x = x * _MIX[1]
-    return x ^ (x >> np.uint64(33))
+    x *= _MIX[0]
+    x ^= x >> np.uint64(33)
+    x *= _MIX[1]
+    x ^= x >> np.uint64(33)
+    return x
 
 
 def shingle_hashes(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
