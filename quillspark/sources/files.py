@@ -2,7 +2,7 @@
 
 No schema inference. A file with a header is read by column name: its columns may stand in any order, and columns that
 are not asked for are left out; a missing column is an error, and so is a value that doesn't fit its declared type.
-Whole-text files are read in bulk by ``spark.read.text(wholetext=True)`` and keyed by file name, never opened per row.
+Whole-text files are read in bulk by Spark's ``binaryFile`` source and keyed by file name, never opened per row.
 
 Delimited files are split by lines, so that a large file is read by many tasks; ``multi_line`` allows line breaks inside
 quoted fields, at the price of one task per file. ``encoding`` names another character set than UTF-8; one whose line
@@ -12,6 +12,7 @@ break isn't the byte 0x0A (UTF-16, UTF-32) needs ``multi_line``.
 from __future__ import annotations
 
 import csv
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,14 +122,41 @@ def _decoded(c):
     return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
 
 
+#: Names of files that Spark's text reader unpacks.
+PACKED = r"\.(gz|bz2|deflate|lz4|snappy|zst)$"
+#: Splits of small files that a task reads at most, one after the other.
+SPLITS = 256
+
+
 def list_names(files: DataFrame) -> DataFrame:
     """``file_name`` of every file behind a frame of a file source, files of no bytes included (its rows leave them out).
 
-    The driver has listed the folder to plan the read; this takes that list, one name a file, from its file index.
+    The driver has listed the folder to plan the read; this takes that list, one name a file, from its file index. The names
+    stay inside the JVM.
     """
     spark = files.sparkSession
-    rows = [(p.rsplit("/", 1)[-1],) for p in files.inputFiles()]
-    return spark.createDataFrame(rows, "name string").select(_decoded(F.col("name")).alias("file_name")).distinct()
+    jvm = spark._jvm
+    paths = jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(files._jdf.inputFiles())
+    paths = spark._jsparkSession.createDataset(paths, jvm.org.apache.spark.sql.Encoders.STRING())
+    return DataFrame(paths.toDF(), spark).select(_decoded(F.substring_index("value", "/", -1)).alias("file_name"))
+
+
+def few_tasks(files: DataFrame) -> DataFrame:
+    """``files`` with its splits dealt to fewer tasks: Spark counts 4 MB for each file, so few small ones make a split."""
+    splits, least = files.rdd.getNumPartitions(), 4 * files.sparkSession.sparkContext.defaultParallelism
+    return files.coalesce(max(least, -(-splits // SPLITS))) if splits > least else files
+
+
+@contextmanager
+def few_listing_tasks(spark: SparkSession):
+    """While a source is made: many folders are listed by some tasks a core, not by Spark's ten thousand."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 8 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def read_text_files(spark: SparkSession, path: str, strip: bool = True, name_partition: str | None = None, encoding: str = "UTF-8") -> DataFrame:
@@ -137,23 +165,34 @@ def read_text_files(spark: SparkSession, path: str, strip: bool = True, name_par
     ``strip`` removes Python whitespace from both ends, as reading an essay file does. With
     ``name_partition`` the document name is taken from that partition directory
     (``{path}/{name_partition}=<name>/part-*``, the layout Spark's writers produce) instead of the
-    file name. A file of no bytes is an empty text; Spark's file sources skip it, so it comes from the folder's listing (in
-    the partition layout, whose writers end each text by a line break, it gives no row). Names are taken from the path as
-    they are written: ``007`` stays ``007``, spaces come back. Small files are packed into tasks by
-    ``spark.sql.files.maxPartitionBytes`` and ``openCostInBytes``. Bytes that are no text of ``encoding`` are an error, but
-    for UTF-8, where they come as replacement characters when a text is used.
+    file name; the folders are listed by tasks and not taken for partitions, of which there may be millions. A file of no
+    bytes is an empty text; Spark's file sources skip it, so it comes from the folder's listing (in the partition layout,
+    whose writers end each text by a line break, it gives no row). Names are taken from the path as they are written:
+    ``007`` stays ``007``, spaces come back. Small files are packed into tasks (see ``few_tasks``). Bytes that are no text of
+    ``encoding`` are an error, but for UTF-8, where they come as replacement characters when a text is used.
+
+    Files are read as bytes, which costs a fifth of the text reader's time for each; only compressed ones need that reader.
     """
-    if encoding.upper() == "UTF-8":
-        raw, value = spark.read.text(path, wholetext=True), F.col("value")
-    else:
-        raw, value = spark.read.format("binaryFile").load(path), F.decode("content", encoding)
-    text = (py_strip(value) if strip else value).alias("text")
+    utf8 = encoding.upper() == "UTF-8"
+    reader = lambda: spark.read.option("recursiveFileLookup", str(name_partition is not None).lower())
+    with few_listing_tasks(spark):
+        raw = reader().format("binaryFile").load(path)
+    names = list_names(raw)
+    source = F.col("_metadata.file_path" if name_partition else "_metadata.file_name").alias("source")
+    files = raw.select(source, (F.col("content").cast("string") if utf8 else F.decode("content", encoding)).alias("value"))
+    packed = names.where(F.col("file_name").rlike(PACKED)) if utf8 else None
+    if packed is not None and not packed.isEmpty():
+        with few_listing_tasks(spark):
+            unpacked = reader().option("pathGlobFilter", "*.{gz,bz2,deflate,lz4,snappy,zst}").text(path, wholetext=True)
+        files = files.where(~F.col("source").rlike(PACKED)).unionByName(unpacked.select(source, "value"))
+    files = few_tasks(files)
+    text = (py_strip(F.col("value")) if strip else F.col("value")).alias("text")
     if name_partition:
-        folder = F.regexp_extract(F.col("_metadata.file_path"), f"/{name_partition}=([^/]*)/[^/]*$", 1)
+        folder = F.regexp_extract("source", f"/{name_partition}=([^/]*)/[^/]*$", 1)
         name = _decoded(_decoded(folder))  # encoded once as a partition value, once as a path
-        return raw.select(name.alias("file_name"), text)
-    texts = raw.select(_decoded(F.col("_metadata.file_name")).alias("file_name"), text)
-    return list_names(raw).join(texts, "file_name", "left").select("file_name", F.coalesce("text", F.lit("")).alias("text"))
+        return files.select(name.alias("file_name"), text)
+    texts = files.select(_decoded(F.col("source")).alias("file_name"), text)
+    return names.distinct().join(texts, "file_name", "left").select("file_name", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def read_prompt_files(spark: SparkSession, path: str, name_partition: str | None = None) -> DataFrame:

@@ -166,3 +166,25 @@ def test_organize_proficiency_corpus_with_languages(spark):
         assert r["essay"] == exp[p]["essay"].strip()
     ordered = sorted(by_path)
     assert [by_path[p]["essay_id"] for p in ordered] == list(range(200))
+
+
+def test_a_folder_for_each_essay_is_written_by_the_tasks(spark):
+    """Keys that need escapes, repeated, empty and null ones, as Spark's writer lays them out; its commit took 20 ms a key."""
+    import time
+
+    docs = [("a=b/c:%.txt", "x"), ("twice", "1"), ("twice", "2"), ("", "none"), (None, None), ("ü [1]", "")]
+    df = spark.createDataFrame(docs, "name string, essay string").coalesce(1)
+    path, plain = SK.write_text_files(df, scratch_path(spark, "own"), "name", "essay"), scratch_path(spark, "plain")
+    df.write.partitionBy("name").text(plain)
+    read = lambda p: sorted(map(tuple, FL.read_text_files(spark, p, strip=False, name_partition="name").collect()))
+    assert read(path) == read(plain)
+    assert ("twice", "1\n2\n") in read(path)
+    with pytest.raises(Exception, match="exists"):
+        SK.write_text_files(df, path, "name", "essay")
+    many = spark.range(3000).select(F.concat("id", F.lit(".txt")).alias("name"), F.col("id").cast("string").alias("essay"))
+    began = time.time()
+    path = SK.write_text_files(many, scratch_path(spark, "many"), "name", "essay")
+    files = FL.read_text_files(spark, path, name_partition="name")
+    assert files.where("concat(text, '.txt') = file_name").count() == 3000
+    assert time.time() - began < 20
+    assert files.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
