@@ -188,3 +188,23 @@ def test_a_folder_for_each_essay_is_written_by_the_tasks(spark):
     assert files.where("concat(text, '.txt') = file_name").count() == 3000
     assert time.time() - began < 20
     assert files.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_flat_files_are_packed_into_few_tasks(spark):
+    import gzip
+    import os
+
+    many = spark.range(2000).select(F.concat("id", F.lit(".txt")).alias("name"), F.col("id").cast("string").alias("essay"))
+    path = SK.write_flat_text_files(many, scratch_path(spark, "many"), "name", "essay")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # a file a split
+    try:
+        files = FL.read_text_files(spark, path)
+        assert files.where("concat(text, '.txt') = file_name").count() == 2000
+        assert FL.few_tasks(spark.read.format("binaryFile").load(path)).rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    folder = _folder(spark, {"a": "plain"})
+    with open(os.path.join(folder, "b.gz"), "wb") as f:
+        f.write(gzip.compress(b"packed"))
+    assert sorted(map(tuple, FL.read_text_files(spark, folder).collect())) == [("a", "plain"), ("b.gz", "packed")]
