@@ -6,9 +6,9 @@ for contiguous integer labels the index distance equals the value distance, so
     kappa = 1 - n * sum((a-b)^2) / (n * sum(a^2) + n * sum(b^2) - 2 * sum(a) * sum(b))
 
 Products use DECIMAL(38,0): BIGINT would overflow near 1e8 rows per prompt on a 0..60 scale.
-Tau-b uses the contingency table (one row per distinct (a, b) pair) and 2-D prefix sums over a grid: of its values where
-they are few (labels, scores), of blocks of values where they are many (real numbers). Pairs of cells within a block are
-counted block by block, so no task sees more than a block.
+Tau-b uses the contingency table (one row per distinct (a, b) pair) and 2-D prefix sums over a grid of its values where
+they are few (labels, scores). Where they are many (real numbers) values are put into blocks: pairs of different blocks are
+counted bit by bit of the block number, the others block by block, so no task sees more than a block.
 """
 
 from __future__ import annotations
@@ -153,59 +153,91 @@ def grid_score(cells: DataFrame, group: str) -> DataFrame:
 
 
 def blocked_score(cells: DataFrame, group: str, blocks: int) -> DataFrame:
-    """``(group, S)`` for many values: pairs of different a-blocks and b-blocks by the grid of blocks, the others inside.
+    """``(group, S)`` for many values: pairs of different a-blocks and b-blocks by ``prefix_score``, the others inside.
 
     Cut points are approximate quantiles of each side, counted in cells; a cut point is a block of its own, so a value with
     very many cells never shares one (it ties with itself and needs no count). Pairs of the same a-block plus pairs of the
-    same b-block, less those that share both, are counted block by block. Approximate cuts change block sizes, never results.
+    same b-block, less those that share both, are counted block by block, one call a block. Approximate cuts change block
+    sizes, never results.
     """
     from ..sources.sinks import materialize
 
     shares = [i / blocks for i in range(1, blocks)]
     cuts = cells.groupBy(group).agg(*[F.array_sort(F.array_distinct(F.percentile_approx(side, shares, 10_000))).alias(f"cuts_{side}") for side in "ab"])
     d = cells.join(cuts, group)  # one row per group; the planner broadcasts it if it is small
-    for side in "ab":
-        below = F.size(F.filter(f"cuts_{side}", lambda c: c < F.col(side)))  # noqa: B023
-        d = d.withColumn(f"block_{side}", 2 * below + F.array_contains(f"cuts_{side}", F.col(side)).cast("int"))
-    d = materialize(cells.sparkSession, d.drop("cuts_a", "cuts_b"), "blocked-cells")
-    grid = d.groupBy(group, F.col("block_a").alias("a"), F.col("block_b").alias("b")).agg(F.sum("c").alias("c"))
-    parts = [grid_score(grid, group)]
-    mixed_a, mixed_b = F.col("block_a") % 2 == 0, F.col("block_b") % 2 == 0  # odd blocks hold one value: ties only
-    parts.append(_inside(d.where(mixed_a), group, ["block_a"], 1))
-    parts.append(_inside(d.where(mixed_b), group, ["block_b"], 1))
-    parts.append(_inside(d.where(mixed_a & mixed_b), group, ["block_a", "block_b"], -1))
+    d = d.select(group, "a", "b", "c", *[block_number(F.col(f"cuts_{side}"), F.col(side), blocks).alias(f"block_{side}") for side in "ab"])
+    d = materialize(cells.sparkSession, d, "blocked-cells")
+    parts = [prefix_score(d.groupBy(group, F.col("block_a").alias("a"), F.col("block_b").alias("b")).agg(F.sum("c").alias("c")), group)]
+    parts.append(_inside(d.where("block_a % 2 = 0"), group, "block_a", "block_b"))  # odd blocks hold one value: ties only
+    parts.append(_inside(d.where("block_b % 2 = 0"), group, "block_b"))
     out = parts[0].select(group, F.col("S").cast(DEC).alias("S"))
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.groupBy(group).agg(F.sum("S").alias("S"))
 
 
-def _inside(d: DataFrame, group: str, by: list, sign: int) -> DataFrame:
-    """``(group, S)`` of the pairs of cells inside each block, ``sign`` times."""
+def block_number(cuts, value, blocks: int):
+    """Twice the number of cut points below the value, one more if it is a cut point, by bisection."""
+    steps = [1 << k for k in reversed(range(max(blocks, 2).bit_length()))]
+    below = F.aggregate(
+        F.array(*map(F.lit, steps)), F.lit(0),
+        lambda at, step: F.when(F.coalesce(F.get(cuts, at + step - 1) < value, F.lit(False)), at + step).otherwise(at))
+    both = F.transform(F.array(below), lambda at: 2 * at + F.coalesce(F.get(cuts, at) == value, F.lit(False)).cast("int"))
+    return both[0]
+
+
+def prefix_score(cells: DataFrame, group: str) -> DataFrame:
+    """``(group, S)`` of cells whose ``a`` and ``b`` are small numbers, without a grid: by bits of ``b``, from the highest on,
+    two cells are told apart at one bit, and there the counts of bit 0 with smaller and greater ``a`` are summed for each ``a``.
+
+    Cells times bits are grouped; a window holds at most one row for each ``a``.
+    """
+    bits = F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.col("most"), F.lit(1)))).cast("int")))
+    most = cells.groupBy(group).agg(F.max("b").alias("most"))
+    d = cells.join(most, group).select(group, "a", "b", "c", bits.alias("bit"))
+    one = F.expr("shiftright(b, bit) & 1") == 1
+    d = d.groupBy(group, "bit", F.expr("shiftright(b, bit + 1)").alias("prefix"), "a").agg(
+        F.sum(F.when(~one, F.col("c")).otherwise(0)).alias("zeros"), F.sum(F.when(one, F.col("c")).otherwise(0)).alias("ones"))
+    w = Window.partitionBy(group, "bit", "prefix").orderBy("a")
+    less = F.coalesce(F.sum("zeros").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    more = F.coalesce(F.sum("zeros").over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    d = d.select(group, "ones", (less - more).alias("gain"))
+    return d.groupBy(group).agg(F.sum(F.col("ones").cast(DEC) * F.col("gain").cast(DEC)).alias("S"))
+
+
+def _inside(d: DataFrame, group: str, by: str, apart: str | None = None) -> DataFrame:
+    """``(group, S)`` of the pairs of cells inside each block, but for those that share their block ``apart`` as well."""
     schema = d.select(group).schema.fields[0]
 
     def count(key, table):
         import pyarrow as pa
 
-        s = pair_score(*(table.column(c).to_numpy() for c in ("a", "b", "c")))
-        return pa.Table.from_arrays([pa.array([key[0].as_py()], table.column("g").type), pa.array([str(sign * s)])], names=["g", "S"])
+        points = [table.column(c).to_numpy() for c in ("a", "b", "c")]
+        s = pair_score(*points)
+        if apart:
+            s -= pair_score(*points, table.column(apart).to_numpy())
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], table.column("g").type), pa.array([str(s)])], names=["g", "S"])
 
-    rows = d.select(F.col(group).alias("g"), *by, "a", "b", "c").groupBy("g", *by).applyInArrow(count, f"g {schema.dataType.simpleString()}, S string")
+    kept = [by, *([apart] if apart else [])]
+    rows = d.select(F.col(group).alias("g"), *kept, "a", "b", "c").groupBy("g", by).applyInArrow(count, f"g {schema.dataType.simpleString()}, S string")
     return rows.select(F.col("g").alias(group), F.col("S").cast(DEC).alias("S"))
 
 
-def pair_score(a, b, c) -> int:
+def pair_score(a, b, c, part=None) -> int:
     """Concordant less discordant pairs of weighted points: by bits of the rank of b, from the highest on, two points are
-    told apart at one bit, and there the points of bit 0 with smaller and greater a are counted for each point of bit 1."""
+    told apart at one bit, and there the points of bit 0 with smaller and greater a are counted for each point of bit 1.
+    With ``part``, pairs of the same part only."""
     import numpy as np
 
     ra, rb = (np.unique(v, return_inverse=True)[1].astype(np.int64) for v in (a, b))
+    part = np.zeros(len(ra), np.int64) if part is None else np.unique(part, return_inverse=True)[1].astype(np.int64)
     order = np.argsort(ra, kind="stable")
-    ra, rb, c = ra[order], rb[order], np.asarray(c)[order].astype(np.int64)
+    ra, rb, c, part = ra[order], rb[order], np.asarray(c)[order].astype(np.int64), part[order]
     wide = int(c.sum()) ** 2 >= 1 << 62
     width, total = int(ra.max()) + 1 if len(ra) else 1, 0
-    for bit in range(int(rb.max()).bit_length() if len(rb) else 0):
-        prefix = rb >> (bit + 1)
+    bits = int(rb.max()).bit_length() if len(rb) else 0
+    for bit in range(bits):
+        prefix = part << bits | rb >> (bit + 1)
         at = np.argsort(prefix, kind="stable")  # by prefix, then by a
         key, one, w = prefix[at] * width + ra[at], (rb[at] >> bit) & 1, c[at]
         before = np.concatenate([[0], np.cumsum(w * (1 - one))])

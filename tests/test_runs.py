@@ -182,6 +182,27 @@ def test_tau_of_20000_real_pairs(spark):
     assert rows(M.tau_from_cells(M.contingency(df, "a", "b"), block_cells=1500)) == want
 
 
+def test_tau_by_blocks_grows_with_the_cells(spark, monkeypatch):
+    """Blocks of few cells: no call for each pair of blocks, no grid of all blocks; values that are cut points, equal and NaN."""
+    rng = np.random.default_rng(5)
+    n = 6000
+    a, b = rng.normal(size=n).round(2), np.where(rng.random(n) < 0.3, 1.5, rng.normal(size=n))
+    df = spark.createDataFrame([("p" if i % 3 else "q", float(x), float(y)) for i, (x, y) in enumerate(zip(a, b))], "prompt_id string, a double, b double")
+    want = sorted((g, int(k.sum()), brute_tau(a[k], b[k])) for g, k in (("p", np.arange(n) % 3 > 0), ("q", np.arange(n) % 3 == 0)))
+    monkeypatch.setattr(M, "grid_score", None)
+    cells = M.contingency(df, "a", "b")
+    assert rows(M.tau_from_cells(cells, grid_values=5, block_cells=20)) == want
+    calls = M._inside(cells.withColumn("block_a", F.lit(0)).withColumn("block_b", F.pmod(F.hash("b"), F.lit(50))), "prompt_id", "block_a", "block_b")
+    assert calls.count() == 2
+
+
+def test_pairs_of_a_part():
+    rng = np.random.default_rng(6)
+    a, b, c, part = rng.integers(0, 9, 300), rng.integers(0, 9, 300).astype(float), rng.integers(1, 4, 300), rng.integers(0, 20, 300)
+    b[:5] = np.nan
+    assert M.pair_score(a, b, c, part) == sum(M.pair_score(a[part == p], b[part == p], c[part == p]) for p in range(20))
+
+
 def test_tau_by_blocks_equals_the_grid(spark):
     rng = np.random.default_rng(9)
     data = [(int(p), int(x), int(x * 3 + rng.integers(-30, 30))) for p, x in zip(rng.integers(0, 3, 3000), rng.integers(0, 60, 3000))]
