@@ -107,6 +107,22 @@ XL_ROWS = [
 ]
 
 
+def test_workbooks_are_of_bounded_size(spark, monkeypatch):
+    """A partition of many characters gives several workbooks; a task that reads holds none that grows with the input."""
+    from pyspark import cloudpickle
+
+    monkeypatch.setattr(XL, "BOOK_CHARS", 100_000)
+    cloudpickle.register_pickle_by_value(XL)  # tasks see the smaller bound
+    try:
+        df = spark.range(0, 400, 1, 1).select(F.concat(F.col("id"), F.repeat(F.lit("x"), 2000)).alias("text"), "id")
+        path = XL.write_xlsx(df, scratch_path(spark, "books"))
+    finally:
+        cloudpickle.unregister_pickle_by_value(XL)
+    assert spark.read.format("binaryFile").load(path).count() == 9
+    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("id", T.LongType())])
+    assert rows(XL.read_xlsx(spark, path, schema)) == rows(df)
+
+
 def test_workbooks_come_back(spark):
     df = spark.createDataFrame(XL_ROWS, "text string, n long, x double, ok string").withColumn("extra", F.lit(True)).repartition(3)
     path = XL.write_xlsx(df, scratch_path(spark, "books"))
