@@ -1,17 +1,19 @@
 """Batch model inference over prompt columns.
 
-The model call is the one place where rows go to Python: ``predict_batch_udf`` ships Arrow
-batches of ``batch_size`` prompts to a function built once per Python worker. Model output is
+The model call is the one place where rows go to Python: Spark ships Arrow batches, and ``batch_size``
+prompts at a time become values for a function built once per Python worker. Model output is
 sampled text, so inference results are written out (``materialize``) before anything reads them
 twice or a retried stage could recompute them differently.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,44 @@ def length_stub_model() -> Callable[[np.ndarray], np.ndarray]:
     return predict
 
 
+def model_udf(make_predict_fn, batch_size: int, inputs: int):
+    """A function of columns that asks the model for ``batch_size`` rows at a time.
+
+    ``predict_batch_udf`` makes Python texts of a whole Arrow batch (up to 64 MB) before the first call; here only the rows of
+    a call are, so a worker's memory doesn't follow the length of the texts. Spark 4.0 has no such functions.
+    """
+    if not hasattr(F, "arrow_udf"):
+        return predict_batch_udf(make_predict_fn, return_type=T.StringType(), batch_size=batch_size)
+    model = uuid.uuid4()
+
+    def answers(batches) -> Iterator[pa.Array]:
+        from pyspark.ml.model_cache import ModelCache
+
+        predict = ModelCache.get(model)
+        if not predict:
+            predict = make_predict_fn()
+            ModelCache.add(model, predict)
+        for columns in batches:
+            columns = columns if isinstance(columns, tuple) else (columns,)
+            out = []
+            for at in range(0, len(columns[0]), batch_size):
+                rows = [c.slice(at, batch_size).to_numpy(zero_copy_only=False) for c in columns]
+                got = predict(*rows)
+                if len(got) != len(rows[0]):
+                    raise ValueError(f"the model gave {len(got)} replies to {len(rows[0])} prompts")
+                out += got.tolist() if isinstance(got, np.ndarray) else list(got)
+            yield pa.array(out, pa.string())
+
+    if inputs == 1:
+        def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            return answers(batches)
+        return F.arrow_udf(one, T.StringType())
+
+    def several(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        return answers(batches)
+    return F.arrow_udf(several, T.StringType())
+
+
 def batch_infer(df: DataFrame, prompt: str, out: str, make_predict_fn=length_stub_model,
                 batch_size: int = 8, num_partitions: int | None = None, deterministic: bool = False,
                 seed: Column | None = None, by_length: bool = False) -> DataFrame:
@@ -45,7 +85,7 @@ def batch_infer(df: DataFrame, prompt: str, out: str, make_predict_fn=length_stu
         df = df.repartition(num_partitions)
     if by_length:
         df = df.sortWithinPartitions(F.length(prompt))
-    udf = predict_batch_udf(make_predict_fn, return_type=T.StringType(), batch_size=batch_size)
+    udf = model_udf(make_predict_fn, batch_size, 1 if seed is None else 2)
     if not deterministic:
         # a sampled model answers differently on every call: Catalyst must neither duplicate nor move it
         udf = udf.asNondeterministic()

@@ -353,3 +353,19 @@ def test_scope_removes_what_no_result_needs(spark):
     assert inner.paths == []
     outside = SK.materialize(spark, spark.range(3), "kept")
     assert outside.count() == 3
+
+
+def test_the_model_gets_few_rows_as_values(spark):
+    """Prompts reach the model as arrays of ``batch_size``, nulls as None; a wrong number of replies is an error. No worker makes
+    Python texts of a whole Arrow batch."""
+    def shapes():
+        return lambda prompts: np.array([None if p is None else f"{p}:{len(prompts)}:{type(prompts).__name__}" for p in prompts], dtype=object)
+
+    df = spark.createDataFrame([(i, None if i == 3 else str(i)) for i in range(10)], "id long, essay string").coalesce(1)
+    got = rows(INF.batch_infer(df, "essay", "reply", shapes, batch_size=4))
+    assert got == [(i, None if i == 3 else str(i), None if i == 3 else f"{i}:{4 if i < 8 else 2}:ndarray") for i in range(10)]
+    with pytest.raises(Exception, match="replies"):
+        INF.batch_infer(df, "essay", "reply", lambda: lambda p: p[:1]).collect()
+    udf = INF.model_udf(INF.length_stub_model, 8, 1)
+    assert "pandas" not in str(df.select(udf("essay"))._jdf.queryExecution().executedPlan()).lower()
+    assert udf.func.__module__ == INF.__name__  # not predict_batch_udf, whose batches are whole pandas frames
