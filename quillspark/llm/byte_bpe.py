@@ -13,6 +13,7 @@ list decodes to no bytes; an id outside the vocabulary is an error.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,10 @@ from .common import load_ranks, map_batches, text_bytes, tokenizer_path
 #: Pattern that splits text before the merges (fixed value of the public vocabularies).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Beyond so many distinct pieces a task forgets their ids and starts anew.
-MOST_PIECES = 600_000
+#: Beyond so many distinct pieces (about 70 MB) a task forgets their ids and starts anew; rare ones seldom come again.
+MOST_PIECES = 300_000
+#: Characters of the texts whose pieces are put together at once.
+RUN = 1 << 18
 
 
 def byte_chars() -> list[str]:
@@ -89,6 +92,19 @@ class PieceIds(dict):
         self.ids, self.ends = np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
 
 
+def text_runs(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in runs of about RUN characters, so that arrays of their pieces stay small (one text may be larger)."""
+    run, size = [], 0
+    for text in texts:
+        run.append(text)
+        size += len(text)
+        if size >= RUN:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 def encoder(path: str):
     """A function from a list of texts to ``(ends, ids)``: all ids in one array and where each text's ids end."""
     import regex
@@ -96,7 +112,7 @@ def encoder(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
     split, known = regex.compile(PATTERN).findall, PieceIds(path)
 
-    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_run(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(known) > MOST_PIECES:
             known.reset()
         parts = [np.fromiter(map(known.__getitem__, split(t)), np.int32) for t in texts]
@@ -106,7 +122,16 @@ def encoder(path: str):
         ends = np.cumsum(length)
         ids = known.ids[np.repeat(begin - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
         last = np.cumsum([len(p) for p in parts])
-        return np.concatenate([[0], np.concatenate([[0], ends])[last]]).astype(np.int64) if parts else np.zeros(1, np.int64), ids
+        return np.concatenate([[0], ends])[last], ids
+
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ends, ids, at = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)], 0
+        for run in text_runs(texts):
+            run_ends, run_ids = encode_run(run)
+            ends.append(run_ends.astype(np.int64) + at)
+            ids.append(run_ids)
+            at += len(run_ids)
+        return np.concatenate(ends), np.concatenate(ids)
 
     return encode
 
@@ -171,10 +196,10 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFram
 
         def work(batch: pa.RecordBatch) -> list:
             column = batch.column(ids)
-            flat, ends = column.flatten().to_numpy(zero_copy_only=False).tolist(), [0]
+            flat, ends = column.flatten().to_numpy(zero_copy_only=False), [0]
             for n in column.value_lengths().fill_null(0).to_pylist():
                 ends.append(ends[-1] + n)
-            return [*[batch.column(c) for c in kept], [b"".join(map(table.__getitem__, flat[a:b])) for a, b in zip(ends, ends[1:])]]
+            return [*[batch.column(c) for c in kept], [b"".join(map(table.__getitem__, flat[a:b].tolist())) for a, b in zip(ends, ends[1:])]]
 
         return work
 

@@ -74,3 +74,16 @@ def test_split_characters_decode_token_by_token():
         text, rest = B.decode_text(table[i], rest)
         out += text
     assert out == "漢😀字" and rest == b""
+
+
+def test_texts_in_runs_and_forgotten_pieces(monkeypatch):
+    """Short runs and a small table of pieces change no id; arrays are made for a run, not for a whole batch."""
+    path = tokenizer_path(B.RANKS)
+    texts = [f"word{i % 37} été {i} \n done" for i in range(300)] + ["", "x" * 500]
+    want = B.encoder(path)(texts)
+    monkeypatch.setattr(B, "RUN", 100)
+    monkeypatch.setattr(B, "MOST_PIECES", 20)
+    assert max(map(len, B.text_runs(texts))) < 12
+    got = B.encoder(path)(texts)
+    assert [x.tolist() for x in got] == [x.tolist() for x in want]
+    assert [x.tolist() for x in B.encoder(path)([])] == [[0], []]
