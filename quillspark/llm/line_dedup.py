@@ -42,6 +42,8 @@ SMALL = 32
 #: Bytes of lines that are hashed at once: arrays that fit a core's cache.
 CHUNK = 1 << 17
 
+#: Low bits of a shingle's hash by which two lines are compared first.
+_LOW = np.uint64((1 << 17) - 1)
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
 
@@ -111,6 +113,18 @@ def bucket_numbers(keys: np.ndarray) -> np.ndarray:
     return np.tile(np.arange(BANDS) << 32, len(keys) // BANDS) | keys.view(np.uint32).astype(np.int64)
 
 
+def packed_keys(keys: np.ndarray, there: np.ndarray) -> pa.Array:
+    """A binary value, the bytes of a row of ``keys``, for each true entry of ``there``, and null for the others. Spark copies
+    and stores such a value at once, an array of integers one by one."""
+    ends = pa.array(np.concatenate([[0], np.cumsum(there) * (4 * BANDS)]), pa.int32())
+    return pa.Array.from_buffers(pa.binary(), len(there), [pa.array(there).buffers()[1], ends.buffers()[1], pa.py_buffer(np.ascontiguousarray(keys))])
+
+
+def key_values(packed: pa.Array) -> np.ndarray:
+    """The keys of packed rows, one row after the other."""
+    return np.frombuffer(b"".join(packed.to_pylist()), np.int32)
+
+
 def bucket_counts(distinct: DataFrame, shard: int = SHARD) -> DataFrame:
     """``key, count`` of the buckets that several lines share. Keys go to shards as sorted arrays, equal ones of a task as
     one, and are counted there."""
@@ -129,7 +143,7 @@ def bucket_counts(distinct: DataFrame, shard: int = SHARD) -> DataFrame:
 
         gathered, size = [], 0
         for batch in batches:
-            gathered.append(batch.column("keys").flatten().to_numpy())
+            gathered.append(key_values(batch.column("keys")))
             size += len(gathered[-1])
             if size >= GATHER:
                 yield send()
@@ -152,14 +166,17 @@ def bucket_counts(distinct: DataFrame, shard: int = SHARD) -> DataFrame:
 def shingle_sets(lines: list[str], size: int = SHINGLE) -> list[np.ndarray]:
     """The set of shingles of each line, as sorted distinct 64-bit hashes."""
     hashes, each = shingle_hashes(lines, size)
-    ends, out = np.cumsum(each), []
-    for i, j in zip((ends - each).tolist(), ends.tolist()):
-        one = hashes[i:j]
-        one.sort()
-        first = np.ones(j - i, bool)
-        np.not_equal(one[1:], one[:-1], out=first[1:])
-        out.append(one[first])
-    return out
+    if not lines:
+        return []
+    ends = np.cumsum(each)
+    begin = ends - each
+    for i, j in zip(begin.tolist(), ends.tolist()):
+        hashes[i:j].sort()
+    first = np.ones(len(hashes), bool)
+    np.not_equal(hashes[1:], hashes[:-1], out=first[1:])
+    first[begin] = True
+    hashes, ends = hashes[first], np.cumsum(np.add.reduceat(first, begin, dtype=np.int64)).tolist()
+    return [hashes[i:j] for i, j in zip([0, *ends], ends)]
 
 
 def has_word(line: bytes) -> bool:
@@ -168,10 +185,14 @@ def has_word(line: bytes) -> bool:
 
 def line_hash(line: bytes) -> tuple[int, int]:
     """The identity of a line, 128 bits as two signed integers."""
+    return tuple(line_hashes([line])[0].tolist())
+
+
+def line_hashes(lines: list[bytes]) -> np.ndarray:
+    """A row of two integers, its identity, for each line."""
     import xxhash
 
-    d = xxhash.xxh3_128_digest(line)
-    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), ">i8").astype(np.int64).reshape(-1, 2)
 
 
 ROW = "doc_id long, text_hash long"
@@ -207,19 +228,17 @@ def lines_of(docs: DataFrame) -> DataFrame:
                         number.append(n)
                         which.append(seen.setdefault(line, len(seen)))
             distinct = list(seen)
-            hashes = np.array([line_hash(x) for x in distinct], np.int64).reshape(-1, 2)
+            hashes = line_hashes(distinct)
             keys = [band_keys([x.decode("utf-8", "surrogatepass") for x in run]) for run in text_chunks(distinct)]
             flat = np.concatenate(keys).reshape(-1) if keys else np.zeros(0, np.int32)
             at, rows = np.array(which, np.int64), pa.array(owner, pa.int64())
             first = np.zeros(len(at), bool)
             first[np.unique(at, return_index=True)[1]] = True  # lines are numbered as they come, and so are their keys
-            ends = np.concatenate([[0], np.cumsum(first) * BANDS]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array(~first)) if len(at) else pa.array([], pa.list_(pa.int32()))
-            return [batch.column("doc_id").take(rows), batch.column("text_hash").take(rows), number, hashes[at, 0], hashes[at, 1], lists]
+            return [batch.column("doc_id").take(rows), batch.column("text_hash").take(rows), number, hashes[at, 0], hashes[at, 1], packed_keys(flat, first)]
 
         return work
 
-    return map_batches(_rows(docs), f"{ROW}, line_no int, h1 long, h2 long, keys array<int>", make)
+    return map_batches(_rows(docs), f"{ROW}, line_no int, h1 long, h2 long, keys binary", make)
 
 
 def wanted_lines(docs: DataFrame, wanted: KeyFilter) -> DataFrame:
@@ -230,10 +249,10 @@ def wanted_lines(docs: DataFrame, wanted: KeyFilter) -> DataFrame:
         bitmap = np.frombuffer(held.value, np.uint64)
 
         def work(batch: pa.RecordBatch) -> list:
-            distinct = list({x for text in batch.column("text").to_pylist() for x in text.split(b"\n") if has_word(x)})
-            hashes = [line_hash(x) for x in distinct]
-            pick = np.nonzero(may_hold(bitmap, bits, np.array([h[0] for h in hashes], np.int64)))[0].tolist()
-            return [[hashes[i][0] for i in pick], [hashes[i][1] for i in pick], [distinct[i].decode("utf-8", "surrogatepass") for i in pick]]
+            distinct = [x for x in {x for text in batch.column("text").to_pylist() for x in text.split(b"\n")} if has_word(x)]
+            hashes = line_hashes(distinct)
+            pick = np.nonzero(may_hold(bitmap, bits, np.ascontiguousarray(hashes[:, 0])))[0]
+            return [hashes[pick, 0], hashes[pick, 1], [distinct[i].decode("utf-8", "surrogatepass") for i in pick.tolist()]]
 
         return work
 
@@ -252,17 +271,30 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
 
 def block_links(names: list[int], sets: list[np.ndarray], left: list[bool] | None, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
     """Links that join the components of a block, or of two blocks: every pair that the links so far leave apart is
-    compared. ``left`` marks the lines of the first of two blocks; pairs within a block are another task's."""
+    compared. ``left`` marks the lines of the first of two blocks; pairs within a block are another task's.
+
+    How many shingles of a line have low bits that the other line has as well is never less than what they share, so most
+    pairs that aren't similar are passed over without a look at their sets.
+    """
+    if len(names) == 2:
+        return [(names[1], names[0])] if (left is None or left[0] != left[1]) and similar(sets[1], sets[0], similarity) else []
     groups: list[list[int]] = []
     found = []
+    low = [(x & _LOW).view(np.int64) for x in sets]
+    sizes, marked = [len(x) for x in sets], np.zeros(int(_LOW) + 1, bool)
     for i in range(len(names)):
-        joined = []
+        joined, size = [], sizes[i]
+        marked[low[i]] = True
         for g in groups:
             for j in g:
-                if (left is None or left[i] != left[j]) and similar(sets[i], sets[j], similarity):
+                if left is not None and left[i] == left[j]:
+                    continue
+                most = min(np.count_nonzero(marked[low[j]]), size)
+                if most >= similarity * (size + sizes[j] - most) and similar(sets[i], sets[j], similarity):
                     found.append((names[i], names[j]))
                     joined.append(g)
                     break
+        marked[low[i]] = False
         merged = [i]
         for g in joined:
             merged += g
@@ -366,7 +398,7 @@ def line_links(docs: DataFrame, block: int = BLOCK, similarity: float = SIMILARI
         bitmap = np.frombuffer(held.value, np.uint64)
 
         def work(batch: pa.RecordBatch) -> list:
-            keys = bucket_numbers(batch.column("keys").flatten().to_numpy())
+            keys = bucket_numbers(key_values(batch.column("keys")))
             pick = may_hold(bitmap, bits, keys)
             return [np.repeat(batch.column("h1").to_numpy(), BANDS)[pick], keys[pick]]
 

@@ -398,3 +398,32 @@ def test_equal_windows_have_equal_anchors():
         assert first[0] == 0 and (first[1:] == (first + n)[:-1]).all() and first[-1] + n[-1] == len(c) - 19 and n.max() <= 13
         return np.repeat(anchor, n)
     assert (by_window(codes)[50:101] == by_window(other)[37:88]).all()
+
+
+def test_keys_of_lines_are_stored_as_one_value(spark):
+    docs = spark.createDataFrame([(1, "a first line\nanother one\na first line"), (2, None), (3, "")], "doc_id long, text string")
+    lines = L.lines_of(docs)
+    assert dict(lines.dtypes)["keys"] == "binary"
+    got = {r.line_no: r["keys"] for r in lines.collect()}
+    want = L.band_keys(["a first line", "another one"])
+    assert [bytes(got[0]), bytes(got[1]), got[2]] == [want[0].tobytes(), want[1].tobytes(), None]
+    packed = L.packed_keys(want.reshape(-1), np.array([True, False, True]))
+    assert packed.is_valid().to_pylist() == [True, False, True]
+    assert (L.key_values(packed.drop_null()) == want.reshape(-1)).all()
+    assert L.packed_keys(np.zeros(0, np.int32), np.zeros(0, bool)).to_pylist() == []
+
+
+def test_unlike_lines_of_a_block_are_passed_over(monkeypatch):
+    rnd = random.Random(3)
+    lines = ["".join(rnd.choices("abcdefghijklmnop ", k=rnd.randint(250, 300))) for _ in range(30)]
+    lines += [x[:40] + "#" + x[40:] for x in lines[:5]]
+    sets, names, seen = L.shingle_sets(lines), list(range(len(lines))), []
+    assert [x.tolist() for x in sets] == [sorted({*L.shingle_hashes([x])[0].tolist()}) for x in lines] and L.shingle_sets([]) == []
+    exact = L.similar
+    monkeypatch.setattr(L, "similar", lambda a, b, s: seen.append(1) or exact(a, b, s))
+    assert sorted(L.block_links(names, sets, None)) == [(30 + i, i) for i in range(5)]
+    assert len(seen) == 5  # of 595 pairs
+    left = [i < 30 for i in names]
+    assert sorted(L.block_links(names, sets, left)) == [(30 + i, i) for i in range(5)]
+    assert L.block_links([7, 9], [sets[0], sets[30]], None) == [(9, 7)] and L.block_links([7, 9], sets[:2], None) == []
+    assert L.block_links([7, 9], [sets[0], sets[30]], [True, True]) == []
