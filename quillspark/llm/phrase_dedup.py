@@ -11,6 +11,8 @@ automaton, every passage of the shard is streamed through it to locate all occur
 first place. The windows of an anchor with very many different passages are not gathered in a shard but grouped by their
 words, pre-aggregated before the shuffle.
 
+Each step is written to the scratch folder, and a step's table is removed once the next ones are written.
+
 Defined results: a null or empty text has no words. Rows with the same doc_id and text are one document and get the same
 result; rows of one doc_id with different texts are ordered by the hash of the text; a null doc_id comes first. Rows are
 never dropped. Other columns are ignored. An empty table gives an empty table.
@@ -27,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.session import discard
+
 from .common import documents, map_batches, saved, text_bytes
 from .key_filter import KeyFilter, may_hold
 
@@ -205,6 +209,7 @@ def repeats(docs: DataFrame, shard: int = SHARD, spread: int = SPREAD, parts: in
     recurring = saved(found.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     place = F.struct("did", "text_hash", "first")
     passage = saved(maybe_recurring(found, KeyFilter(recurring, "anchor")), "passages")
+    discard(found, recurring)
     distinct = passage.groupBy("anchor", "passage").agg(F.min(place).alias("at"), F.min("n").alias("n"), F.count("*").alias("copies"))
     distinct = saved(distinct, "distinct-passages")
 
@@ -214,11 +219,15 @@ def repeats(docs: DataFrame, shard: int = SHARD, spread: int = SPREAD, parts: in
     many = F.broadcast(copies.where(F.col("copies") > share).select(*keys, "at"))
     few = passage.join(many, keys, "left_anti").join(copies.where(F.col("copies") <= share).drop("copies"), keys)
     whole = few.unionByName(passage.join(many, keys)).where(place != F.col("at")).select("did", "text_hash", "first", "n")
+    whole = saved(whole, "whole-passages")
+    discard(passage)
 
     several = distinct.groupBy("anchor").count().where("count > 1")
     mixed_ = saved(distinct.join(several, "anchor").select("anchor", "at.*", "n", "count"), "mixed-passages")
+    discard(distinct)
     shards = mixed_.count() // shard + 1
     pieces = saved(passage_texts(docs, mixed_), "pieces")
+    discard(mixed_)
 
     def windows():
         def work(batch: pa.RecordBatch) -> list:
@@ -259,7 +268,9 @@ def kept_words(words: list[bytes], firsts: list[int], counts: list[int]) -> list
 
 def dedup(docs: DataFrame, shard: int = SHARD, spread: int = SPREAD, parts: int = PARTS) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, kept`` of every row; ``kept`` is the text that stays, joined by spaces."""
-    runs = repeats(docs, shard, spread, parts).groupBy("did", "text_hash").agg(F.collect_list("first").alias("firsts"), F.collect_list("n").alias("counts"))
+    found = repeats(docs, shard, spread, parts)
+    runs = saved(found.groupBy("did", "text_hash").agg(F.collect_list("first").alias("firsts"), F.collect_list("n").alias("counts")), "repeats")
+    discard(found)
     joined = _rows(docs).withColumn("doc_id", F.when(F.col("did") != NO_ID, F.col("did"))).join(runs, ["did", "text_hash"], "left")
 
     def make():

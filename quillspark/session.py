@@ -64,6 +64,17 @@ def _hadoop(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def discard(*frames: DataFrame) -> None:
+    """Removes the scratch tables that the frames read. For tables of this library that nothing reads any more."""
+    for df in frames:
+        root = checkpoint_root(df.sparkSession).rstrip("/").replace(":///", ":/", 1)
+        folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+        for folder in folders:
+            if folder.replace(":///", ":/", 1).removeprefix("file:").startswith(root.removeprefix("file:") + "/"):
+                fs, p = _hadoop(df.sparkSession, folder)
+                fs.delete(p, True)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     fs, p = _hadoop(spark, path)
     return fs.exists(p)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 from itertools import groupby
 from operator import itemgetter
 
@@ -110,6 +111,19 @@ def write_flat_text_files(df: DataFrame, path: str, name: str, text: str) -> str
     return path
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """While tables are written: Spark removes a query's shuffle files when the query ends, not when the driver happens to
+    collect its garbage. A written table doesn't need them any more."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def materialize(spark: SparkSession, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to a new table in the shared checkpoint folder and read it back.
 
@@ -117,9 +131,10 @@ def materialize(spark: SparkSession, df: DataFrame, name: str, partition_by: str
     recomputed by a retried stage or a second reader. The written table also cuts the lineage.
     """
     path = scratch_path(spark, name)
-    if partition_by:
-        # a folder without rows has no schema to infer
-        df.write.partitionBy(partition_by).parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    with shuffles_removed(spark):
+        if partition_by:
+            # a folder without rows has no schema to infer
+            df.write.partitionBy(partition_by).parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
+        df.write.parquet(path)
+        return spark.read.parquet(path)

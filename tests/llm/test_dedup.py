@@ -427,3 +427,32 @@ def test_unlike_lines_of_a_block_are_passed_over(monkeypatch):
     assert sorted(L.block_links(names, sets, left)) == [(30 + i, i) for i in range(5)]
     assert L.block_links([7, 9], [sets[0], sets[30]], None) == [(9, 7)] and L.block_links([7, 9], sets[:2], None) == []
     assert L.block_links([7, 9], [sets[0], sets[30]], [True, True]) == []
+
+
+def test_steps_leave_neither_tables_nor_shuffles_behind(spark):
+    import glob
+    import os
+    import time
+
+    from quillspark.session import checkpoint_root, discard
+
+    root = checkpoint_root(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    passage = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(i, f"{passage} only{i} {passage}") for i in range(8)] + [(9, None)], "doc_id long, text string").repartition(2)
+    assert P.dedup(docs).count() == 9
+    assert {x.rpartition("-")[0] for x in {*os.listdir(root)} - before} == {"repeats"}
+
+    held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {x for d in held for x in glob.glob(f"{d}/*/shuffle_*.data")}
+    had = files()
+    kept = P.saved(spark.range(100_000).selectExpr("id % 50000 AS k").groupBy("k").count(), "kept")
+    for _ in range(50):
+        if not files() - had:
+            break
+        time.sleep(0.1)
+    assert not files() - had
+    assert kept.count() == 50_000
+    outside = spark.createDataFrame([(1,)], "a int")
+    discard(kept, outside)
+    assert not [x for x in os.listdir(root) if x.startswith("kept-") and x not in before]
