@@ -43,7 +43,8 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, ids, n_tokens, decoded_sha256``: the token ids and the digest of what they decode to."""
-    both = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "text")).drop("text"))
+    # saved in between, so that an executor doesn't hold the workers of both at once
+    both = byte_bpe.decode(saved(byte_bpe.encode(docs.select("doc_id", "text")).drop("text"), "token-ids"))
     return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -54,6 +54,16 @@ def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     return (batch.slice(i, step) for i in range(0, batch.num_rows, step))
 
 
+def free_memory() -> None:
+    """Gives the memory that a finished task has left free in its worker back to the system: workers live on, and Spark keeps
+    idle ones for a minute."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
 def by_batch(schema: str, make: Callable[[], Callable[[pa.RecordBatch], list]]) -> Callable:
     """A ``mapInArrow`` function: ``make()`` runs once per task and gives the function from a batch to result columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -66,6 +76,8 @@ def by_batch(schema: str, make: Callable[[], Callable[[pa.RecordBatch], list]])
         for batch in chain.from_iterable(map(parts, batches)):
             columns = work(batch)
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
+        columns = batch = work = None
+        free_memory()
 
     return run
 

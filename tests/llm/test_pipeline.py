@@ -65,3 +65,23 @@ def test_registered():
 
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.QUERIES) | {"pipeline"} <= set(E.queries()) and set(queries.ORACLE) <= set(E.oracle_sql())
+
+
+def test_encoder_and_decoder_are_not_held_together(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
+    out = P.tokens(spark, docs, str(tmp_path))
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r.doc_id, r.n_tokens > 0, r.decoded_sha256) for r in out.collect()) == [(1, True, hashlib.sha256(b"some text").hexdigest()), (2, False, hashlib.sha256(b"").hexdigest())]
+
+
+def test_a_finished_task_gives_its_memory_back(monkeypatch):
+    import pyarrow as pa
+
+    from quillspark.llm import common
+
+    freed = []
+    monkeypatch.setattr(common, "free_memory", lambda: freed.append(1))
+    run = common.by_batch("n long", lambda: lambda batch: [[batch.num_rows]])
+    got = run(iter([pa.RecordBatch.from_pydict({"a": [1, 2]})]))
+    assert next(got).to_pydict() == {"n": [2]} and not freed
+    assert list(got) == [] and freed == [1]
