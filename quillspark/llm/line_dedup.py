@@ -18,6 +18,8 @@ may become empty. Other columns are kept as they are. An empty table gives an em
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -42,6 +44,9 @@ SMALL = 32
 #: Bytes of lines that are hashed at once: arrays that fit a core's cache.
 CHUNK = 1 << 17
 
+#: Tries of an empty bin of a signature that are made for all lines at once.
+TRIES = 12
+
 #: Low bits of a shingle's hash by which two lines are compared first.
 _LOW = np.uint64((1 << 17) - 1)
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -77,6 +82,21 @@ def shingle_hashes(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, n
     return mixed(rolled[inside[:n]]), lengths - size + 1
 
 
+@cache
+def densification(values: int, tries: int = TRIES) -> tuple[np.ndarray, np.ndarray]:
+    """The bins that an empty bin turns to: a row with each bin's choice for each of the first ``tries``, and for each bin
+    the number of the try at which it first comes to each bin."""
+    never = np.iinfo(np.int32).max
+    own, first, done, donors = np.arange(values), np.full((values, values), never, np.int32), 0, None
+    while (first == never).any():
+        numbers = np.arange(done + 1, done + 1 + max(tries, 8 * values))
+        some = (mixed((own * 65_537 + numbers[:, None]).astype(np.uint64)) % np.uint64(values)).astype(np.int64)
+        np.minimum.at(first, (np.broadcast_to(own, some.shape), some), numbers[:, None].astype(np.int32))
+        donors = some[:tries] if donors is None else donors
+        done = int(numbers[-1])
+    return donors, first
+
+
 def signatures(lines: list[str], size: int = SHINGLE, values: int = BANDS * ROWS) -> np.ndarray:
     """One-permutation MinHash: each shingle hash falls in one of ``values`` bins by its high bits, and the least hash of
     a bin counts. An empty bin takes the value of a bin that depends on its own number and the try only (densification).
@@ -89,13 +109,20 @@ def signatures(lines: list[str], size: int = SHINGLE, values: int = BANDS * ROWS
     table = np.full(count * values, none)
     np.minimum.at(table, bins, hashes)
     out = table.copy()
-    empty, tries = np.nonzero(table == none)[0], 0
-    while len(empty):
-        tries += 1
-        donor = (mixed((empty % values * 65_537 + tries).astype(np.uint64)) % np.uint64(values)).astype(np.int64)
-        found = table[empty // values * values + donor]
+    donors, first = densification(values)
+    empty = np.nonzero(table == none)[0]
+    line, own = np.divmod(empty, values)
+    for of in donors:
+        found = table[line * values + of[own]]
         out[empty] = found
-        empty = empty[found == none]
+        left = found == none
+        empty, line, own = empty[left], line[left], own[left]
+    # a line of few shingles would take very many tries: of its full bins, the one that the tries come to first
+    table, ends = table.reshape(count, values), np.nonzero(np.diff(line, append=-1))[0] + 1
+    for i, j in zip([0, *ends.tolist()], ends.tolist()):
+        of = table[line[i]]
+        full = np.nonzero(of != none)[0]
+        out[empty[i:j]] = of[full[first[own[i:j, None], full].argmin(1)]]
     return out.reshape(count, values)
 
 
@@ -121,7 +148,9 @@ def packed_keys(keys: np.ndarray, there: np.ndarray) -> pa.Array:
 
 
 def key_values(packed: pa.Array) -> np.ndarray:
-    """The keys of packed rows, one row after the other."""
+    """The keys of packed rows, or of arrays of integers, one row after the other."""
+    if pa.types.is_list(packed.type):
+        return packed.flatten().to_numpy()
     return np.frombuffer(b"".join(packed.to_pylist()), np.int32)
 
 

@@ -301,6 +301,30 @@ def test_minhash_estimates_similarity_and_finds_near_lines():
     assert abs(np.mean(errors)) < 0.04 and found <= 1
 
 
+def test_empty_bins_take_the_value_that_their_tries_come_to_first(monkeypatch):
+    rnd = random.Random(3)
+    lines = ["a", "abcdefg", "é😀", *("".join(rnd.choices("abcdefgh ", k=k)) for k in (5, 6, 9, 20, 60, 200, 900))]
+    want = []
+    for line in lines:
+        full = {}
+        for h in L.shingle_hashes([line])[0].tolist():
+            b = (h >> 32) * 192 >> 32
+            full[b] = min(h, full.get(b, h))
+        row = []
+        for b in range(192):
+            tries, at = 0, b
+            while at not in full:
+                tries += 1
+                at = int(L.mixed(np.array([b * 65_537 + tries], np.uint64))[0]) % 192
+            row.append(full[at])
+        want.append(row)
+    assert L.signatures(lines).tolist() == want and L.signatures([]).shape == (0, 192)
+    calls, mixed = [], L.mixed
+    monkeypatch.setattr(L, "mixed", lambda x: calls.append(len(x)) or mixed(x))
+    L.signatures(lines)  # one try after the other took more than a thousand rounds for a line of one shingle
+    assert len(calls) == 1
+
+
 @pytest.mark.parametrize("union", [5, 10, 20, 40, 100])
 def test_lines_at_the_threshold_share_a_bucket(union):
     rnd = random.Random(union)
