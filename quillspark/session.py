@@ -59,7 +59,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
+    """``(file system, path)`` as the driver's JVM opens it."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
@@ -71,12 +72,12 @@ def discard(*frames: DataFrame) -> None:
         folders = {f.rpartition("/")[0] for f in df.inputFiles()}
         for folder in folders:
             if folder.replace(":///", ":/", 1).removeprefix("file:").startswith(root.removeprefix("file:") + "/"):
-                fs, p = _hadoop(df.sparkSession, folder)
+                fs, p = hadoop_path(df.sparkSession, folder)
                 fs.delete(p, True)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _hadoop(spark, path)
+    fs, p = hadoop_path(spark, path)
     return fs.exists(p)
 
 
@@ -115,10 +116,12 @@ class ScratchScope:
 
     def _read_by(self, df: DataFrame) -> list[str]:
         files = [f.replace(":///", ":/", 1) for f in df.inputFiles()]
-        return [p for p in self.paths if any(f.startswith(p.replace(":///", ":/", 1) + "/") for f in files)]
+        plan = df._jdf.queryExecution().analyzed().toString()  # names the folders that tasks read (sources.files.read_in_tasks)
+        paths = {p: p.replace(":///", ":/", 1) for p in self.paths}
+        return [p for p, q in paths.items() if q in plan or any(f.startswith(q + "/") for f in files)]
 
     def _remove(self, paths: list[str]) -> None:
         for path in paths:
-            fs, p = _hadoop(self.spark, path)
+            fs, p = hadoop_path(self.spark, path)
             fs.delete(p, True)
             self.paths.remove(path)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import path_exists, scratch_path
-from .files import TEXT_SAFE_WRITE
+from .files import TEXT_SAFE_WRITE, task_filesystem
 
 
 def write_parquet(df: DataFrame, path: str, partition_by=None, mode: str = "errorifexists") -> str:
@@ -29,14 +29,6 @@ def write_delimited(df: DataFrame, path: str, sep: str = ",", header: bool = Fal
     return path
 
 
-def task_filesystem(path: str):
-    """``(file system, path)`` for writing files inside tasks: a folder that all executors share."""
-    from pyarrow import fs
-
-    uri = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
-    return fs.FileSystem.from_uri(uri)
-
-
 #: Characters that Spark's writers escape in the name of a partition folder.
 _ESCAPED = {*map(chr, range(1, 32)), *"\"#%'*/:=?\\\x7f{[]^"}
 

@@ -208,3 +208,77 @@ def test_flat_files_are_packed_into_few_tasks(spark):
     with open(os.path.join(folder, "b.gz"), "wb") as f:
         f.write(gzip.compress(b"packed"))
     assert sorted(map(tuple, FL.read_text_files(spark, folder).collect())) == [("a", "plain"), ("b.gz", "packed")]
+
+
+def _no_list_in_the_driver(spark, files, n):
+    """The driver's plan holds no file, and a frame whose planned size is that of its names is not broadcast."""
+    assert list(files.inputFiles()) == []
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        joined = spark.range(n).select(F.concat("id", F.lit(".txt")).alias("path")).join(files, F.col("path") == F.col("file_name"), "left")
+        assert joined.where("concat(text, '.txt') = path").count() == n
+        joined.write.format("noop").mode("overwrite").save()
+        joined.collect()
+        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_folder_for_each_essay_is_listed_by_tasks(spark):
+    """The driver listed every folder and file: 1.3 KB of its heap for each."""
+    import os
+
+    from quillspark.session import ScratchScope, path_exists
+
+    many = spark.range(2000).select(F.concat("id", F.lit(".txt")).alias("name"), F.col("id").cast("string").alias("essay"))
+    with ScratchScope(spark) as scope:
+        path = SK.write_text_files(many, scratch_path(spark, "many"), "name", "essay")
+        files = scope.keep(FL.read_text_files(spark, path, name_partition="name"))
+    assert scope.paths == [path]
+    _no_list_in_the_driver(spark, files, 2000)
+    root = path.removeprefix("file:")
+    for name, text in {"name=deep/a/b": "deep", "top/name=below/part-0": "below", "name=no bytes/part-0": "", "_hidden/name=x/part-0": "x", "name=y/.part-0": "y", "loose": "loose"}.items():
+        os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
+        with open(f"{root}/{name}", "w", encoding="utf-8") as f:
+            f.write(text)
+    found = sorted(map(tuple, files.where("not file_name rlike '^[0-9]'").collect()))
+    assert found == [("", "deep"), ("", "loose"), ("below", "below")]
+    assert found == sorted(map(tuple, FL.read_text_files(spark, f"{path}*", name_partition="name").where("not file_name rlike '^[0-9]'").collect()))
+    scope.release()
+    assert not path_exists(spark, path)
+
+
+def test_packed_files_are_unpacked_by_tasks(spark):
+    """As Spark's text reader does it, by the name's end; texts longer than a codec's block, several streams in one file."""
+    import gzip
+    import os
+    import random
+    import shutil
+
+    import pyarrow as pa
+
+    random.seed(3)
+    rows = [("x" * 300_000,), ("drü\n" * 9,), ("".join(random.choices("abcdefgh ", k=600_000)),), ("é" * 70_000 + "end",)]
+    docs, folder = spark.createDataFrame(rows, "essay string").coalesce(1), _folder(spark, {"plain.txt": "plain"})
+    for codec in ("gzip", "bzip2", "deflate", "lz4", "snappy"):
+        docs.write.option("compression", codec).text(out := scratch_path(spark, codec))
+        part = next(f for f in os.listdir(out.removeprefix("file:")) if f.startswith("part-"))
+        os.mkdir(f"{folder}/name={codec}")
+        for to in (f"{folder}/{codec}.{part.rpartition('.')[2]}", f"{folder}/name={codec}/{part}"):
+            shutil.copy(f"{out.removeprefix('file:')}/{part}", to)
+    with open(f"{folder}/two.gz", "wb") as f:
+        f.write(gzip.compress(b"one ") + gzip.compress(b"two"))
+    with open(f"{folder}/none.gz", "wb") as f:
+        f.write(gzip.compress(b""))
+    whole = "".join(f"{r[0]}\n" for r in rows)
+    got = {r[0]: r[1] for r in FL.read_text_files(spark, folder, strip=False, name_partition="name").collect() if r[0]}
+    assert got == dict.fromkeys(("gzip", "bzip2", "deflate", "lz4", "snappy"), whole)
+    assert FL.unpacked("a.zst", pa.compress(whole.encode(), "zstd", asbytes=True)) == whole.encode()
+    assert FL.unpacked("a.gz", gzip.compress(b"one ") + gzip.compress(b"two")) == b"one two"
+    with pytest.raises(EOFError):
+        FL.unpacked("a.lz4", (9).to_bytes(4, "big"))
+    by_spark = sorted(map(tuple, FL.read_text_files(spark, f"{folder}*", strip=False, name_partition="name").collect()))
+    assert sorted(map(tuple, FL.read_text_files(spark, folder, strip=False, name_partition="name").collect())) == by_spark
+    latin = {r[0]: r[1] for r in FL.read_text_files(spark, folder, strip=False, name_partition="name", encoding="ISO-8859-1").collect()}
+    assert latin["gzip"].startswith("\x1f")  # other encodings: as it stands
