@@ -392,7 +392,7 @@ def read_text_files(spark: SparkSession, path: str, strip: bool = True, name_par
     The files are listed and read when the frame is, by tasks (see ``read_in_tasks``). What tasks can't open Spark reads, with
     the list of files in the driver: about 1.3 KB of its heap for each (see ``read_by_spark``).
     """
-    if folder := name_partition and task_folder(spark, path):
+    if folder := task_folder(spark, path):
         utf8 = encoding.upper() == "UTF-8"
         files = read_in_tasks(spark, folder, name_partition, unpack=utf8)
         files = files.select("source", (F.col("content").cast("string") if utf8 else F.decode("content", encoding)).alias("value"))

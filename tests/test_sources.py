@@ -282,3 +282,32 @@ def test_packed_files_are_unpacked_by_tasks(spark):
     assert sorted(map(tuple, FL.read_text_files(spark, folder, strip=False, name_partition="name").collect())) == by_spark
     latin = {r[0]: r[1] for r in FL.read_text_files(spark, folder, strip=False, name_partition="name", encoding="ISO-8859-1").collect()}
     assert latin["gzip"].startswith("\x1f")  # other encodings: as it stands
+
+
+def test_a_flat_folder_is_listed_by_tasks(spark):
+    """The driver listed every file: 1.3 KB of its heap for each, and its name once more."""
+    import gzip
+    import os
+
+    many = spark.range(2000).select(F.concat("id", F.lit(".txt")).alias("name"), F.col("id").cast("string").alias("essay"))
+    path = SK.write_flat_text_files(many, scratch_path(spark, "a b%20c"), "name", "essay")
+    files = FL.read_text_files(spark, path)
+    _no_list_in_the_driver(spark, files, 2000)
+    root = path.removeprefix("file:")
+    odd = {"é d.txt": b" x ", "no bytes": b"", "_hidden": b"h", ".hidden": b"h", "a._COPYING_": b"h", "below/a": b"b", "lang=de/d": b"d", "p.gz": gzip.compress(b"packed"), "none.gz": gzip.compress(b"")}
+    for name, content in odd.items():
+        os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
+        with open(f"{root}/{name}", "wb") as f:
+            f.write(content)
+    os.symlink(f"{root}/gone", f"{root}/broken")
+    os.symlink(f"{root}/é d.txt", f"{root}/linked")
+    found = sorted(map(tuple, files.where("not file_name rlike '^[0-9]'").collect()))
+    assert found == sorted([("é d.txt", "x"), ("no bytes", ""), ("d", "d"), ("p.gz", "packed"), ("none.gz", ""), ("linked", "x")])
+    assert files.count() == 2000 + len(found)
+    plain = _folder(spark, {"a": "1", "b": "2"})
+    by_spark = FL.read_text_files(spark, f"{plain}/*")  # a pattern, and one file
+    assert sorted(map(tuple, by_spark.collect())) == sorted(map(tuple, FL.read_text_files(spark, plain).collect())) == [("a", "1"), ("b", "2")]
+    assert list(map(tuple, FL.read_text_files(spark, f"{plain}/a").collect())) == [("a", "1")]
+    assert FL.read_text_files(spark, _folder(spark, {})).collect() == []
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        FL.read_text_files(spark, f"{plain}-gone")
